@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,8 +107,8 @@ def unnested(geometry_type: Column, nested: Column) -> Column:
     return text
 
 
-def _each_vertex(nested: Column, change) -> Column:
-    def at(depth: int):
+def _each_vertex(nested: Column, change: Callable[[Column], Column]) -> Column:
+    def at(depth: int) -> Callable[[Column], Column]:
         if depth == 0:
             return change
         return lambda items: F.transform(items, at(depth - 1))
@@ -116,6 +116,10 @@ def _each_vertex(nested: Column, change) -> Column:
     return at(3)(nested)
 
 
+def _unproject_from(code: int) -> Callable[[Column], Column]:
+    return lambda vertex: geo.unproject(vertex[0], vertex[1], code)
+
+
 def to_geographic(features: DataFrame, codes: Iterable[int] | None = None) -> DataFrame:
     """Bring ``vertices`` of ``epsg`` into EPSG:4326.
 
@@ -130,9 +134,7 @@ def to_geographic(features: DataFrame, codes: Iterable[int] | None = None) -> Da
     changed = F.lit(None).cast(_NESTED)
     for code in sorted(found):
         geo.check_epsg(code)
-        moved = _each_vertex(
-            F.col("vertices"), lambda v, c=code: geo.unproject(v[0], v[1], c)
-        )
+        moved = _each_vertex(F.col("vertices"), _unproject_from(code))
         changed = F.when(F.col("epsg") == code, moved).otherwise(changed)
     return features.withColumns({"vertices": changed, "epsg": F.lit(geo.GEOGRAPHIC_EPSG)})
 

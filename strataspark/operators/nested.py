@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataspark import model as m
 from strataspark.operators.linking import Linker, group_by_piece, piece_of, sorted_items
 
 
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda item: item[name]
+
+
 def nested_observations(linker: Linker) -> DataFrame:
     """One record per observation: attributes, ``gdb_id`` and six arrays.
 
@@ -47,9 +52,7 @@ def nested_observations(linker: Linker) -> DataFrame:
         *[
             F.when(
                 F.col("_g")["_kind"] == kind,
-                F.struct(
-                    block, F.transform("items", lambda i, k=kind: i[k]).alias("rows")
-                ),
+                F.struct(block, F.transform("items", _field(kind)).alias("rows")),
             ).alias(kind)
             for kind in m.ALL_TYPES
         ],

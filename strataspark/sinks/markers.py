@@ -24,9 +24,14 @@ def marker_lines(markers: DataFrame) -> DataFrame:
 
 
 def write_markers(markers: DataFrame, folder: str) -> None:
-    """Markers as Parquet and as GeoJSON lines, both by project."""
-    markers.write.mode("overwrite").partitionBy("PROJECT").parquet(f"{folder}/markers.parquet")
-    marker_lines(markers).write.mode("overwrite").partitionBy("PROJECT").text(
+    """Markers as Parquet and as GeoJSON lines, both by project.
+
+    The lines are made from the written markers, so these are compiled once.
+    """
+    stored = f"{folder}/markers.parquet"
+    markers.write.mode("overwrite").partitionBy("PROJECT").parquet(stored)
+    written = markers.sparkSession.read.schema(markers.schema).parquet(stored)
+    marker_lines(written).write.mode("overwrite").partitionBy("PROJECT").text(
         f"{folder}/markers.geojson"
     )
 

@@ -31,7 +31,7 @@ def parse_rules(texts: DataFrame) -> DataFrame:
     so that empty sections show.  A file is cut at its headers inside its row:
     many files spread, and none needs a shuffle.
     """
-    blocks = F.split("text", r"(?m)(?=^\s*\[)")
+    blocks = F.split("text", r"(?m)(?=^[ \t]*\[)")
     counts = F.transform(blocks, lambda b: F.regexp_count(b, F.lit("\n")))
     numbered = F.transform(
         blocks,

@@ -6,11 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.functions.rules import thumbnail_height
 from strataspark.functions.text import base_name, stem
+from strataspark.session import fits_broadcast
+
+
+# Leading characters by which substrings that can be no id are left out early.
+_PREFIX = 4
 
 
 def match_files(ids: DataFrame, files: DataFrame, id_column: str = "PICTURE_ID") -> DataFrame:
@@ -23,39 +28,59 @@ def match_files(ids: DataFrame, files: DataFrame, id_column: str = "PICTURE_ID")
     Each stem is cut into its distinct substrings of the lengths that ids have,
     so containment becomes equality.  Substrings are counted before they meet
     the ids: one that a large part of all files share is reduced map-side to
-    one row.  An empty id is the empty substring of every stem.
+    one row.  Files are carried as a number and looked up again for single
+    matches, where containment also settles equal numbers.  An empty id is the
+    empty substring of every stem.
     """
     distinct_ids = ids.select(id_column).where(F.col(id_column).isNotNull()).distinct()
-    # A scalar subquery: at most as many lengths as a stem has characters.
-    lengths = (
-        distinct_ids.select(F.length(id_column).alias("n"))
-        .agg(F.collect_set("n").alias("lengths"))
-        .scalar()
-    )
-    pieces = (
+    stems = (
         files.select("path")
         .distinct()
-        .select("path", stem(F.col("path")).alias("_stem"))
-        .withColumn("_length", F.explode(lengths))
-        .where(F.col("_length") <= F.length("_stem"))
-        .select("path", F.explode(_substrings(F.col("_stem"), F.col("_length"))).alias(id_column))
-    )
-    counted = pieces.groupBy(id_column).agg(
-        F.count(F.lit(1)).alias("n_files"), F.min("path").alias("path")
+        .select("path", stem(F.col("path")).alias("_stem"), F.xxhash64("path").alias("_file"))
     )
-    return (
-        distinct_ids.join(counted, id_column)
-        .withColumn("path", F.when(F.col("n_files") == 1, F.col("path")))
-        .select(id_column, "n_files", "path")
+    counted = (
+        _candidates(stems, distinct_ids, id_column)
+        .groupBy(id_column)
+        .agg(F.count(F.lit(1)).alias("n_files"), F.min("_file").alias("_file"))
     )
+    single = F.when(F.col("n_files") == 1, F.col("_file")).alias("_single")
+    matched = distinct_ids.join(counted, id_column).select(id_column, "n_files", single)
+    same = (F.col("_single") == F.col("_file")) & F.col("_stem").contains(F.col(id_column))
+    return matched.join(stems, same, "left").select(id_column, "n_files", "path")
 
 
-def _substrings(text: Column, length: Column) -> Column:
-    """Distinct substrings of one length; the empty one for length zero."""
-    starts = F.when(length == 0, F.array(F.lit(1))).otherwise(
-        F.sequence(F.lit(1), F.length(text) - length + 1)
+def _candidates(stems: DataFrame, distinct_ids: DataFrame, id_column: str) -> DataFrame:
+    """Distinct substrings of each stem that can be an id, with the file.
+
+    When lengths and leading characters of all ids are few enough to broadcast,
+    substrings that begin like no id are dropped where they are cut.
+    """
+    shapes = distinct_ids.select(
+        F.length(id_column).alias("_length"),
+        F.substring(id_column, 1, _PREFIX).alias("_prefix"),
+    ).distinct()
+    # A scalar subquery: at most as many lengths as a stem has characters.
+    lengths = shapes.agg(F.collect_set("_length").alias("lengths")).scalar()
+    length, at = F.col("_length"), F.col("_at")
+    cut = (
+        stems.select("_file", "_stem", F.explode(lengths).alias("_length"))
+        .where(length <= F.length("_stem"))
+        .withColumn(
+            "_at",
+            F.explode(F.sequence(F.lit(1), F.greatest(F.length("_stem") - length + 1, F.lit(1)))),
+        )
+        .where((length > 0) | (at == 1))
+    )
+    if fits_broadcast(shapes):
+        prefix = F.substr(F.col("_stem"), at, F.least(length, F.lit(_PREFIX)))
+        cut = cut.withColumn("_prefix", prefix).join(
+            F.broadcast(shapes), ["_length", "_prefix"], "left_semi"
+        )
+    text = F.substr(F.col("_stem"), at, length)
+    # The first occurrence in a stem stands for all of them.
+    return cut.select("_file", "_stem", "_at", text.alias(id_column)).where(
+        (F.expr(f"instr(_stem, `{id_column}`)") == at) | (F.col(id_column) == "")
     )
-    return F.array_distinct(F.transform(starts, lambda at: F.substr(text, at, length)))
 
 
 def link_files(images: DataFrame, files: DataFrame, id_column: str = "PICTURE_ID") -> DataFrame:

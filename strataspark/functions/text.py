@@ -29,13 +29,22 @@ def strip_quotes(text: Column) -> Column:
     return F.translate(text, "\"'", "")
 
 
+# The non-printing part of Latin-1, and its short escapes.
+_CONTROLS = r"[\x00-\x1f\x7f-\xa0\xad]"
+_SHORT_ESCAPES = (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
+
+
 def _escape_controls(text: Column) -> Column:
     """Backslash escapes for the non-printing part of Latin-1."""
-    short = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}
-    codes = [*range(0x20), *range(0x7F, 0xA1), 0xAD]
-    pairs = [(chr(c), short.get(chr(c), f"\\x{c:02x}")) for c in codes]
-    escaped = reduce(lambda col, p: F.replace(col, F.lit(p[0]), F.lit(p[1])), pairs, text)
-    return F.when(text.rlike(r"[\x00-\x1f\x7f-\xa0\xad]"), escaped).otherwise(text)
+    for char, escape in _SHORT_ESCAPES:
+        text = F.replace(text, F.lit(char), F.lit(escape))
+
+    def escaped(char: Column) -> Column:
+        code = F.lpad(F.lower(F.hex(F.ascii(char))), 2, "0")
+        return F.when(char.rlike(_CONTROLS), F.concat(F.lit("\\x"), code)).otherwise(char)
+
+    spelled = F.array_join(F.transform(F.split(text, ""), escaped), "")
+    return F.when(text.rlike(_CONTROLS), spelled).otherwise(text)
 
 
 def quoted_literal(text: Column) -> Column:
@@ -57,25 +66,26 @@ def quoted_literal(text: Column) -> Column:
     )
 
 
-def escape_html(text: Column) -> Column:
-    """Escape the characters that would end text or an attribute."""
-    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        text = F.replace(text, F.lit(char), F.lit(entity))
-    return text
+# Characters that would end text or an attribute.
+HTML_ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
+
+
+def escaped_sql(value: str) -> str:
+    """SQL: a text with HTML's special characters escaped."""
+    return reduce(lambda sql, e: f"replace({sql}, '{e[0]}', '{e[1]}')", HTML_ENTITIES, value)
 
 
-def cell_text(value: Column, is_double: bool) -> Column:
-    """A table cell: whole numbers without decimals, NULL as empty."""
+def cell_sql(name: str, is_double: bool) -> str:
+    """SQL: a table cell; whole numbers without decimals, NULL as empty."""
     if is_double:
-        whole = F.when(value == F.floor(value), value.cast("long").cast("string"))
-        return F.coalesce(whole, value.cast("string"), F.lit(""))
-    return F.coalesce(escape_html(value.cast("string")), F.lit(""))
+        whole = f"if({name} = floor({name}), cast(cast({name} as bigint) as string), null)"
+        return f"coalesce({whole}, cast({name} as string), '')"
+    return f"coalesce({escaped_sql(f'cast({name} as string)')}, '')"
 
 
-def html_row(cells: list[Column], tag: str = "td") -> Column:
-    """One table row."""
-    parts = [F.concat(F.lit(f"<{tag}>"), cell, F.lit(f"</{tag}>")) for cell in cells]
-    return F.concat(F.lit("<tr>"), *parts, F.lit("</tr>"))
+def row_sql(cells: list[str]) -> str:
+    """SQL: one HTML table row."""
+    return "concat('<tr>', " + ", ".join(f"'<td>', {c}, '</td>'" for c in cells) + ", '</tr>')"
 
 
 # Outcomes of linking a stylesheet into a page.

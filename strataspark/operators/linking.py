@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from strataspark import model as m
 from strataspark.functions.text import quoted_literal
-from strataspark.session import fits_broadcast
+from strataspark.session import broadcast_if_small, fits_broadcast
 
 # An exceptions map up to this size is a literal in the plan, beyond it a join.
 _LITERAL_ENTRIES = 256
@@ -146,13 +146,15 @@ class Linker:
     """Links the children of one model to one set of observations.
 
     ``observations`` come from :func:`~.selection.observation_keys`.  ``small``
-    says that their measured size allows a broadcast.
+    says that their measured size allows a broadcast.  ``resolved`` may hold
+    :meth:`tectonic_ids` already computed.
     """
 
     model: m.FieldModel
     observations: DataFrame
     exceptions: Mapping[str, str | None]
     small: bool
+    resolved: DataFrame | None = None
 
     @classmethod
     def over(
@@ -171,6 +173,10 @@ class Linker:
     def _hint(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.small else df
 
+    def _measured_hint(self, df: DataFrame) -> DataFrame:
+        """For sides that may outgrow the observations they came from."""
+        return broadcast_if_small(df) if self.small else df
+
     def _keyed(self, source: str, to: str, remapped: bool) -> DataFrame:
         exceptions = self.exceptions if remapped else {}
         return remap_key(self.observations, source, exceptions, to)
@@ -183,6 +189,8 @@ class Linker:
 
     def tectonic_ids(self) -> DataFrame:
         """Observations that resolve to a tectonic id, with it as ``GDB_ID``."""
+        if self.resolved is not None:
+            return self.resolved
         linked = self._children(self.model.tectonics, "OBSID", remapped=True)
         return resolve_tectonic(linked, self._attributes).where(F.col("GDB_ID").isNotNull())
 
@@ -226,7 +234,7 @@ class Linker:
     def rocks(self) -> DataFrame:
         """Rock observations with their textures as tuple text in ``ST_2``."""
         rows = self._rock_rows()
-        wanted = rows.select(m.SRC, "ROP_GID").distinct()
+        wanted = self._measured_hint(rows.select(m.SRC, "ROP_GID").distinct())
         textures = self.model.textures.join(wanted, [m.SRC, "ROP_GID"], "left_semi")
         tuples = texture_tuples(textures)
         return self._distinct(rows.join(tuples, [m.SRC, "ROP_GID"], "left"), m.ROCKS)
@@ -236,7 +244,7 @@ class Linker:
         rows = self._rock_rows().select(
             *self._attributes, "ROP_GID", F.col(m.RID).alias("_rock_rid")
         )
-        linked = self.model.textures.join(rows, [m.SRC, "ROP_GID"])
+        linked = self.model.textures.join(self._measured_hint(rows), [m.SRC, "ROP_GID"])
         order = F.struct("_rock_rid", m.RID)
         return (
             self._distinct(linked, m.TEXTURES, order)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataspark import model as m
-from strataspark.functions.text import cell_text, escape_html, html_row, shorten_folder
+from strataspark.functions.text import cell_sql, escaped_sql, row_sql, shorten_folder
 from strataspark.operators.images import link_files
 from strataspark.operators.linking import Linker, group_by_piece, piece_of, sorted_items
 
@@ -99,11 +99,8 @@ def popup_columns(kind: str) -> list[str]:
 
 def table_rows(df: DataFrame, kind: str) -> Column:
     """One HTML table row per child row."""
-    cells = [
-        cell_text(F.col(c), df.schema[c].dataType.typeName() == "double")
-        for c in popup_columns(kind)
-    ]
-    return html_row(cells)
+    doubles = {f.name for f in df.schema.fields if f.dataType.typeName() == "double"}
+    return F.expr(row_sql([cell_sql(c, c in doubles) for c in popup_columns(kind)]))
 
 
 def table_open(kind: str, label: str) -> str:
@@ -141,17 +138,13 @@ def _image_rows(linker: Linker, files: DataFrame | None) -> DataFrame:
     """Images rendered both shown and linked."""
     rows = linker.images()
     if files is None:
-        rows = rows.withColumns({"n_files": F.lit(0), "path": F.lit(None).cast("string")})
+        rows = rows.selectExpr("*", "0 as n_files", "cast(null as string) as path")
     else:
         rows = link_files(rows, files)
-    path = escape_html(F.col("path"))
-    caption = escape_html(F.col("REMARKS"))
-    label = F.concat(escape_html(F.col("PICTURE_ID")), F.lit(": "), caption)
-    opened = F.concat(F.lit('<a href="'), path, F.lit('">'))
-    shown = F.concat(
-        opened, F.lit('<img alt="'), caption, F.lit('" src="'), path, F.lit('"/></a>\n')
-    )
-    found = (F.col("n_files") == 1) & F.col("REMARKS").isNotNull()
+    path, caption, picture = (escaped_sql(c) for c in ("path", "REMARKS", "PICTURE_ID"))
+    opened = f"""'<a href="', {path}, '">'"""
+    shown = f"""concat({opened}, '<img alt="', {caption}, '" src="', {path}, '"/></a>\n')"""
+    linked = f"concat('\n', {opened}, {picture}, ': ', {caption}, '</a>')"
     return rows.select(
         m.SRC,
         m.OBS_RID,
@@ -159,9 +152,9 @@ def _image_rows(linker: Linker, files: DataFrame | None) -> DataFrame:
         piece_of([m.RID]).alias("_block"),
         F.col(m.RID).alias("k1"),
         F.lit(0).cast("long").alias("k2"),
-        F.coalesce(shown, F.lit("")).alias("html"),
-        F.coalesce(F.concat(F.lit("\n"), opened, label, F.lit("</a>")), F.lit("")).alias("link"),
-        found.alias("found"),
+        F.expr(f"coalesce({shown}, '')").alias("html"),
+        F.expr(f"coalesce({linked}, '')").alias("link"),
+        F.expr("n_files = 1 and REMARKS is not null").alias("found"),
         F.lit(None).cast("double").alias("DIRECTION"),
     )
 
@@ -204,46 +197,38 @@ def _popup_pieces(rows: DataFrame) -> DataFrame:
     )
 
 
-def _of_section(number: int) -> Column:
-    return F.filter("pieces", lambda p: p["section"] == number)
-
+def _of_section(number: int) -> str:
+    return f"filter(pieces, p -> p.section = {number})"
 
-def _image_block(pieces: Column, files_known: bool) -> Column:
-    """The images of an observation; one unmatched image discards them all."""
-    if not files_known:
-        return F.lit("\n")
-    start = F.struct(F.lit(0).alias("n"), F.lit("\n").alias("text"))
 
-    def add(acc: Column, piece: Column) -> Column:
-        shown = F.least(
-            F.greatest(F.lit(0), F.lit(SHOWN_IMAGES) - acc["n"]), F.size(piece["links"])
-        )
-        linked = F.slice(piece["links"], shown + 1, F.size(piece["links"]))
-        text = F.concat(
-            acc["text"],
-            F.array_join(F.slice(piece["shown"], F.lit(1), shown), ""),
-            F.array_join(linked, ""),
-        )
-        return F.struct((acc["n"] + F.size(piece["links"])).alias("n"), text.alias("text"))
+def _image_block_sql(files_known: bool) -> str:
+    """SQL: the images of an observation; one unmatched image discards all.
 
-    all_found = F.forall(pieces, lambda p: p["found"])
-    return F.when(all_found, F.aggregate(pieces, start, add)["text"]).otherwise(F.lit("\n"))
+    Folds over the pieces: what is still to be shown of a piece, then links.
+    """
+    if not files_known:
+        return "'\n'"
+    left = f"greatest(0, {SHOWN_IMAGES} - acc.n)"
+    shown = f"array_join(slice(p.shown, 1, {left}), '')"
+    linked = f"array_join(slice(p.links, least({left}, size(p.links)) + 1, size(p.links)), '')"
+    step = f"named_struct('n', acc.n + size(p.links), 'text', concat(acc.text, {shown}, {linked}))"
+    images = _of_section(IMAGE_SECTION)
+    fold = f"aggregate({images}, named_struct('n', 0, 'text', '\n'), (acc, p) -> {step}).text"
+    return f"if(forall({images}, p -> p.found), {fold}, '\n')"
 
 
 def popup_html(files_known: bool) -> Column:
     """The popup document, from ``OBSID``, ``OBS_REMARKS`` and ``pieces``."""
-    parts = [F.concat(F.lit("<h3>"), escape_html(F.col("OBSID")), F.lit("</h3>\n"))]
+    parts = ["'<h3>'", escaped_sql("OBSID"), "'</h3>\n'"]
     for number, (kind, label) in enumerate(SECTIONS, start=1):
-        pieces = _of_section(number)
-        rows = F.array_join(F.transform(pieces, lambda p: p["text"]), "")
-        table = F.concat(F.lit(table_open(kind, label)), rows, F.lit("</table>\n"))
-        parts.append(F.when(F.size(pieces) > 0, table).otherwise(F.lit("")))
-    remarks = F.coalesce(escape_html(F.col("OBS_REMARKS")), F.lit(""))
-    parts += [F.lit("<h4>Observation remarks</h4>\n<p>"), remarks, F.lit("</p>\n")]
-    images = _of_section(IMAGE_SECTION)
-    block = F.concat(F.lit("<h4>Images</h4>\n"), _image_block(images, files_known))
-    parts.append(F.when(F.size(images) > 0, block).otherwise(F.lit("\n")))
-    return F.replace(F.concat(*parts), F.lit("src="), F.lit("height=150 src="))
+        rows = f"array_join(transform({_of_section(number)}, p -> p.text), '')"
+        table = f"concat('{table_open(kind, label)}', {rows}, '</table>\n')"
+        parts.append(f"if(exists(pieces, p -> p.section = {number}), {table}, '')")
+    remarks = f"coalesce({escaped_sql('OBS_REMARKS')}, '')"
+    parts += ["'<h4>Observation remarks</h4>\n<p>'", remarks, "'</p>\n'"]
+    block = f"concat('<h4>Images</h4>\n', {_image_block_sql(files_known)})"
+    parts.append(f"if(exists(pieces, p -> p.section = {IMAGE_SECTION}), {block}, '\n')")
+    return F.expr(f"replace(concat({', '.join(parts)}), 'src=', 'height=150 src=')")
 
 
 def icon_columns() -> dict[str, Column]:

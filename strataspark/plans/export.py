@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from dataclasses import replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -42,17 +43,30 @@ def compiled_types(
 ) -> Iterator[dict[str, DataFrame]]:
     """As :func:`compile_types`, selecting observations once for all types.
 
-    The selection is kept for the length of the block.  No selected observation
-    gives an empty dict, as there is then nothing to compile.
+    No selected observation gives an empty dict, as there is then nothing to
+    compile.
     """
-    selected = gather_observations(model, rules).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if selected.isEmpty():
+    with kept_linker(model, rules, gather_observations(model, rules)) as linker:
+        if linker.observations.isEmpty():
             yield {}
-            return
-        linker = Linker.over(model, selected, rules.exceptions)
-        yield {kind: type_points(linker, kind, rules.declination) for kind in types}
+        else:
+            yield {kind: type_points(linker, kind, rules.declination) for kind in types}
+
+
+@contextmanager
+def kept_linker(model: m.FieldModel, rules: MapRules, selected: DataFrame) -> Iterator[Linker]:
+    """A linker whose observations and tectonic ids are computed once.
+
+    Both are kept for the length of the block; a lost executor only means that
+    its part is computed again.
+    """
+    selected = selected.persist(StorageLevel.MEMORY_AND_DISK)
+    linker = Linker.over(model, selected, rules.exceptions)
+    resolved = linker.tectonic_ids().persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield replace(linker, resolved=resolved)
     finally:
+        resolved.unpersist()
         selected.unpersist()
 
 

@@ -11,7 +11,7 @@ from strataspark import model as m
 from strataspark.operators.layers import styled_features, to_geographic
 from strataspark.operators.linking import Linker
 from strataspark.operators.markers import first_per_id, known_centre, markers
-from strataspark.plans.export import gather_observations
+from strataspark.plans.export import gather_observations, kept_linker
 from strataspark.plans.rules import MapRules
 
 
@@ -52,14 +52,15 @@ def compile_webmap(
     layers: tuple[DataFrame, DataFrame] | None = None,
 ) -> MapData:
     """Compile and write markers and layers; no observation raises."""
-    from strataspark.sinks.markers import write_layers, write_markers
+    from strataspark.sinks.markers import read_markers, write_layers, write_markers
 
     merged = rules.with_projects(list(projects))
-    at = known_centre(gather_observations(model, merged))
-    compiled = compile_markers(model, merged, files, image_folder)
-    write_markers(compiled, folder)
+    selected = gather_observations(model, merged)
+    at = known_centre(selected)
+    with kept_linker(model, merged, first_per_id(selected)) as linker:
+        write_markers(markers(linker, files, merged.rechecks, image_folder), folder)
     styled = None
     if layers is not None:
         styled = compile_layers(*layers)
         write_layers(styled, folder)
-    return MapData(at, compiled, styled)
+    return MapData(at, read_markers(spark, folder), styled)

@@ -14,8 +14,8 @@ PROJECTS = "('1-URGENT','2-HIGH')"
 # The field tables over orders and line items.
 BASE = """
 f_li as (
-  select *, l_orderkey*1000 + row_number() over (partition by l_orderkey
-           order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as rid,
+  select *, (l_orderkey*10 + l_linenumber)*1000000 + (l_partkey*7919 + l_suppkey*104729
+           + cast(round(l_extendedprice*100) as bigint)*31) % 1000000 as rid,
          'db'||cast(cast(floor(l_orderkey/5) as bigint)%3 as varchar) as src,
          'TM-'||cast(l_orderkey as varchar)||case when l_linenumber>=6 then '-2' else '-1' end as tmg,
          'OB-'||cast(l_orderkey as varchar) as obk
@@ -230,7 +230,10 @@ SQL["flt7_empty_types"] = _linked(
 
 _XY = "select src, orid as rid, round(x,3) as x, round(y,3) as y from placed"
 SQL["geo1_export_system"] = f"with {BASE}, {_projected('obs', 'placed')} {_XY}"
-SQL["geo1_utm_zone"] = f"with {BASE}, {_projected('obs', 'placed', 298.257223563)} {_XY}"
+SQL["geo1_utm_zone"] = (
+    f"with {BASE}, {_projected('obs', 'placed', 298.257223563)} "
+    "select src, orid as rid, round(x,2) as x, round(y,2) as y from placed"
+)
 SQL["geo1_web_mercator"] = _base(
     """select src, orid as rid, round(6378137e0*radians(LON),3) as x,
     round(6378137e0*ln(tan(pi()/4+radians(LAT)/2)),3) as y from obs"""

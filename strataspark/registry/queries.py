@@ -156,8 +156,9 @@ def geo1_export_system(spark, sf_dir):
 
 @query
 def geo1_utm_zone(spark, sf_dir):
-    """GEO-1: EPSG:4326 to UTM zone 35 north."""
-    return _metres(_named(geo.with_projected(sd.observations(spark, sf_dir), UTM_EPSG), "x", "y"))
+    """GEO-1: EPSG:4326 to UTM zone 35 north, to the centimetre."""
+    placed = geo.with_projected(sd.observations(spark, sf_dir), UTM_EPSG)
+    return _named(placed, F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspark.operators.layers import geojson_lines
@@ -23,6 +23,17 @@ def marker_lines(markers: DataFrame) -> DataFrame:
     )
 
 
+MARKER_SCHEMA = (
+    "OBSID string, PROJECT string, LAT double, LON double, tooltip string, icon string, "
+    "color string, angle double, popup string"
+)
+
+
+def read_markers(spark: SparkSession, folder: str) -> DataFrame:
+    """Markers written by :func:`write_markers`."""
+    return spark.read.schema(MARKER_SCHEMA).parquet(f"{folder}/markers.parquet")
+
+
 def write_markers(markers: DataFrame, folder: str) -> None:
     """Markers as Parquet and as GeoJSON lines, both by project.
 
@@ -30,7 +41,7 @@ def write_markers(markers: DataFrame, folder: str) -> None:
     """
     stored = f"{folder}/markers.parquet"
     markers.write.mode("overwrite").partitionBy("PROJECT").parquet(stored)
-    written = markers.sparkSession.read.schema(markers.schema).parquet(stored)
+    written = read_markers(markers.sparkSession, folder)
     marker_lines(written).write.mode("overwrite").partitionBy("PROJECT").text(
         f"{folder}/markers.geojson"
     )

@@ -33,8 +33,12 @@ def match_files(ids: DataFrame, files: DataFrame, id_column: str = "PICTURE_ID")
     empty substring of every stem.
     """
     distinct_ids = ids.select(id_column).where(F.col(id_column).isNotNull()).distinct()
+    # Cutting multiplies rows, so partitions stay as many as a shuffle's even
+    # where the paths themselves would fit in fewer.
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stems = (
         files.select("path")
+        .repartition(parts, "path")
         .distinct()
         .select("path", stem(F.col("path")).alias("_stem"), F.xxhash64("path").alias("_file"))
     )

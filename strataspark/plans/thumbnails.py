@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspark.functions.text import base_name
-from strataspark.operators.images import RESIZE, resample, resize_manifest
+from strataspark.operators.images import missing_targets, resample, resize_manifest
+from strataspark.session import broadcast_if_small
 from strataspark.sources.images import read_images
 
 
@@ -23,13 +24,18 @@ def resize_images(
 
     ``done`` lists (as ``path``) the images that exist at the destination.
     Pixels are appended to Parquet at ``destination``, or replace it with
-    ``overwrite``.
+    ``overwrite``.  Images are decoded once for this; while the names that
+    exist are few enough to broadcast, pixels are never shuffled.
     """
     images = read_images(spark, origin, extension)
-    sizes = images.select("path", "width", "height")
-    manifest = resize_manifest(sizes, done, fixed_width, extension, overwrite)
-    wanted = manifest.where(F.col("status") == RESIZE).select("path")
-    pixels = resample(images.join(wanted, "path", "left_semi"), fixed_width)
+    manifest = resize_manifest(
+        images.select("path", "width", "height"), done, fixed_width, extension, overwrite
+    )
+    if overwrite:
+        todo = images.withColumn("name", base_name(F.col("path")))
+    else:
+        todo = missing_targets(images, broadcast_if_small(done.select("path")))
+    pixels = resample(todo, fixed_width)
     mode = "overwrite" if overwrite else "append"
     pixels.withColumn("name", base_name(F.col("path"))).write.mode(mode).parquet(destination)
     return manifest

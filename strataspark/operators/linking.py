@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from strataspark import model as m
 from strataspark.functions.text import quoted_literal
+from strataspark.operators.validation import require_tables
 from strataspark.session import broadcast_if_small, fits_broadcast
 
 # An exceptions map up to this size is a literal in the plan, beyond it a join.
@@ -164,6 +165,7 @@ class Linker:
         exceptions: Mapping[str, str | None] | None = None,
     ) -> Linker:
         """Measure the observations, then link with the matching strategy."""
+        require_tables(model)
         return cls(model, observations, exceptions or {}, fits_broadcast(observations))
 
     @property
@@ -227,6 +229,16 @@ class Linker:
         """Samples taken at each observation."""
         return self._distinct(self._children(self.model.samples, "OBSID", True), m.SAMPLES)
 
+    def required_rows(self, with_images: bool) -> dict[str, DataFrame]:
+        """The rows of this run that must hold certain values, by table."""
+        own = self.observations.select(
+            m.SRC, F.col(m.OBS_RID).alias(m.RID), "OBSID", F.col("OBS_REMARKS").alias("REMARKS"), "PROJECT"
+        )
+        found = {m.OBSERVATION: own, m.ROCK: self._children(self.model.rocks, "OBSID", False)}
+        if with_images:
+            found[m.IMAGE] = self._children(self.model.images, "OBSID", False)
+        return found
+
     def _rock_rows(self) -> DataFrame:
         rows = self._children(self.model.rocks, "OBSID", False)
         return remap_key(rows, "GDB_ID", self.exceptions, "ROP_GID").drop("_key")

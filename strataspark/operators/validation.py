@@ -18,6 +18,13 @@ REQUIRED_VALUES: dict[str, tuple[str, ...]] = {
     m.ROCK: ("GDB_ID",),
 }
 
+# What stops a run: an unknown place does not, it only has no point.
+RUN_REQUIREMENTS: dict[str, tuple[str, ...]] = {
+    m.OBSERVATION: ("OBSID", "REMARKS", "PROJECT"),
+    m.ROCK: ("GDB_ID",),
+    m.IMAGE: ("PICTURE_ID", "REMARKS"),
+}
+
 VIOLATION_COLUMNS = ("table_name", "column_name", m.SRC, m.RID, "reason")
 
 
@@ -43,13 +50,23 @@ def require_columns(
         raise ValueError("missing columns: " + ", ".join(f"{n}.{c}" for n, c in absent))
 
 
-def violations(tables: Mapping[str, DataFrame]) -> DataFrame:
+def require_tables(model: m.FieldModel) -> None:
+    """Raise once, naming every column that a model's tables lack."""
+    identity = (m.SRC, m.RID)
+    require_columns(
+        dict(model.items()), {t: (*identity, *c) for t, c in m.TABLE_COLUMNS.items()}
+    )
+
+
+def violations(
+    tables: Mapping[str, DataFrame], required: Mapping[str, Iterable[str]] = REQUIRED_VALUES
+) -> DataFrame:
     """Rows that break the value contract: ``table, column, _src, _rid, reason``.
 
     Each table is read once: a row's broken columns come out of one array.
     """
     parts = []
-    for table, columns in REQUIRED_VALUES.items():
+    for table, columns in required.items():
         if table not in tables:
             continue
         df = tables[table]
@@ -73,31 +90,33 @@ class ContractError(ValueError):
     """The data breaks the value contract."""
 
 
-def enforce_contract(model: m.FieldModel, mode: str = "fail", selected: DataFrame | None = None):
-    """Apply the value contract.
+def raise_violations(found: DataFrame) -> None:
+    """Raise on the first violation; stops looking once it has one."""
+    first = found.first()
+    if first is not None:
+        where = f"{first['table_name']}.{first['column_name']}"
+        raise ContractError(f"{where} {first['reason']} in {first[m.SRC]}, row {first[m.RID]}")
+
+
+def enforce_contract(model: m.FieldModel, mode: str = "fail") -> tuple[m.FieldModel, DataFrame]:
+    """Apply the value contract to all rows of a model.
 
     ``fail`` raises on the first violation.  ``quarantine`` returns the model
-    without the violating rows, and the violations.  ``selected`` limits the
-    check to the observations of a run.
+    without the violating rows, and the violations.
     """
-    observations = model.observations if selected is None else selected
-    checked = model.with_observations(observations)
-    found = violations(dict(checked.items()))
+    found = violations(dict(model.items()))
     if mode == "fail":
-        first = found.first()
-        if first is not None:
-            raise ContractError(f"{first['table_name']}.{first['column_name']}: {first}")
-        return checked, found
+        raise_violations(found)
+        return model, found
     if mode != "quarantine":
         raise ValueError(f"unknown mode {mode!r}")
-    kept = {name: _complete(name, df) for name, df in checked.items()}
+    kept = {name: complete_rows(df, REQUIRED_VALUES.get(name, ())) for name, df in model.items()}
     return m.FieldModel.from_tables(kept), found
 
 
-def _complete(table: str, df: DataFrame) -> DataFrame:
-    for column in REQUIRED_VALUES.get(table, ()):
-        df = df.where(F.col(column).isNotNull())
-    return df
+def complete_rows(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Rows with a value in each of the columns."""
+    return df.dropna(subset=list(columns)) if columns else df
 
 
 def widen_coordinates(observations: DataFrame) -> DataFrame:

@@ -16,6 +16,12 @@ from strataspark.operators.selection import (
     observation_keys,
     with_coordinates,
 )
+from strataspark.operators.validation import (
+    RUN_REQUIREMENTS,
+    complete_rows,
+    raise_violations,
+    violations,
+)
 from strataspark.plans.rules import MapRules
 
 
@@ -39,7 +45,10 @@ def compile_types(
 
 @contextmanager
 def compiled_types(
-    model: m.FieldModel, rules: MapRules, types: Iterable[str] = m.ALL_TYPES
+    model: m.FieldModel,
+    rules: MapRules,
+    types: Iterable[str] = m.ALL_TYPES,
+    check: bool = True,
 ) -> Iterator[dict[str, DataFrame]]:
     """As :func:`compile_types`, selecting observations once for all types.
 
@@ -50,9 +59,23 @@ def compiled_types(
         if linker.observations.isEmpty():
             yield {}
         else:
+            if check:
+                check_run(linker)
             yield {kind: type_points(linker, kind, rules.declination) for kind in types}
 
 
+def check_run(linker: Linker, with_images: bool = False) -> None:
+    """Raise when a row of this run lacks a value it cannot do without."""
+    raise_violations(violations(linker.required_rows(with_images), RUN_REQUIREMENTS))
+
+
+def complete_model(model: m.FieldModel) -> m.FieldModel:
+    """The model without rows that would stop a run."""
+    return m.FieldModel.from_tables(
+        {name: complete_rows(df, RUN_REQUIREMENTS.get(name, ())) for name, df in model.items()}
+    )
+
+
 @contextmanager
 def kept_linker(model: m.FieldModel, rules: MapRules, selected: DataFrame) -> Iterator[Linker]:
     """A linker whose observations and tectonic ids are computed once.
@@ -77,9 +100,23 @@ def export_observations(
     folder: str,
     projects: Iterable[str] = (),
     types: Iterable[str] = m.ALL_TYPES,
+    contract: str = "fail",
 ) -> dict[str, dict[str, int]]:
-    """Compile and write all types; returns row counts of each type."""
+    """Compile and write all types; returns row counts of each type.
+
+    A selected row without a value it must have stops the run, or is left out
+    under ``contract="quarantine"``.
+    """
     from strataspark.sinks.points import write_types
 
-    with compiled_types(model, rules.with_projects(list(projects)), types) as datasets:
+    merged = rules.with_projects(list(projects))
+    checked = under_contract(model, contract)
+    with compiled_types(checked, merged, types, contract == "fail") as datasets:
         return write_types(spark, datasets, folder)
+
+
+def under_contract(model: m.FieldModel, contract: str) -> m.FieldModel:
+    """The model as a run under ``contract`` sees it."""
+    if contract not in ("fail", "quarantine"):
+        raise ValueError(f"unknown contract {contract!r}")
+    return model if contract == "fail" else complete_model(model)

@@ -11,7 +11,12 @@ from strataspark import model as m
 from strataspark.operators.layers import styled_features, to_geographic
 from strataspark.operators.linking import Linker
 from strataspark.operators.markers import first_per_id, known_centre, markers
-from strataspark.plans.export import gather_observations, kept_linker
+from strataspark.plans.export import (
+    check_run,
+    gather_observations,
+    kept_linker,
+    under_contract,
+)
 from strataspark.plans.rules import MapRules
 
 
@@ -50,14 +55,22 @@ def compile_webmap(
     files: DataFrame | None = None,
     image_folder: str | None = None,
     layers: tuple[DataFrame, DataFrame] | None = None,
+    contract: str = "fail",
 ) -> MapData:
-    """Compile and write markers and layers; no observation raises."""
+    """Compile and write markers and layers; no observation raises.
+
+    ``contract`` is as for :func:`~.export.export_observations`, and covers
+    pictures' ids and captions when there are files to match.
+    """
     from strataspark.sinks.markers import read_markers, write_layers, write_markers
 
     merged = rules.with_projects(list(projects))
-    selected = gather_observations(model, merged)
+    checked = under_contract(model, contract)
+    selected = gather_observations(checked, merged)
     at = known_centre(selected)
-    with kept_linker(model, merged, first_per_id(selected)) as linker:
+    with kept_linker(checked, merged, first_per_id(selected)) as linker:
+        if contract == "fail":
+            check_run(linker, with_images=files is not None)
         write_markers(markers(linker, files, merged.rechecks, image_folder), folder)
     styled = None
     if layers is not None:

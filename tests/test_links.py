@@ -176,17 +176,55 @@ def test_missing_columns_are_all_named(spark):
 
 
 def test_contract(spark, model):
-    selected = selection.in_projects(model.observations, ["P "])
-    checked, found = validation.enforce_contract(model, "fail", selected)
-    assert found.count() == 0
-    with pytest.raises(validation.ContractError, match="PROJECT"):
+    with pytest.raises(validation.ContractError, match="PROJECT missing in a, row 7"):
         validation.enforce_contract(model)
     kept, found = validation.enforce_contract(model, "quarantine")
     assert found.count() == 1 and kept.observations.count() == 7
+    assert validation.enforce_contract(kept)[1].count() == 0
     whole = spark.createDataFrame([(1, 2)], "LAT int, LON long")
     assert validation.widen_coordinates(whole).dtypes == [("LAT", "double"), ("LON", "double")]
 
 
+def test_contract_of_a_run(spark, tmp_path):
+    bad = make_model(
+        spark,
+        observations=[
+            ("a", 1, "O1", None, 27.0, "r", "P"),
+            ("a", 2, "O2", 60.0, 27.0, None, "other"),
+        ],
+        rocks=[("a", 1, "O1", None, "r", "f", "n"), ("a", 2, "O1", "R", "r", "f", "n")],
+    )
+    rules = MapRules(projects=("P",))
+    with pytest.raises(validation.ContractError, match="Rock_observation_point.GDB_ID"):
+        export.export_observations(spark, bad, rules, str(tmp_path / "x"))
+    report = export.export_observations(spark, bad, rules, str(tmp_path / "y"), contract="quarantine")
+    assert report[m.ROCKS] == {"rows_in": 1, "rows_out": 1}
+    with pytest.raises(validation.ContractError, match="Observation.REMARKS"):
+        export.export_observations(spark, bad, rules, str(tmp_path / "z"), ["other"], [m.SAMPLES])
+    with pytest.raises(ValueError, match="unknown contract"):
+        export.export_observations(spark, bad, rules, str(tmp_path / "z"), contract="maybe")
+
+
+def test_web_map_run(spark, model, tmp_path):
+    files = spark.createDataFrame([(f"/data/{f}",) for f in FILES], "path string")
+    made = webmap.compile_webmap(spark, model, RULES, str(tmp_path), files=files, image_folder="/data/imgs")
+    assert made.centre == (62.5, 27.0) and made.layers is None
+    assert made.markers.count() == 4
+    lines = spark.read.text(str(tmp_path / "markers.geojson"))
+    assert lines.count() == 4 and all('"type":"Point"' in r["value"] for r in lines.collect())
+    nobody = MapRules(projects=("nobody",))
+    with pytest.raises(ValueError, match="centre"):
+        webmap.compile_webmap(spark, model, nobody, str(tmp_path))
+
+
+def test_models_need_all_columns(model):
+    from dataclasses import replace
+
+    broken = replace(model, planars=model.planars.drop("DIP", "H_SENCE"))
+    with pytest.raises(ValueError, match="BFDS_Planar_structure.DIP, BFDS_Planar_structure.H_SENCE"):
+        export.compile_types(broken, RULES)
+
+
 def test_nan_becomes_null(spark):
     df = m.nan_to_null(spark.createDataFrame([(math.nan, "x"), (1.0, "y")], "DIP double, OBSID string"))
     assert [r[0] for r in df.collect()] == [None, 1.0]

@@ -88,7 +88,7 @@ def main() -> None:
 
     def export_all() -> None:
         with export.compiled_types(model, rules) as compiled:
-            write_types(spark, compiled, f"{work}/export", ["csv", "parquet"])
+            write_types(compiled, f"{work}/export", ["csv", "parquet"])
 
     timed("export_all_types", export_all)
     spark.stop()

@@ -18,8 +18,11 @@ DECLINATION_LIMITS = (-360.0, 360.0)
 
 
 def in_range(value: Column, low: float, high: float) -> Column:
-    """True when ``low <= value <= high``; NULL and NaN are out."""
-    return F.coalesce(value.between(low, high), F.lit(False))
+    """True when ``low <= value <= high``; NULL and NaN are out.
+
+    Spelled as a conjunction, which a filter can push into the scan.
+    """
+    return value.isNotNull() & value.between(low, high)
 
 
 def valid_dip(value: Column) -> Column:

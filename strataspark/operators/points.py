@@ -71,7 +71,7 @@ def _usable(df: DataFrame, rules: Mapping[str, Rule]) -> dict[str, Column]:
     usable = {}
     for name, rule in rules.items():
         try:
-            usable[name] = F.coalesce(column_rule(df, name, rule), F.lit(False))
+            usable[name] = column_rule(df, name, rule)
         except Exception:
             log.exception("rule on column %s skipped; columns are %s", name, df.columns)
     return usable

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 from dataclasses import replace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from strataspark import model as m
 from strataspark.operators.linking import Linker
@@ -23,6 +23,7 @@ from strataspark.operators.validation import (
     violations,
 )
 from strataspark.plans.rules import MapRules
+from strataspark.sinks.points import write_types
 
 
 def gather_observations(model: m.FieldModel, rules: MapRules) -> DataFrame:
@@ -83,18 +84,16 @@ def kept_linker(model: m.FieldModel, rules: MapRules, selected: DataFrame) -> It
     Both are kept for the length of the block; a lost executor only means that
     its part is computed again.
     """
-    selected = selected.persist(StorageLevel.MEMORY_AND_DISK)
-    linker = Linker.over(model, selected, rules.exceptions)
-    resolved = linker.tectonic_ids().persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with ExitStack() as kept:
+        selected = selected.persist(StorageLevel.MEMORY_AND_DISK)
+        kept.callback(selected.unpersist)
+        linker = Linker.over(model, selected, rules.exceptions)
+        resolved = linker.tectonic_ids().persist(StorageLevel.MEMORY_AND_DISK)
+        kept.callback(resolved.unpersist)
         yield replace(linker, resolved=resolved)
-    finally:
-        resolved.unpersist()
-        selected.unpersist()
 
 
 def export_observations(
-    spark: SparkSession,
     model: m.FieldModel,
     rules: MapRules,
     folder: str,
@@ -107,12 +106,10 @@ def export_observations(
     A selected row without a value it must have stops the run, or is left out
     under ``contract="quarantine"``.
     """
-    from strataspark.sinks.points import write_types
-
     merged = rules.with_projects(list(projects))
     checked = under_contract(model, contract)
     with compiled_types(checked, merged, types, contract == "fail") as datasets:
-        return write_types(spark, datasets, folder)
+        return write_types(datasets, folder)
 
 
 def under_contract(model: m.FieldModel, contract: str) -> m.FieldModel:

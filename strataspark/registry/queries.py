@@ -778,7 +778,7 @@ def snk1_csv_linears(spark, sf_dir):
     """SNK-1: linear structures written as CSV and read back."""
     folder = derived.scratch(spark, "csv")
     compiled = _points(spark, sf_dir, m.LINEARS)
-    point_sink.write_types(spark, {m.LINEARS: compiled}, folder, ["csv"])
+    point_sink.write_types({m.LINEARS: compiled}, folder, ["csv"])
     schema = (
         "row_idx long, REMARKS string, DIRECTION double, PLUNGE double, STYPE_TEXT string, "
         "STYPE string, OBSID string, OBS_REMARKS string, PROJECT string, x double, y double, z double"
@@ -791,7 +791,7 @@ def snk2_parquet_samples(spark, sf_dir):
     """SNK-2: samples written with geometry and read back."""
     folder = derived.scratch(spark, "parquet")
     point_sink.write_types(
-        spark, {m.SAMPLES: _points(spark, sf_dir, m.SAMPLES)}, folder, ["parquet"]
+        {m.SAMPLES: _points(spark, sf_dir, m.SAMPLES)}, folder, ["parquet"]
     )
     rows = spark.read.parquet(f"{folder}/samples.parquet")
     return _metres(
@@ -804,7 +804,7 @@ def snk2_geojson_images(spark, sf_dir):
     """SNK-2: images written as GeoJSON lines and read back."""
     folder = derived.scratch(spark, "geojson")
     point_sink.write_types(
-        spark, {m.IMAGES: _points(spark, sf_dir, m.IMAGES)}, folder, ["geojson"]
+        {m.IMAGES: _points(spark, sf_dir, m.IMAGES)}, folder, ["geojson"]
     )
     schema = (
         "type string, properties struct<OBSID: string, PICTURE_ID: string>, "
@@ -827,7 +827,7 @@ def snk3_written_types(spark, sf_dir):
     folder = derived.scratch(spark, "export")
     model = sd.sample_model(spark, sf_dir)
     with export.compiled_types(model, RULES) as compiled:
-        point_sink.write_types(spark, compiled, folder, ["parquet"])
+        point_sink.write_types(compiled, folder, ["parquet"])
     return merging.union_by_name(
         spark.read.parquet(f"{folder}/{kind}.parquet")
         .agg(F.count(F.lit(1)).alias("n"))

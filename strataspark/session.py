@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Result = TypeVar("Result")
+
 # A side is broadcast only when its measured size stays below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Bytes charged per fixed-width value and per row when measuring a side.
@@ -70,3 +76,18 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> Dat
     adaptive execution splits skewed partitions.
     """
     return F.broadcast(df) if fits_broadcast(df, limit_bytes) else df
+
+
+def run_together(
+    spark: SparkSession, jobs: Mapping[str, Callable[[], Result]]
+) -> dict[str, Result]:
+    """Submit independent jobs at once, so that one's last tasks overlap the next.
+
+    Results by name; the first failure is raised after all have ended.
+    """
+    if not jobs:
+        return {}
+    inherit = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        running = {name: pool.submit(inherit(job)) for name, job in jobs.items()}
+    return {name: job.result() for name, job in running.items()}

@@ -196,13 +196,13 @@ def test_contract_of_a_run(spark, tmp_path):
     )
     rules = MapRules(projects=("P",))
     with pytest.raises(validation.ContractError, match="Rock_observation_point.GDB_ID"):
-        export.export_observations(spark, bad, rules, str(tmp_path / "x"))
-    report = export.export_observations(spark, bad, rules, str(tmp_path / "y"), contract="quarantine")
+        export.export_observations(bad, rules, str(tmp_path / "x"))
+    report = export.export_observations(bad, rules, str(tmp_path / "y"), contract="quarantine")
     assert report[m.ROCKS] == {"rows_in": 1, "rows_out": 1}
     with pytest.raises(validation.ContractError, match="Observation.REMARKS"):
-        export.export_observations(spark, bad, rules, str(tmp_path / "z"), ["other"], [m.SAMPLES])
+        export.export_observations(bad, rules, str(tmp_path / "z"), ["other"], [m.SAMPLES])
     with pytest.raises(ValueError, match="unknown contract"):
-        export.export_observations(spark, bad, rules, str(tmp_path / "z"), contract="maybe")
+        export.export_observations(bad, rules, str(tmp_path / "z"), contract="maybe")
 
 
 def test_web_map_run(spark, model, tmp_path):

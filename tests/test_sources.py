@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strataspark import model as m
 from strataspark.operators import images as img
 from strataspark.operators import layers as lay
+from strataspark.operators.points import filter_valid
 from strataspark.plans import export, thumbnails, webmap
 from strataspark.plans.ingest import ingest_folder
 from strataspark.plans.rules import MapRules
@@ -130,7 +131,7 @@ def test_tables_without_row_ids(spark, tmp_path):
 def test_ingest_and_export(spark, folder, tmp_path):
     model = ingest_folder(spark, folder, str(tmp_path / "tables"))
     rules = MapRules(bounds=(50000.0, 6800000.0, 400000.0, 7100000.0), bounds_epsg=3067, declination=8.0)
-    report = export.export_observations(spark, model, rules, str(tmp_path / "out"), projects=["Q"])
+    report = export.export_observations(model, rules, str(tmp_path / "out"), projects=["Q"])
     assert report[m.PLANARS] == {"rows_in": 2, "after_DIP": 2, "after_DIRECTION_OF_DIP": 2, "rows_out": 2}
     assert report[m.LINEARS] == {"rows_in": 0, "rows_out": 0}
     assert not (tmp_path / "out" / "linears.csv").exists()
@@ -140,7 +141,7 @@ def test_ingest_and_export(spark, folder, tmp_path):
     assert struct.unpack("<dd", bytes(point["geometry"])[5:]) == (point["x"], point["y"])
     csv = spark.read.option("header", True).csv(str(tmp_path / "out" / "samples.csv"))
     assert csv.columns[0] == "_c0" and sorted(r[0] for r in csv.collect()) == ["0", "1"]
-    again = export.export_observations(spark, model, MapRules(), str(tmp_path / "none"), ["nobody"])
+    again = export.export_observations(model, MapRules(), str(tmp_path / "none"), ["nobody"])
     assert again == {} and not (tmp_path / "none").exists()
 
 
@@ -149,7 +150,7 @@ def test_index_keeps_gaps_of_the_filter(spark, tmp_path):
         [("a", 1, i, float(dip), 10.0, 1.0, 2.0) for i, dip in enumerate([10, 95, 20])],
         f"{m.SRC} string, {m.OBS_RID} long, {m.RID} long, DIP double, DIRECTION_OF_DIP double, x double, y double",
     )
-    write_types(spark, {m.PLANARS: df}, str(tmp_path), ["csv"])
+    write_types({m.PLANARS: df}, str(tmp_path), ["csv"])
     found = spark.read.option("header", True).csv(str(tmp_path / "planars.csv"))
     assert sorted(r[0] for r in found.collect()) == ["0", "2"]
 
@@ -167,6 +168,15 @@ def test_pushdown_on_ingested_tables(spark, folder, tmp_path):
     assert "REMARKS" not in plan.split("ReadSchema")[1]
 
 
+def test_validity_reaches_the_scan(spark, folder, tmp_path):
+    model = ingest_folder(spark, folder, str(tmp_path))
+    planars = export.compile_types(model, MapRules(("Q",)), [m.PLANARS])[m.PLANARS]
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = filter_valid(planars, m.PLANARS)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert any("GreaterThanOrEqual(DIP,0.0)" in line for line in plan.splitlines() if "PushedFilters" in line)
+
+
 RULE_FILE = """# comment
 [exceptions]
 NO-120 = NO-1

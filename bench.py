@@ -20,7 +20,7 @@ sys.path.insert(0, ROOT)
 from pyspark.sql import DataFrame  # noqa: E402
 
 from strataspark import model as m  # noqa: E402
-from strataspark import sampledata as sd  # noqa: E402
+from strataspark import mapped  # noqa: E402
 from strataspark.operators import images, linking, markers, nested, points, selection  # noqa: E402
 from strataspark.plans import export, webmap  # noqa: E402
 from strataspark.plans.ingest import write_model  # noqa: E402
@@ -39,7 +39,7 @@ def main() -> None:
     spark = local_session(cores)
     spark.sparkContext.setLogLevel("ERROR")
     work = tempfile.mkdtemp(prefix="bench-")
-    rules = sd.SAMPLE_RULES
+    rules = mapped.MAPPED_RULES
     timings: dict[str, float] = {}
 
     def timed(name: str, action: Callable[[], object]) -> None:
@@ -48,9 +48,9 @@ def main() -> None:
         timings[name] = round(time.perf_counter() - begin, 3)
 
     def ingest() -> None:
-        mapped = sd.sample_model(spark, sf_dir)
-        write_model(mapped, f"{work}/model")
-        sd.image_files(mapped).write.parquet(f"{work}/files")
+        given = mapped.field_model(spark, sf_dir)
+        write_model(given, f"{work}/model")
+        mapped.image_files(given).write.parquet(f"{work}/files")
 
     timed("ingest", ingest)
     model = m.FieldModel.from_parquet(spark, f"{work}/model")

@@ -13,7 +13,7 @@ from strataspark import model as m
 from strataspark.plans.rules import MapRules
 
 # The selection used by every registered query.
-SAMPLE_RULES = MapRules(
+MAPPED_RULES = MapRules(
     projects=("1-URGENT", "2-HIGH"),
     bounds=(150000.0, 6700000.0, 500000.0, 7400000.0),
     bounds_epsg=3067,
@@ -66,7 +66,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sample_model(spark: SparkSession, sf_dir: str) -> m.FieldModel:
+def field_model(spark: SparkSession, sf_dir: str) -> m.FieldModel:
     """The eight tables."""
     lines = _line_items(spark, sf_dir)
     rid = m.RID

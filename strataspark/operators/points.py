@@ -7,7 +7,6 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from strataspark import model as m
 from strataspark.functions.rules import (
@@ -133,9 +132,10 @@ def _step(step: int, rule: str, before: Column, after: Column) -> Column:
     )
 
 
-def not_points(df: DataFrame) -> DataFrame:
-    """Rows without a point: those whose x or y is missing."""
-    return df.where(F.col("x").isNull() | F.col("y").isNull())
+def point_counts(df: DataFrame) -> DataFrame:
+    """How many rows there are, and how many of them have no point."""
+    missing = F.count_if(F.col("x").isNull() | F.col("y").isNull())
+    return df.agg(F.count(F.lit(1)).alias("n"), missing.alias("n_missing"))
 
 
 def with_row_index(df: DataFrame, order: list[str], to: str = "row_idx") -> DataFrame:
@@ -170,8 +170,3 @@ def with_row_index(df: DataFrame, order: list[str], to: str = "row_idx") -> Data
 def empty_like(df: DataFrame) -> bool:
     """Whether a dataset has no rows; stops at the first one."""
     return df.isEmpty()
-
-
-def text_columns(df: DataFrame) -> list[str]:
-    """Names of the text columns."""
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]

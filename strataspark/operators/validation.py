@@ -25,8 +25,6 @@ RUN_REQUIREMENTS: dict[str, tuple[str, ...]] = {
     m.IMAGE: ("PICTURE_ID", "REMARKS"),
 }
 
-VIOLATION_COLUMNS = ("table_name", "column_name", m.SRC, m.RID, "reason")
-
 
 def missing_columns(
     frames: Mapping[str, DataFrame], required: Mapping[str, Iterable[str]] = m.CHILD_COLUMNS

@@ -9,11 +9,11 @@ from pathlib import Path
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspark import model as m
-from strataspark import sampledata as sd
+from strataspark import mapped
 from strataspark.session import durable_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -33,7 +33,7 @@ def stage_databases(df: DataFrame, table: str, folder: str) -> int:
 
     Returns the number of rows written.  No file holds more than a range.
     """
-    columns = list(m.TABLE_COLUMNS[table])
+    row_id, columns = m.RID, list(m.TABLE_COLUMNS[table])
     Path(folder).mkdir(parents=True)
 
     def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -44,7 +44,7 @@ def stage_databases(df: DataFrame, table: str, folder: str) -> int:
         connection = sqlite3.connect(path)
         listed = ", ".join(f'"{c}"' for c in columns)
         connection.execute(f'CREATE TABLE "{table}" ({listed})')
-        values = rows[[m.RID, *columns]].astype(object)
+        values = rows[[row_id, *columns]].astype(object)
         values = values.where(values.notna(), None)
         marks = ", ".join("?" * (len(columns) + 1))
         connection.executemany(
@@ -76,7 +76,7 @@ def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 5 == 0, "west").otherwise((key * 10).cast("string")),
         F.lit("\nxmax=900000\nymin= 6600000\nymax =7800000\n"),
     )
-    return sd.table(spark, sf_dir, "customer").select(
+    return mapped.table(spark, sf_dir, "customer").select(
         F.concat(F.lit("team"), key.cast("string"), F.lit(".ini")).alias("file"),
         text.alias("text"),
     )
@@ -108,7 +108,7 @@ def layer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         at(500, 500),
         F.lit("}}]}"),
     )
-    return sd.table(spark, sf_dir, "customer").select(
+    return mapped.table(spark, sf_dir, "customer").select(
         F.concat(F.lit("layers/"), F.col("c_custkey").cast("string"), F.lit(".geojson")).alias(
             "dataset"
         ),
@@ -118,13 +118,16 @@ def layer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def small_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grey images of two pixel rows, from the embeddings."""
-    pixel = F.transform(
-        "embedding", lambda e: F.lpad(F.hex((F.floor(F.abs(e.cast("double")) * 1000) % 256).cast("long")), 2, "0")
-    )
-    return sd.table(spark, sf_dir, "embeddings").select(
+
+    def pixel(value: Column) -> Column:
+        grey = F.floor(F.abs(value.cast("double")) * 1000) % 256
+        return F.lpad(F.hex(grey.cast("long")), 2, "0")
+
+    pixels = F.array_join(F.transform("embedding", pixel), "")
+    return mapped.table(spark, sf_dir, "embeddings").select(
         F.concat(F.lit("imgs/"), F.col("vec_id").cast("string"), F.lit(".png")).alias("path"),
         F.floor(F.size("embedding") / 2).cast("int").alias("width"),
         F.lit(2).alias("height"),
         F.lit(1).alias("channels"),
-        F.unhex(F.array_join(pixel, "")).alias("data"),
+        F.unhex(pixels).alias("data"),
     )

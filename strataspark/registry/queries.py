@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspark import model as m
-from strataspark import sampledata as sd
+from strataspark import mapped
 from strataspark.functions import geo, rules, text
 from strataspark.operators import images as img
 from strataspark.operators import layers as lay
@@ -26,7 +26,7 @@ from strataspark.streaming import snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-RULES = sd.SAMPLE_RULES
+RULES = mapped.MAPPED_RULES
 UTM_EPSG = 32635
 
 
@@ -51,11 +51,11 @@ def _metres(df: DataFrame) -> DataFrame:
 
 
 def _linker(spark: SparkSession, sf_dir: str) -> link.Linker:
-    return export.link_observations(sd.sample_model(spark, sf_dir), RULES)
+    return export.link_observations(mapped.field_model(spark, sf_dir), RULES)
 
 
 def _points(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return export.compile_types(sd.sample_model(spark, sf_dir), RULES, [kind])[kind]
+    return export.compile_types(mapped.field_model(spark, sf_dir), RULES, [kind])[kind]
 
 
 def _dataset(df: DataFrame) -> DataFrame:
@@ -70,14 +70,14 @@ def _dataset(df: DataFrame) -> DataFrame:
 @query
 def flt1_project_filter(spark, sf_dir):
     """FLT-1: observations of the given projects."""
-    chosen = selection.in_projects(sd.observations(spark, sf_dir), RULES.projects)
+    chosen = selection.in_projects(mapped.observations(spark, sf_dir), RULES.projects)
     return _named(chosen, "OBSID", "PROJECT")
 
 
 @query
 def flt1_project_table_filter(spark, sf_dir):
     """FLT-1 with the projects as a table: those with many orders."""
-    observations = sd.observations(spark, sf_dir)
+    observations = mapped.observations(spark, sf_dir)
     wanted = observations.where(F.col("REMARKS") == "P").select("PROJECT").distinct()
     return _named(selection.in_project_table(observations, wanted), "OBSID", "PROJECT")
 
@@ -85,7 +85,7 @@ def flt1_project_table_filter(spark, sf_dir):
 @query
 def flt2_bounds_filter(spark, sf_dir):
     """FLT-2: observations inside a projected box."""
-    observations = sd.observations(spark, sf_dir)
+    observations = mapped.observations(spark, sf_dir)
     inside = selection.within_bounds(observations, RULES.bounds, RULES.bounds_epsg)
     return _metres(_named(inside, "OBSID", "LAT", "LON", "x", "y"))
 
@@ -93,14 +93,14 @@ def flt2_bounds_filter(spark, sf_dir):
 @query
 def flt3_in_range(spark, sf_dir):
     """FLT-3: a dip in a range; NULL is out."""
-    planars = sd.sample_model(spark, sf_dir).planars
+    planars = mapped.field_model(spark, sf_dir).planars
     return _named(planars, "DIP", rules.in_range(F.col("DIP"), 10.0, 45.0).alias("inside"))
 
 
 @query
 def flt4_valid_readings(spark, sf_dir):
     """FLT-4: which planar readings are valid."""
-    planars = sd.sample_model(spark, sf_dir).planars
+    planars = mapped.field_model(spark, sf_dir).planars
     return _named(
         planars,
         rules.column_rule(planars, "DIP", rules.valid_dip).alias("dip_ok"),
@@ -124,7 +124,7 @@ def flt5_valid_linears(spark, sf_dir):
 @query
 def flt6_rule_filter(spark, sf_dir):
     """FLT-6: rules by column; one names a column that is not there."""
-    planars = sd.sample_model(spark, sf_dir).planars
+    planars = mapped.field_model(spark, sf_dir).planars
     kept = points.filter_invalid(
         planars,
         {"DIP": lambda c: c > 20.0, "ABSENT": rules.valid_dip, "DIRECTION_OF_DIP": rules.valid_azimuth},
@@ -151,20 +151,20 @@ def flt7_empty_types(spark, sf_dir):
 @query
 def geo1_export_system(spark, sf_dir):
     """GEO-1: EPSG:4326 to EPSG:3067."""
-    return _metres(_named(geo.with_projected(sd.observations(spark, sf_dir), 3067), "x", "y"))
+    return _metres(_named(geo.with_projected(mapped.observations(spark, sf_dir), 3067), "x", "y"))
 
 
 @query
 def geo1_utm_zone(spark, sf_dir):
     """GEO-1: EPSG:4326 to UTM zone 35 north, to the centimetre."""
-    placed = geo.with_projected(sd.observations(spark, sf_dir), UTM_EPSG)
+    placed = geo.with_projected(mapped.observations(spark, sf_dir), UTM_EPSG)
     return _named(placed, F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
 
 
 @query
 def geo1_web_mercator(spark, sf_dir):
     """GEO-1: EPSG:4326 to EPSG:3857."""
-    return _metres(_named(geo.with_projected(sd.observations(spark, sf_dir), 3857), "x", "y"))
+    return _metres(_named(geo.with_projected(mapped.observations(spark, sf_dir), 3857), "x", "y"))
 
 
 @query
@@ -184,7 +184,7 @@ def geo2_unproject(spark, sf_dir):
 @query
 def geo3_point_wkb(spark, sf_dir):
     """GEO-3: WKB points, shown as the bits of their coordinates."""
-    observations = sd.observations(spark, sf_dir)
+    observations = mapped.observations(spark, sf_dir)
     wkb = F.hex(geo.point_wkb(F.col("LON"), F.col("LAT")))
 
     def bits(first: int) -> Column:
@@ -204,13 +204,13 @@ def geo3_point_wkb(spark, sf_dir):
 def geo4_point_in_box(spark, sf_dir):
     """GEO-4: the inclusive test itself, in degrees, with edges hit."""
     inside = geo.in_box(F.col("LON"), F.col("LAT"), (30.0, 65.0, 22.0, 60.0))
-    return _named(sd.observations(spark, sf_dir), "LAT", "LON", inside.alias("inside"))
+    return _named(mapped.observations(spark, sf_dir), "LAT", "LON", inside.alias("inside"))
 
 
 @query
 def prj3_coordinates(spark, sf_dir):
     """PRJ-3: x, y and the constant z of selected observations."""
-    chosen = selection.with_coordinates(sd.observations(spark, sf_dir), RULES)
+    chosen = selection.with_coordinates(mapped.observations(spark, sf_dir), RULES)
     return _metres(_named(chosen, "OBSID", "x", "y", "z"))
 
 
@@ -220,7 +220,7 @@ def prj3_coordinates(spark, sf_dir):
 @query
 def prj1_column_subset(spark, sf_dir):
     """PRJ-1: named columns after a presence check."""
-    planars = sd.sample_model(spark, sf_dir).planars
+    planars = mapped.field_model(spark, sf_dir).planars
     return _named(points.subset(planars, [m.SRC, m.RID, "DIP", "STYPE"]), "DIP", "STYPE")
 
 
@@ -257,7 +257,7 @@ def idx1_row_index(spark, sf_dir):
 @query
 def jn0_exceptions_remap(spark, sf_dir):
     """JN-0: the key by which tectonics and samples are looked up."""
-    observations = sd.observations(spark, sf_dir)
+    observations = mapped.observations(spark, sf_dir)
     listed = {**RULES.exceptions, "OB-8": None}
     return _named(link.remap_key(observations, "OBSID", listed, "key"), "OBSID", "key")
 
@@ -314,32 +314,32 @@ def jn8_textures(spark, sf_dir):
 @query
 def jn9_image_files(spark, sf_dir):
     """JN-9: pictures and the files whose stem contains their id."""
-    model = sd.sample_model(spark, sf_dir)
-    return _named(img.link_files(model.images, sd.image_files(model)), "PICTURE_ID", "n_files", "path")
+    model = mapped.field_model(spark, sf_dir)
+    return _named(img.link_files(model.images, mapped.image_files(model)), "PICTURE_ID", "n_files", "path")
 
 
 @query
 def jn10_recheck_flag(spark, sf_dir):
     """JN-10: which observations are listed for a recheck."""
-    flagged = mrk.with_recheck(sd.observations(spark, sf_dir), RULES.rechecks)
+    flagged = mrk.with_recheck(mapped.observations(spark, sf_dir), RULES.rechecks)
     return _named(flagged, "OBSID", "recheck")
 
 
 @query
 def jn11_missing_targets(spark, sf_dir):
     """JN-11: pictures without a file of their name."""
-    model = sd.sample_model(spark, sf_dir)
+    model = mapped.field_model(spark, sf_dir)
     wanted = model.images.select(
         m.SRC, m.RID, F.concat(F.lit("in/"), "PICTURE_ID", F.lit(".jpg")).alias("path")
     )
-    return _named(img.missing_targets(wanted, sd.image_files(model)), "name")
+    return _named(img.missing_targets(wanted, mapped.image_files(model)), "name")
 
 
 @query
 def jn12_layer_pairing(spark, sf_dir):
     """JN-12: layer arguments paired by position."""
-    suppliers = sd.table(spark, sf_dir, "supplier")
-    customers = sd.table(spark, sf_dir, "customer")
+    suppliers = mapped.table(spark, sf_dir, "supplier")
+    customers = mapped.table(spark, sf_dir, "customer")
     datasets = suppliers.select(
         F.col("s_suppkey").alias("position"),
         F.concat(F.lit("layers/"), "s_name", F.lit(".geojson")).alias("value"),
@@ -358,14 +358,14 @@ def jn12_layer_pairing(spark, sf_dir):
 @query
 def agg1_resolve_tectonic(spark, sf_dir):
     """AGG-1: one tectonic id per observation id of a source."""
-    tectonics = sd.sample_model(spark, sf_dir).tectonics
+    tectonics = mapped.field_model(spark, sf_dir).tectonics
     return _named(link.resolve_tectonic(tectonics, [m.SRC, "OBSID"]), "OBSID", "GDB_ID", "n_ids")
 
 
 @query
 def agg2_centre(spark, sf_dir):
     """AGG-2: the map centre of the selected observations."""
-    chosen = selection.select_observations(sd.observations(spark, sf_dir), RULES)
+    chosen = selection.select_observations(mapped.observations(spark, sf_dir), RULES)
     at = mrk.centre(chosen)
     return at.select(F.round("LAT", 6).alias("lat"), F.round("LON", 6).alias("lon"))
 
@@ -373,13 +373,13 @@ def agg2_centre(spark, sf_dir):
 @query
 def agg3_texture_tuples(spark, sf_dir):
     """AGG-3: all textures of a rock as tuple text."""
-    return _named(link.texture_tuples(sd.sample_model(spark, sf_dir).textures), "ROP_GID", "ST_2")
+    return _named(link.texture_tuples(mapped.field_model(spark, sf_dir).textures), "ROP_GID", "ST_2")
 
 
 @query
 def agg4_duplicate_ids(spark, sf_dir):
     """AGG-4: observation ids that occur more than once."""
-    return mrk.duplicate_ids(sd.observations(spark, sf_dir))
+    return mrk.duplicate_ids(mapped.observations(spark, sf_dir))
 
 
 @query
@@ -392,14 +392,14 @@ def agg5_first_lineation(spark, sf_dir):
 @query
 def agg6_filter_metrics(spark, sf_dir):
     """AGG-6: rows before and after each rule, by type."""
-    compiled = export.compile_types(sd.sample_model(spark, sf_dir), RULES)
+    compiled = export.compile_types(mapped.field_model(spark, sf_dir), RULES)
     return merging.union_by_name(points.validity_metrics(df, kind) for kind, df in compiled.items())
 
 
 @query
 def dup1_distinct_rows(spark, sf_dir):
     """DUP-1: distinct planar rows per tectonic id, first kept."""
-    planars = sd.sample_model(spark, sf_dir).planars
+    planars = mapped.field_model(spark, sf_dir).planars
     keys = [m.SRC, "TM_GID", *m.CHILD_COLUMNS[m.PLANARS]]
     return _named(link.first_distinct(planars, keys, F.col(m.RID)), "TM_GID", "DIP", "STYPE")
 
@@ -407,7 +407,7 @@ def dup1_distinct_rows(spark, sf_dir):
 @query
 def dup2_first_marker(spark, sf_dir):
     """DUP-2: the first observation of each id over all sources."""
-    return _named(mrk.first_per_id(sd.observations(spark, sf_dir)), "OBSID", "LAT", "LON", "PROJECT")
+    return _named(mrk.first_per_id(mapped.observations(spark, sf_dir)), "OBSID", "LAT", "LON", "PROJECT")
 
 
 @query
@@ -452,7 +452,7 @@ def set1_union_rows(spark, sf_dir):
 @query
 def set2_merged_models(spark, sf_dir):
     """SET-2: two models merged; rows and sources of each table."""
-    model = sd.sample_model(spark, sf_dir)
+    model = mapped.field_model(spark, sf_dir)
     left = model.with_observations(mrk.first_per_id(model.observations))
 
     def renamed(name: str, df: DataFrame) -> DataFrame:
@@ -472,16 +472,16 @@ def set2_merged_models(spark, sf_dir):
 @query
 def set3_project_union(spark, sf_dir):
     """SET-3: project names of two lists, each once."""
-    first = sd.observations(spark, sf_dir).select("PROJECT")
+    first = mapped.observations(spark, sf_dir).select("PROJECT")
     quoted = F.concat(F.lit('"'), F.col("c_mktsegment"), F.lit("'"))
-    second = sd.table(spark, sf_dir, "customer").select(quoted.alias("PROJECT"))
+    second = mapped.table(spark, sf_dir, "customer").select(quoted.alias("PROJECT"))
     return merging.union_projects(first, merging.without_quotes(second))
 
 
 @query
 def set4_filtered_union(spark, sf_dir):
     """SET-4: the filtered observation tables of each project, stacked."""
-    observations = sd.observations(spark, sf_dir)
+    observations = mapped.observations(spark, sf_dir)
     parts = [selection.in_projects(observations, [p]) for p in RULES.projects]
     return _named(merging.union_by_name(parts), "OBSID", "PROJECT", "LAT", "LON")
 
@@ -492,7 +492,7 @@ def set4_filtered_union(spark, sf_dir):
 @query
 def scl1_declination(spark, sf_dir):
     """SCL-1: azimuths corrected by several declinations."""
-    linears = sd.sample_model(spark, sf_dir).linears
+    linears = mapped.field_model(spark, sf_dir).linears
     azimuth = F.col("DIRECTION")
     return _named(
         linears,
@@ -507,7 +507,7 @@ def scl1_declination(spark, sf_dir):
 @query
 def scl2_dip_colour(spark, sf_dir):
     """SCL-2: colours of dips."""
-    planars = sd.sample_model(spark, sf_dir).planars
+    planars = mapped.field_model(spark, sf_dir).planars
     return _named(planars, rules.dip_colour(F.col("DIP")).alias("color"))
 
 
@@ -519,7 +519,7 @@ def scl3_style_colour(spark, sf_dir):
     colour = F.when(key % 2 == 0, "red")
     made = rules.recolour(rules.style_map(style), colour)
     keys = ("color", "weight", "strokeColor", "fillOpacity")
-    return sd.table(spark, sf_dir, "supplier").select(
+    return mapped.table(spark, sf_dir, "supplier").select(
         "s_suppkey", *[F.try_element_at(made, F.lit(k)).alias(k) for k in keys]
     )
 
@@ -527,7 +527,7 @@ def scl3_style_colour(spark, sf_dir):
 @query
 def scl4_paths(spark, sf_dir):
     """SCL-4: base names, stems and shortened folders."""
-    files = sd.image_files(sd.sample_model(spark, sf_dir))
+    files = mapped.image_files(mapped.field_model(spark, sf_dir))
     path = F.concat(F.lit("/data/field/"), "path")
     return files.select(
         "path",
@@ -541,14 +541,14 @@ def scl4_paths(spark, sf_dir):
 def scl5_strip_quotes(spark, sf_dir):
     """SCL-5: both quote characters removed anywhere."""
     stripped = text.strip_quotes(F.col("html"))
-    return sd.table(spark, sf_dir, "pages").select("page_id", stripped.alias("html"))
+    return mapped.table(spark, sf_dir, "pages").select("page_id", stripped.alias("html"))
 
 
 @query
 def scl6_stylesheet_link(spark, sf_dir):
     """SCL-6: a stylesheet link added to pages that can take one."""
     html = F.col("html")
-    return sd.styled_pages(spark, sf_dir).select(
+    return mapped.styled_pages(spark, sf_dir).select(
         "page_id",
         text.stylesheet_status(html).alias("status"),
         text.link_stylesheet(html, "styles.css").alias("html"),
@@ -558,7 +558,7 @@ def scl6_stylesheet_link(spark, sf_dir):
 @query
 def scl7_thumbnail_size(spark, sf_dir):
     """SCL-7: heights at a fixed width."""
-    files = sd.image_files(sd.sample_model(spark, sf_dir))
+    files = mapped.image_files(mapped.field_model(spark, sf_dir))
     height = rules.thumbnail_height(F.col("width"), F.col("height"), 800)
     return files.select("path", "width", "height", height.cast("long").alias("new_height"))
 
@@ -567,8 +567,8 @@ def scl7_thumbnail_size(spark, sf_dir):
 
 
 def _markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = sd.sample_model(spark, sf_dir)
-    return webmap.compile_markers(model, RULES, sd.image_files(model), "imgs")
+    model = mapped.field_model(spark, sf_dir)
+    return webmap.compile_markers(model, RULES, mapped.image_files(model), "imgs")
 
 
 @query
@@ -589,7 +589,7 @@ def mrk2_popup_tables(spark, sf_dir):
 @query
 def mrk3_popups(spark, sf_dir):
     """MRK-3: popup documents without an image folder."""
-    model = sd.sample_model(spark, sf_dir)
+    model = mapped.field_model(spark, sf_dir)
     return webmap.compile_markers(model, RULES).select("OBSID", "popup")
 
 
@@ -613,7 +613,7 @@ def mrk5_markers(spark, sf_dir):
 @query
 def val2_contract_violations(spark, sf_dir):
     """VAL-2: rows that miss a value a run cannot do without."""
-    model = sd.sample_model(spark, sf_dir)
+    model = mapped.field_model(spark, sf_dir)
     holes = {
         m.OBSERVATION: model.observations.withColumns(
             {
@@ -630,9 +630,7 @@ def val2_contract_violations(spark, sf_dir):
 @query
 def val3_all_points(spark, sf_dir):
     """VAL-3: compiled rows without a point."""
-    compiled = _points(spark, sf_dir, m.SAMPLES)
-    missing = F.count_if(F.col("x").isNull() | F.col("y").isNull())
-    return compiled.agg(F.count(F.lit(1)).alias("n"), missing.alias("n_missing"))
+    return points.point_counts(_points(spark, sf_dir, m.SAMPLES))
 
 
 # --- images ----------------------------------------------------------------
@@ -641,7 +639,7 @@ def val3_all_points(spark, sf_dir):
 @query
 def img1_resize_manifest(spark, sf_dir):
     """IMG-1: what a resize run does with each file."""
-    files = sd.image_files(sd.sample_model(spark, sf_dir)).distinct()
+    files = mapped.image_files(mapped.field_model(spark, sf_dir)).distinct()
     sized = files.withColumn("width", F.when(F.col("width") % 10 == 0, -1).otherwise(F.col("width")))
     done = files.where(F.col("width") % 4 == 0)
     manifest = img.resize_manifest(sized, done)
@@ -662,7 +660,7 @@ def img2_resample(spark, sf_dir):
 def src1_sqlite_scan(spark, sf_dir):
     """SRC-1, SRC-3: observations read back from a folder of databases."""
     folder = derived.scratch(spark, "sqlite")
-    derived.stage_databases(sd.observations(spark, sf_dir), m.OBSERVATION, folder)
+    derived.stage_databases(mapped.observations(spark, sf_dir), m.OBSERVATION, folder)
     rows = read_table(spark, folder, m.OBSERVATION)
     source = F.regexp_extract(F.col(m.SRC), r"^(.*)-\d+\.sqlite$", 1)
     return _named(rows.withColumn(m.SRC, source), *m.TABLE_COLUMNS[m.OBSERVATION])
@@ -733,7 +731,7 @@ def geo5_layer_features(spark, sf_dir):
 @query
 def pip1_selected_observations(spark, sf_dir):
     """PIP-1: observations by project and box, over all sources."""
-    chosen = selection.select_observations(sd.observations(spark, sf_dir), RULES)
+    chosen = selection.select_observations(mapped.observations(spark, sf_dir), RULES)
     return _named(chosen, "OBSID", "LAT", "LON", "REMARKS", "PROJECT")
 
 
@@ -825,7 +823,7 @@ def snk2_geojson_images(spark, sf_dir):
 def snk3_written_types(spark, sf_dir):
     """SNK-3, PIP-3: all types filtered and written; rows found in each."""
     folder = derived.scratch(spark, "export")
-    model = sd.sample_model(spark, sf_dir)
+    model = mapped.field_model(spark, sf_dir)
     with export.compiled_types(model, RULES) as compiled:
         point_sink.write_types(compiled, folder, ["parquet"])
     return merging.union_by_name(
@@ -858,7 +856,7 @@ def snk4_marker_lines(spark, sf_dir):
 def pip6_newest_snapshots(spark, sf_dir):
     """PIP-6: orders landed as snapshots, picked up by a stream; newest rows."""
     folder = derived.scratch(spark, "landed")
-    schema = sd.table(spark, sf_dir, "orders").schema
+    schema = mapped.table(spark, sf_dir, "orders").schema
     watch = snapshots.watch_tables(
         spark, sf_dir, schema, f"{folder}/tables", f"{folder}/checkpoint", names="orders.parquet"
     )

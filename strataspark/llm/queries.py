@@ -7,11 +7,68 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspark.llm import toxicity
+from strataspark.llm import packing, quality_crf, secrets, simhash, toxicity
 from strataspark.llm.common import id_and_text, is_held_out, table
 
 #: Scores from which a row counts as positive.
 TOXIC_FROM = 0.3
+GOOD_FROM = 0.7
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file, the same on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def repositories(docs: DataFrame) -> DataFrame:
+    """Documents with their owner (the source) and repository (the source's part by language)."""
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "text",
+        F.col("source").alias("owner"),
+        F.concat_ws("/", "source", "lang").alias("repository"),
+    )
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with their ownership over the corpus."""
+    docs = repositories(table(spark, sf_dir, "documents"))
+    found = secrets.scan(docs, "doc_id", "repository", "owner")
+    count = {k: F.size(secrets.of_kind(n)).cast("long") for n, k in enumerate(("assign", "access", "hex"))}
+    live = F.filter("verdicts", lambda v: v == "live")
+    copied = F.filter("verdicts", lambda v: v == "example")
+    return found.select(
+        "doc_id",
+        *[n.alias(f"n_{k}") for k, n in count.items()],
+        F.sha2(secrets.joined(secrets.base()), 256).alias("base_sha256"),
+        secrets.joined(F.col("found")).alias("spans"),
+        F.size(live).cast("long").alias("n_live"),
+        F.size(copied).cast("long").alias("n_examples"),
+    )
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2048 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.best_fit(docs, vocabulary("word_bpe_49k.json")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_crf.learn(docs, table(spark, sf_dir, "labels"))
+    scored = quality_crf.score(id_and_text(docs), model)
+    return scored.select(
+        "doc_id",
+        is_held_out("doc_id", 4).alias("held_out"),
+        F.col("quality.score").alias("score"),
+        (F.col("quality.score") >= GOOD_FROM).cast("int").alias("predicted"),
+        F.col("quality.n_lines").alias("n_lines"),
+    )
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +85,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", simhash.hexadecimal("fingerprint").alias("fingerprint"), "component_id"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
+    "op4_packing": op4_packing,
+    "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
+    "op10_simhash": op10_simhash,
 }
 
 #: DuckDB SQL for the queries that SQL can express over whole tables.

@@ -234,18 +234,22 @@ def redact(
 
     Only texts that hold a candidate are joined with their verdicts.
     """
-    columns = docs.columns
-    flagged = docs.where(any_candidate(F.col(text)))
-    copies = flagged.withColumn("_text", F.col(text)).withColumn(
-        "_repo", F.col(repository).cast("string")
+    # Rows travel as one struct, so that no column of theirs can clash with those used here.
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"),
+        F.col(text).alias("_text"),
+        F.col(text).alias("_whole"),
+        F.col(key).alias("_id"),
+        F.col(repository).cast("string").alias("_repository"),
+        F.col(owner).cast("string").alias("_owner"),
     )
-    copies = copies.withColumn("_owner", F.col(owner).cast("string"))
-    found = cut_lineage(candidates(copies, "_text"))
-    some = judged(found.where(F.size("found") > 0), key, "_repo", "_owner")
+    holds = any_candidate(F.col("_text"))
+    found = cut_lineage(candidates(rows.where(holds), "_text"))
+    some = judged(found.where(F.size("found") > 0), "_id", "_repository", "_owner")
     live = F.filter(
         F.arrays_zip("found", "verdicts"), lambda x: x["verdicts"] == F.lit("live")
     )
-    whole = F.col(text)
+    whole = F.col("_whole")
 
     def cut(state: Column, x: Column) -> Column:
         s = x["found"]
@@ -265,18 +269,17 @@ def redact(
             state["out"], F.substring(whole, (state["at"] + 1).cast("int"), F.length(whole))
         )
 
-    cleaned = (
-        some.withColumn("_live", live)
-        .withColumn(
-            "_clean",
-            F.when(F.size("_live") > 0, F.aggregate("_live", start, cut, rest)).otherwise(whole),
-        )
-        .withColumn(text, F.col("_clean"))
-        .select(*columns)
+    cleaned = some.withColumn("_live", live).withColumn(
+        "_clean",
+        F.when(F.size("_live") > 0, F.aggregate("_live", start, cut, rest)).otherwise(whole),
     )
-    unflagged = docs.where(~any_candidate(F.col(text)))
-    return unflagged.unionByName(cleaned).unionByName(
-        found.where(F.size("found") == 0).select(*columns)
+    columns = [F.col("_row").getField(c).alias(c) for c in docs.columns]
+    replaced = [F.col("_clean").alias(c) if c == text else x for c, x in zip(docs.columns, columns)]
+    return (
+        rows.where(~holds)
+        .select(*columns)
+        .unionByName(cleaned.select(*replaced))
+        .unionByName(found.where(F.size("found") == 0).select(*columns))
     )
 
 

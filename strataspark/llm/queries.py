@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspark.llm import packing, quality_crf, secrets, simhash, toxicity
+from strataspark.llm import packing, quality_crf, quality_rules, secrets, simhash, toxicity
 from strataspark.llm.common import id_and_text, is_held_out, table
 
 #: Scores from which a row counts as positive.
@@ -49,6 +49,17 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of the quality rules for every document."""
+    docs = table(spark, sf_dir, "documents")
+    trees = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
+    judged = quality_rules.judge(id_and_text(docs), trees)
+    columns = (
+        "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept score"
+    ).split()
+    return judged.select("doc_id", *[F.col(f"rules.{c}").alias(c) for c in columns])
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 2048 tokens."""
     docs = table(spark, sf_dir, "documents")
@@ -95,6 +106,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op3_rules": op3_rules,
     "op4_packing": op4_packing,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,

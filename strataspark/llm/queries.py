@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspark.llm import packing, quality_crf, quality_rules, secrets, simhash, toxicity
+from strataspark.llm import log_bilinear, packing, quality_crf, quality_rules, secrets, simhash, toxicity
 from strataspark.llm.common import id_and_text, is_held_out, table
 
 #: Scores from which a row counts as positive.
@@ -96,6 +96,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document under the unigram base and the neural model."""
+    docs = table(spark, sf_dir, "documents")
+    scored = log_bilinear.score(docs, log_bilinear.learn(docs))
+    return scored.select(
+        "doc_id",
+        is_held_out("doc_id", 7).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score",
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -110,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
+    "op8_log_bilinear": op8_log_bilinear,
     "op10_simhash": op10_simhash,
 }
 

@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspark.llm import log_bilinear, packing, quality_crf, quality_rules, secrets, simhash, toxicity
+from strataspark.llm import (
+    log_bilinear,
+    neighbours,
+    packing,
+    quality_crf,
+    quality_rules,
+    secrets,
+    simhash,
+    toxicity,
+)
 from strataspark.llm.common import id_and_text, is_held_out, table
 
 #: Scores from which a row counts as positive.
@@ -68,6 +77,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest neighbours of every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -119,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op3_rules": op3_rules,
     "op4_packing": op4_packing,
+    "op5_neighbours": op5_neighbours,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
     "op8_log_bilinear": op8_log_bilinear,

@@ -11,6 +11,7 @@ from strataspark.llm import (
     log_bilinear,
     neighbours,
     packing,
+    pages,
     quality_crf,
     quality_rules,
     secrets,
@@ -122,6 +123,17 @@ def op8_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = table(spark, sf_dir, "pages")
+    return pages.extract(found, pages.learn(found), to="_main").select(
+        "page_id",
+        "url",
+        F.col("_main.text").alias("text"),
+        F.length("_main.text").cast("long").alias("n_chars"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -138,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
     "op8_log_bilinear": op8_log_bilinear,
+    "op9_pages": op9_pages,
     "op10_simhash": op10_simhash,
 }
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strataspark.llm import (
     log_bilinear,
+    merge_dropout,
     neighbours,
     packing,
     pages,
@@ -59,6 +60,12 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces under merge-dropout, decoded and compared with its text."""
+    docs = table(spark, sf_dir, "documents")
+    return merge_dropout.encode(docs, vocabulary("piece_bpe_32k.model"), seed=7, share=0.1)
+
+
 def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of the quality rules for every document."""
     docs = table(spark, sf_dir, "documents")
@@ -144,6 +151,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_merge_dropout": op2_merge_dropout,
     "op3_rules": op3_rules,
     "op4_packing": op4_packing,
     "op5_neighbours": op5_neighbours,

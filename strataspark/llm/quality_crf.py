@@ -196,7 +196,7 @@ def fit(texts: Sequence[str], labels: Sequence[int]) -> Model:
     blank = wanted[sizes == 0]
     model.blank = float(blank.mean()) if len(blank) else 0.0
     if len(set(wanted[sizes > 0])) < 2:
-        model.curve[0] = 3.0 if wanted.mean() >= 0.5 and len(wanted) else -3.0
+        model.curve[0] = 3.0 if len(wanted) and wanted.mean() >= 0.5 else -3.0
         return model
     truth = np.repeat(wanted, sizes)
     pairs = np.maximum(sizes - 1, 0)

@@ -270,6 +270,9 @@ def geographic_envelope(
     lons, lats = zip(*points, strict=True)
     pad_lon = 1e-6 + 0.02 * (max(lons) - min(lons))
     pad_lat = 1e-6 + 0.02 * (max(lats) - min(lats))
+    if min(lons) - pad_lon < -180 or max(lons) + pad_lon > 180:
+        # Beyond the antimeridian the same places have other longitudes.
+        return None
     return min(lons) - pad_lon, min(lats) - pad_lat, max(lons) + pad_lon, max(lats) + pad_lat
 
 

@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 from strataspark import model as m
 from strataspark.plans.rules import MapRules
 
+# Which observations the rules name: every so many keys, from a first one up to a limit.
+REMAPPED, RECHECKED = range(13, 500, 97), range(7, 700, 61)
+REMAP_BY = 3
+
 # The selection used by every registered query.
 MAPPED_RULES = MapRules(
     projects=("1-URGENT", "2-HIGH"),
     bounds=(150000.0, 6700000.0, 500000.0, 7400000.0),
     bounds_epsg=3067,
     declination=8.0,
-    exceptions={"OB-120": "OB-1"},
-    rechecks=("OB-12", "OB-109", "OB-148", "OB-36", "OB-25"),
+    exceptions={f"OB-{k}": f"OB-{k + REMAP_BY}" for k in REMAPPED},
+    rechecks=tuple(f"OB-{k}" for k in RECHECKED),
 )
 
 

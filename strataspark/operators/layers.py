@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strataspark.functions import geo
 from strataspark.functions.rules import LAYER_STYLES, recolour, style_map
 from strataspark.functions.text import stem
+from strataspark.sources.paths import plain
 
 SPEC_SCHEMA = (
     "position int, dataset string, name string, popup_field string, style string, color string"
@@ -35,11 +36,16 @@ def layer_specs(
     popup_fields: Sequence[str] = (),
     styles: Sequence[str] = (),
     colors: Sequence[str] = (),
+    own_styles: Iterable[str] = (),
 ) -> DataFrame:
-    """Layer arguments paired by position; one row per given dataset."""
-    unknown = [s for s in styles if s is not None and s not in LAYER_STYLES]
+    """Layer arguments paired by position; one row per given dataset.
+
+    ``own_styles`` names the caller's styles beside the known ones.
+    """
+    allowed = {*LAYER_STYLES, *own_styles}
+    unknown = [s for s in styles if s is not None and s not in allowed]
     if unknown:
-        raise ValueError(f"unknown styles {unknown}; known are {sorted(LAYER_STYLES)}")
+        raise ValueError(f"unknown styles {unknown}; known are {sorted(allowed)}")
     if datasets and max(map(len, (names, popup_fields, styles, colors))) > len(datasets):
         raise ValueError("more layer attributes than datasets")
     rows = [
@@ -139,14 +145,23 @@ def to_geographic(features: DataFrame, codes: Iterable[int] | None = None) -> Da
     return features.withColumns({"vertices": changed, "epsg": F.lit(geo.GEOGRAPHIC_EPSG)})
 
 
-def styled_features(features: DataFrame, specs: DataFrame) -> DataFrame:
+def styled_features(
+    features: DataFrame, specs: DataFrame, styles: Mapping[str, Mapping[str, str]] | None = None
+) -> DataFrame:
     """Features with their layer's name, style and popup.
 
-    ``features`` carry ``dataset`` as the specifications name it.  An absent or
-    empty popup field gives no popup.
+    ``features`` carry ``dataset`` as the specifications name it; a local path
+    and its ``file:`` form are the same.  ``styles`` adds named styles of the
+    caller's own to the known ones.  An absent or empty popup field gives no popup.
     """
-    style = recolour(style_map(F.col("style")), F.col("color"))
+    known = style_map(F.col("style"))
+    for name, values in (styles or {}).items():
+        own = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+        known = F.when(F.col("style") == name, own).otherwise(known)
+    style = recolour(known, F.col("color"))
     field = F.nullif("popup_field", F.lit(""))
+    features = features.withColumn("dataset", plain(F.col("dataset")))
+    specs = specs.withColumn("dataset", plain(F.col("dataset")))
     return features.join(specs, "dataset").select(
         "position",
         "dataset",
@@ -173,7 +188,7 @@ def geojson_lines(features: DataFrame) -> DataFrame:
     return features.select(
         F.concat(
             F.lit('{"type":"Feature","properties":'),
-            F.to_json(shown),
+            F.to_json(shown, {"ignoreNullFields": "false"}),
             F.lit(',"geometry":'),
             F.coalesce(geometry, F.lit("null")),
             F.lit("}"),

@@ -148,7 +148,7 @@ class Linker:
 
     ``observations`` come from :func:`~.selection.observation_keys`.  ``small``
     says that their measured size allows a broadcast.  ``resolved`` may hold
-    :meth:`tectonic_ids` already computed.
+    :meth:`resolutions` already computed.
     """
 
     model: m.FieldModel
@@ -189,12 +189,21 @@ class Linker:
         rows = child.withColumnRenamed(key, "_key")
         return rows.join(self._hint(parents), [m.SRC, "_key"])
 
-    def tectonic_ids(self) -> DataFrame:
-        """Observations that resolve to a tectonic id, with it as ``GDB_ID``."""
+    def resolutions(self) -> DataFrame:
+        """Observations with tectonic rows: the id they resolve to, NULL included, and ``n_ids``."""
         if self.resolved is not None:
             return self.resolved
         linked = self._children(self.model.tectonics, "OBSID", remapped=True)
-        return resolve_tectonic(linked, self._attributes).where(F.col("GDB_ID").isNotNull())
+        return resolve_tectonic(linked, self._attributes)
+
+    def tectonic_ids(self) -> DataFrame:
+        """Observations that resolve to a tectonic id, with it as ``GDB_ID``."""
+        return self.resolutions().where(F.col("GDB_ID").isNotNull())
+
+    def ambiguous_observations(self) -> DataFrame:
+        """Observations with several tectonic ids, and which one was taken."""
+        found = self.resolutions().where("n_ids > 1")
+        return found.select("OBSID", m.SRC, m.OBS_RID, "GDB_ID", "n_ids")
 
     def _measured(self, child: DataFrame, kind: str) -> DataFrame:
         resolved = self.tectonic_ids().select(
@@ -253,8 +262,12 @@ class Linker:
 
     def textures(self) -> DataFrame:
         """All textures of all rocks of each observation."""
-        rows = self._rock_rows().select(
-            *self._attributes, "ROP_GID", F.col(m.RID).alias("_rock_rid")
+        # Of rocks that lead to the same textures the first one counts, so rocks that share
+        # an id are one row before the textures meet them.
+        rows = (
+            self._rock_rows()
+            .groupBy(*self._attributes, "ROP_GID")
+            .agg(F.min(m.RID).alias("_rock_rid"))
         )
         linked = self.model.textures.join(self._measured_hint(rows), [m.SRC, "ROP_GID"])
         order = F.struct("_rock_rid", m.RID)

@@ -51,6 +51,27 @@ def first_per_id(observations: DataFrame) -> DataFrame:
     )
 
 
+def skipped_observations(observations: DataFrame) -> DataFrame:
+    """Observations that :func:`first_per_id` leaves out: ``OBSID, _src``, their row id, ``n``.
+
+    ``n`` counts the observations of the id.  Ids that occur once need no second look, so
+    only repeated ones are joined.
+    """
+    rid = m.OBS_RID if m.OBS_RID in observations.columns else m.RID
+    first = F.min(F.struct(m.SRC, rid)).alias("_first")
+    repeated = (
+        observations.where(F.col("OBSID").isNotNull())
+        .groupBy("OBSID")
+        .agg(F.count(F.lit(1)).alias("n"), first)
+        .where("n > 1")
+    )
+    return (
+        observations.join(repeated, "OBSID")
+        .where(F.struct(m.SRC, rid) != F.col("_first"))
+        .select("OBSID", m.SRC, rid, "n")
+    )
+
+
 def duplicate_ids(observations: DataFrame) -> DataFrame:
     """Observation ids that occur more than once, with their counts."""
     return (

@@ -8,6 +8,7 @@ from dataclasses import replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strataspark import model as m
 from strataspark.operators.linking import Linker
@@ -66,8 +67,31 @@ def compiled_types(
 
 
 def check_run(linker: Linker, with_images: bool = False) -> None:
-    """Raise when a row of this run lacks a value it cannot do without."""
+    """Raise when a row of this run lacks a value it cannot do without.
+
+    An observation whose last tectonic id is NULL has tectonic rows and none to take.
+    """
     raise_violations(violations(linker.required_rows(with_images), RUN_REQUIREMENTS))
+    raise_violations(unresolved(linker))
+
+
+def unresolved(linker: Linker) -> DataFrame:
+    """Observations that resolve to no tectonic id though they have tectonic rows."""
+    return linker.resolutions().where(F.col("GDB_ID").isNull()).select(
+        F.lit(m.TECTONIC).alias("table_name"),
+        F.lit("GDB_ID").alias("column_name"),
+        m.SRC,
+        F.col(m.OBS_RID).alias(m.RID),
+        F.lit("missing").alias("reason"),
+    )
+
+
+def check_observations(selected: DataFrame) -> None:
+    """Raise when a selected observation lacks a value, whether or not a marker shows it."""
+    own = selected.select(
+        m.SRC, F.col(m.OBS_RID).alias(m.RID), "OBSID", F.col("OBS_REMARKS").alias("REMARKS"), "PROJECT"
+    )
+    raise_violations(violations({m.OBSERVATION: own}, RUN_REQUIREMENTS))
 
 
 def complete_model(model: m.FieldModel) -> m.FieldModel:
@@ -88,7 +112,7 @@ def kept_linker(model: m.FieldModel, rules: MapRules, selected: DataFrame) -> It
         selected = selected.persist(StorageLevel.MEMORY_AND_DISK)
         kept.callback(selected.unpersist)
         linker = Linker.over(model, selected, rules.exceptions)
-        resolved = linker.tectonic_ids().persist(StorageLevel.MEMORY_AND_DISK)
+        resolved = linker.resolutions().persist(StorageLevel.MEMORY_AND_DISK)
         kept.callback(resolved.unpersist)
         yield replace(linker, resolved=resolved)
 

@@ -64,9 +64,9 @@ def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rule file per customer: ``file, text``."""
     key = F.col("c_custkey")
     text = F.concat(
-        F.lit("# rules\n[exceptions]\nNO-"),
+        F.lit("# rules\n[exceptions]\nsite/"),
         key.cast("string"),
-        F.lit(" = NO-1\nNO-x\n\n[recheck]\n; listed\nNO-"),
+        F.lit(" = site/1\nsite/x\n\n[recheck]\n; listed\nsite/"),
         (key % 7).cast("string"),
         F.lit("\n[declination]\ndeclination_value: "),
         (key % 20).cast("string"),
@@ -116,6 +116,40 @@ def layer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def feature_lines(spark: SparkSession, sf_dir: str, part: str | None = None) -> DataFrame:
+    """One GeoJSON feature per customer and line, as ``value``.
+
+    Lines begin with an id, a type, blanks or a record separator.  ``part`` adds a
+    column that deals the lines out to three datasets.
+    """
+    key = F.col("c_custkey")
+    x = (200000 + key * 37 % 300000).cast("string")
+    y = (6700000 + key * 53 % 600000).cast("string")
+    shape = F.when(
+        key % 2 == 0, F.concat(F.lit('"Point","coordinates":['), x, F.lit(".5,"), y, F.lit("]"))
+    ).otherwise(
+        F.concat(
+            F.lit('"LineString","coordinates":[['), x, F.lit(","), y, F.lit("],["),
+            x, F.lit(".25,"), y, F.lit(".75]]"),
+        )
+    )
+    begin = (
+        F.when(key % 3 == 0, F.concat(F.lit('{"id":'), key.cast("string"), F.lit(',"type":"Feature",')))
+        .when(key % 5 == 0, F.lit('\x1e{"type": "Feature" ,'))
+        .otherwise(F.lit(' { "type":"Feature",'))
+    )
+    text = F.concat(
+        begin,
+        F.lit('"properties":{"key":'),
+        key.cast("string"),
+        F.lit('},"geometry":{"type":'),
+        shape,
+        F.when(key % 4 == 0, F.lit("}} ,")).otherwise(F.lit("}}")),
+    )
+    lines = mapped.table(spark, sf_dir, "customer").select(text.alias("value"), (key % 3).alias("part"))
+    return lines if part else lines.select("value")
+
+
 def small_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grey images of two pixel rows, from the embeddings."""
 

@@ -7,8 +7,21 @@ from __future__ import annotations
 
 import math
 
+from strataspark.mapped import RECHECKED, REMAP_BY, REMAPPED
+
 SQL: dict[str, str] = {}
 
+_KEY = "cast(substr(OBSID, 4) as bigint)"
+
+
+def _named(keys: range) -> str:
+    """Whether an observation's key is one of ``keys``."""
+    return f"{_KEY} < {keys.stop} and {_KEY} % {keys.step} = {keys.start}"
+
+
+RECHECK = f"({_named(RECHECKED)})"
+REMAP = f"when {_named(REMAPPED)} then 'OB-' || cast({_KEY} + {REMAP_BY} as varchar)"
+
 PROJECTS = "('1-URGENT','2-HIGH')"
 
 # The field tables over orders and line items.
@@ -120,7 +133,7 @@ SELECTED = (
     + f", wanted as (select * from obs where PROJECT in {PROJECTS}),"
     + _projected("wanted", "placed")
     + f"""
-, sel as (select *, case when OBSID='OB-120' then 'OB-1' else OBSID end as tkey from placed where {IN_BOX})"""
+, sel as (select *, case {REMAP} else OBSID end as tkey from placed where {IN_BOX})"""
 )
 
 OWN = "sel.src, sel.orid, sel.OBSID, sel.OBS_REMARKS, sel.PROJECT, sel.LAT, sel.LON, sel.x, sel.y"
@@ -264,8 +277,8 @@ _VERTICES = """verts as (
     (1,'Point',0,500,500)) as v(f, kind, nth, dx, dy))"""
 
 SQL["geo2_unproject"] = f"""with {_VERTICES}, {_unprojected('verts')}
-select dataset, cast(nth as bigint) as nth, round(lon,9) as lon, round(lat,9) as lat
-from geographic where geometry_type='LineString'"""
+select dataset, cast(feature_no as bigint) as feature_no, cast(nth as bigint) as nth,
+  round(lon,9) as lon, round(lat,9) as lat from geographic"""
 SQL["geo3_point_wkb"] = _base(
     """select src, orid as rid, '0101000000' as head, cast(cast(LON as bit) as varchar) as lon_bits,
     cast(cast(LAT as bit) as varchar) as lat_bits from obs"""
@@ -288,16 +301,24 @@ SQL["prj2_samples_take_remarks"] = _linked(
     "select src, orid, rid, OBSID, PROJECT, SAMPLEID, OBS_REMARKS as REMARKS from samples"
 )
 SQL["prj4_popup_columns"] = _linked("select src, orid, rid, FIELD_NAME, ROCK_NAME, ST_2 from rocks")
+_VALID_ROWS = {
+    "planars": (_PLANAR_ROWS, _VALID_PLANAR),
+    "linears": (_LINEAR_ROWS, _VALID_LINEAR),
+    **{k: (f"select * from {c}", "true") for k, c in _KINDS.items() if k not in ("planars", "linears")},
+}
 SQL["idx1_row_index"] = _linked(
-    f"""select src, orid, rid, row_idx, DIP from (
-    select *, row_number() over (order by src, orid, rid)-1 as row_idx from ({_PLANAR_ROWS}))
-    where {_VALID_PLANAR}"""
+    " union all ".join(
+        f"""select '{kind}' as kind, src, orid, rid, row_idx from (
+        select *, row_number() over (order by src, orid, rid{', rid2' if kind == 'textures' else ''})-1
+        as row_idx from ({rows})) where {valid}"""
+        for kind, (rows, valid) in _VALID_ROWS.items()
+    )
 )
 
 # --- links -----------------------------------------------------------------
 
 SQL["jn0_exceptions_remap"] = _base(
-    """select src, orid as rid, OBSID, case when OBSID='OB-120' then 'OB-1'
+    f"""select src, orid as rid, OBSID, case {REMAP}
     when OBSID='OB-8' then null else OBSID end as key from obs"""
 )
 SQL["jn1_tectonic_link"] = _linked("select src, orid, OBSID, GDB_ID, n_ids from tect")
@@ -327,7 +348,7 @@ SQL["jn9_image_files"] = _base(
     from im left join matched on matched.PICTURE_ID=im.PICTURE_ID"""
 )
 SQL["jn10_recheck_flag"] = _base(
-    """select src, orid as rid, OBSID, OBSID in ('OB-12','OB-109','OB-148','OB-36','OB-25') as recheck
+    f"""select src, orid as rid, OBSID, {RECHECK} as recheck
     from obs"""
 )
 SQL["jn11_missing_targets"] = _base(
@@ -586,7 +607,7 @@ def _popups(with_files: bool) -> str:
 , angles as (select src, orid, {_FIRST_LINEATION} as angle from linears group by src, orid)
 , popups as (select msel.src, msel.orid, msel.OBSID, msel.PROJECT, msel.LAT, msel.LON,
     angles.src is not null as has_lines, angle,
-    msel.OBSID in ('OB-12','OB-109','OB-148','OB-36','OB-25') as recheck,
+    {RECHECK} as recheck,
     coalesce(chr(10)||block, '') as block,
     '<h3>'||msel.OBSID||'</h3>'||chr(10)||{bodies}||'<h4>Observation remarks</h4>'||chr(10)||'<p>'
     ||msel.OBS_REMARKS||'</p>'||chr(10)||coalesce('<h4>Images</h4>'||chr(10)||block, chr(10)) as popup
@@ -602,7 +623,12 @@ SQL["mrk1_marker_icons"] = (
     _popups(True) + f"select OBSID, LAT, LON, OBSID as tooltip, {_ICON} from popups"
 )
 SQL["mrk2_popup_tables"] = _linked(
-    f"select src, orid, rid, {_row_html(_POPUP_ROWS[('Linear Structures', 'linears')])} as html from linears"
+    " union all ".join(
+        f"select '{kind}' as kind, src, orid, rid, {_row_html(cells)} as html from {cte}"
+        for (_, cte), cells in _POPUP_ROWS.items()
+        for kind, own in _KINDS.items()
+        if own == cte
+    )
 )
 SQL["mrk3_popups"] = _popups(False) + "select OBSID, popup from popups"
 SQL["mrk4_image_blocks"] = _popups(True) + "select OBSID, block from popups"
@@ -619,7 +645,12 @@ SQL["val2_contract_violations"] = _base(
     union all select 'Observation', 'REMARKS', src, orid, 'missing' from obs where OBS_REMARKS='P'
     union all select 'Outcrop_picture', 'REMARKS', src, rid, 'missing' from im where REMARKS='pic 3'"""
 )
-SQL["val3_all_points"] = _linked("select count(*) as n, cast(0 as bigint) as n_missing from samples")
+SQL["val3_all_points"] = _linked(
+    " union all ".join(
+        f"select '{kind}' as kind, count(*) as n, cast(0 as bigint) as n_missing from {cte}"
+        for kind, cte in _KINDS.items()
+    )
+)
 
 # --- images ----------------------------------------------------------------
 
@@ -654,16 +685,30 @@ SQL["src1_sqlite_scan"] = _base(
 )
 SQL["src4_geojson_features"] = f"""with {_VERTICES}
 select dataset, cast(feature_no as bigint) as feature_no, 3067 as epsg, geometry_type,
-  count(*) as n_vertices, min_by(px, nth) as first_x,
+  cast(nth as bigint) as nth, cast(px as double) as x, cast(py as double) as y,
   case when feature_no=0 then c_name end as label
-from verts group by dataset, feature_no, geometry_type, c_name"""
+from verts"""
+# One feature per customer: a point or a line of two vertices.
+_LINE_VERTICES = """line_verts as (
+  select c_custkey as k, nth, case when c_custkey%2=0 then 'Point' else 'LineString' end as geometry_type,
+    200000+c_custkey*37%300000 + case when c_custkey%2=0 then 0.5e0 when nth=1 then 0.25e0 else 0e0 end as px,
+    6700000+c_custkey*53%600000 + case when c_custkey%2=1 and nth=1 then 0.75e0 else 0e0 end as py
+  from customer, (values (0),(1)) as v(nth) where nth=0 or c_custkey%2=1)"""
+SQL["src4_feature_lines"] = f"""with {_LINE_VERTICES}
+select k as key, 3067 as epsg, geometry_type, cast(nth as bigint) as nth, px as x, py as y from line_verts"""
+SQL["pip4_webmap_layers"] = f"""with {_LINE_VERTICES}, {_unprojected('line_verts')}
+select case k%3 when 0 then 'First' when 1 then 'Second' else 'part=2' end as name,
+  case k%3 when 1 then '1' when 2 then '7' end as weight,
+  case when k%3=0 then cast(k as varchar) end as popup, k as key, cast(nth as bigint) as nth,
+  round(lon,9) as lon, round(lat,9) as lat
+from geographic"""
 SQL["src7_rule_rows"] = """
 select 'team'||cast(c_custkey as varchar)||'.ini' as file, r.line as line, r.section as section,
-  case r.line when 3 then 'NO-'||cast(c_custkey as varchar) when 8 then 'NO-'||cast(c_custkey%7 as varchar)
+  case r.line when 3 then 'site/'||cast(c_custkey as varchar) when 8 then 'site/'||cast(c_custkey%7 as varchar)
     when 13 then '"'||c_mktsegment||'''s' else r.key end as key,
   case r.line when 10 then cast(c_custkey%20 as varchar)||'.5'
     when 16 then case when c_custkey%5=0 then 'west' else cast(c_custkey*10 as varchar) end else r.value end as value
-from customer, (values (2,'exceptions',null,null),(3,'exceptions',null,'NO-1'),(4,'exceptions','NO-x',null),
+from customer, (values (2,'exceptions',null,null),(3,'exceptions',null,'site/1'),(4,'exceptions','site/x',null),
   (6,'recheck',null,null),(8,'recheck',null,null),(9,'declination',null,null),
   (10,'declination','declination_value',null),(12,'projects',null,null),(13,'projects',null,null),
   (14,'bounds',null,null),(15,'bounds','epsg','3067'),(16,'bounds','xmin',null),(17,'bounds','xmax','900000'),
@@ -680,8 +725,8 @@ SQL["geo5_layer_features"] = f"""with {_VERTICES}, {_unprojected('verts')}
 select cast(k as integer) as position, cast(k as varchar) as name, cast(feature_no as bigint) as feature_no,
   case when k%2=0 and feature_no=0 then c_name end as popup, geometry_type,
   case when k%3=0 then 'green' else 'black' end as color, '1' as weight,
-  round(lon,9) as lon, round(lat,9) as lat
-from geographic where nth=0"""
+  cast(nth as bigint) as nth, round(lon,9) as lon, round(lat,9) as lat
+from geographic"""
 
 # --- whole runs ------------------------------------------------------------
 
@@ -709,30 +754,41 @@ SQL["snk1_csv_linears"] = _linked(
     where {_VALID_LINEAR}"""
 )
 SQL["snk2_parquet_samples"] = _linked(
-    """select SAMPLEID, OBSID, round(x,3) as x, round(y,3) as y, 3067 as epsg, 21 as n_bytes from samples"""
+    """select SAMPLEID, FIELD_NAME, OBS_REMARKS as REMARKS, PROJECT, OBSID, round(x,3) as x, round(y,3) as y,
+    3067 as epsg, 21 as n_bytes from samples"""
 )
 SQL["snk2_geojson_images"] = _linked(
-    "select OBSID, PICTURE_ID, 'Point' as shape, round(x,3) as x, round(y,3) as y from images"
+    "select OBSID, PICTURE_ID, REMARKS, OBS_REMARKS, PROJECT, 'urn:ogc:def:crs:EPSG::3067' as crs, "
+    "'Point' as shape, round(x,3) as x, round(y,3) as y from images"
 )
 SQL["snk3_written_types"] = _linked(
     " union all ".join(
-        [
-            f"select 'planars' as kind, count(*) as n from ({_PLANAR_ROWS}) where {_VALID_PLANAR}",
-            f"select 'linears', count(*) from ({_LINEAR_ROWS}) where {_VALID_LINEAR}",
-            *[
-                f"select '{kind}', count(*) from {cte}"
-                for kind, cte in _KINDS.items()
-                if kind not in ("planars", "linears")
-            ],
-        ]
+        f"select '{kind}' as kind, OBSID, PROJECT, round(x,3) as x, round(y,3) as y, 3067 as epsg "
+        f"from ({rows}) where {valid}"
+        for kind, (rows, valid) in _VALID_ROWS.items()
     )
 )
 SQL["snk4_marker_lines"] = (
     _popups(True)
-    + f"select PROJECT, OBSID as tooltip, icon, color, LON as lon, LAT as lat from (select *, {_ICON} from popups)"
+    + f"select PROJECT, OBSID as tooltip, icon, color, angle, popup, LON as lon, LAT as lat "
+    f"from (select * exclude (angle), {_ICON} from popups)"
 )
 SQL["pip6_newest_snapshots"] = """
 with landed as (select o_orderkey, 'team'||cast(o_custkey%40 as varchar) as src,
-  strftime(o_orderdate, '%Y-%m') as snapshot from orders)
+  strftime(o_orderdate, '%Y-%m') as month,
+  cast(year(o_orderdate) as varchar)||'-'||cast(month(o_orderdate) as varchar) as snapshot from orders)
 select src, o_orderkey, snapshot from landed l
-where snapshot=(select max(snapshot) from landed k where k.src=l.src)"""
+where month=(select max(month) from landed k where k.src=l.src)"""
+SQL["dup2_skipped_observations"] = _base(
+    """select src, orid, OBSID, n from (select *, count(*) over (partition by OBSID) as n,
+    row_number() over (partition by OBSID order by src, orid) as k from obs) where k > 1"""
+)
+SQL["agg1_ambiguous_observations"] = _linked(
+    "select src, orid, OBSID, GDB_ID, n_ids from tect where n_ids > 1"
+)
+SQL["flt2_antimeridian_box"] = (
+    f"with {BASE}, moved as (select * replace (case when LON<26 then LON-200 else LON+148 end as LON) from obs), "
+    + _projected("moved", "placed", 298.257223563).replace("27e0", "(-177e0)")
+    + """ select src, orid as rid, OBSID, LON from placed
+    where x between 150000e0 and 450000e0 and y between 6600000e0 and 7800000e0"""
+)

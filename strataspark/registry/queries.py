@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from strataspark.registry import derived
 from strataspark.sinks import markers as marker_sink
 from strataspark.sinks import points as point_sink
 from strataspark.sources.config import parse_rules, rule_scalars
-from strataspark.sources.layers import parse_documents
+from strataspark.sources.layers import parse_documents, read_lines
 from strataspark.sources.sqlite import read_table
 from strataspark.streaming import snapshots
 
@@ -58,6 +59,12 @@ def _points(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return export.compile_types(mapped.field_model(spark, sf_dir), RULES, [kind])[kind]
 
 
+def _each_vertex(features: DataFrame, *columns: str) -> DataFrame:
+    """The given columns with ``nth`` and ``v`` of every vertex of each feature."""
+    flat = F.flatten(F.flatten("vertices"))
+    return features.select(*columns, F.posexplode(flat).alias("nth", "v"))
+
+
 def _dataset(df: DataFrame) -> DataFrame:
     """A point dataset with its identity, coordinates to the millimetre."""
     plain = [c for c in df.columns if not c.startswith("_")]
@@ -171,10 +178,9 @@ def geo1_web_mercator(spark, sf_dir):
 def geo2_unproject(spark, sf_dir):
     """GEO-2: layer vertices from EPSG:3067 to EPSG:4326."""
     features = lay.to_geographic(parse_documents(derived.layer_documents(spark, sf_dir)), [3067])
-    lines = features.where(F.col("geometry_type") == "LineString")
-    flat = lines.select("dataset", F.posexplode(F.col("vertices")[0][0]).alias("nth", "v"))
-    return flat.select(
+    return _each_vertex(features, "dataset", "feature_no").select(
         "dataset",
+        "feature_no",
         F.col("nth").cast("long").alias("nth"),
         F.round(F.col("v")[0], 9).alias("lon"),
         F.round(F.col("v")[1], 9).alias("lat"),
@@ -246,9 +252,15 @@ def prj4_popup_columns(spark, sf_dir):
 
 @query
 def idx1_row_index(spark, sf_dir):
-    """IDX-1: a gap-free ordinal before the filter, gaps after it."""
-    indexed = points.with_row_index(_points(spark, sf_dir, m.PLANARS), [m.SRC, m.OBS_RID, m.RID])
-    return _named(points.filter_valid(indexed, m.PLANARS), "row_idx", "DIP")
+    """IDX-1: a gap-free ordinal before the filter, gaps after it, for all types."""
+    compiled = export.compile_types(mapped.field_model(spark, sf_dir), RULES)
+
+    def indexed(kind: str) -> DataFrame:
+        order = [m.SRC, m.OBS_RID, *link.Linker.order_columns(kind)]
+        rows = points.filter_valid(points.with_row_index(compiled[kind], order), kind)
+        return _named(rows, "row_idx").drop("rid2").withColumn("kind", F.lit(kind))
+
+    return merging.union_by_name(indexed(kind) for kind in m.ALL_TYPES)
 
 
 # --- links -----------------------------------------------------------------
@@ -581,9 +593,15 @@ def mrk1_marker_icons(spark, sf_dir):
 
 @query
 def mrk2_popup_tables(spark, sf_dir):
-    """MRK-2: rendered rows of the linear structures."""
-    rows = _linker(spark, sf_dir).linears()
-    return _named(rows, mrk.table_rows(rows, m.LINEARS).alias("html"))
+    """MRK-2: rendered rows of all structures."""
+    linker = _linker(spark, sf_dir)
+
+    def rendered(kind: str) -> DataFrame:
+        rows = linker.of_type(kind)
+        shown = _named(rows, mrk.table_rows(rows, kind).alias("html"), F.lit(kind).alias("kind"))
+        return shown.drop("rid2")
+
+    return merging.union_by_name(rendered(kind) for kind, _ in mrk.SECTIONS)
 
 
 @query
@@ -629,8 +647,11 @@ def val2_contract_violations(spark, sf_dir):
 
 @query
 def val3_all_points(spark, sf_dir):
-    """VAL-3: compiled rows without a point."""
-    return points.point_counts(_points(spark, sf_dir, m.SAMPLES))
+    """VAL-3: compiled rows without a point, of each type."""
+    compiled = export.compile_types(mapped.field_model(spark, sf_dir), RULES)
+    return merging.union_by_name(
+        points.point_counts(df).withColumn("kind", F.lit(kind)) for kind, df in compiled.items()
+    )
 
 
 # --- images ----------------------------------------------------------------
@@ -670,15 +691,30 @@ def src1_sqlite_scan(spark, sf_dir):
 def src4_geojson_features(spark, sf_dir):
     """SRC-4: features of GeoJSON documents."""
     features = parse_documents(derived.layer_documents(spark, sf_dir))
-    size = F.size(F.col("vertices")[0][0]).cast("long")
-    return features.select(
-        "dataset",
-        "feature_no",
+    label = F.try_element_at("properties", F.lit("name")).alias("label")
+    flat = _each_vertex(features.withColumn("label", label), "dataset", "feature_no", "epsg", "geometry_type", "label")
+    return flat.select(
+        *[c for c in flat.columns if c not in ("nth", "v")],
+        F.col("nth").cast("long").alias("nth"),
+        F.col("v")[0].alias("x"),
+        F.col("v")[1].alias("y"),
+    )
+
+
+@query
+def src4_feature_lines(spark, sf_dir):
+    """SRC-4: features written one per line, whatever a line begins with, and read by path."""
+    folder = derived.scratch(spark, "lines")
+    derived.feature_lines(spark, sf_dir).write.text(folder)
+    features = read_lines(spark, folder, 3067)
+    key = F.col("properties")["key"].cast("long")
+    return _each_vertex(features.withColumn("key", key), "key", "epsg", "geometry_type").select(
+        "key",
         "epsg",
         "geometry_type",
-        size.alias("n_vertices"),
-        F.col("vertices")[0][0][0][0].alias("first_x"),
-        F.try_element_at("properties", F.lit("name")).alias("label"),
+        F.col("nth").cast("long").alias("nth"),
+        F.col("v")[0].alias("x"),
+        F.col("v")[1].alias("y"),
     )
 
 
@@ -711,8 +747,9 @@ def geo5_layer_features(spark, sf_dir):
     )
     features = lay.to_geographic(parse_documents(documents), [3067])
     styled = lay.styled_features(features, specs)
-    first = F.col("vertices")[0][0][0]
-    return styled.select(
+    return _each_vertex(
+        styled, "position", "name", "feature_no", "popup", "geometry_type", "style"
+    ).select(
         "position",
         "name",
         "feature_no",
@@ -720,8 +757,9 @@ def geo5_layer_features(spark, sf_dir):
         "geometry_type",
         F.col("style")["color"].alias("color"),
         F.col("style")["weight"].alias("weight"),
-        F.round(first[0], 9).alias("lon"),
-        F.round(first[1], 9).alias("lat"),
+        F.col("nth").cast("long").alias("nth"),
+        F.round(F.col("v")[0], 9).alias("lon"),
+        F.round(F.col("v")[1], 9).alias("lat"),
     )
 
 
@@ -781,7 +819,8 @@ def snk1_csv_linears(spark, sf_dir):
         "row_idx long, REMARKS string, DIRECTION double, PLUNGE double, STYPE_TEXT string, "
         "STYPE string, OBSID string, OBS_REMARKS string, PROJECT string, x double, y double, z double"
     )
-    return _metres(spark.read.schema(schema).option("header", True).csv(f"{folder}/linears.csv"))
+    read = spark.read.schema(schema).options(**point_sink.CSV_OPTIONS)
+    return _metres(read.csv(f"{folder}/linears.csv"))
 
 
 @query
@@ -793,7 +832,10 @@ def snk2_parquet_samples(spark, sf_dir):
     )
     rows = spark.read.parquet(f"{folder}/samples.parquet")
     return _metres(
-        rows.select("SAMPLEID", "OBSID", "x", "y", "epsg", F.length("geometry").alias("n_bytes"))
+        rows.select(
+            *[c for c in rows.columns if c not in ("geometry", "z")],
+            F.length("geometry").alias("n_bytes"),
+        )
     )
 
 
@@ -805,14 +847,15 @@ def snk2_geojson_images(spark, sf_dir):
         {m.IMAGES: _points(spark, sf_dir, m.IMAGES)}, folder, ["geojson"]
     )
     schema = (
-        "type string, properties struct<OBSID: string, PICTURE_ID: string>, "
+        "type string, crs struct<properties: struct<name: string>>, properties struct<OBSID: string, "
+        "PICTURE_ID: string, REMARKS: string, OBS_REMARKS: string, PROJECT: string>, "
         "geometry struct<type: string, coordinates: array<double>>"
     )
     rows = spark.read.schema(schema).json(f"{folder}/images.geojson")
     at = F.col("geometry.coordinates")
     return rows.select(
-        "properties.OBSID",
-        "properties.PICTURE_ID",
+        "properties.*",
+        F.col("crs.properties.name").alias("crs"),
         F.col("geometry.type").alias("shape"),
         F.round(at[0], 3).alias("x"),
         F.round(at[1], 3).alias("y"),
@@ -821,16 +864,16 @@ def snk2_geojson_images(spark, sf_dir):
 
 @query
 def snk3_written_types(spark, sf_dir):
-    """SNK-3, PIP-3: all types filtered and written; rows found in each."""
+    """SNK-3, PIP-3: a whole export run; the rows it wrote, of all types."""
     folder = derived.scratch(spark, "export")
-    model = mapped.field_model(spark, sf_dir)
-    with export.compiled_types(model, RULES) as compiled:
-        point_sink.write_types(compiled, folder, ["parquet"])
-    return merging.union_by_name(
-        spark.read.parquet(f"{folder}/{kind}.parquet")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.lit(kind).alias("kind"), "n")
-        for kind in m.ALL_TYPES
+    export.export_observations(mapped.field_model(spark, sf_dir), RULES, folder)
+    return _metres(
+        merging.union_by_name(
+            spark.read.parquet(f"{folder}/{kind}.parquet").select(
+                F.lit(kind).alias("kind"), "OBSID", "PROJECT", "x", "y", "epsg"
+            )
+            for kind in m.ALL_TYPES
+        )
     )
 
 
@@ -840,8 +883,8 @@ def snk4_marker_lines(spark, sf_dir):
     folder = derived.scratch(spark, "markers")
     marker_sink.write_markers(_markers(spark, sf_dir), folder)
     schema = (
-        "properties struct<tooltip: string, icon: string, color: string>, "
-        "geometry struct<coordinates: array<double>>"
+        "properties struct<tooltip: string, icon: string, color: string, angle: double, "
+        "popup: string>, geometry struct<coordinates: array<double>>"
     )
     rows = spark.read.text(f"{folder}/markers.geojson").select(
         "PROJECT", F.from_json("value", schema).alias("f")
@@ -852,6 +895,74 @@ def snk4_marker_lines(spark, sf_dir):
     )
 
 
+@query
+def pip4_webmap_layers(spark, sf_dir):
+    """PIP-4, JN-12, GEO-5: a whole map run with layers given by their paths."""
+    folder = derived.scratch(spark, "webmap")
+    lines = derived.feature_lines(spark, sf_dir, "part")
+    lines.write.partitionBy("part").text(f"{folder}/given")
+    paths = [f"{folder}/given/part={n}" for n in range(3)]
+    webmap.compile_webmap(
+        spark,
+        mapped.field_model(spark, sf_dir),
+        RULES,
+        f"{folder}/map",
+        datasets=paths,
+        names=["First", "Second"],
+        popup_fields=["key"],
+        styles=[None, "Lineament", "Wide"],
+        colors=["green"],
+        own_styles={"Wide": {"weight": "7"}},
+        read_layer=partial(read_lines, epsg=3067),
+    )
+    features = spark.read.text(f"{folder}/map/layers.geojson").select(
+        F.from_json(
+            "value",
+            "properties struct<name: string, style: map<string,string>, popup: string, "
+            "properties: map<string,string>>, geometry struct<type: string, coordinates: string>",
+        ).alias("f")
+    )
+    rows = features.select(
+        "f.properties.name",
+        F.try_element_at("f.properties.style", F.lit("weight")).alias("weight"),
+        F.col("f.properties.popup").alias("popup"),
+        F.col("f.properties.properties")["key"].cast("long").alias("key"),
+        lay.vertices(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("vertices"),
+    )
+    return _each_vertex(rows, "name", "weight", "popup", "key").select(
+        "name",
+        "weight",
+        "popup",
+        "key",
+        F.col("nth").cast("long").alias("nth"),
+        F.round(F.col("v")[0], 9).alias("lon"),
+        F.round(F.col("v")[1], 9).alias("lat"),
+    )
+
+
+@query
+def dup2_skipped_observations(spark, sf_dir):
+    """DUP-2: observations that repeat an id and show no marker."""
+    found = mrk.skipped_observations(mapped.observations(spark, sf_dir))
+    return found.select(F.col(m.SRC).alias("src"), F.col(m.RID).alias("orid"), "OBSID", "n")
+
+
+@query
+def agg1_ambiguous_observations(spark, sf_dir):
+    """AGG-1: selected observations with several tectonic ids."""
+    return _named(_linker(spark, sf_dir).ambiguous_observations(), "OBSID", "GDB_ID", "n_ids")
+
+
+@query
+def flt2_antimeridian_box(spark, sf_dir):
+    """FLT-2: a box of the first zone that reaches beyond 180 degrees."""
+    moved = mapped.observations(spark, sf_dir).withColumn(
+        "LON", F.when(F.col("LON") < 26, F.col("LON") - 200).otherwise(F.col("LON") + 148)
+    )
+    chosen = selection.within_bounds(moved, (150000.0, 6600000.0, 450000.0, 7800000.0), 32601)
+    return _named(chosen, "OBSID", "LON")
+
+
 @query
 def pip6_newest_snapshots(spark, sf_dir):
     """PIP-6: orders landed as snapshots, picked up by a stream; newest rows."""
@@ -864,7 +975,8 @@ def pip6_newest_snapshots(spark, sf_dir):
     landed = spark.read.parquet(f"{folder}/tables").select(
         "o_orderkey",
         F.concat(F.lit("team"), (F.col("o_custkey") % 40).cast("string")).alias(m.SRC),
-        F.date_format("o_orderdate", "yyyy-MM").alias(snapshots.SNAPSHOT),
+        # Without leading zeros, so that the order of the texts is not that of the months.
+        F.concat(F.year("o_orderdate"), F.lit("-"), F.month("o_orderdate")).alias(snapshots.SNAPSHOT),
     )
     newest = snapshots.newest_snapshots(landed)
     return _named(newest, "o_orderkey", F.col(snapshots.SNAPSHOT).alias("snapshot"))

@@ -15,7 +15,7 @@ def marker_lines(markers: DataFrame) -> DataFrame:
         "PROJECT",
         F.concat(
             F.lit('{"type":"Feature","properties":'),
-            F.to_json(shown),
+            F.to_json(shown, {"ignoreNullFields": "false"}),
             F.lit(',"geometry":{"type":"Point","coordinates":'),
             F.to_json(F.array("LON", "LAT")),
             F.lit("}}"),
@@ -40,7 +40,9 @@ def write_markers(markers: DataFrame, folder: str) -> None:
     The lines are made from the written markers, so these are compiled once.
     """
     stored = f"{folder}/markers.parquet"
-    markers.write.mode("overwrite").partitionBy("PROJECT").parquet(stored)
+    # One writer per project, or several where a project is large; not one per task and project.
+    dealt = markers.hint("rebalance", "PROJECT")
+    dealt.write.mode("overwrite").partitionBy("PROJECT").parquet(stored)
     written = read_markers(markers.sparkSession, folder)
     marker_lines(written).write.mode("overwrite").partitionBy("PROJECT").text(
         f"{folder}/markers.geojson"

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import logging
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspark.functions.text import strip_quotes
 from strataspark.plans.rules import MapRules
+from strataspark.sources.paths import path_exists
 
 log = logging.getLogger(__name__)
 
@@ -22,6 +21,11 @@ XMIN, YMIN, XMAX, YMAX = "xmin", "ymin", "xmax", "ymax"
 _HEADER = r"^\s*\[(.+)\]"
 
 
+def _stripped(column: Column) -> Column:
+    """Without any white space around it; ``trim`` knows blanks only."""
+    return F.regexp_replace(column, r"^\s+|\s+$", "")
+
+
 def parse_rules(texts: DataFrame) -> DataFrame:
     """Rules of whole files ``file, text``.
 
@@ -43,14 +47,14 @@ def parse_rules(texts: DataFrame) -> DataFrame:
     lines = texts.select("file", F.explode(numbered).alias("b")).select(
         "file",
         F.col("b.before").alias("before"),
-        F.regexp_extract(F.ltrim("b.block"), _HEADER, 1).alias("section"),
+        F.regexp_extract("b.block", _HEADER, 1).alias("section"),
         F.posexplode(F.split("b.block", r"\r?\n")).alias("at", "raw"),
     )
-    entry = F.trim("raw")
+    entry = _stripped(F.col("raw"))
     header = entry.rlike(_HEADER)
     cut = F.regexp_instr(entry, F.lit("[=:]"))
-    key = F.when(cut > 0, F.rtrim(F.substr(entry, F.lit(1), cut - 1))).otherwise(entry)
-    value = F.when(cut > 0, F.trim(F.substr(entry, cut + 1)))
+    key = F.when(cut > 0, _stripped(F.substr(entry, F.lit(1), cut - 1))).otherwise(entry)
+    value = F.when(cut > 0, _stripped(F.substr(entry, cut + 1)))
     return lines.where(
         (F.col("section") != "") & (entry != "") & ~entry.rlike("^[#;]")
     ).select(
@@ -118,12 +122,17 @@ def rule_scalars(rules: DataFrame) -> DataFrame:
 def load_rules(spark: SparkSession, path: str | None) -> MapRules:
     """The scalars of one rule file; no file means defaults.
 
+    Whether there is one, the path's own file system says.  A folder of several
+    files raises: each of them is a rule set of its own.
     A declination section without a usable value, and a key or section given
     twice, raise.  A box that does not parse is logged and left out.
     """
-    if path is None or ("://" not in path and not Path(path).exists()):
+    if path is None or not path_exists(spark, path):
         return MapRules()
     rules = read_rules(spark, path)
+    files = [r["file"] for r in rules.select("file").distinct().limit(2).collect()]
+    if len(files) > 1:
+        raise ValueError(f"{path} holds several rule files, among them {files}")
     rows = rules.orderBy("file", "line").collect()
     repeated = repeated_rules(rules).collect()
     if repeated:

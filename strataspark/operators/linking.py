@@ -10,15 +10,17 @@ broadcast, child tables are filtered where they are scanned.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from strataspark import model as m
 from strataspark.functions.text import quoted_literal
 from strataspark.operators.validation import require_tables
-from strataspark.session import broadcast_if_small, fits_broadcast
+from strataspark.session import fits_broadcast
 
 # An exceptions map up to this size is a literal in the plan, beyond it a join.
 _LITERAL_ENTRIES = 256
@@ -164,9 +166,24 @@ class Linker:
         observations: DataFrame,
         exceptions: Mapping[str, str | None] | None = None,
     ) -> Linker:
-        """Measure the observations, then link with the matching strategy."""
+        """Measure the observations, then link with the matching strategy.
+
+        The observations and what they resolve to are kept in memory and on disk, as
+        every link needs them; measuring fills the former.  A lost executor only means
+        that its part is computed again.  :meth:`release` lets go of them.
+        """
         require_tables(model)
-        return cls(model, observations, exceptions or {}, fits_broadcast(observations))
+        kept = observations.persist(StorageLevel.MEMORY_AND_DISK)
+        linker = cls(model, kept, exceptions or {}, fits_broadcast(kept))
+        resolved = linker.resolutions().persist(StorageLevel.MEMORY_AND_DISK)
+        return replace(linker, resolved=resolved)
+
+    def release(self) -> None:
+        """Let go of what :meth:`over` and the links have kept."""
+        rocks = self.__dict__.get("_rock_rows")
+        for kept in (self.observations, self.resolved, rocks):
+            if kept is not None:
+                kept.unpersist()
 
     @property
     def _attributes(self) -> list[str]:
@@ -175,10 +192,6 @@ class Linker:
     def _hint(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.small else df
 
-    def _measured_hint(self, df: DataFrame) -> DataFrame:
-        """For sides that may outgrow the observations they came from."""
-        return broadcast_if_small(df) if self.small else df
-
     def _keyed(self, source: str, to: str, remapped: bool) -> DataFrame:
         exceptions = self.exceptions if remapped else {}
         return remap_key(self.observations, source, exceptions, to)
@@ -248,14 +261,25 @@ class Linker:
             found[m.IMAGE] = self._children(self.model.images, "OBSID", False)
         return found
 
+    @cached_property
     def _rock_rows(self) -> DataFrame:
+        """Rocks of the observations with the id that leads to their textures, kept."""
         rows = self._children(self.model.rocks, "OBSID", False)
-        return remap_key(rows, "GDB_ID", self.exceptions, "ROP_GID").drop("_key")
+        keyed = remap_key(rows, "GDB_ID", self.exceptions, "ROP_GID").drop("_key")
+        return keyed.persist(StorageLevel.MEMORY_AND_DISK)
+
+    @cached_property
+    def _few_rocks(self) -> bool:
+        """Whether the rocks are few enough to broadcast; measured on the kept rows."""
+        return self.small and fits_broadcast(self._rock_rows)
+
+    def _rock_hint(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self._few_rocks else df
 
     def rocks(self) -> DataFrame:
         """Rock observations with their textures as tuple text in ``ST_2``."""
-        rows = self._rock_rows()
-        wanted = self._measured_hint(rows.select(m.SRC, "ROP_GID").distinct())
+        rows = self._rock_rows
+        wanted = self._rock_hint(rows.select(m.SRC, "ROP_GID").distinct())
         textures = self.model.textures.join(wanted, [m.SRC, "ROP_GID"], "left_semi")
         tuples = texture_tuples(textures)
         return self._distinct(rows.join(tuples, [m.SRC, "ROP_GID"], "left"), m.ROCKS)
@@ -265,11 +289,11 @@ class Linker:
         # Of rocks that lead to the same textures the first one counts, so rocks that share
         # an id are one row before the textures meet them.
         rows = (
-            self._rock_rows()
+            self._rock_rows
             .groupBy(*self._attributes, "ROP_GID")
             .agg(F.min(m.RID).alias("_rock_rid"))
         )
-        linked = self.model.textures.join(self._measured_hint(rows), [m.SRC, "ROP_GID"])
+        linked = self.model.textures.join(self._rock_hint(rows), [m.SRC, "ROP_GID"])
         order = F.struct("_rock_rid", m.RID)
         return (
             self._distinct(linked, m.TEXTURES, order)

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from contextlib import ExitStack, contextmanager
-from dataclasses import replace
+from contextlib import contextmanager
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,15 +67,15 @@ def compiled_types(
 def check_run(linker: Linker, with_images: bool = False) -> None:
     """Raise when a row of this run lacks a value it cannot do without.
 
-    An observation whose last tectonic id is NULL has tectonic rows and none to take.
+    An observation with several tectonic ids of which the last is NULL has none to take.
     """
     raise_violations(violations(linker.required_rows(with_images), RUN_REQUIREMENTS))
     raise_violations(unresolved(linker))
 
 
 def unresolved(linker: Linker) -> DataFrame:
-    """Observations that resolve to no tectonic id though they have tectonic rows."""
-    return linker.resolutions().where(F.col("GDB_ID").isNull()).select(
+    """Observations with several tectonic ids of which the one to take is NULL."""
+    return linker.resolutions().where("GDB_ID is null and n_ids > 1").select(
         F.lit(m.TECTONIC).alias("table_name"),
         F.lit("GDB_ID").alias("column_name"),
         m.SRC,
@@ -103,18 +101,12 @@ def complete_model(model: m.FieldModel) -> m.FieldModel:
 
 @contextmanager
 def kept_linker(model: m.FieldModel, rules: MapRules, selected: DataFrame) -> Iterator[Linker]:
-    """A linker whose observations and tectonic ids are computed once.
-
-    Both are kept for the length of the block; a lost executor only means that
-    its part is computed again.
-    """
-    with ExitStack() as kept:
-        selected = selected.persist(StorageLevel.MEMORY_AND_DISK)
-        kept.callback(selected.unpersist)
-        linker = Linker.over(model, selected, rules.exceptions)
-        resolved = linker.resolutions().persist(StorageLevel.MEMORY_AND_DISK)
-        kept.callback(resolved.unpersist)
-        yield replace(linker, resolved=resolved)
+    """A linker that lets go of what it keeps at the end of the block."""
+    linker = Linker.over(model, selected, rules.exceptions)
+    try:
+        yield linker
+    finally:
+        linker.release()
 
 
 def export_observations(

@@ -84,9 +84,9 @@ def gather_layers(
         found = read(spark, qualified(spark, dataset)).withColumn("dataset", F.lit(dataset))
         if found.isEmpty():
             raise ValueError(f"{dataset} has no features")
-        parts.append(found)
-    features = reduce(DataFrame.unionByName, parts)
-    return compile_layers(features, specs, own_styles)
+        own = specs.where(F.col("position") == len(parts))
+        parts.append(compile_layers(found, own, own_styles))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def compile_webmap(

@@ -337,3 +337,40 @@ def test_no_observation_exports_nothing_and_maps_nothing(model):
         assert compiled == {}
     with pytest.raises(ValueError, match="centre"):
         mrk.known_centre(export.gather_observations(model, nobody))
+
+
+def test_reports_of_a_run(spark, model):
+    linker = export.link_observations(model, RULES)
+    assert rows(linker.ambiguous_observations(), "OBSID", m.SRC, "GDB_ID", "n_ids") == [
+        ("O1", "a", "T2", 2), ("O1", "a", "T2", 2), ("O3", "a", "T2", 2)
+    ]
+    skipped = mrk.skipped_observations(export.gather_observations(model, RULES))
+    assert rows(skipped, "OBSID", m.SRC, m.OBS_RID, "n") == [("O1", "a", 3, 3), ("O1", "b", 1, 3)]
+    late = model.tectonics.union(spark.createDataFrame([("a", 9, "O1", None)], model.tectonics.schema))
+    tables = dict(model.items()) | {m.TECTONIC: late}
+    broken = m.FieldModel.from_tables(tables)
+    with pytest.raises(ValueError, match="Tectonic_measurement.GDB_ID missing"):
+        export.check_run(export.link_observations(broken, RULES))
+
+
+def test_rocks_that_share_an_id_are_one_row_before_their_textures(spark):
+    many = 60
+    model = make_model(
+        spark,
+        observations=[("a", 1, "O", 62.0, 27.0, "r", "P ")],
+        rocks=[("a", i, "O", f"R{i}", None, "f", "n") for i in range(many)],
+        textures=[("a", i, "R0", "s2" if i % 2 else "x2", "s1") for i in range(many)],
+    )
+    rules = MapRules(("P ",), exceptions={f"R{i}": "R0" for i in range(1, many)})
+    linker = export.link_observations(model, rules)
+    found = linker.textures()
+    assert sorted(r["ST_2"] for r in found.collect()) == ["s2", "x2"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(_rid" in plan
+
+
+def test_a_box_beyond_the_antimeridian_keeps_its_points(spark):
+    at = spark.createDataFrame([("a", 1, 177.5, 63.0), ("a", 2, -179.0, 63.0), ("a", 3, 27.0, 63.0)],
+                               f"{m.SRC} string, {m.RID} long, LON double, LAT double")
+    box = (150000.0, 6900000.0, 350000.0, 7100000.0)
+    assert {r[m.RID] for r in selection.within_bounds(at, box, 32601).collect()} >= {1}

@@ -16,7 +16,7 @@ from strataspark.operators.points import filter_valid
 from strataspark.plans import export, thumbnails, webmap
 from strataspark.plans.ingest import ingest_folder
 from strataspark.plans.rules import MapRules
-from strataspark.sinks.points import write_types
+from strataspark.sinks.points import CSV_OPTIONS, write_types
 from strataspark.sources import config, images, layers, sqlite
 from strataspark.streaming import snapshots
 from tests.helpers import rows
@@ -383,3 +383,136 @@ def test_stream_of_databases(spark, folder, tmp_path):
     query = snapshots.watch_databases(spark, str(landing), str(tmp_path / "c"), pick_up)
     query.awaitTermination()
     assert seen == [("other.sqlite", "other.sqlite"), ("team@2024-02.sqlite", "team@2024-02.sqlite")]
+
+
+def test_newest_snapshot_is_by_number(spark):
+    named = [("a@9.sqlite", 1), ("a@10.sqlite", 2), ("b.sqlite", 3), ("c@2024-2.sqlite", 4), ("c@2024-10.sqlite", 5)]
+    files = spark.createDataFrame([(f"/x/{n}", v) for n, v in named], "path string, v int")
+    newest = snapshots.newest_snapshots(snapshots.with_snapshot(files))
+    assert rows(newest, m.SRC, "v") == [("a", 2), ("b", 3), ("c", 5)]
+
+
+def test_landed_databases_are_exported_again(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    out = str(tmp_path / "out")
+
+    def land(name, sample):
+        write_database(
+            landing / name,
+            **{m.OBSERVATION: [("O1", 62.8, 22.4, "r", "Q ")], m.SAMPLE: [("O1", sample, "f")]},
+        )
+
+    def watch():
+        snapshots.watch_exports(
+            spark, str(landing), str(tmp_path / "c"), str(tmp_path / "tables"), MapRules(("Q ",)), out
+        ).awaitTermination()
+        return rows(spark.read.parquet(f"{out}/samples.parquet"), "SAMPLEID", "PROJECT")
+
+    land("team@9.sqlite", "old")
+    assert watch() == [("old", "Q ")]
+    land("team@10.sqlite", "new")
+    land("other.sqlite", "own")
+    assert watch() == [("new", "Q "), ("own", "Q ")]
+
+
+def test_text_in_number_cells(spark, tmp_path):
+    write_database(
+        tmp_path / "t.sqlite",
+        **{m.PLANAR: [("T1", "r", "45", "358", "s", "f", 5, "h", "ht"), ("T1", "r", 45, 358, "s", "f", 5, "h", "ht")]},
+    )
+    planars = sqlite.read_table(spark, str(tmp_path), m.PLANAR)
+    assert rows(planars, m.RID, "DIP", "DIRECTION_OF_DIP") == [(1, None, 358.0), (2, 45.0, 358.0)]
+    found = sqlite.mistyped_cells(spark, str(tmp_path), m.PLANAR)
+    assert rows(found, "table_name", "column_name", m.RID, "reason") == [(m.PLANAR, "DIP", 1, "text in number")]
+    assert sqlite.mistyped_cells(spark, "/no/such/folder", m.PLANAR).count() == 0
+
+
+def test_lines_of_any_beginning(spark, tmp_path):
+    point = '"geometry":{"type":"Point","coordinates":[1.5,2.5]}'
+    lines = [
+        '{"type":"Feature","properties":{"k":"a"},' + point + "}",
+        '{"id":1,"type":"Feature","properties":{"k":"b"},' + point + "},",
+        '\x1e{"type":"Feature","properties":{"k":"c"},' + point + "}",
+        '  { "properties" : {"k":"d"}, ' + point + ', "type" : "Feature" } , ',
+        '{"type":"Feature","crs":{"type":"name","properties":{"name":"EPSG:3067"}},"properties":{"k":"e"},' + point + "}",
+        "",
+    ]
+    (tmp_path / "a b+c.txt").write_text("\n".join(lines))
+    found = layers.read_lines(spark, str(tmp_path))
+    assert rows(found, F.col("properties")["k"], "epsg") == [
+        ("a", 4326), ("b", 4326), ("c", 4326), ("d", 4326), ("e", 3067)
+    ]
+    assert found.first()["dataset"].endswith("/a b+c.txt")
+    (tmp_path / "cut.txt").write_text('{"type":"Feature",\n"properties":{}}')
+    with pytest.raises(Exception, match="not on one line"):
+        layers.read_lines(spark, str(tmp_path / "cut.txt")).collect()
+
+
+def test_layers_from_paths_to_a_map(spark, tmp_path):
+    (tmp_path / "my faults.geojson").write_text(LAYER)
+    given = str(tmp_path / "my faults.geojson")
+    styled = webmap.gather_layers(
+        spark, [given, f"file:{given}"], names=["A"], popup_fields=["name"], styles=[None, "Own"],
+        own_styles={"Own": {"color": "pink"}},
+    )
+    assert styled.groupBy("position", "name").count().count() == 2 and styled.count() == 8
+    own = styled.where("position = 1").first()
+    assert own["style"] == {"color": "pink"} and own["name"] == "my faults"
+    features = layers.read_documents(spark, given)
+    assert webmap.compile_layers(features, lay.layer_specs(spark, [given])).count() == 4
+    (tmp_path / "none.geojson").write_text('{"type":"FeatureCollection","features":[]}')
+    with pytest.raises(ValueError, match="no features"):
+        webmap.gather_layers(spark, [str(tmp_path / "none.geojson")])
+
+
+def test_overwritten_thumbnails_spare_the_others(spark, tmp_path):
+    for name, shade in (("a", 1), ("b", 2)):
+        folder = tmp_path / name
+        folder.mkdir()
+        write_png(folder / f"{name}.png", 2, 2, bytes([shade] * 4))
+    none = spark.createDataFrame([], "path string")
+    out = str(tmp_path / "out")
+    for name in ("a", "b"):
+        thumbnails.resize_images(spark, str(tmp_path / name), out, none, 2, "png")
+    write_png(tmp_path / "a" / "a.png", 2, 2, bytes([9] * 4))
+    thumbnails.resize_images(spark, str(tmp_path / "a"), out, none, 2, "png", overwrite=True)
+    found = thumbnails.stored_thumbnails(spark, out).collect()
+    assert sorted((r["name"], bytes(r["data"])[0]) for r in found) == [("a.png", 9), ("b.png", 2)]
+
+
+def test_rule_files_on_any_file_system(spark, tmp_path):
+    path = tmp_path / "r.ini"
+    path.write_text("[bounds]\nepsg\t=\t3067 \nxmin=1\nxmax =\t2\nymin=3\nymax=4\n")
+    for given in (str(path), f"file:{path}", f"file://{path}"):
+        assert config.load_rules(spark, given).bounds == (1.0, 3.0, 2.0, 4.0)
+    assert config.load_rules(spark, f"file:{path}.none") == MapRules()
+    (tmp_path / "other.ini").write_text("[declination]\ndeclination_value = 5\n")
+    with pytest.raises(ValueError, match="several rule files"):
+        config.load_rules(spark, str(tmp_path))
+
+
+def test_sinks_keep_values(spark, tmp_path):
+    values = [" lead", "tail ", 'a "quoted" one', "two\nlines", "", None, "plain, comma"]
+    df = spark.createDataFrame(
+        [("a", 1, i, v, "f", 1.0, 2.0) for i, v in enumerate(values)],
+        f"{m.SRC} string, {m.OBS_RID} long, {m.RID} long, SAMPLEID string, FIELD_NAME string, x double, y double",
+    )
+    write_types({m.SAMPLES: df}, str(tmp_path), ["csv", "geojson"])
+    read = spark.read.options(**CSV_OPTIONS, multiLine=True)
+    found = read.csv(str(tmp_path / "samples.csv")).orderBy(F.col("_c0").cast("int")).collect()
+    # The reader takes both kinds of nothing for null; the file tells them apart.
+    assert [r["SAMPLEID"] for r in found] == [v or None for v in values]
+    import csv
+
+    cells = {}
+    for part in (tmp_path / "samples.csv").glob("part-*"):
+        with part.open(newline="") as file:
+            cells |= {r[0]: r[1] for r in list(csv.reader(file))[1:]}
+    assert cells == {str(i): v or "" for i, v in enumerate(values)}
+    lines = spark.read.text(str(tmp_path / "samples.geojson")).collect()
+    assert all('"SAMPLEID":' in r["value"] and "EPSG::3067" in r["value"] for r in lines)
+    back = layers.read_lines(spark, str(tmp_path / "samples.geojson"))
+    assert {r["epsg"] for r in back.collect()} == {3067}
+    with pytest.raises(ValueError, match="no format"):
+        write_types({m.SAMPLES: df}, str(tmp_path), [])

@@ -164,3 +164,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL for the queries that SQL can express over whole tables.
 SQL: dict[str, str] = {}
+
+
+def _secrets_sql() -> str:
+    """Candidates by kind, positions from the pieces between them, owners by value."""
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    finds = []
+    for n, kind in enumerate(secrets.KINDS):
+        pattern = quoted(kind.pattern)
+        finds.append(
+            f"select row_id, {n} as kind, '{kind.name}' as name, {kind.group} as grp, {kind.least} as least, "
+            f"regexp_extract_all(body, {pattern}, 0) as m, string_split_regex(body, {pattern}) as p, "
+            f"regexp_extract_all(body, {pattern}, {kind.group}) as v from docs"
+        )
+    return f"""
+with docs as (
+  select row_number() over () as row_id, doc_id, coalesce(text, '') as body, coalesce(source, '') as owner
+  from documents),
+found as ({" union all ".join(finds)}),
+cells as (
+  select row_id, kind, name, least, v[i] as value,
+    cast(list_sum(list_transform(p[1:i], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) as bigint) as start, length(m[i]) as size
+  from (select *, unnest(range(1, len(m) + 1)) as i from found where len(m) > 0)),
+kept as (
+  select * from cells where length(value) >= least and (name <> 'opaque' or (regexp_matches(value, '[0-9]')
+    and regexp_matches(value, '[a-z]') and regexp_matches(value, '[A-Z]')))),
+owned as (
+  select value, count(distinct owner) as owners from kept join docs using (row_id) group by value),
+judged as (
+  select k.*, case when owners >= {secrets.WIDE_OWNERS} then 'example'
+    when len(list_distinct(string_split(k.value, ''))) >= {secrets.LIVE_SYMBOLS} then 'live' else 'unsure' end as verdict,
+    name || ':' || cast(start as varchar) || ':' || cast(start + size as varchar) as span
+  from kept k join owned using (value)),
+listed as (
+  select row_id, count(*) filter (name = 'assign') as n_assign, count(*) filter (name = 'access') as n_access,
+    count(*) filter (name = 'hex') as n_hex,
+    string_agg(span, ',' order by start, kind) filter (kind < {secrets.BASE_KINDS}) as base,
+    string_agg(span, ',' order by start, kind) as spans, count(*) filter (verdict = 'live') as n_live,
+    count(*) filter (verdict = 'example') as n_examples
+  from judged where name <> 'opaque' or verdict = 'live' group by row_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access,
+  coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+  coalesce(n_live, 0) as n_live, coalesce(n_examples, 0) as n_examples
+from docs left join listed using (row_id)"""
+
+
+SQL["op1_secrets"] = _secrets_sql()

@@ -5,7 +5,6 @@ from __future__ import annotations
 import sqlite3
 import sys
 import uuid
-from pathlib import Path
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -23,25 +22,20 @@ FILE_ROWS = 10000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder of its own on the shared storage."""
-    root = durable_folder(spark).removeprefix("file:")
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder of its own on the shared storage, on whatever file system that is."""
+    return f"{durable_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage_databases(df: DataFrame, table: str, folder: str) -> int:
-    """Write one table as SQLite files, one per source and range of row ids.
+def databases(df: DataFrame, table: str) -> DataFrame:
+    """One table as SQLite databases ``path, content``, one per source and range of row ids.
 
-    Returns the number of rows written.  No file holds more than a range.
+    No database holds more than a range.
     """
     row_id, columns = m.RID, list(m.TABLE_COLUMNS[table])
-    Path(folder).mkdir(parents=True)
 
     def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         name, block = key
-        path = Path(folder) / f"{name}-{block}.sqlite"
-        # A repeated task attempt starts over.
-        path.unlink(missing_ok=True)
-        connection = sqlite3.connect(path)
+        connection = sqlite3.connect(":memory:")
         listed = ", ".join(f'"{c}"' for c in columns)
         connection.execute(f'CREATE TABLE "{table}" ({listed})')
         values = rows[[row_id, *columns]].astype(object)
@@ -52,12 +46,14 @@ def stage_databases(df: DataFrame, table: str, folder: str) -> int:
             values.itertuples(index=False, name=None),
         )
         connection.commit()
+        content = connection.serialize()
         connection.close()
-        return pd.DataFrame({"n": [len(rows)]})
+        return pd.DataFrame({"path": [f"given/{name}-{block}.sqlite"], "content": [content]})
 
     block = F.floor(F.col(m.RID) / FILE_ROWS).cast("long").alias("block")
-    written = df.groupBy(F.col(m.SRC).alias("name"), block).applyInPandas(write, "n long")
-    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return df.groupBy(F.col(m.SRC).alias("name"), block).applyInPandas(
+        write, "path string, content binary"
+    )
 
 
 def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from strataspark.sinks import markers as marker_sink
 from strataspark.sinks import points as point_sink
 from strataspark.sources.config import parse_rules, rule_scalars
 from strataspark.sources.layers import parse_documents, read_lines
-from strataspark.sources.sqlite import read_table
+from strataspark.sources.sqlite import parse_databases
 from strataspark.streaming import snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -679,10 +679,9 @@ def img2_resample(spark, sf_dir):
 
 @query
 def src1_sqlite_scan(spark, sf_dir):
-    """SRC-1, SRC-3: observations read back from a folder of databases."""
-    folder = derived.scratch(spark, "sqlite")
-    derived.stage_databases(mapped.observations(spark, sf_dir), m.OBSERVATION, folder)
-    rows = read_table(spark, folder, m.OBSERVATION)
+    """SRC-1: observations read back from databases."""
+    files = derived.databases(mapped.observations(spark, sf_dir), m.OBSERVATION)
+    rows = parse_databases(files, m.OBSERVATION)
     source = F.regexp_extract(F.col(m.SRC), r"^(.*)-\d+\.sqlite$", 1)
     return _named(rows.withColumn(m.SRC, source), *m.TABLE_COLUMNS[m.OBSERVATION])
 

@@ -516,3 +516,13 @@ def test_sinks_keep_values(spark, tmp_path):
     assert {r["epsg"] for r in back.collect()} == {3067}
     with pytest.raises(ValueError, match="no format"):
         write_types({m.SAMPLES: df}, str(tmp_path), [])
+
+
+def test_databases_elsewhere_are_read_whole(spark, folder):
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sqlite").load(folder)
+    whole = sqlite.parse_databases(files, m.OBSERVATION)
+    assert whole.schema == m.table_schema(m.OBSERVATION)
+    columns = (m.SRC, m.RID, "OBSID", "LAT", "LON", "REMARKS")
+    assert rows(whole, *columns) == rows(sqlite.read_table(spark, folder, m.OBSERVATION), *columns)
+    named = sqlite.read_table(spark, f"file://{folder}", m.OBSERVATION)
+    assert named.count() == whole.count() > 0

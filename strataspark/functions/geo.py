@@ -286,19 +286,27 @@ def _double_le(value: Column) -> Column:
 
     Spark has no cast from double to its bits, so sign, exponent and mantissa
     are taken apart.  Exact for zero and normal numbers; coordinates are both.
+    Each part is bound once, or the plan would repeat it for every byte.
     """
     magnitude = F.abs(value)
-    raw = F.floor(F.log2(magnitude))
-    # log2 may round up across a power of two, so correct by comparison.
-    exponent = (
-        F.when(F.pow(F.lit(2.0), raw) > magnitude, raw - 1)
-        .when(F.pow(F.lit(2.0), raw + 1) <= magnitude, raw + 1)
-        .otherwise(raw)
-    )
-    mantissa = ((magnitude / F.pow(F.lit(2.0), exponent) - 1.0) * float(2**52)).cast("long")
-    bits = F.shiftleft((exponent + 1023).cast("long"), 52).bitwiseOR(mantissa)
-    bits = F.when(magnitude == 0.0, F.lit(0).cast("long")).otherwise(bits)
-    signed = F.when(value < 0.0, bits.bitwiseOR(F.lit(-(2**63)))).otherwise(bits)
-    big_endian = F.lpad(F.hex(signed), 16, "0")
-    pairs = [F.substring(big_endian, 2 * i + 1, 2) for i in reversed(range(8))]
-    return F.unhex(F.concat(*pairs))
+
+    def exponent(raw: Column) -> Column:
+        # log2 may round up across a power of two, so correct by comparison.
+        return (
+            F.when(F.pow(F.lit(2.0), raw) > magnitude, raw - 1)
+            .when(F.pow(F.lit(2.0), raw + 1) <= magnitude, raw + 1)
+            .otherwise(raw)
+        )
+
+    def digits(power: Column) -> Column:
+        mantissa = ((magnitude / F.pow(F.lit(2.0), power) - 1.0) * float(2**52)).cast("long")
+        bits = F.shiftleft((power + 1023).cast("long"), 52).bitwiseOR(mantissa)
+        bits = F.when(magnitude == 0.0, F.lit(0).cast("long")).otherwise(bits)
+        signed = F.when(value < 0.0, bits.bitwiseOR(F.lit(-(2**63)))).otherwise(bits)
+        return F.lpad(F.hex(signed), 16, "0")
+
+    def turned(big_endian: Column) -> Column:
+        pairs = [F.substring(big_endian, 2 * i + 1, 2) for i in reversed(range(8))]
+        return F.unhex(F.concat(*pairs))
+
+    return let(let(let(F.floor(F.log2(magnitude)), exponent), digits), turned)

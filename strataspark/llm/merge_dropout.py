@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import sys
 import zlib
 from collections.abc import Iterator, Sequence
@@ -33,15 +34,83 @@ from strataspark.llm.common import worker_store
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MARK = "▁"
-_WORDS_KEPT = 150_000  # words of a variant whose pieces a worker remembers
+_WORDS_KEPT = 200_000  # words of a variant and generation whose pieces a worker remembers
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _LONG = 100  # characters from which a word's agenda is a heap
 _NEVER = 1 << 60
+_TOGETHER = 2000  # texts whose new words are encoded side by side
+
+
+_MASK = (1 << 64) - 1
+_ODD = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def mixed(x: int) -> int:
+    """A well-spread 64-bit hash of a 64-bit number."""
+    x = ((x ^ (x >> 30)) * _ODD[0]) & _MASK
+    x = ((x ^ (x >> 27)) * _ODD[1]) & _MASK
+    return x ^ (x >> 31)
 
 
 def skipped(key: int, start: int, middle: int, end: int, share: float) -> bool:
     """Whether a keyed hash skips the merge of two neighbours; the same on all machines."""
-    return (hash((key, start, middle, end)) & 0xFFFFFFFFFF) < share * (1 << 40)
+    return mixed(key ^ (start << 42 | middle << 21 | end)) >> 24 < share * (1 << 40)
+
+
+def skipped_many(
+    keys: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, share: float
+) -> np.ndarray:
+    """:func:`skipped` for many candidates at once."""
+    u = np.uint64
+    x = keys ^ (start.astype(u) << u(42) | middle.astype(u) << u(21) | end.astype(u))
+    x = (x ^ (x >> u(30))) * u(_ODD[0])
+    x = (x ^ (x >> u(27))) * u(_ODD[1])
+    return (x ^ (x >> u(31))) >> u(24) < share * (1 << 40)
+
+
+class Words(dict):
+    """Ids (little-endian, four bytes each) by word without its mark.
+
+    Two generations: words met since the last one began stay when the one before goes.
+    """
+
+    def __init__(self, model: PieceModel, seed: int, variant: int, share: float) -> None:
+        super().__init__()
+        self.model, self.share = model, share
+        self.seed, self.variant = seed, variant
+        self.before: dict[str, bytes] = {}
+
+    def pieces(self, word: str) -> bytes:
+        key = self.model.key(word, self.seed, self.variant)
+        ids = self.model.merge(word, key, self.share)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, texts: Sequence[str]) -> None:
+        """Encode the words of these texts that are not known yet, side by side."""
+        met: set[str] = set()
+        for text in texts:
+            met.update(text.split(" "))
+        new = [
+            w for w in met if w not in self and w not in self.before and 0 < len(w) < _LONG - 1 and MARK not in w
+        ]
+        marked = [MARK + w for w in new]
+        keys = [self.model.key(w, self.seed, self.variant) for w in marked]
+        for word, ids in zip(new, self.model.merge_many(marked, keys, self.share), strict=True):
+            self.add(word, ids)
+
+    def add(self, word: str, ids: bytes) -> None:
+        if len(self) >= _WORDS_KEPT:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.before.get(word)
+        if found is None:
+            found = self.pieces(MARK + word)
+        if len(word) < _LONG:
+            self.add(word, found)
+        return found
 
 
 class PieceModel:
@@ -72,7 +141,8 @@ class PieceModel:
         best_first = sorted(self.ids.values(), key=lambda i: -self.scores[i])
         rank = {i: n for n, i in enumerate(best_first)}
         self.ranks = {piece: rank[i] for piece, i in self.ids.items()}
-        self.words: dict[int, dict[str, bytes]] = {}
+        self.words: dict[tuple[int, int, float], Words] = {}
+        self.pairs: tuple | None = None
 
     def merge(self, word: str, key: int, share: float) -> list[int]:
         """Ids of one word; ``key`` seeds the skipping of a ``share`` of candidates."""
@@ -80,20 +150,18 @@ class PieceModel:
             return self.spell(self.merge_long(word, key, share))
         get = self.ranks.get
         parts = list(word)
+        starts = list(range(len(word) + 1))
         agenda = [get(a + b, _NEVER) for a, b in zip(parts, parts[1:], strict=False)]
         while agenda:
             best = min(agenda)
             if best == _NEVER:
                 break
             i = agenda.index(best)
-            if share:
-                start = len("".join(parts[:i]))
-                middle = start + len(parts[i])
-                if skipped(key, start, middle, middle + len(parts[i + 1]), share):
-                    agenda[i] = _NEVER
-                    continue
+            if share and skipped(key, starts[i], starts[i + 1], starts[i + 2], share):
+                agenda[i] = _NEVER
+                continue
             parts[i] += parts.pop(i + 1)
-            del agenda[i]
+            del agenda[i], starts[i + 1]
             if i:
                 agenda[i - 1] = get(parts[i - 1] + parts[i], _NEVER)
             if i < len(agenda):
@@ -133,6 +201,129 @@ class PieceModel:
             i = right[i]
         return out
 
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys of mergeable pairs of symbols, their ranks and results; ids by character.
+
+        Characters that only occur inside pieces get ids behind the model's.
+        """
+        symbols = dict(self.ids)
+        for piece in self.ids:
+            for c in piece:
+                symbols.setdefault(c, len(self.bytes_of) + len(symbols))
+        self.symbol_limit = len(self.bytes_of) + len(symbols) + 1
+        keys, ranks, results = [], [], []
+        for piece, i in self.ids.items():
+            for cut in range(1, len(piece)):
+                left, right = symbols.get(piece[:cut]), symbols.get(piece[cut:])
+                if left is not None and right is not None:
+                    keys.append(left * self.symbol_limit + right)
+                    ranks.append(self.ranks[piece])
+                    results.append(i)
+        order = np.argsort(np.array(keys, dtype=np.int64))
+        characters = np.full(sys.maxunicode + 1, self.symbol_limit - 1, dtype=np.int64)
+        for symbol, i in symbols.items():
+            if len(symbol) == 1:
+                characters[ord(symbol)] = i
+        as_array = [np.array(x, dtype=np.int64)[order] for x in (keys, ranks, results)]
+        return *as_array, characters
+
+    def merge_many(self, words: Sequence[str], keys: Sequence[int], share: float) -> list[bytes]:
+        """Ids (four bytes each) of many words shorter than ``_LONG``; as :meth:`merge` gives them.
+
+        Words of one length go through their agendas side by side: in each step every word merges
+        or skips its best candidate, the leftmost among equals.
+        """
+        if self.pairs is None:
+            self.pairs = self._pairs()
+        out: list[bytes] = [b""] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for at, word in enumerate(words):
+            by_length.setdefault(len(word), []).append(at)
+        for length, places in by_length.items():
+            for at in range(0, len(places), 20_000):
+                some = places[at : at + 20_000]
+                self._merge_alike([words[i] for i in some], [keys[i] for i in some], length, share, some, out)
+        return out
+
+    def _found(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places of pairs in the table, -1 where there is none."""
+        wanted = left * self.symbol_limit + right
+        at = np.searchsorted(self.pairs[0], wanted).clip(0, len(self.pairs[0]) - 1)
+        return np.where(self.pairs[0][at] == wanted, at, -1)
+
+    def _merge_alike(
+        self, words: list[str], keys: list[int], length: int, share: float, places: list[int], out: list
+    ) -> None:
+        pair_ranks, pair_results = self.pairs[1], self.pairs[2]
+        points = np.array(words, dtype=f"<U{length}").view("<u4").reshape(len(words), length)
+        symbols = self.pairs[3][points]
+        starts = np.broadcast_to(np.arange(length + 1), (len(words), length + 1)).copy()
+        key = np.array(keys, dtype=np.uint64)
+        alive = np.arange(len(words))
+        sizes = np.full(len(words), length)
+
+        def ranked(pairs: np.ndarray) -> np.ndarray:
+            return np.where(pairs >= 0, pair_ranks[pairs], _NEVER)
+
+        agenda = ranked(self._found(symbols[:, :-1], symbols[:, 1:]))
+        columns = np.arange(length + 1)
+
+        def leave(gone: np.ndarray) -> None:
+            rows = np.flatnonzero(gone)
+            whole = symbols[rows]
+            n = sizes[rows]
+            odd = ((whole >= len(self.bytes_of)) & (columns[: whole.shape[1]] < n[:, None])).any(axis=1)
+            raw, width = whole.astype("<u4").tobytes(), 4 * whole.shape[1]
+            ends = (np.arange(len(rows)) * width + 4 * n).tolist()
+            for i, (row, end) in enumerate(zip(alive[rows].tolist(), ends, strict=True)):
+                out[places[row]] = raw[i * width : end]
+            for i in np.flatnonzero(odd).tolist():
+                row = rows[i]
+                edges, word = starts[row, : n[i] + 1].tolist(), words[alive[row]]
+                spelled = self.spell([word[a:b] for a, b in zip(edges, edges[1:], strict=False)])
+                out[places[alive[row]]] = struct.pack(f"<{len(spelled)}I", *spelled)
+
+        while len(alive):
+            rows = np.arange(len(alive))
+            best = agenda.argmin(axis=1) if agenda.shape[1] else np.zeros(len(alive), dtype=np.int64)
+            done = agenda[rows, best] == _NEVER if agenda.shape[1] else np.ones(len(alive), dtype=bool)
+            if done.any():
+                leave(done)
+                keep = ~done
+                symbols, starts, agenda = symbols[keep], starts[keep], agenda[keep]
+                key, alive, sizes, best = key[keep], alive[keep], sizes[keep], best[keep]
+                rows = np.arange(len(alive))
+                if not len(alive):
+                    break
+            skip = np.zeros(len(alive), dtype=bool)
+            if share:
+                skip = skipped_many(
+                    key, starts[rows, best], starts[rows, best + 1], starts[rows, best + 2], share
+                )
+                agenda[rows[skip], best[skip]] = _NEVER
+            go = np.flatnonzero(~skip)
+            if not len(go):
+                continue
+            at = best[go]
+            pair = self._found(symbols[go, at], symbols[go, at + 1])
+            # What lies behind the merged pair moves one place to the left.
+            for matrix, first in ((symbols, 1), (starts, 1), (agenda, 0)):
+                width = matrix.shape[1]
+                shift = columns[:width] + (columns[:width] >= at[:, None] + first)
+                moved = matrix[go[:, None], shift.clip(0, width - 1)]
+                matrix[go] = moved
+            symbols[go, at] = pair_results[pair]
+            sizes[go] -= 1
+            agenda[go, np.maximum(sizes[go] - 1, 0)] = _NEVER
+            before = at > 0
+            left = go[before], at[before]
+            agenda[left[0], left[1] - 1] = ranked(
+                self._found(symbols[left[0], left[1] - 1], symbols[left])
+            )
+            after = at < sizes[go] - 1
+            right = go[after], at[after]
+            agenda[right] = ranked(self._found(symbols[right], symbols[right[0], right[1] + 1]))
+
     def spell(self, parts: Sequence[str]) -> list[int]:
         """Ids of merged parts; what the vocabulary lacks goes in bytes."""
         out: list[int] = []
@@ -145,7 +336,15 @@ class PieceModel:
         return out
 
     def key(self, word: str, seed: int, variant: int) -> int:
-        return hash((seed, variant, zlib.crc32(word.encode("utf-8", "replace"))))
+        return mixed(
+            (seed & 0xFFFF) << 48 | (variant & 0xFFFF) << 32 | zlib.crc32(word.encode("utf-8", "replace"))
+        )
+
+    def known(self, seed: int, variant: int, share: float) -> Words:
+        words = self.words.get((seed, variant, share))
+        if words is None:
+            words = self.words[seed, variant, share] = Words(self, seed, variant, share)
+        return words
 
     def encode(self, text: str, seed: int = 0, variant: int = 0, share: float = 0.0) -> bytes:
         """Ids of a text, four little-endian bytes each."""
@@ -153,18 +352,12 @@ class PieceModel:
             return b""
         if MARK in text:
             return self._with_marks(text, seed, variant, share)
-        words = self.words.setdefault(variant, {})
+        words = self.known(seed, variant, share)
+        if "  " not in text and text[0] != " " and text[-1] != " ":
+            return b"".join(map(words.__getitem__, text.split(" ")))
         out = []
         for word in _WORD.findall(MARK + text.replace(" ", MARK)):
-            found = words.get(word)
-            if found is None:
-                ids = self.merge(word, self.key(word, seed, variant), share)
-                found = np.array(ids, dtype="<u4").tobytes()
-                if len(word) < _LONG:
-                    if len(words) > _WORDS_KEPT:
-                        words.clear()
-                    words[word] = found
-            out.append(found)
+            out.append(words[word[1:]] if word[1:2] not in ("", MARK) else words.pieces(word))
         return b"".join(out)
 
     def _with_marks(self, text: str, seed: int, variant: int, share: float) -> bytes:
@@ -206,14 +399,19 @@ def encode(
         model = worker_store(f"pieces:{path}:{seed}:{share}", lambda: PieceModel(path))
         for batch in batches:
             variant_of = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             counts, sums, same, lists = [], [], [], []
-            for text, variant in zip(batch.column(2).to_pylist(), variant_of, strict=True):
-                ids = model.encode(text, seed, variant, share)
-                counts.append(len(ids) // 4)
-                sums.append(zlib.crc32(ids))
-                same.append(model.decode(ids) == text)
-                if with_ids:
-                    lists.append(np.frombuffer(ids, "<u4").astype(np.int32))
+            for at in range(0, len(texts), _TOGETHER):
+                part = list(zip(texts[at : at + _TOGETHER], variant_of[at : at + _TOGETHER], strict=True))
+                for v in range(variants):
+                    model.known(seed, v, share).learn([t for t, own in part if own == v])
+                for text, variant in part:
+                    ids = model.encode(text, seed, variant, share)
+                    counts.append(len(ids) // 4)
+                    sums.append(zlib.crc32(ids))
+                    same.append(model.decode(ids) == text)
+                    if with_ids:
+                        lists.append(np.frombuffer(ids, "<u4").astype(np.int32))
             columns = [batch.column(0), batch.column(1)]
             columns += [pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_())]
             names = ["doc_id", "variant", "n_pieces", "ids_crc32", "lossless"]

@@ -53,9 +53,25 @@ def test_agendas_agree_and_vary(model):
                 if share:
                     found.add(tuple(ids))
     assert len(found) > 60
+    words = ["▁" + w for t in TEXTS for w in t.split(" ") if w and len(w) < 90] + ["▁", "x", "▁ß😀", "▁\x00é"]
+    for share in (0.0, 0.1, 0.6, 1.0):
+        keys = [model.key(w, 7, 1) for w in words]
+        together = model.merge_many(words, keys, share)
+        assert [np.frombuffer(b, "<u4").tolist() for b in together] == [
+            model.merge(w, k, share) for w, k in zip(words, keys, strict=True)
+        ]
+    assert model.merge_many([], [], 0.1) == []
     assert len(model.merge("▁internationalization", 1, 1.0)) == len("▁internationalization")
 
 
+def test_known_words_change_nothing(monkeypatch):
+    monkeypatch.setattr(merge_dropout, "_WORDS_KEPT", 5)
+    learned, plain = merge_dropout.PieceModel(PIECES), merge_dropout.PieceModel(PIECES)
+    learned.known(7, 1, 0.3).learn(TEXTS)
+    for text in TEXTS * 2:
+        assert learned.encode(text, 7, 1, 0.3) == plain.encode(text, 7, 1, 0.3)
+
+
 def test_encode_and_decode_tables(spark):
     rows = [(i, t, "x", 1) for i, t in enumerate(TEXTS)] + [(None, "no id", None, None), (90, None, None, None)]
     docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, ids string, variant int")

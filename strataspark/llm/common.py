@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 # Python workers get these functions with their code; they need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Words are maximal runs of other characters than these.
-BLANKS = " \t\n\x0b\x0c\r"
+#: A key is frequent when it holds one in so many rows.
+FREQUENT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,24 @@ def labelled_sample(
     return id_and_text(docs).join(F.broadcast(chosen), "doc_id")
 
 
+def looked_up(rows: DataFrame, values: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``values``, which has one row per ``key``.
+
+    ``weight`` says how many rows have a key, out of ``total``.  Keys that hold one in ``FREQUENT``
+    rows or more, of which there can be ``FREQUENT``, are broadcast; the others are joined by a
+    shuffle.
+    """
+    hot = F.col(weight) * FREQUENT >= max(total, 1)
+    often = values.where(hot).drop(weight).withColumn("_often", F.lit(True))
+    tagged = rows.join(F.broadcast(often), key, "left")
+    rest = tagged.where("_often is null").select(*rows.columns)
+    return (
+        tagged.where("_often")
+        .drop("_often")
+        .unionByName(rest.join(values.where(~hot).drop(weight), key))
+    )
+
+
 def worker_store(name: str, make: Callable[[], object]) -> object:
     """An object kept by a Python worker from one task to the next.
 

@@ -26,6 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataspark.llm.common import looked_up
 from strataspark.llm.components import connected
 from strataspark.session import cut_lineage
 
@@ -245,8 +246,7 @@ def links(prints: DataFrame, rows: int, max_bits: int = MAX_BITS) -> DataFrame:
 def components(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` per row of ``docs (doc_id, fingerprint)``.
 
-    Fingerprints and links stay in Spark.  A fingerprint shared by a thousandth of all rows or
-    more is looked up from a broadcast, of which there can be a thousand; the rest is joined.
+    Fingerprints and links stay in Spark.
     """
     prints = cut_lineage(
         docs.groupBy("fingerprint").agg(
@@ -258,23 +258,13 @@ def components(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     rooted = prints.join(
         roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left"
     ).withColumn("root", F.coalesce("root", "fingerprint"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = cut_lineage(rooted.join(least, "root").select("fingerprint", "component_id", "copies"))
-    hot = F.col("copies") * 1000 >= max(total, 1)
-    frequent = named.where(hot).select("fingerprint", F.col("component_id").alias("hot_id"))
-    tagged = docs.join(
-        F.broadcast(frequent.withColumn("is_hot", F.lit(True))), "fingerprint", "left"
-    )
-    rest = tagged.where("is_hot is null").select("doc_id", "fingerprint")
-    return (
-        tagged.where("is_hot")
-        .select("doc_id", "fingerprint", F.col("hot_id").alias("component_id"))
-        .unionByName(
-            rest.join(named.where(~hot).drop("copies"), "fingerprint").select(
-                "doc_id", "fingerprint", "component_id"
-            )
-        )
+    least = rooted.groupBy("root").agg(
+        F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members")
     )
+    named = looked_up(rooted, least, "root", "members", rows)
+    named = cut_lineage(named.select("fingerprint", "component_id", "copies"))
+    found = looked_up(docs.select("doc_id", "fingerprint"), named, "fingerprint", "copies", total)
+    return found.select("doc_id", "fingerprint", "component_id")
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

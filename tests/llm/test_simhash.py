@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from strataspark.llm import simhash
+from strataspark.llm import common, simhash
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
 
@@ -99,7 +99,9 @@ def documents(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, fingerprint string")
 
 
-def test_components_equal_brute_force(spark):
+@pytest.mark.parametrize("frequent", [1000, 4, 0])
+def test_components_equal_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr(common, "FREQUENT", frequent)
     rng = np.random.default_rng(3)
     texts = []
     for _ in range(25):

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataspark.llm.common import looked_up
 from strataspark.session import cut_lineage
 
 ASSIGN = (
@@ -165,18 +166,12 @@ def verdicts(found: DataFrame, key: str, repository: str, owner: str) -> DataFra
     """
     known = cut_lineage(ownership(found, repository, owner))
     total = known.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    hot = F.col("copies") * 1000 >= max(total, 1)
     # Rows that repeat share one cell.
     cells = found.select(F.col(key).alias("_key"), F.col("found").alias("_found")).distinct()
     each = cells.select("*", F.posexplode("_found").alias("_at", "_one")).select(
         "_key", "_found", "_at", F.col("_one.hash").alias("hash")
     )
-    # At most a thousand hashes hold a thousandth of all candidates each.
-    often = F.broadcast(known.where(hot).select("hash", F.col("owners").alias("_often")))
-    tagged = each.join(often, "hash", "left")
-    counted = tagged.where("_often is not null").withColumnRenamed("_often", "owners")
-    rare = tagged.where("_often is null").drop("_often")
-    counted = counted.unionByName(rare.join(known.where(~hot).select("hash", "owners"), "hash"))
+    counted = looked_up(each, known.select("hash", "owners", "copies"), "hash", "copies", total)
     listed = counted.groupBy("_key", "_found").agg(
         F.array_sort(F.collect_list(F.struct("_at", "owners"))).alias("_listed")
     )

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from strataspark.llm import secrets
+from strataspark.llm import common, secrets
 
 ASSIGN = re.compile(
     r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -78,7 +78,9 @@ def wanted(rows):
     return out
 
 
-def test_scan_equals_brute_force(spark, rows):
+@pytest.mark.parametrize("frequent", [1000, 3, 0])
+def test_scan_equals_brute_force(spark, rows, monkeypatch, frequent):
+    monkeypatch.setattr(common, "FREQUENT", frequent)
     found = secrets.scan(corpus(spark, rows), "doc_id", "repository", "owner").collect()
     got = sorted(
         (

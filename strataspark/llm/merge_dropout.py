@@ -3,15 +3,18 @@
 Encoding follows the BPE of a SentencePiece model: blanks become the model's mark, a mark is put
 before the text, characters are merged pair by pair, best score first, leftmost first among equals,
 and what the vocabulary lacks is spelled in byte pieces.  With dropout, a candidate merge that comes
-up on the agenda is skipped for good where a hash of the seed, the text's variant, the word and the
-candidate's place falls below the given share.  So segmentations vary with seed and variant, repeat
-exactly with the same ones, and decode to the same text.
+up on the agenda is skipped for good where a hash of the seed, the text's variant, the word, the
+word's place in the text and the candidate's place falls below the given share.  A text's variant is a
+64-bit hash of its document, so every occurrence of a word is cut anew, within a text and across
+texts.  Segmentations repeat exactly with the same seed and variant, and decode to the same text.
 
 No piece of such a vocabulary has a mark behind another character, so words are encoded by
-themselves, and a worker remembers those it met.  A mark that is part of the text itself is spelled
-in bytes, so that decoding gives it back.
+themselves.  What a worker remembers of a word is its tree of decisions, in which an occurrence's own
+hashes lead to its pieces; the tree holds for all seeds, variants and places.  A mark that is part of
+the text itself is spelled in bytes, so that decoding gives it back.
 
-Null and empty texts have no pieces.  Rows that repeat are encoded each.
+Null and empty texts have no pieces.  Rows that repeat are encoded each, alike.  Rows without an id
+have their text's hash as variant.
 """
 
 from __future__ import annotations
@@ -34,15 +37,18 @@ from strataspark.llm.common import worker_store
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MARK = "▁"
-_WORDS_KEPT = 200_000  # words of a variant and generation whose pieces a worker remembers
+_WORDS_KEPT = 200_000  # words a worker remembers
+_NODES_KEPT = 500_000  # decisions about them that it remembers
+_OFTEN = 6  # occurrences that come to a decision before it is remembered
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _LONG = 100  # characters from which a word's agenda is a heap
 _NEVER = 1 << 60
-_TOGETHER = 2000  # texts whose new words are encoded side by side
+_TOGETHER = 1 << 18  # words encoded side by side
 
 
 _MASK = (1 << 64) - 1
 _ODD = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+_STEP = 0x9E3779B97F4A7C15  # between the keys of a text's places
 
 
 def mixed(x: int) -> int:
@@ -52,6 +58,19 @@ def mixed(x: int) -> int:
     return x ^ (x >> 31)
 
 
+def mixed_many(x: np.ndarray) -> np.ndarray:
+    """:func:`mixed` of many numbers at once."""
+    u = np.uint64
+    x = (x ^ (x >> u(30))) * u(_ODD[0])
+    x = (x ^ (x >> u(27))) * u(_ODD[1])
+    return x ^ (x >> u(31))
+
+
+def text_key(seed: int, variant: int) -> int:
+    """What the keys of a text's words begin with."""
+    return mixed(mixed(variant & _MASK) ^ (seed & _MASK))
+
+
 def skipped(key: int, start: int, middle: int, end: int, share: float) -> bool:
     """Whether a keyed hash skips the merge of two neighbours; the same on all machines."""
     return mixed(key ^ (start << 42 | middle << 21 | end)) >> 24 < share * (1 << 40)
@@ -62,55 +81,139 @@ def skipped_many(
 ) -> np.ndarray:
     """:func:`skipped` for many candidates at once."""
     u = np.uint64
-    x = keys ^ (start.astype(u) << u(42) | middle.astype(u) << u(21) | end.astype(u))
-    x = (x ^ (x >> u(30))) * u(_ODD[0])
-    x = (x ^ (x >> u(27))) * u(_ODD[1])
-    return (x ^ (x >> u(31))) >> u(24) < share * (1 << 40)
+    places = start.astype(u) << u(42) | middle.astype(u) << u(21) | end.astype(u)
+    return mixed_many(keys ^ places) >> u(24) < share * (1 << 40)
+
+
+_INNER, _LEAF = 1, 2  # kinds of nodes; 0 is one that is not entered
 
 
 class Words(dict):
-    """Ids (little-endian, four bytes each) by word without its mark.
+    """Roots of the trees of decisions, by word without its mark.
 
-    Two generations: words met since the last one began stay when the one before goes.
+    An inner node is a candidate merge: the first node below it is where the merge leads, the second
+    one where skipping it leads.  A leaf holds the ids (little-endian, four bytes each).  A word is
+    entered when it is met again, a node when enough occurrences have come to it; others are encoded
+    by themselves.
     """
 
-    def __init__(self, model: PieceModel, seed: int, variant: int, share: float) -> None:
+    def __init__(self, model: PieceModel) -> None:
         super().__init__()
-        self.model, self.share = model, share
-        self.seed, self.variant = seed, variant
-        self.before: dict[str, bytes] = {}
-
-    def pieces(self, word: str) -> bytes:
-        key = self.model.key(word, self.seed, self.variant)
-        ids = self.model.merge(word, key, self.share)
-        return struct.pack(f"<{len(ids)}I", *ids)
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.once: set[str] = set()
+        # A root's word, an inner node's parts, starts, agenda and best place, a leaf's ids.
+        self.held: list = []
+        self.kind = np.zeros(1024, dtype=np.uint8)
+        self.met = np.zeros(1024, dtype=np.int64)
+        self.crc = np.zeros(1024, dtype=np.uint64)  # of a root's word
+        self.code = np.zeros(1024, dtype=np.uint64)  # a candidate's place
+        self.below = np.zeros(1024, dtype=np.int64)
+        self.above = np.zeros(1024, dtype=np.int64)
+
+    def _new(self, *held: object) -> int:
+        """Places of new nodes, one behind the other; the first one's."""
+        at = len(self.held)
+        self.held += held
+        if len(self.held) > len(self.kind):
+            for name in ("kind", "met", "crc", "code", "below", "above"):
+                old = getattr(self, name)
+                setattr(self, name, np.r_[old, np.zeros_like(old)])
+        return at
+
+    def __missing__(self, word: str) -> int:
+        if len(word) >= _LONG - 1:
+            return -1
+        if word not in self.once:
+            self.once.add(word)
+            return -1
+        marked = MARK + word
+        at = self[word] = self._new(marked)
+        self.crc[at] = zlib.crc32(marked.encode("utf-8", "replace"))
+        self.above[at] = -1
+        return at
 
     def learn(self, texts: Sequence[str]) -> None:
-        """Encode the words of these texts that are not known yet, side by side."""
-        met: set[str] = set()
+        """Enter the words of these texts."""
         for text in texts:
-            met.update(text.split(" "))
-        new = [
-            w for w in met if w not in self and w not in self.before and 0 < len(w) < _LONG - 1 and MARK not in w
-        ]
-        marked = [MARK + w for w in new]
-        keys = [self.model.key(w, self.seed, self.variant) for w in marked]
-        for word, ids in zip(new, self.model.merge_many(marked, keys, self.share), strict=True):
-            self.add(word, ids)
-
-    def add(self, word: str, ids: bytes) -> None:
-        if len(self) >= _WORDS_KEPT:
-            self.before = dict(self)
+            for word in text.split(" "):
+                self.once.add(word)
+                self[word]
+
+    def expand(self, node: int) -> None:
+        """Find out what a node is."""
+        get, above = self.model.ranks.get, int(self.above[node])
+        if above < 0:
+            word = self.held[node]
+            parts, starts = list(word), list(range(len(word) + 1))
+            agenda = [get(a + b, _NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        else:
+            parts, starts, agenda, i = self.held[above]
+            parts, starts, agenda = parts[:], starts[:], agenda[:]
+            if node > self.below[above]:
+                agenda[i] = _NEVER
+            else:
+                self.model.merge_at(i, parts, starts, agenda)
+        best = min(agenda, default=_NEVER)
+        if best == _NEVER:
+            ids = self.model.spell(parts)
+            self.held[node] = struct.pack(f"<{len(ids)}I", *ids)
+            self.kind[node] = _LEAF
+            return
+        i = agenda.index(best)
+        self.held[node] = parts, starts, agenda, i
+        below = self._new(None, None)
+        self.above[below : below + 2] = node
+        self.below[node] = below
+        self.code[node] = starts[i] << 42 | starts[i + 1] << 21 | starts[i + 2]
+        self.kind[node] = _INNER
+
+    def pieces(self, words: Sequence[str], base: np.ndarray, share: float) -> list[bytes]:
+        """Ids of many occurrences of words; ``base`` has the key of each one's text and place."""
+        if len(self.held) > _NODES_KEPT or len(self) > _WORDS_KEPT:
             self.clear()
-        self[word] = ids
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.before.get(word)
-        if found is None:
-            found = self.pieces(MARK + word)
-        if len(word) < _LONG:
-            self.add(word, found)
-        return found
+        if len(self.once) > _WORDS_KEPT:
+            self.once.clear()
+        n = len(words)
+        root = np.fromiter(map(self.__getitem__, words), np.int64, n)
+        alone = np.flatnonzero(root < 0)
+        crc = self.crc[root] if self.held else np.zeros(n, dtype=np.uint64)
+        crc[alone] = [zlib.crc32((MARK + words[i]).encode("utf-8", "replace")) for i in alone.tolist()]
+        keys = mixed_many(base ^ crc)
+        apart, ends = [alone], np.full(n, -1)
+        alive = np.flatnonzero(root >= 0)
+        at, key = root[alive], keys[alive]
+        while len(alive):
+            kind = self.kind[at]
+            if kind.min() < _INNER:
+                nodes, times = np.unique(at[kind < _INNER], return_counts=True)
+                self.met[nodes] += times
+                for node in nodes[self.met[nodes] >= _OFTEN].tolist():
+                    self.expand(node)
+                kind = self.kind[at]
+                apart.append(alive[kind < _INNER])
+            done = kind == _LEAF
+            ends[alive[done]] = at[done]
+            go = kind == _INNER
+            alive, at, key = alive[go], at[go], key[go]
+            skip = mixed_many(key ^ self.code[at]) >> np.uint64(24) < share * (1 << 40)
+            at = self.below[at] + skip
+        held = self.held
+        out = [held[e] if e >= 0 else b"" for e in ends.tolist()]
+        rest = np.concatenate(apart).tolist()
+        short = [i for i in rest if len(words[i]) < _LONG - 1]
+        own = keys.tolist() if len(short) < len(rest) else []
+        for i in rest:
+            if len(words[i]) >= _LONG - 1:
+                ids = self.model.merge(MARK + words[i], own[i], share)
+                out[i] = struct.pack(f"<{len(ids)}I", *ids)
+        merged = self.model.merge_many([MARK + words[i] for i in short], keys[short], share)
+        for i, ids in zip(short, merged, strict=True):
+            out[i] = ids
+        return out
 
 
 class PieceModel:
@@ -141,7 +244,7 @@ class PieceModel:
         best_first = sorted(self.ids.values(), key=lambda i: -self.scores[i])
         rank = {i: n for n, i in enumerate(best_first)}
         self.ranks = {piece: rank[i] for piece, i in self.ids.items()}
-        self.words: dict[tuple[int, int, float], Words] = {}
+        self.words = Words(self)
         self.pairs: tuple | None = None
 
     def merge(self, word: str, key: int, share: float) -> list[int]:
@@ -160,14 +263,19 @@ class PieceModel:
             if share and skipped(key, starts[i], starts[i + 1], starts[i + 2], share):
                 agenda[i] = _NEVER
                 continue
-            parts[i] += parts.pop(i + 1)
-            del agenda[i], starts[i + 1]
-            if i:
-                agenda[i - 1] = get(parts[i - 1] + parts[i], _NEVER)
-            if i < len(agenda):
-                agenda[i] = get(parts[i] + parts[i + 1], _NEVER)
+            self.merge_at(i, parts, starts, agenda)
         return self.spell(parts)
 
+    def merge_at(self, i: int, parts: list[str], starts: list[int], agenda: list[int]) -> None:
+        """Merge a part with the one behind it, and rank the pairs that this makes."""
+        get = self.ranks.get
+        parts[i] += parts.pop(i + 1)
+        del agenda[i], starts[i + 1]
+        if i:
+            agenda[i - 1] = get(parts[i - 1] + parts[i], _NEVER)
+        if i < len(agenda):
+            agenda[i] = get(parts[i] + parts[i + 1], _NEVER)
+
     def merge_long(self, word: str, key: int, share: float) -> list[str]:
         """The same with a heap, for words whose agenda is long."""
         get, n = self.ranks.get, len(word)
@@ -257,7 +365,7 @@ class PieceModel:
         pair_ranks, pair_results = self.pairs[1], self.pairs[2]
         points = np.array(words, dtype=f"<U{length}").view("<u4").reshape(len(words), length)
         symbols = self.pairs[3][points]
-        starts = np.broadcast_to(np.arange(length + 1), (len(words), length + 1)).copy()
+        starts = np.broadcast_to(np.arange(length + 1, dtype=np.int32), (len(words), length + 1)).copy()
         key = np.array(keys, dtype=np.uint64)
         alive = np.arange(len(words))
         sizes = np.full(len(words), length)
@@ -309,9 +417,8 @@ class PieceModel:
             # What lies behind the merged pair moves one place to the left.
             for matrix, first in ((symbols, 1), (starts, 1), (agenda, 0)):
                 width = matrix.shape[1]
-                shift = columns[:width] + (columns[:width] >= at[:, None] + first)
-                moved = matrix[go[:, None], shift.clip(0, width - 1)]
-                matrix[go] = moved
+                stay = columns[:width] != (at + first)[:, None]
+                matrix[go, : width - 1] = matrix[go][stay].reshape(len(go), width - 1)
             symbols[go, at] = pair_results[pair]
             sizes[go] -= 1
             agenda[go, np.maximum(sizes[go] - 1, 0)] = _NEVER
@@ -335,39 +442,75 @@ class PieceModel:
                 out.append(found)
         return out
 
-    def key(self, word: str, seed: int, variant: int) -> int:
-        return mixed(
-            (seed & 0xFFFF) << 48 | (variant & 0xFFFF) << 32 | zlib.crc32(word.encode("utf-8", "replace"))
-        )
+    def key(self, word: str, seed: int, variant: int, place: int = 0) -> int:
+        """What decides about a word's candidates: ``place`` counts the words before it in its text."""
+        base = (text_key(seed, variant) + place * _STEP) & _MASK
+        return mixed(base ^ zlib.crc32(word.encode("utf-8", "replace")))
 
     def known(self, seed: int, variant: int, share: float) -> Words:
-        words = self.words.get((seed, variant, share))
-        if words is None:
-            words = self.words[seed, variant, share] = Words(self, seed, variant, share)
-        return words
+        """What is remembered of words; it is the same for all seeds, variants and shares."""
+        return self.words
 
     def encode(self, text: str, seed: int = 0, variant: int = 0, share: float = 0.0) -> bytes:
         """Ids of a text, four little-endian bytes each."""
-        if not text:
-            return b""
-        if MARK in text:
-            return self._with_marks(text, seed, variant, share)
-        words = self.known(seed, variant, share)
-        if "  " not in text and text[0] != " " and text[-1] != " ":
-            return b"".join(map(words.__getitem__, text.split(" ")))
-        out = []
-        for word in _WORD.findall(MARK + text.replace(" ", MARK)):
-            out.append(words[word[1:]] if word[1:2] not in ("", MARK) else words.pieces(word))
-        return b"".join(out)
+        return self.encode_many([text], [variant], seed, share)[0]
+
+    def encode_many(
+        self, texts: Sequence[str], variants: Sequence[int], seed: int, share: float
+    ) -> list[bytes]:
+        """:meth:`encode` of many texts, side by side."""
+        out: list[bytes] = []
+        words: list[str] = []
+        sizes: list[int] = []
+        first = 0
+
+        def flush() -> None:
+            nonlocal first
+            keys = np.array([text_key(seed, v) for v in variants[first : first + len(sizes)]], dtype=np.uint64)
+            ends = np.cumsum(sizes)
+            places = np.arange(len(words)) - np.repeat(ends - sizes, sizes)
+            base = np.repeat(keys, sizes) + places.astype(np.uint64) * np.uint64(_STEP)
+            pieces: list[bytes] = []
+            for at in range(0, len(words), _TOGETHER):
+                to = at + _TOGETHER
+                pieces += self.words.pieces(words[at:to], base[at:to], share)
+            for end, size in zip(ends.tolist(), sizes, strict=True):
+                out.append(b"".join(pieces[end - size : end]))
+            first += len(sizes)
+            words.clear()
+            sizes.clear()
+
+        for n, text in enumerate(texts):
+            if MARK in text:
+                if sizes:
+                    flush()
+                out.append(self._with_marks(text, seed, variants[n], share))
+                first += 1
+                continue
+            if not text:
+                own = []
+            elif "  " not in text and text[0] != " " and text[-1] != " ":
+                own = text.split(" ")
+            else:
+                own = [word[1:] for word in _WORD.findall(MARK + text.replace(" ", MARK))]
+            words += own
+            sizes.append(len(own))
+            if len(words) >= _TOGETHER:
+                flush()
+        if sizes:
+            flush()
+        return out
 
     def _with_marks(self, text: str, seed: int, variant: int, share: float) -> bytes:
         """A text with marks of its own: these are spelled in bytes between its other parts."""
         out: list[int] = []
+        place = 0
         for n, part in enumerate(text.split(MARK)):
             if n:
                 out += [self.byte_ids[b] for b in MARK.encode()]
             for word in _WORD.findall(("" if n else MARK) + part.replace(" ", MARK)):
-                out += self.merge(word, self.key(word, seed, variant), share)
+                out += self.merge(word, self.key(word, seed, variant, place), share)
+                place += 1
         return np.array(out, dtype="<u4").tobytes()
 
     def decode(self, ids: bytes | Sequence[int]) -> str:
@@ -386,13 +529,12 @@ def encode(
     path: str,
     seed: int,
     share: float,
-    variants: int = 2,
     with_ids: bool = False,
 ) -> DataFrame:
     """``doc_id``, ``variant``, ``n_pieces``, ``ids_crc32``, ``lossless`` for every row.
 
-    A row's variant is its id's hash with the seed modulo ``variants``; rows without an id have
-    variant 0.  ``lossless`` compares the decoded ids with the text.  ``with_ids`` adds the ids.
+    A row's variant is the 64-bit hash of its id with the seed, or of its text where it has no id, so
+    there are as many variants as documents.  ``lossless`` compares the decoded ids with the text.  ``with_ids`` adds the ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,17 +543,12 @@ def encode(
             variant_of = batch.column(1).to_pylist()
             texts = batch.column(2).to_pylist()
             counts, sums, same, lists = [], [], [], []
-            for at in range(0, len(texts), _TOGETHER):
-                part = list(zip(texts[at : at + _TOGETHER], variant_of[at : at + _TOGETHER], strict=True))
-                for v in range(variants):
-                    model.known(seed, v, share).learn([t for t, own in part if own == v])
-                for text, variant in part:
-                    ids = model.encode(text, seed, variant, share)
-                    counts.append(len(ids) // 4)
-                    sums.append(zlib.crc32(ids))
-                    same.append(model.decode(ids) == text)
-                    if with_ids:
-                        lists.append(np.frombuffer(ids, "<u4").astype(np.int32))
+            for text, ids in zip(texts, model.encode_many(texts, variant_of, seed, share), strict=True):
+                counts.append(len(ids) // 4)
+                sums.append(zlib.crc32(ids))
+                same.append(model.decode(ids) == text)
+                if with_ids:
+                    lists.append(np.frombuffer(ids, "<u4").astype(np.int32))
             columns = [batch.column(0), batch.column(1)]
             columns += [pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_())]
             names = ["doc_id", "variant", "n_pieces", "ids_crc32", "lossless"]
@@ -420,15 +557,16 @@ def encode(
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(variants))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     ).select(
         "doc_id",
-        F.when(F.col("doc_id").isNull(), 0).otherwise(chosen).cast("int").alias("variant"),
+        F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed)))
+        .otherwise(F.xxhash64("doc_id", F.lit(seed)))
+        .alias("variant"),
         "text",
     )
-    schema = f"doc_id long, variant int, {_COLUMNS}" + (", ids array<int>" if with_ids else "")
+    schema = f"doc_id long, variant long, {_COLUMNS}" + (", ids array<int>" if with_ids else "")
     return rows.mapInArrow(run, schema)
 
 

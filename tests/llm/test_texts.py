@@ -84,6 +84,32 @@ def test_encode_and_decode_tables(spark):
     assert merge_dropout.encode(docs.limit(0), PIECES, seed=3, share=0.2).count() == 0
 
 
+def test_occurrences_of_a_word_are_cut_each(spark, model):
+    docs = spark.createDataFrame([(i, "internationalization " * 200) for i in range(20)], "doc_id long, text string")
+    found = merge_dropout.encode(docs, PIECES, seed=7, share=0.1, with_ids=True).collect()
+    assert len({r.variant for r in found}) == len({tuple(r.ids) for r in found}) == 20
+    assert all(r.lossless for r in found)
+    cuts = set()
+    for place in range(200):
+        key = model.key("▁internationalization", 7, found[0].variant, place)
+        cuts.add(tuple(model.merge("▁internationalization", key, 0.1)))
+    assert len(cuts) > 5
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.6, 1.0])
+def test_remembered_decisions_change_nothing(share, monkeypatch):
+    monkeypatch.setattr(merge_dropout, "_TOGETHER", 50)
+    model = merge_dropout.PieceModel(PIECES)
+    texts = [*TEXTS, "thereheing of thereheing a  thereheing " * 30, "x" * 99 + " " + "y" * 98] * 3
+    variants = [-(1 << 63) + 5, (1 << 62) + 1] * len(texts)
+    found = model.encode_many(texts, variants[: len(texts)], 7, share)
+    for text, variant, ids in zip(texts, variants, found, strict=False):
+        wanted = []
+        for place, word in enumerate(re.findall("▁*[^▁]+|▁+", "▁" + text.replace(" ", "▁")) if text else []):
+            wanted += model.merge(word, model.key(word, 7, variant, place), share)
+        assert np.frombuffer(ids, "<u4").tolist() == wanted
+
+
 def words_of(text):
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x20\x09-\x0D]+", lowered)

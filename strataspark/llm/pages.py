@@ -46,6 +46,8 @@ INLINE = frozenset(
 )
 # Elements without markup or text of the page inside.
 RAW = frozenset("script style textarea title template noscript iframe svg math canvas".split())
+# Of these, the ones that a slash before the tag's end closes at once.
+FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base col embed hr input link meta param track source img br wbr".split())
 # An opening tag ends an open element of these kinds.
 CLOSES = {
@@ -63,6 +65,9 @@ SIDE = frozenset(
 MAIN = frozenset("article main content post entry story".split())
 
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# To a tag's end.  A quote opens where a value begins and nowhere else; one that is never closed opens
+# nothing.  The group is a slash before the end that is not part of a value.
+_TAG = re.compile(r"""(?:[^>=/]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?|(/)(?=>)|/)*+>""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _TOKEN = re.compile(r"[a-z]+")
 
@@ -74,17 +79,13 @@ class Block:
     linked: int  # characters inside links
 
 
-def _tag_end(page: str, at: int) -> int:
-    """Where the tag at ``at`` ends: the first ``>`` outside quotes, or the first one."""
-    first = end = page.find(">", at)
-    while end >= 0:
-        inner = page[at:end]
-        if "=" not in inner or not (inner.count('"') % 2 or inner.count("'") % 2):
-            return end
-        if end - at > 10_000:
-            break
-        end = page.find(">", end + 1)
-    return first
+def _tag_end(page: str, at: int) -> tuple[int, bool]:
+    """Where the tag at ``at`` ends (-1 if nowhere): the first ``>`` outside quoted values.
+
+    And whether it closes itself.
+    """
+    tag = _TAG.match(page, at)
+    return (tag.end() - 1, tag[1] is not None) if tag else (-1, False)
 
 
 def blocks(page: str) -> list[Block]:
@@ -129,7 +130,7 @@ def blocks(page: str) -> list[Block]:
                 parts.append("<")
                 at = start + 1
             continue
-        end = _tag_end(page, start)
+        end, alone = _tag_end(page, start)
         if end < 0:
             break
         tag, at = name[0].lower(), end + 1
@@ -146,6 +147,8 @@ def blocks(page: str) -> list[Block]:
                     del stack[i:]
                     break
             continue
+        if alone and tag in FOREIGN:
+            continue
         if tag in RAW:
             shut = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
             end = page.find(">", shut.start()) if shut else -1

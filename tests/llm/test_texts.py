@@ -212,6 +212,24 @@ def test_blocks_of_a_page():
     assert [b.text for b in pages.blocks("a < b <p title='x>y'>c<!-- no --><unclosed")] == ["a < b", "c"]
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("""<p title="it's">One sentence.</p><p>Two.</p><p>I don't know.</p><p>End.</p>""",
+         ["One sentence.", "Two.", "I don't know.", "End."]),
+        ("""<div><img alt="Bob's > Al's">One.</div><p title='say "x>'>Two's.</p>""", ["One.", "Two's."]),
+        ("<p title=it's>One.</p><p data-a=x=\"y'>Two.</p>It's", ["One.", "Two.", "It's"]),
+        ("<p title = 'a>b' id=x>One.</p><p title=\"never closed>Two.", ["One.", "Two."]),
+        (f"<p title=\"{'>' * 20_000}'\">One.</p><p>It's.</p>", ["One.", "It's."]),
+        ("<svg viewBox='0 0 1 1'/><p>One.</p><math /><p>Two.</p><svg><path/>x</svg><p>End.</p>",
+         ["One.", "Two.", "End."]),
+        ("<p>One.</p><svg class=x/>left out</svg><p>End.</p>", ["One.", "End."]),
+    ],
+)
+def test_tags_end_outside_quotes(page, texts):
+    assert [b.text for b in pages.blocks(page)] == texts
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(1)
     model = pages.Labeller.new()

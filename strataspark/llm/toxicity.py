@@ -53,7 +53,6 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 SIGNS = {"@": "a", "$": "s", "!": "i"}
 
 MAX_ROWS = 8000  # labelled rows to learn from, at most
-MAX_ENTRIES = 400  # learned entries, at most
 MIN_TOXIC = 8  # toxic rows an entry needs
 MIN_ODDS = 4.0  # natural logarithm of how much likelier it is among toxic rows
 
@@ -170,11 +169,25 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["entry", "toxic", "clean"])
 
 
+def _uncovered(family: pd.DataFrame) -> pd.DataFrame:
+    """The entries of a family that contain none of those before them and are in none."""
+    kept: dict[str, float] = {}
+    inside: set[str] = set()  # all beginnings of kept entries
+    rows = zip(family["entry"], family["toxic"], family["odds"], strict=True)
+    for entry, _, odds in sorted(rows, key=lambda r: (-r[1], -len(r[0].rstrip()), r[0])):
+        beginnings = [entry[:n] for n in range(1, len(entry) + 1)]
+        if entry not in inside and not any(b in kept for b in beginnings):
+            kept[entry] = odds
+            inside.update(beginnings)
+    return pd.DataFrame({"entry": list(kept), "odds": list(kept.values())})
+
+
 def learn_entries(sample: DataFrame) -> dict[str, float]:
     """Weights by entry from ``(text, label)`` rows.
 
-    Tasks count rows by entry; only the best few hundred entries come to the driver.  Of entries
-    that contain each other and cover the same rows, the longest beginning stays.
+    Tasks count rows by entry and take out entries that contain each other: the one with most toxic
+    rows stays, of those with equally many the longest beginning.  All others that pass ``MIN_TOXIC``
+    and ``MIN_ODDS`` are learned; the labelled rows bound their number.
     """
     counts = (
         sample.mapInPandas(_count, "entry string, toxic long, clean long")
@@ -191,17 +204,13 @@ def learn_entries(sample: DataFrame) -> dict[str, float]:
         counts.where((F.col("entry") != "") & (F.col("toxic") >= MIN_TOXIC))
         .withColumn("odds", odds)
         .where(F.col("odds") >= MIN_ODDS)
-        .orderBy(F.desc("toxic"), F.desc("odds"), "entry")
-        .limit(MAX_ENTRIES)
+        .select("entry", "toxic", "odds")
+        # Entries that contain each other agree in their blank and the first four letters.
+        .groupBy(F.substring("entry", 1, 5))
+        .applyInPandas(_uncovered, "entry string, odds double")
         .collect()
     )
-    kept: dict[str, tuple[int, float]] = {}
-    for r in sorted(best, key=lambda r: (-r["toxic"], -len(r["entry"].rstrip()), r["entry"])):
-        entry, rows = r["entry"], r["toxic"]
-        covered = [e for e in kept if entry.startswith(e) or e.startswith(entry)]
-        if not covered:
-            kept[entry] = (rows, r["odds"])
-    return {entry: min(odds, 8.0) / 4.0 for entry, (_, odds) in kept.items()}
+    return {r["entry"]: min(r["odds"], 8.0) / 4.0 for r in sorted(best)}
 
 
 def fit_curve(raw: np.ndarray, words: np.ndarray, label: np.ndarray) -> tuple[float, ...]:

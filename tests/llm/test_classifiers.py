@@ -30,6 +30,19 @@ def test_lexicon_takes_beginnings():
     assert lexicon.hits("Loweisch flowers lowe") == (4.0, 2, 3)
 
 
+def test_every_toxic_word_is_learned(spark):
+    letters = "bcdfghklmnprst"
+    words = ["".join(w) + "otexa" for w in itertools.product(letters, repeat=3)][:500]
+    rows = [(f"{w} in a row", 1) for k, w in enumerate(words) for _ in range(30 + k % 3)]
+    rows += [("nothing in a row", 0)] * len(rows)
+    learned = toxicity.learn_entries(spark.createDataFrame(rows, "text string, label int"))
+    lexicon = toxicity.Lexicon(learned)
+    assert [w for w in words if not lexicon.hits(w)[1]] == []
+    assert lexicon.hits("nothing in a row")[1] == 0
+    entries = sorted(learned)
+    assert not any(b.startswith(a) for a, b in itertools.pairwise(entries))
+
+
 def brute_marginals(states, steps):
     n = len(states)
     weights = {}

@@ -3,7 +3,9 @@
 Transverse Mercator follows the Krueger series in the third flattening, to
 fourth order (Karney 2011, "Transverse Mercator with an accuracy of a few
 nanometers").  Everything is built-in trigonometry, so it stays in generated
-code.  WGS84 and ETRS89 are treated as one datum.
+code.  Other families and datum shifts are in
+:mod:`strataspark.functions.projections`.  WGS84 and ETRS89 are treated as one
+datum.
 """
 
 from __future__ import annotations
@@ -15,12 +17,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Ellipsoids as (semi-major axis, inverse flattening).
-GRS80 = (6378137.0, 298.257222101)
-WGS84 = (6378137.0, 298.257223563)
+from strataspark.functions.projections import (
+    GRS80,
+    INTERNATIONAL,
+    KKJ,
+    PROJECTIONS,
+    WGS84,
+    Helmert,
+    as_expression,
+    on_frame,
+    on_numbers,
+)
 
 EXPORT_EPSG = 3067
 GEOGRAPHIC_EPSG = 4326
+# Longitude and latitude in degrees; WGS84 and ETRS89.
+GEOGRAPHIC = (GEOGRAPHIC_EPSG, 4258)
 WEB_MERCATOR_EPSG = 3857
 
 
@@ -87,6 +99,17 @@ def transverse_mercator(epsg: int) -> TransverseMercator | None:
     """Parameters of a supported transverse Mercator code, else None."""
     if epsg == EXPORT_EPSG:
         return TransverseMercator(27.0)
+    if epsg == 3006:
+        return TransverseMercator(15.0)
+    if 3873 <= epsg <= 3885:
+        # Zones of one degree, each with its number before the easting.
+        zone = epsg - 3854
+        return TransverseMercator(zone, false_easting=zone * 1e6 + 500000.0, scale=1.0)
+    if epsg in KKJ_ZONES:
+        zone = KKJ_ZONES.index(epsg)
+        return TransverseMercator(
+            18.0 + 3.0 * zone, 0.0, zone * 1e6 + 500000.0, 1.0, INTERNATIONAL
+        )
     family, zone = divmod(epsg, 100)
     meridian = 6.0 * zone - 183.0
     if family == 258 and 28 <= zone <= 38:
@@ -98,16 +121,34 @@ def transverse_mercator(epsg: int) -> TransverseMercator | None:
     return None
 
 
+# Codes of the zones 0 to 5 of the Finnish national system of 1966.
+KKJ_ZONES = (3386, 2391, 2392, 2393, 2394, 3387)
+
+
+def datum_shift(epsg: int) -> Helmert | None:
+    """How a code's datum lies to WGS84; None where they are one."""
+    return KKJ if epsg in KKJ_ZONES else None
+
+
 def check_epsg(epsg: int) -> None:
     """Raise for a code no projection is known for."""
-    known = epsg in (GEOGRAPHIC_EPSG, WEB_MERCATOR_EPSG) or transverse_mercator(epsg) is not None
+    known = (
+        epsg in (*GEOGRAPHIC, WEB_MERCATOR_EPSG)
+        or epsg in PROJECTIONS
+        or transverse_mercator(epsg) is not None
+    )
     if not known:
         raise ValueError(
-            f"EPSG:{epsg} is not supported; known are 4326, 3857, 3067 and UTM zones "
-            "258xx, 326xx and 327xx"
+            f"EPSG:{epsg} is not supported; known are {', '.join(map(str, GEOGRAPHIC))}, "
+            f"{WEB_MERCATOR_EPSG}, {EXPORT_EPSG}, 3006, UTM zones 258xx, 326xx and 327xx, 3873 to 3885, "
+            f"{', '.join(map(str, KKJ_ZONES))}, {', '.join(map(str, sorted(PROJECTIONS)))}"
         )
 
 
+# Metres beyond which no projected point lies.
+_FAR = 1e9
+
+
 def _staged(df: DataFrame, *stages: dict[str, Column]) -> DataFrame:
     """Add columns stage by stage.
 
@@ -128,9 +169,19 @@ def with_projected(
     """
     check_epsg(epsg)
     lon_c, lat_c = F.col(lon), F.col(lat)
-    if epsg == GEOGRAPHIC_EPSG:
+    if epsg in GEOGRAPHIC:
         return df.withColumns({x: lon_c, y: lat_c})
     safe_lat = F.when(F.abs(lat_c) <= 90.0, lat_c)
+    if epsg in PROJECTIONS:
+        start = {"lon": lon_c, "lat": safe_lat}
+        placed = on_frame(df, PROJECTIONS[epsg].forward(), start, {"x": x, "y": y})
+        # A point that the family sends to infinity has no place.
+        return placed.withColumns({c: F.when(F.abs(c) < _FAR, F.col(c)) for c in (x, y)})
+    shift = datum_shift(epsg)
+    if shift is not None:
+        start = {"lon": lon_c, "lat": safe_lat}
+        df = on_frame(df, shift.from_wgs84(), start, {"lon": "_shifted_lon", "lat": "_shifted_lat"})
+        lon_c, safe_lat = F.col("_shifted_lon"), F.col("_shifted_lat")
     if epsg == WEB_MERCATOR_EPSG:
         radius = F.lit(WGS84[0])
         north = radius * F.atanh(F.sin(F.radians(safe_lat)))
@@ -157,7 +208,7 @@ def with_projected(
             x: F.lit(tm.false_easting) + F.lit(tm.scaled_radius) * east,
             y: F.lit(tm.false_northing) + F.lit(tm.scaled_radius) * north,
         },
-    ).drop("_p_sin", "_p_lon", "_p_t", "_p_xi", "_p_eta")
+    ).drop("_p_sin", "_p_lon", "_p_t", "_p_xi", "_p_eta", "_shifted_lon", "_shifted_lat")
 
 
 def keep_in_box(
@@ -183,8 +234,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def unproject(x: Column, y: Column, epsg: int) -> Column:
     """``(x, y)`` in ``epsg`` to ``[lon, lat]`` (EPSG:4326); fit for lambdas."""
     check_epsg(epsg)
-    if epsg == GEOGRAPHIC_EPSG:
+    if epsg in GEOGRAPHIC:
         return F.array(x, y)
+    if epsg in PROJECTIONS:
+        stages = PROJECTIONS[epsg].inverse()
+        return as_expression(stages, ["lon", "lat"], x=x.cast("double"), y=y.cast("double"))
+    shift = datum_shift(epsg)
     if epsg == WEB_MERCATOR_EPSG:
         radius = F.lit(WGS84[0])
         return F.array(F.degrees(x / radius), F.degrees(F.atan(F.sinh(y / radius))))
@@ -211,7 +266,12 @@ def unproject(x: Column, y: Column, epsg: int) -> Column:
         (y - F.lit(tm.false_northing)) / F.lit(tm.scaled_radius),
         (x - F.lit(tm.false_easting)) / F.lit(tm.scaled_radius),
     )
-    return let(scaled, rectified)
+    if shift is None:
+        return let(scaled, rectified)
+    return let(
+        let(scaled, rectified),
+        lambda p: as_expression(shift.to_wgs84(), ["lon", "lat"], lon=p[0], lat=p[1]),
+    )
 
 
 def in_box(x: Column, y: Column, bounds: tuple[float, float, float, float]) -> Column:
@@ -226,8 +286,14 @@ def in_box(x: Column, y: Column, bounds: tuple[float, float, float, float]) -> C
 
 def _unproject_point(x: float, y: float, epsg: int) -> tuple[float, float] | None:
     """The inverse projection of one point of a box border, on the driver."""
-    if epsg == GEOGRAPHIC_EPSG:
+    if epsg in GEOGRAPHIC:
         return x, y
+    if epsg in PROJECTIONS:
+        try:
+            found = on_numbers(PROJECTIONS[epsg].inverse(), x=x, y=y)
+        except (ValueError, OverflowError):
+            return None
+        return found.lon, found.lat
     if epsg == WEB_MERCATOR_EPSG:
         radius = WGS84[0]
         return math.degrees(x / radius), math.degrees(math.atan(math.sinh(y / radius)))
@@ -244,7 +310,24 @@ def _unproject_point(x: float, y: float, epsg: int) -> tuple[float, float] | Non
     chi = math.asin(math.sin(xi) / math.cosh(eta))
     lat = chi + sum(d * math.sin(2 * j * chi) for j, d in enumerate(tm.delta, start=1))
     lon = math.radians(tm.central_meridian) + math.atan2(math.sinh(eta), math.cos(xi))
-    return math.degrees(lon), math.degrees(lat)
+    lon, lat = math.degrees(lon), math.degrees(lat)
+    shift = datum_shift(epsg)
+    if shift is None:
+        return lon, lat
+    found = on_numbers(shift.to_wgs84(), lon=lon, lat=lat)
+    return found.lon, found.lat
+
+
+def _reaches_pole(x0: float, y0: float, x1: float, y1: float, epsg: int) -> bool:
+    """Whether a pole lies in the box, or so near that its border cannot tell."""
+    if epsg not in PROJECTIONS:
+        return False
+    pad_x, pad_y = 1.0 + 0.05 * (x1 - x0), 1.0 + 0.05 * (y1 - y0)
+    for lat in (-90.0, 90.0):
+        pole = on_numbers(PROJECTIONS[epsg].forward(), lon=0.0, lat=lat)
+        if x0 - pad_x <= pole.x <= x1 + pad_x and y0 - pad_y <= pole.y <= y1 + pad_y:
+            return True
+    return False
 
 
 def geographic_envelope(
@@ -267,7 +350,12 @@ def geographic_envelope(
     points = [_unproject_point(x, y, epsg) for x, y in border]
     if any(p is None for p in points):
         return None
+    if _reaches_pole(x0, y0, x1, y1, epsg):
+        return None
     lons, lats = zip(*points, strict=True)
+    if epsg in PROJECTIONS and max(lons) - min(lons) > 180:
+        # The border crosses the antimeridian, or nearly surrounds a pole.
+        return None
     pad_lon = 1e-6 + 0.02 * (max(lons) - min(lons))
     pad_lat = 1e-6 + 0.02 * (max(lats) - min(lats))
     if min(lons) - pad_lon < -180 or max(lons) + pad_lon > 180:

@@ -23,6 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SRC = "_src"
 RID = "_rid"
 OBS_RID = "_orid"
+# Names of a row's numeric columns whose cell is text or bytes and reads as NULL, comma-joined.
+REJECTED = "_rejected"
 
 # Table names of the field database format.
 OBSERVATION = "Observation"
@@ -87,6 +89,14 @@ def table_schema(table: str) -> StructType:
     return StructType([StructField(SRC, StringType()), StructField(RID, LongType()), *named])
 
 
+def stored_schema(table: str) -> StructType:
+    """The schema of an ingested table: with what its scan rejected, where it has numbers."""
+    schema = table_schema(table)
+    if NUMERIC_COLUMNS.isdisjoint(schema.names):
+        return schema
+    return StructType([*schema, StructField(REJECTED, StringType())])
+
+
 @dataclass(frozen=True)
 class FieldModel:
     """The eight tables as DataFrames."""
@@ -121,11 +131,12 @@ class FieldModel:
     def from_parquet(cls, spark: SparkSession, folder: str) -> FieldModel:
         """Read tables ingested by :func:`strataspark.plans.ingest.ingest_folder`.
 
-        Schemas are explicit, so no file is opened to infer them.
+        Schemas are explicit, so no file is opened to infer them.  Tables written without
+        a column of rejects have rejected nothing.
         """
         return cls.from_tables(
             {
-                name: spark.read.schema(table_schema(name)).parquet(f"{folder}/{name}")
+                name: spark.read.schema(stored_schema(name)).parquet(f"{folder}/{name}")
                 for name in FIELD_OF_TABLE
             }
         )

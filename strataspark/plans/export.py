@@ -12,6 +12,7 @@ from strataspark import model as m
 from strataspark.operators.linking import Linker
 from strataspark.operators.points import type_points
 from strataspark.operators.selection import (
+    in_projects,
     observation_keys,
     with_coordinates,
 )
@@ -23,6 +24,7 @@ from strataspark.operators.validation import (
 )
 from strataspark.plans.rules import MapRules
 from strataspark.sinks.points import write_types
+from strataspark.sources.sqlite import rejected_cells
 
 
 def gather_observations(model: m.FieldModel, rules: MapRules) -> DataFrame:
@@ -61,6 +63,7 @@ def compiled_types(
         else:
             if check:
                 check_run(linker)
+                check_typed(linker, rules)
             yield {kind: type_points(linker, kind, rules.declination) for kind in types}
 
 
@@ -73,6 +76,27 @@ def check_run(linker: Linker, with_images: bool = False) -> None:
     raise_violations(unresolved(linker))
 
 
+def check_typed(linker: Linker, rules: MapRules) -> None:
+    """Raise when a numeric cell of this run holds text, as the scan of its database noted.
+
+    Of observations, those of the run's projects count: one without coordinates lies in no box.
+    """
+    noted = {
+        t: df.where(F.col(m.REJECTED).isNotNull())
+        for t, df in linker.model.items()
+        if m.REJECTED in df.columns
+    }
+    noted = {t: df for t, df in noted.items() if not df.isEmpty()}
+    if m.OBSERVATION in noted:
+        own = in_projects(noted[m.OBSERVATION], rules.projects)
+        raise_violations(rejected_cells(own, m.OBSERVATION))
+    ids = linker.tectonic_ids().select(m.SRC, F.col("GDB_ID").alias("TM_GID")).distinct()
+    for table in (m.PLANAR, m.LINEAR):
+        if table in noted:
+            own = noted[table].join(ids, [m.SRC, "TM_GID"], "left_semi")
+            raise_violations(rejected_cells(own, table))
+
+
 def unresolved(linker: Linker) -> DataFrame:
     """Observations with several tectonic ids of which the one to take is NULL."""
     return linker.resolutions().where("GDB_ID is null and n_ids > 1").select(
@@ -94,9 +118,13 @@ def check_observations(selected: DataFrame) -> None:
 
 def complete_model(model: m.FieldModel) -> m.FieldModel:
     """The model without rows that would stop a run."""
-    return m.FieldModel.from_tables(
-        {name: complete_rows(df, RUN_REQUIREMENTS.get(name, ())) for name, df in model.items()}
-    )
+    kept = {
+        name: complete_rows(df, RUN_REQUIREMENTS.get(name, ())) for name, df in model.items()
+    }
+    for name, df in kept.items():
+        if m.REJECTED in df.columns:
+            kept[name] = df.where(F.col(m.REJECTED).isNull())
+    return m.FieldModel.from_tables(kept)
 
 
 @contextmanager
@@ -119,8 +147,8 @@ def export_observations(
 ) -> dict[str, dict[str, int]]:
     """Compile and write all types; returns row counts of each type.
 
-    A selected row without a value it must have stops the run, or is left out
-    under ``contract="quarantine"``.
+    A selected row without a value it must have, or with text in a numeric cell, stops the
+    run, or is left out under ``contract="quarantine"``.
     """
     merged = rules.with_projects(list(projects))
     checked = under_contract(model, contract)

@@ -21,6 +21,7 @@ from strataspark.operators.markers import (
 from strataspark.plans.export import (
     check_observations,
     check_run,
+    check_typed,
     gather_observations,
     kept_linker,
     under_contract,
@@ -122,6 +123,7 @@ def compile_webmap(
     with kept_linker(checked, merged, first_per_id(selected)) as linker:
         if contract == "fail":
             check_run(linker, with_images=files is not None)
+            check_typed(linker, merged)
         write_markers(markers(linker, files, merged.rechecks, image_folder), folder)
     styled = None
     if datasets:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
+import struct
 import sys
 import uuid
+import zlib
+from collections.abc import Iterator, Mapping
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -14,6 +19,7 @@ from pyspark.sql import functions as F
 from strataspark import model as m
 from strataspark import mapped
 from strataspark.session import durable_folder
+from strataspark.sinks.committed import CommittedFiles
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -56,6 +62,79 @@ def databases(df: DataFrame, table: str) -> DataFrame:
     )
 
 
+# Order keys per field database.
+BLOCK_KEYS = 10000
+
+
+def with_block(df: DataFrame, table: str) -> DataFrame:
+    """Rows named by source and range of order keys: links never leave such a part."""
+    key = F.col(m.RID) if table == m.OBSERVATION else F.floor(F.col(m.RID) / 10_000_000)
+    block = F.floor(key / BLOCK_KEYS).cast("long").cast("string")
+    return df.withColumn(m.SRC, F.concat(m.SRC, F.lit("-"), block))
+
+
+def field_databases(
+    model: m.FieldModel,
+    snapshot: str,
+    texts: Mapping[str, tuple[str, int]] | None = None,
+    without: Mapping[str, tuple[str, str | None]] | None = None,
+) -> DataFrame:
+    """All eight tables as files ``name, content``: one database per source, named by its snapshot.
+
+    Cells keep their types; ``_src`` says which database a row goes to.  ``texts`` puts text into a
+    column of a table, in every so many rows; ``without`` leaves a column (None: the whole) of a table
+    out of databases whose names begin so.
+    """
+    texts, without = texts or {}, without or {}
+    tables = dict(model.items())
+    listed = {name: list(m.TABLE_COLUMNS[name]) for name in tables}
+    rows = reduce(
+        DataFrame.unionByName,
+        [
+            df.select(
+                m.SRC,
+                F.lit(name).alias("table"),
+                F.col(m.RID).alias("rid"),
+                F.to_json(F.struct(*listed[name]), {"ignoreNullFields": "false"}).alias("row"),
+            )
+            for name, df in tables.items()
+        ],
+    )
+
+    def write(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        connection = sqlite3.connect(":memory:")
+        for name, every in listed.items():
+            begin, absent = without.get(name, ("\0", ""))
+            here = key[0].startswith(begin)
+            if here and absent is None:
+                continue
+            columns = [c for c in every if not (here and c == absent)]
+            quoted = ", ".join(f'"{c}"' for c in columns)
+            connection.execute(f'CREATE TABLE "{name}" ({quoted})')
+            own = part[part["table"] == name]
+            spoiled, each = texts.get(name, ("", 1))
+            cells = (
+                (rid, *("unread" if c == spoiled and rid % each == 0 else row[c] for c in columns))
+                for rid, row in zip(own["rid"].tolist(), map(json.loads, own["row"]), strict=True)
+            )
+            marks = ", ".join("?" * (len(columns) + 1))
+            connection.executemany(
+                f'INSERT INTO "{name}" (rowid, {quoted}) VALUES ({marks})', cells
+            )
+        connection.commit()
+        content = connection.serialize()
+        connection.close()
+        return pd.DataFrame({"name": [f"{key[0]}@{snapshot}.sqlite"], "content": [content]})
+
+    return rows.groupBy(m.SRC).applyInPandas(write, "name string, content binary")
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Files ``name, content`` into a folder of the shared storage."""
+    files.sparkSession.dataSource.register(CommittedFiles)
+    files.write.format(CommittedFiles.name()).mode("append").save(folder)
+
+
 def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rule file per customer: ``file, text``."""
     key = F.col("c_custkey")
@@ -161,3 +240,39 @@ def small_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).alias("channels"),
         F.unhex(pixels).alias("data"),
     )
+
+
+def _chunk(kind: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+
+def grey_png(width: int, height: int, pixels: bytes) -> bytes:
+    """A grey image as an uncompressed PNG file."""
+    lines = b"".join(b"\0" + pixels[y * width : (y + 1) * width] for y in range(height))
+    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+    return (
+        b"\x89PNG\r\n\x1a\n"
+        + _chunk(b"IHDR", head)
+        + _chunk(b"IDAT", zlib.compress(lines, 0))
+        + _chunk(b"IEND", b"")
+    )
+
+
+def image_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with an image per embedding, of which every tenth file is none."""
+
+    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            contents = [
+                grey_png(r.width, r.height, r.data) if r.number % 10 != 3 else b"no image"
+                for r in frame.itertuples()
+            ]
+            names = [f"v{n}.png" for n in frame["number"]]
+            yield pd.DataFrame({"name": names, "content": contents})
+
+    images = small_images(spark, sf_dir).select(
+        F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("number"), "width", "height", "data"
+    )
+    folder = scratch(spark, "images")
+    write_files(images.mapInPandas(encode, "name string, content binary"), folder)
+    return folder

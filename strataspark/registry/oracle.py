@@ -112,9 +112,16 @@ def _series(inverse_flattening: float) -> dict:
     }
 
 
-def _projected(source: str, name: str, inverse_flattening: float = 298.257222101) -> str:
+def _projected(
+    source: str,
+    name: str,
+    inverse_flattening: float = 298.257222101,
+    a: float = 6378137.0,
+    scale: float = 0.9996,
+) -> str:
     """CTEs that add x and y (central meridian 27) to a relation with LAT, LON."""
     c = _series(inverse_flattening)
+    c["ka"] *= a / 6378137.0 * scale / 0.9996
     east = "+".join(f"{_num(a)}*cos({2*j}*xi)*sinh({2*j}*eta)" for j, a in enumerate(c["alpha"], 1))
     north = "+".join(f"{_num(a)}*sin({2*j}*xi)*cosh({2*j}*eta)" for j, a in enumerate(c["alpha"], 1))
     e, ka = _num(c["e"]), _num(c["ka"])
@@ -253,6 +260,129 @@ SQL["geo1_web_mercator"] = _base(
 )
 
 
+_E = math.sqrt((2 - 1 / 298.257222101) / 298.257222101)
+_E_WGS84 = math.sqrt((2 - 1 / 298.257223563) / 298.257223563)
+
+
+def _t(lat: float, e: float) -> float:
+    """The conic's t of a latitude in degrees, from tangents and powers."""
+    s = math.sin(math.radians(lat))
+    return math.tan(math.pi / 4 - math.radians(lat) / 2) / ((1 - e * s) / (1 + e * s)) ** (e / 2)
+
+
+def _m(lat: float, e: float) -> float:
+    s = math.sin(math.radians(lat))
+    return math.cos(math.radians(lat)) / math.sqrt(1 - e * e * s * s)
+
+
+def _t_sql(lat: str, e: float) -> str:
+    s = f"{_num(e)}*sin(radians({lat}))"
+    return f"(tan(pi()/4-radians({lat})/2)/pow((1e0-{s})/(1e0+{s}), {_num(e / 2)}))"
+
+
+def _conic(source: str, name: str) -> str:
+    """CTE of EPSG:3034 in x and y."""
+    e = _E
+    n = (math.log(_m(35, e)) - math.log(_m(65, e))) / (math.log(_t(35, e)) - math.log(_t(65, e)))
+    af = 6378137.0 * _m(35, e) / (n * _t(35, e) ** n)
+    r0 = af * _t(52, e) ** n
+    return f"""
+{name}_r as (select *, {_num(af)}*pow({_t_sql('LAT', e)}, {_num(n)}) as r, {_num(n)}*radians(LON-10) as th from {source}),
+{name} as (select * exclude (r, th), 4000000e0+r*sin(th) as x, 2800000e0+{_num(r0)}-r*cos(th) as y from {name}_r)"""
+
+
+def _q_sql(s: str) -> str:
+    e = _num(_E)
+    return (
+        f"({_num(1 - _E**2)}*({s}/(1e0-{_num(_E**2)}*{s}*{s})"
+        f"-ln((1e0-{e}*{s})/(1e0+{e}*{s}))/{_num(2 * _E)}))"
+    )
+
+
+def _equal_area(source: str, name: str) -> str:
+    """CTE of EPSG:3035 in x and y, by angles."""
+    e, s0 = _E, math.sin(math.radians(52))
+
+    def q(s: float) -> float:
+        return (1 - e * e) * (s / (1 - e * e * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+    b0, rq = math.asin(q(s0) / q(1.0)), 6378137.0 * math.sqrt(q(1.0) / 2)
+    d = 6378137.0 * _m(52, e) / (rq * math.cos(b0))
+    sb, cb = _num(math.sin(b0)), _num(math.cos(b0))
+    return f"""
+{name}_b as (select *, asin({_q_sql('sin(radians(LAT))')}/{_num(q(1.0))}) as beta, radians(LON-10) as dl from {source}),
+{name}_k as (select *, {_num(rq)}*sqrt(2e0/(1e0+{sb}*sin(beta)+{cb}*cos(beta)*cos(dl))) as k from {name}_b),
+{name} as (select * exclude (beta, dl, k), 4321000e0+k*{_num(d)}*cos(beta)*sin(dl) as x,
+  3210000e0+k/{_num(d)}*({cb}*sin(beta)-{sb}*cos(beta)*cos(dl)) as y from {name}_k)"""
+
+
+def _polar(source: str, name: str) -> str:
+    """CTE of EPSG:3413 in x and y."""
+    e = _E_WGS84
+    k = 6378137.0 * _m(70, e) / _t(70, e)
+    return f"""
+{name} as (select *, {_num(k)}*{_t_sql('LAT', e)}*sin(radians(LON+45)) as x,
+  -{_num(k)}*{_t_sql('LAT', e)}*cos(radians(LON+45)) as y from {source})"""
+
+
+def _old_datum(source: str, name: str) -> str:
+    """CTEs that put LON and LAT on the old datum: geocentric, seven parameters, and back by iteration."""
+    f = 1 / 298.257223563
+    e2 = _num(f * (2 - f))
+    fi = 1 / 297.0
+    e2i = _num(fi * (2 - fi))
+    rx, ry, rz = (f"({_num(math.radians(v / 3600))})" for v in (4.801, 0.345, -1.376))
+    m = _num(1 + 1.496e-6)
+    steps = ""
+    for i in range(6):
+        nu = f"(6378388e0/sqrt(1e0-{e2i}*pow(sin(f{i}),2)))"
+        steps += f"\n{name}_{i + 1} as (select *, atan((hz+{e2i}*{nu}*sin(f{i}))/p) as f{i + 1} from {name}_{i}),"
+    return f"""
+{name}_n as (select *, 6378137e0/sqrt(1e0-{e2}*pow(sin(radians(LAT)),2)) as nu from {source}),
+{name}_g as (select *, (nu*cos(radians(LAT))*cos(radians(LON))+96.062e0)/{m} as gx,
+  (nu*cos(radians(LAT))*sin(radians(LON))+82.428e0)/{m} as gy, (nu*(1e0-{e2})*sin(radians(LAT))+121.753e0)/{m} as gz from {name}_n),
+{name}_h as (select *, gx+{rz}*gy-{ry}*gz as hx, gy-{rz}*gx+{rx}*gz as hy, gz+{ry}*gx-{rx}*gy as hz from {name}_g),
+{name}_0 as (select *, sqrt(hx*hx+hy*hy) as p, atan(hz/((1e0-{e2i})*sqrt(hx*hx+hy*hy))) as f0 from {name}_h),{steps}
+{name} as (select src, orid, OBSID, degrees(atan2(hy, hx)) as LON, degrees(f6) as LAT from {name}_6)"""
+
+
+_XY2 = "select src, orid as rid, round(x,2) as x, round(y,2) as y from placed"
+SQL["geo1_lambert_conic"] = f"with {BASE}, {_conic('obs', 'placed')} {_XY2}"
+SQL["geo1_equal_area"] = f"with {BASE}, {_equal_area('obs', 'placed')} {_XY2}"
+SQL["geo1_polar_stereographic"] = f"with {BASE}, {_polar('obs', 'placed')} {_XY2}"
+_ZONE_25 = _projected("obs", "placed", scale=1.0).replace("27e0", "25e0").replace("500000e0", "25500000e0")
+_OLD_GRID = (
+    _old_datum("obs", "old")
+    + ", "
+    + _projected("old", "placed", 297.0, 6378388.0, 1.0).replace("500000e0", "3500000e0")
+)
+SQL["geo1_zone_of_one_degree"] = f"with {BASE}, {_ZONE_25} {_XY2}"
+SQL["geo1_shifted_datum"] = f"with {BASE}, {_OLD_GRID} {_XY2}"
+
+
+def _boxed(ctes: str, name: str, epsg: int, box: tuple[int, int, int, int]) -> str:
+    x0, y0, x1, y1 = box
+    inner = ctes.replace("placed", name)
+    return (
+        f"select * from (with {inner} select src, orid as rid, {epsg} as epsg, OBSID from {name} "
+        f"where x between {x0} and {x1} and y between {y0} and {y1})"
+    )
+
+
+SQL["flt2_bounds_in_other_systems"] = (
+    f"with {BASE} "
+    + " union all ".join(
+        [
+            _boxed(_conic("obs", "placed"), "p1", 3034, (4450000, 3700000, 4700000, 4100000)),
+            _boxed(_equal_area("obs", "placed"), "p2", 3035, (4800000, 4150000, 5100000, 4500000)),
+            _boxed(_polar("obs", "placed"), "p3", 3413, (2000000, -1200000, 2600000, -500000)),
+            _boxed(_ZONE_25, "p4", 3879, (25350000, 6650000, 25600000, 7000000)),
+            _boxed(_OLD_GRID, "p5", 2393, (3300000, 6700000, 3500000, 7100000)),
+        ]
+    )
+)
+
+
 def _unprojected(source: str) -> str:
     """CTEs that add lon and lat to a relation with px, py in EPSG:3067."""
     c = _series(298.257222101)
@@ -279,6 +409,64 @@ _VERTICES = """verts as (
 SQL["geo2_unproject"] = f"""with {_VERTICES}, {_unprojected('verts')}
 select dataset, cast(feature_no as bigint) as feature_no, cast(nth as bigint) as nth,
   round(lon,9) as lon, round(lat,9) as lat from geographic"""
+
+
+def _iterated(t: str, e: float, name: str, source: str) -> str:
+    """CTEs that find ``lat`` from the conic's t by repeated substitution."""
+    steps = f"{name}_0 as (select *, pi()/2-2*atan({t}) as f0 from {source})"
+    for i in range(8):
+        s = f"{_num(e)}*sin(f{i})"
+        steps += (
+            f",\n{name}_{i + 1} as (select * exclude (f{i}), "
+            f"pi()/2-2*atan({t}*pow((1e0-{s})/(1e0+{s}), {_num(e / 2)})) as f{i + 1} from {name}_{i})"
+        )
+    return steps
+
+
+def _many_systems() -> str:
+    e, w = _E, _E_WGS84
+    n = (math.log(_m(35, e)) - math.log(_m(65, e))) / (math.log(_t(35, e)) - math.log(_t(65, e)))
+    af = 6378137.0 * _m(35, e) / (n * _t(35, e) ** n)
+    r0 = _num(af * _t(52, e) ** n)
+    k = _num(6378137.0 * _m(70, w) / _t(70, w))
+
+    def q(s: float) -> float:
+        return (1 - e * e) * (s / (1 - e * e * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+    s0 = math.sin(math.radians(52))
+    b0, rq = math.asin(q(s0) / q(1.0)), 6378137.0 * math.sqrt(q(1.0) / 2)
+    d = 6378137.0 * _m(52, e) / (rq * math.cos(b0))
+    sb, cb, dd = _num(math.sin(b0)), _num(math.cos(b0)), _num(d)
+    newton = "eq_0 as (select *, asin(qq/2) as f0 from eq_q)"
+    for i in range(6):
+        s = f"sin(f{i})"
+        newton += (
+            f",\neq_{i + 1} as (select * exclude (f{i}), f{i}+pow(1e0-{_num(e * e)}*{s}*{s},2)/(2*cos(f{i}))"
+            f"*(qq-{_q_sql(s)})/{_num(1 - e * e)} as f{i + 1} from eq_{i})"
+        )
+    return f"""with given as (
+  select c_custkey as key, c_custkey%4 as k,
+    case c_custkey%4 when 0 then 4000000 when 1 then 4500000 when 2 then 1200000 else 300000 end + c_custkey*37%200000 + 0.25e0 as px,
+    case c_custkey%4 when 0 then 4000000 when 1 then 4500000 when 2 then -2000000 else 6800000 end + c_custkey*53%200000 + 0.5e0 as py
+  from customer),
+co as (select *, pow(sqrt(pow(px-4000000e0,2)+pow({r0}-(py-2800000e0),2))/{_num(af)}, {_num(1 / n)}) as t from given where k=0),
+{_iterated('t', e, 'co', 'co')},
+po as (select *, sqrt(px*px+py*py)/{k} as t from given where k=2),
+{_iterated('t', w, 'po', 'po')},
+eq_r as (select *, sqrt(pow((px-4321000e0)/{dd},2)+pow((py-3210000e0)*{dd},2)) as rho from given where k=1),
+eq_c as (select *, 2*asin(rho/{_num(2 * rq)}) as c from eq_r),
+eq_q as (select *, {_num(q(1.0))}*(cos(c)*{sb}+(py-3210000e0)*{dd}*sin(c)*{cb}/rho) as qq from eq_c),
+{newton},
+verts as (select * from given where k=3), {_unprojected('verts')}
+select key, 3034 as code, round(10e0+degrees(atan2(px-4000000e0, {r0}-(py-2800000e0)))/{_num(n)}, 8) as lon,
+  round(degrees(f8), 8) as lat from co_8
+union all select key, 3413, round(-45e0+degrees(atan2(px, -py)), 8), round(degrees(f8), 8) from po_8
+union all select key, 3035, round(10e0+degrees(atan2((px-4321000e0)*sin(c), {dd}*rho*{cb}*cos(c)-{dd}*{dd}*(py-3210000e0)*{sb}*sin(c))), 8),
+  round(degrees(f6), 8) from eq_6
+union all select key, 3067, round(lon, 8), round(lat, 8) from geographic"""
+
+
+SQL["geo2_layers_of_many_systems"] = _many_systems()
 SQL["geo3_point_wkb"] = _base(
     """select src, orid as rid, '0101000000' as head, cast(cast(LON as bit) as varchar) as lon_bits,
     cast(cast(LAT as bit) as varchar) as lat_bits from obs"""
@@ -436,17 +624,27 @@ def _listed(cte: str, value: str, order: str = "rid") -> str:
     return f"(select src, orid, string_agg({value}, ';' order by {order}) as txt from {cte} group by src, orid)"
 
 
-def _whole(column: str) -> str:
-    return f"coalesce(cast(cast(floor({column}) as bigint) as varchar), '-')"
+def _shown(columns: str) -> str:
+    """The named columns as one text."""
+    return "||'|'||".join(f"coalesce(cast({c} as varchar), '-')" for c in columns.split())
 
 
+#: The child columns of each type.
+_OWN = {
+    "planars": "REMARKS DIP DIRECTION_OF_DIP STYPE_TEXT FOL_TYPE_TEXT STYPE H_SENCE H_SENCE_TEXT",
+    "linears": "REMARKS DIRECTION PLUNGE STYPE_TEXT STYPE",
+    "rock_observations": "REMARKS FIELD_NAME ROCK_NAME ST_2",
+    "images": "PICTURE_ID REMARKS",
+    "samples": "SAMPLEID FIELD_NAME",
+    "textures": "ST_2 ST_1",
+}
 _NESTED = {
-    "planars": _listed("planars", f"{_whole('DIP')}||'|'||STYPE"),
-    "linears": _listed("linears", f"{_whole('PLUNGE')}||'|'||STYPE"),
-    "rock_observations": _listed("rocks", "FIELD_NAME||'|'||coalesce(ST_2, '-')"),
-    "images": _listed("images", "PICTURE_ID||'|'||REMARKS"),
-    "samples": _listed("samples", "SAMPLEID||'|'||FIELD_NAME"),
-    "textures": _listed("textures", "ST_2||'|'||ST_1", "rid, rid2"),
+    kind: _listed(
+        "rocks" if kind == "rock_observations" else kind,
+        _shown(own),
+        *(["rid, rid2"] if kind == "textures" else []),
+    )
+    for kind, own in _OWN.items()
 }
 SQL["nst1_nested_observations"] = _linked(
     "select sel.src, sel.orid, sel.OBSID, coalesce(tect.GDB_ID, '') as gdb_id, "
@@ -464,23 +662,45 @@ SQL["set1_union_rows"] = _linked(
     """select src, orid, rid, OBSID, STYPE, DIP, null::double as PLUNGE from planars
     union all select src, orid, rid, OBSID, STYPE, null, PLUNGE from linears"""
 )
-_TABLES = {
-    "Observation": f"(select src from obs qualify {_FIRST_MARKER})",
-    "Tectonic_measurement": "tec",
-    "BFDS_Planar_structure": "pl",
-    "BFDS_Linear_structure": "li",
-    "Rock_observation_point": "rk",
-    "BFDS_SaT": "tx",
-    "Sample": "sa",
-    "Outcrop_picture": "im",
+def _cells(relation: str, table: str, columns: str, rid: str = "rid") -> str:
+    """A table's rows with all cells as one text; numbers in thousandths."""
+    cells = []
+    for column in columns.split():
+        number = column.endswith("#")
+        name = column.rstrip("#")
+        value = f"cast(cast(round({name}*1000) as bigint) as varchar)" if number else f"cast({name} as varchar)"
+        cells.append(f"coalesce({value}, 'NULL')")
+    return f"select src, {rid} as rid, '{table}' as table_name, {" || '|' || ".join(cells)} as cells from {relation}"
+
+
+#: Relation, table name and columns (those with # are numbers), and what the row id is called.
+_TABLE_CELLS = {
+    "obs": ("Observation", "OBSID LAT# LON# OBS_REMARKS PROJECT", "orid"),
+    "tec": ("Tectonic_measurement", "OBSID GDB_ID"),
+    "pl": (
+        "BFDS_Planar_structure",
+        "TM_GID REMARKS DIP# DIRECTION_OF_DIP# STYPE_TEXT FOL_TYPE_TEXT STYPE H_SENCE H_SENCE_TEXT",
+    ),
+    "li": ("BFDS_Linear_structure", "TM_GID REMARKS DIRECTION# PLUNGE# STYPE_TEXT STYPE"),
+    "rk": ("Rock_observation_point", "OBSID GDB_ID REMARKS FIELD_NAME ROCK_NAME"),
+    "tx": ("BFDS_SaT", "ROP_GID ST_2 ST_1"),
+    "sa": ("Sample", "OBSID SAMPLEID FIELD_NAME"),
+    "im": ("Outcrop_picture", "OBSID PICTURE_ID REMARKS"),
 }
-SQL["set2_merged_models"] = _base(
-    " union all ".join(
-        f"select '{name}' as table_name, p.prefix||src as src, count(*) as n "
-        f"from {rows} t, (values (''),('other_')) p(prefix) group by all"
-        for name, rows in _TABLES.items()
-    )
-)
+
+
+def _both_sides() -> str:
+    parts = []
+    for relation, (table, columns, *rid) in _TABLE_CELLS.items():
+        rows = f"(select * from obs qualify {_FIRST_MARKER})" if relation == "obs" else relation
+        own = "* replace ('X'||OBSID as OBSID)" if "OBSID" in columns else "*"
+        other = f"(select {own} from {rows} o)"
+        parts.append(_cells(rows, table, columns, *rid))
+        parts.append(_cells(other, table, columns, *rid).replace("select src,", "select 'other_'||src as src,", 1))
+    return " union all ".join(parts)
+
+
+SQL["set2_merged_models"] = _base(_both_sides())
 SQL["set3_project_union"] = (
     "select o_orderpriority as PROJECT from orders union select c_mktsegment from customer"
 )
@@ -645,6 +865,17 @@ SQL["val2_contract_violations"] = _base(
     union all select 'Observation', 'REMARKS', src, orid, 'missing' from obs where OBS_REMARKS='P'
     union all select 'Outcrop_picture', 'REMARKS', src, rid, 'missing' from im where REMARKS='pic 3'"""
 )
+SQL["val2_mistyped_cells"] = _base(
+    """select 'BFDS_Planar_structure' as table_name, 'DIP' as column_name, src, rid, 'text in number' as reason
+    from pl where rid%23=0
+    union all select 'Observation', 'LAT', src, orid, 'text in number' from obs where orid%41=0"""
+)
+SQL["val1_schema_violations"] = _base(
+    """, given as (select distinct src, src||'-'||cast(orid//10000 as varchar)||'@1.sqlite' as name from obs)
+    select name as src, 'Outcrop_picture' as table_name, 'REMARKS' as column_name, 'no column' as reason
+    from given where src='db1'
+    union all select name, 'BFDS_SaT', null, 'no table' from given where src='db2'"""
+)
 SQL["val3_all_points"] = _linked(
     " union all ".join(
         f"select '{kind}' as kind, count(*) as n, cast(0 as bigint) as n_missing from {cte}"
@@ -666,23 +897,58 @@ select judged.name, path,
     then cast(trunc(cast(height as double)*(800e0/width)) as bigint) end as new_height
 from judged left join done on done.name=judged.name"""
 )
-SQL["img2_resample"] = """
+
+
+def _thumbnails(name: str, wanted: str) -> str:
+    """Thumbnails of 24 columns of the given images."""
+    return f"""
 with pix as (select vec_id, cast(floor(len(embedding)/2) as bigint) as w,
-    list_transform(embedding, lambda e: cast(floor(abs(cast(e as double))*1000) as bigint)%256) as px from embeddings),
+    list_transform(embedding, lambda e: cast(floor(abs(cast(e as double))*1000) as bigint)%256) as px
+  from embeddings where {wanted}),
 sized as (select *, cast(trunc(2e0*(24e0/w)) as bigint) as h from pix),
 cells as (select vec_id, w, h, px, y, x,
     px[cast(floor((y+0.5e0)*2/h) as bigint)*w + cast(floor((x+0.5e0)*w/24) as bigint) + 1] as v
   from (select *, unnest(range(0, h)) as y from sized) t, unnest(range(0, 24)) as r(x))
-select 'imgs/'||cast(sized.vec_id as varchar)||'.png' as path, cast(24 as integer) as width,
-  cast(sized.h as integer) as height,
+select {name}, cast(24 as integer) as width, cast(sized.h as integer) as height,
   coalesce((select string_agg(printf('%02X', v), '' order by y, x) from cells where cells.vec_id=sized.vec_id), '') as pixels
 from sized"""
 
+
+SQL["img2_resample"] = _thumbnails("'imgs/'||cast(sized.vec_id as varchar)||'.png' as path", "true")
+SQL["pip5_thumbnails"] = _thumbnails(
+    "'v'||cast(sized.vec_id as varchar)||'.png' as name", "vec_id%10<>3 and vec_id%5<>0"
+)
+# An uncompressed file has 68 bytes besides its lines, each of them a byte longer than its pixels.
+SQL["src5_image_listing"] = """
+select 'v'||cast(vec_id as varchar)||'.png' as name,
+  cast(case when vec_id%10=3 then 8 else 68+2*(len(embedding)//2+1) end as bigint) as length from embeddings"""
+SQL["src6_decoded_images"] = """
+select 'v'||cast(vec_id as varchar)||'.png' as name,
+  cast(case when vec_id%10=3 then -1 else len(embedding)//2 end as integer) as width,
+  cast(case when vec_id%10=3 then -1 else 2 end as integer) as height,
+  cast(case when vec_id%10=3 then -1 else 1 end as integer) as channels,
+  case when vec_id%10=3 then '' else list_reduce(list_transform(embedding[:2*(len(embedding)//2)],
+    lambda e: printf('%02X', cast(floor(abs(cast(e as double))*1000) as bigint)%256)), lambda a, b: a||b) end as pixels
+from embeddings"""
+
 # --- layers and sources ----------------------------------------------------
 
-SQL["src1_sqlite_scan"] = _base(
+SQL["src1_parsed_databases"] = _base(
     "select src, orid as rid, OBSID, LAT, LON, OBS_REMARKS as REMARKS, PROJECT from obs"
 )
+SQL["src1_sqlite_scan"] = _base(
+    "select src, orid as rid, OBSID, LAT, LON, OBS_REMARKS as REMARKS, PROJECT from obs "
+    "where PROJECT='2-HIGH' and orid>100 and LAT<66"
+)
+
+
+SQL["src2_eight_tables"] = _base(
+    " union all ".join(_cells(relation, *rest) for relation, rest in _TABLE_CELLS.items())
+)
+SQL["src3_databases_of_folder"] = _base(
+    """select src||'-'||cast(orid//10000 as varchar)||'@1.sqlite' as src, count(*) as n,
+    count(distinct OBSID) as n_ids from obs group by all"""
+)
 SQL["src4_geojson_features"] = f"""with {_VERTICES}
 select dataset, cast(feature_no as bigint) as feature_no, 3067 as epsg, geometry_type,
   cast(nth as bigint) as nth, cast(px as double) as x, cast(py as double) as y,
@@ -755,7 +1021,8 @@ SQL["snk1_csv_linears"] = _linked(
 )
 SQL["snk2_parquet_samples"] = _linked(
     """select SAMPLEID, FIELD_NAME, OBS_REMARKS as REMARKS, PROJECT, OBSID, round(x,3) as x, round(y,3) as y,
-    3067 as epsg, 21 as n_bytes from samples"""
+    3067 as epsg, 21 as n_bytes, '0101000000' as head, substr(cast(cast(x as bit) as varchar), 1, 40) as x_bits,
+    substr(cast(cast(y as bit) as varchar), 1, 40) as y_bits from samples"""
 )
 SQL["snk2_geojson_images"] = _linked(
     "select OBSID, PICTURE_ID, REMARKS, OBS_REMARKS, PROJECT, 'urn:ogc:def:crs:EPSG::3067' as crs, "
@@ -763,8 +1030,8 @@ SQL["snk2_geojson_images"] = _linked(
 )
 SQL["snk3_written_types"] = _linked(
     " union all ".join(
-        f"select '{kind}' as kind, OBSID, PROJECT, round(x,3) as x, round(y,3) as y, 3067 as epsg "
-        f"from ({rows}) where {valid}"
+        f"select '{kind}' as kind, {_shown(_OWN[kind])} as own, OBSID, OBS_REMARKS as remarks, PROJECT, "
+        f"round(x,3) as x, round(y,3) as y, 0e0 as z, 3067 as epsg from ({rows}) where {valid}"
         for kind, (rows, valid) in _VALID_ROWS.items()
     )
 )
@@ -792,3 +1059,19 @@ SQL["flt2_antimeridian_box"] = (
     + """ select src, orid as rid, OBSID, LON from placed
     where x between 150000e0 and 450000e0 and y between 6600000e0 and 7800000e0"""
 )
+
+# What two landings leave: one source's remarks are marked and some of its planar rows gone.
+_LANDED = BASE.replace(
+    "o_orderstatus as OBS_REMARKS",
+    "o_orderstatus||case when cast(floor(o_orderkey/5) as bigint)%3=1 then '+' else '' end as OBS_REMARKS",
+).replace("l_linenumber in (1,2,6))", "l_linenumber in (1,2,6) and not (src='db1' and rid%4=0))")
+SQL["pip6_landed_tables"] = f"""with {_LANDED}, landed as (
+  select src, orid as rid, orid as okey, 'observation' as kind, OBSID as key, OBS_REMARKS as value from obs
+  union all select src, rid, rid//10000000, 'planar', TM_GID, cast(cast(DIP as int) as varchar) from pl)
+select src||'-'||cast(okey//10000 as varchar) as src, rid, kind, key, value,
+  case src when 'db0' then '9' when 'db1' then '10' else '2024-1' end as snapshot,
+  cast(case src when 'db0' then 0 else 1 end as bigint) as batch from landed"""
+SQL["pip6_landed_export"] = (
+    f"with {LINKED.replace(BASE, _LANDED)} "
+    f"select * exclude (src, orid, rid) from ({_PLANAR_ROWS}) where {_VALID_PLANAR}"
+)

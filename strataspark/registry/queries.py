@@ -16,14 +16,22 @@ from strataspark.operators import layers as lay
 from strataspark.operators import linking as link
 from strataspark.operators import markers as mrk
 from strataspark.operators import merging, nested, points, selection, validation
-from strataspark.plans import export, webmap
+from strataspark.plans import export, thumbnails, webmap
 from strataspark.registry import derived
 from strataspark.sinks import markers as marker_sink
 from strataspark.sinks import points as point_sink
 from strataspark.sources.config import parse_rules, rule_scalars
+from strataspark.sources.images import list_images, read_images
 from strataspark.sources.layers import parse_documents, read_lines
-from strataspark.sources.sqlite import parse_databases
+from strataspark.sources.sqlite import (
+    load_model,
+    mistyped_cells,
+    parse_databases,
+    read_table,
+    schema_violations,
+)
 from strataspark.streaming import snapshots
+from strataspark.streaming.tables import LandedTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,6 +67,16 @@ def _points(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return export.compile_types(mapped.field_model(spark, sf_dir), RULES, [kind])[kind]
 
 
+def _cells(df: DataFrame, table: str) -> DataFrame:
+    """A table's rows with all cells as one text; numbers in thousandths."""
+    shown = [
+        F.round(F.col(c) * 1000).cast("long").cast("string") if c in m.NUMERIC_COLUMNS else F.col(c)
+        for c in m.TABLE_COLUMNS[table]
+    ]
+    cells = F.concat_ws("|", *[F.coalesce(c, F.lit("NULL")) for c in shown])
+    return _named(df, F.lit(table).alias("table_name"), cells.alias("cells"))
+
+
 def _each_vertex(features: DataFrame, *columns: str) -> DataFrame:
     """The given columns with ``nth`` and ``v`` of every vertex of each feature."""
     flat = F.flatten(F.flatten("vertices"))
@@ -174,6 +192,84 @@ def geo1_web_mercator(spark, sf_dir):
     return _metres(_named(geo.with_projected(mapped.observations(spark, sf_dir), 3857), "x", "y"))
 
 
+def _placed_in(spark: SparkSession, sf_dir: str, epsg: int) -> DataFrame:
+    """Observations in a system, to the centimetre."""
+    placed = geo.with_projected(mapped.observations(spark, sf_dir), epsg)
+    return _named(placed, F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+
+
+@query
+def geo1_lambert_conic(spark, sf_dir):
+    """GEO-1: EPSG:4326 to EPSG:3034."""
+    return _placed_in(spark, sf_dir, 3034)
+
+
+@query
+def geo1_equal_area(spark, sf_dir):
+    """GEO-1: EPSG:4326 to EPSG:3035."""
+    return _placed_in(spark, sf_dir, 3035)
+
+
+@query
+def geo1_polar_stereographic(spark, sf_dir):
+    """GEO-1: EPSG:4326 to EPSG:3413."""
+    return _placed_in(spark, sf_dir, 3413)
+
+
+@query
+def geo1_zone_of_one_degree(spark, sf_dir):
+    """GEO-1: EPSG:4326 to EPSG:3879."""
+    return _placed_in(spark, sf_dir, 3879)
+
+
+@query
+def geo1_shifted_datum(spark, sf_dir):
+    """GEO-1: EPSG:4326 to EPSG:2393, whose datum is another one."""
+    return _placed_in(spark, sf_dir, 2393)
+
+
+@query
+def geo2_layers_of_many_systems(spark, sf_dir):
+    """GEO-2: features of four systems brought to EPSG:4326 in one pass."""
+    key = F.col("c_custkey")
+    codes = {0: 3034, 1: 3035, 2: 3413, 3: 3067}
+    # Within the area of all four.
+    corner = {3034: (4000000, 4000000), 3035: (4500000, 4500000), 3413: (1200000, -2000000), 3067: (300000, 6800000)}
+    epsg, x, y = F.lit(None).cast("int"), F.lit(0.0), F.lit(0.0)
+    for rest, code in codes.items():
+        here = key % len(codes) == rest
+        epsg = F.when(here, code).otherwise(epsg)
+        x = F.when(here, corner[code][0] + key * 37 % 200000 + 0.25).otherwise(x)
+        y = F.when(here, corner[code][1] + key * 53 % 200000 + 0.5).otherwise(y)
+    features = mapped.table(spark, sf_dir, "customer").select(
+        key.cast("long").alias("key"), epsg.alias("epsg"), epsg.alias("code"),
+        F.array(F.array(F.array(F.array(x, y)))).alias("vertices"),
+    )
+    moved = lay.to_geographic(features, codes.values())
+    return _each_vertex(moved, "key", "code").select(
+        "key", "code", F.round(F.col("v")[0], 8).alias("lon"), F.round(F.col("v")[1], 8).alias("lat")
+    )
+
+
+@query
+def flt2_bounds_in_other_systems(spark, sf_dir):
+    """FLT-2: boxes of five systems, each with its envelope before it."""
+    observations = mapped.observations(spark, sf_dir)
+    boxes = {
+        3034: (4450000.0, 3700000.0, 4700000.0, 4100000.0),
+        3035: (4800000.0, 4150000.0, 5100000.0, 4500000.0),
+        3413: (2000000.0, -1200000.0, 2600000.0, -500000.0),
+        3879: (25350000.0, 6650000.0, 25600000.0, 7000000.0),
+        2393: (3300000.0, 6700000.0, 3500000.0, 7100000.0),
+    }
+    found = None
+    for epsg, box in boxes.items():
+        inside = selection.within_bounds(observations, box, epsg)
+        rows = _named(inside, F.lit(epsg).alias("epsg"), "OBSID")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 @query
 def geo2_unproject(spark, sf_dir):
     """GEO-2: layer vertices from EPSG:3067 to EPSG:4326."""
@@ -424,25 +520,12 @@ def dup2_first_marker(spark, sf_dir):
 
 @query
 def nst1_nested_observations(spark, sf_dir):
-    """NST-1: observations with six child lists, each shown as text."""
+    """NST-1: observations with six child lists, every field of each shown as text."""
     records = nested.nested_observations(_linker(spark, sf_dir))
-    shown = {
-        m.PLANARS: ("DIP", "STYPE"),
-        m.LINEARS: ("PLUNGE", "STYPE"),
-        m.ROCKS: ("FIELD_NAME", "ST_2"),
-        m.IMAGES: ("PICTURE_ID", "REMARKS"),
-        m.SAMPLES: ("SAMPLEID", "FIELD_NAME"),
-        m.TEXTURES: ("ST_2", "ST_1"),
-    }
 
     def as_text(kind: str) -> Column:
         def row(r: Column) -> Column:
-            cells = [
-                F.when(r[c].isNull(), "-").otherwise(
-                    F.floor(r[c]).cast("string") if c in m.NUMERIC_COLUMNS else r[c]
-                )
-                for c in shown[kind]
-            ]
+            cells = [F.coalesce(r[c].cast("string"), F.lit("-")) for c in m.CHILD_COLUMNS[kind]]
             return F.concat_ws("|", *cells)
 
         return F.array_join(F.transform(kind, row), ";").alias(kind)
@@ -463,7 +546,7 @@ def set1_union_rows(spark, sf_dir):
 
 @query
 def set2_merged_models(spark, sf_dir):
-    """SET-2: two models merged; rows and sources of each table."""
+    """SET-2: two models merged; every row and cell of each table."""
     model = mapped.field_model(spark, sf_dir)
     left = model.with_observations(mrk.first_per_id(model.observations))
 
@@ -473,12 +556,7 @@ def set2_merged_models(spark, sf_dir):
 
     right = m.FieldModel.from_tables({n: renamed(n, df) for n, df in left.items()})
     merged = merging.merge_models(left, right)
-    return merging.union_by_name(
-        df.groupBy(F.col(m.SRC).alias("src"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.lit(name).alias("table_name"), "src", "n")
-        for name, df in merged.items()
-    )
+    return merging.union_by_name(_cells(df, name) for name, df in merged.items())
 
 
 @query
@@ -645,6 +723,28 @@ def val2_contract_violations(spark, sf_dir):
     return _named(validation.violations(holes), "table_name", "column_name", "reason")
 
 
+#: What is wrong with the databases that VAL-1 and VAL-2 look at.
+SPOILED = {m.PLANAR: ("DIP", 23), m.OBSERVATION: ("LAT", 41)}
+LACKING = {m.IMAGE: ("db1-", "REMARKS"), m.TEXTURE: ("db2-", None)}
+
+
+@query
+def val2_mistyped_cells(spark, sf_dir):
+    """VAL-2: text in numeric cells, as the scan of the databases notes it."""
+    folder = _written_databases(spark, sf_dir, texts=SPOILED)
+    found = [mistyped_cells(spark, folder, t) for t in (m.OBSERVATION, m.PLANAR, m.LINEAR)]
+    return _named(
+        _database_of(merging.union_by_name(found)), "table_name", "column_name", "reason"
+    )
+
+
+@query
+def val1_schema_violations(spark, sf_dir):
+    """VAL-1: tables and columns that databases lack, all of them at once."""
+    found = schema_violations(spark, _written_databases(spark, sf_dir, without=LACKING))
+    return found.select(F.col(m.SRC).alias("src"), "table_name", "column_name", "reason")
+
+
 @query
 def val3_all_points(spark, sf_dir):
     """VAL-3: compiled rows without a point, of each type."""
@@ -674,18 +774,88 @@ def img2_resample(spark, sf_dir):
     return thumbs.select("path", "width", "height", F.hex("data").alias("pixels"))
 
 
+@query
+def src5_image_listing(spark, sf_dir):
+    """SRC-5: the images of a folder with their sizes, unread."""
+    listed = list_images(spark, derived.image_folder(spark, sf_dir), "png")
+    return listed.select(text.base_name(F.col("path")).alias("name"), "length")
+
+
+@query
+def src6_decoded_images(spark, sf_dir):
+    """SRC-6: the images of a folder decoded; a file that is none stays as such."""
+    images = read_images(spark, derived.image_folder(spark, sf_dir), "png")
+    return images.select(
+        text.base_name(F.col("path")).alias("name"), "width", "height", "channels", F.hex("data").alias("pixels")
+    )
+
+
+@query
+def pip5_thumbnails(spark, sf_dir):
+    """PIP-5: a resize run over a folder; some thumbnails exist already."""
+    origin = derived.image_folder(spark, sf_dir)
+    destination = derived.scratch(spark, "thumbnails")
+    every = list_images(spark, origin, "png").select("path")
+    number = F.regexp_extract("path", r"v(\d+)\.png$", 1).cast("long")
+    done = every.where(number % 5 == 0)
+    thumbnails.resize_images(spark, origin, destination, done, 24, "png")
+    stored = thumbnails.stored_thumbnails(spark, destination)
+    return stored.select("name", "width", "height", F.hex("data").alias("pixels"))
+
+
 # --- layers and sources ----------------------------------------------------
 
 
+def _written_databases(spark: SparkSession, sf_dir: str, **wrong: dict) -> str:
+    """A folder with the field tables as databases, one per source and range of keys."""
+    folder = derived.scratch(spark, "databases")
+    given = mapped.field_model(spark, sf_dir)
+    parts = {t: derived.with_block(df, t) for t, df in given.items()}
+    files = derived.field_databases(m.FieldModel.from_tables(parts), "1", **wrong)
+    derived.write_files(files, folder)
+    return folder
+
+
+def _database_of(df: DataFrame) -> DataFrame:
+    """Sources under their names before they were cut into databases."""
+    return df.withColumn(m.SRC, F.regexp_extract(F.col(m.SRC), r"^(.*)-\d+@1\.sqlite$", 1))
+
+
 @query
 def src1_sqlite_scan(spark, sf_dir):
-    """SRC-1: observations read back from databases."""
+    """SRC-1: observations of one project and range of row ids, filtered where databases are read."""
+    folder = _written_databases(spark, sf_dir)
+    rows = read_table(spark, folder, m.OBSERVATION)
+    chosen = rows.where((F.col("PROJECT") == "2-HIGH") & (F.col(m.RID) > 100) & (F.col("LAT") < 66.0))
+    return _named(_database_of(chosen), *m.TABLE_COLUMNS[m.OBSERVATION])
+
+
+@query
+def src1_parsed_databases(spark, sf_dir):
+    """SRC-1: observations read back from databases that are rows themselves."""
     files = derived.databases(mapped.observations(spark, sf_dir), m.OBSERVATION)
     rows = parse_databases(files, m.OBSERVATION)
     source = F.regexp_extract(F.col(m.SRC), r"^(.*)-\d+\.sqlite$", 1)
     return _named(rows.withColumn(m.SRC, source), *m.TABLE_COLUMNS[m.OBSERVATION])
 
 
+@query
+def src2_eight_tables(spark, sf_dir):
+    """SRC-2, SRC-3: all tables of a folder of databases, every row and cell as text."""
+    model = load_model(spark, _written_databases(spark, sf_dir))
+    return merging.union_by_name(_cells(_database_of(df), table) for table, df in model.items())
+
+
+@query
+def src3_databases_of_folder(spark, sf_dir):
+    """SRC-3: which databases a folder holds, and how many observations each."""
+    folder = _written_databases(spark, sf_dir)
+    per = read_table(spark, folder, m.OBSERVATION, ["OBSID"]).groupBy(m.SRC)
+    return per.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("OBSID").alias("n_ids")).select(
+        F.col(m.SRC).alias("src"), "n", "n_ids"
+    )
+
+
 @query
 def src4_geojson_features(spark, sf_dir):
     """SRC-4: features of GeoJSON documents."""
@@ -829,11 +999,20 @@ def snk2_parquet_samples(spark, sf_dir):
     point_sink.write_types(
         {m.SAMPLES: _points(spark, sf_dir, m.SAMPLES)}, folder, ["parquet"]
     )
-    rows = spark.read.parquet(f"{folder}/samples.parquet")
+    rows = spark.read.parquet(f"{folder}/samples.parquet").withColumn("wkb", F.hex("geometry"))
+
+    def leading_bits(first: int) -> Column:
+        """Sign, exponent and the next 28 bits of a little-endian double."""
+        pairs = [F.substring("wkb", first + 2 * i, 2) for i in reversed(range(3, 8))]
+        return F.lpad(F.conv(F.concat(*pairs), 16, 2), 40, "0")
+
     return _metres(
         rows.select(
-            *[c for c in rows.columns if c not in ("geometry", "z")],
+            *[c for c in rows.columns if c not in ("geometry", "z", "wkb")],
             F.length("geometry").alias("n_bytes"),
+            F.substring("wkb", 1, 10).alias("head"),
+            leading_bits(11).alias("x_bits"),
+            leading_bits(27).alias("y_bits"),
         )
     )
 
@@ -866,14 +1045,17 @@ def snk3_written_types(spark, sf_dir):
     """SNK-3, PIP-3: a whole export run; the rows it wrote, of all types."""
     folder = derived.scratch(spark, "export")
     export.export_observations(mapped.field_model(spark, sf_dir), RULES, folder)
-    return _metres(
-        merging.union_by_name(
-            spark.read.parquet(f"{folder}/{kind}.parquet").select(
-                F.lit(kind).alias("kind"), "OBSID", "PROJECT", "x", "y", "epsg"
-            )
-            for kind in m.ALL_TYPES
-        )
-    )
+
+    def written(kind: str) -> DataFrame:
+        rows = spark.read.parquet(f"{folder}/{kind}.parquet")
+        remarks = "OBS_REMARKS" if "OBS_REMARKS" in rows.columns else "REMARKS"
+        own = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in m.CHILD_COLUMNS[kind]]
+        return rows.select(
+            F.lit(kind).alias("kind"), F.concat_ws("|", *own).alias("own"), "OBSID",
+            F.col(remarks).alias("remarks"), "PROJECT", "x", "y", "z", "epsg",
+        )
+
+    return _metres(merging.union_by_name(written(kind) for kind in m.ALL_TYPES))
 
 
 @query
@@ -979,3 +1161,68 @@ def pip6_newest_snapshots(spark, sf_dir):
     )
     newest = snapshots.newest_snapshots(landed)
     return _named(newest, "o_orderkey", F.col(snapshots.SNAPSHOT).alias("snapshot"))
+
+
+#: What the second landing does to the sources of one name.
+CHANGED, ADDED, STALE = "db1", "db2", "db0"
+
+
+def _landed_twice(spark: SparkSession, sf_dir: str) -> tuple[LandedTables, str]:
+    """Databases that land in two rounds, each picked up by a stream that exports again.
+
+    The second round changes some sources, adds some, and brings older snapshots of others.
+    """
+    folder = derived.scratch(spark, "landings")
+    landing, tables, out = (f"{folder}/{n}" for n in ("landing", "tables", "export"))
+    given = mapped.field_model(spark, sf_dir)
+    parts = {t: derived.with_block(df, t) for t, df in given.items()}
+
+    def of(name: str, **changes: DataFrame) -> m.FieldModel:
+        own = F.col(m.SRC).startswith(f"{name}-")
+        return m.FieldModel.from_tables({t: changes.get(t, df).where(own) for t, df in parts.items()})
+
+    def land(model: m.FieldModel, snapshot: str) -> None:
+        derived.write_files(derived.field_databases(model, snapshot), landing)
+
+    def watch() -> None:
+        snapshots.watch_exports(
+            spark, landing, f"{folder}/checkpoint", tables, RULES, out
+        ).awaitTermination()
+
+    marked = parts[m.OBSERVATION].withColumn("REMARKS", F.concat("REMARKS", F.lit("+")))
+    fewer = parts[m.PLANAR].where(F.col(m.RID) % 4 != 0)
+    land(of(STALE), "9")
+    land(of(CHANGED), "9")
+    watch()
+    land(of(CHANGED, **{m.OBSERVATION: marked, m.PLANAR: fewer}), "10")
+    land(of(ADDED), "2024-1")
+    land(of(STALE, **{m.OBSERVATION: marked, m.PLANAR: fewer}), "8")
+    watch()
+    return LandedTables(spark, tables), out
+
+
+@query
+def pip6_landed_tables(spark, sf_dir):
+    """PIP-6: rows after two landings, with the snapshot and the batch that each source is from."""
+    store, _ = _landed_twice(spark, sf_dir)
+    model = store.model()
+    observations = model.observations.select(
+        m.SRC, m.RID, F.lit("observation").alias("kind"), "OBSID", F.col("REMARKS").alias("value")
+    )
+    planars = model.planars.select(
+        m.SRC, m.RID, F.lit("planar").alias("kind"), F.col("TM_GID").alias("OBSID"),
+        F.col("DIP").cast("int").cast("string").alias("value"),
+    )
+    rows = observations.unionByName(planars).join(store.current(), m.SRC)
+    return _named(
+        rows, "kind", F.col("OBSID").alias("key"), "value",
+        F.col(snapshots.SNAPSHOT).alias("snapshot"), F.col("landed").alias("batch"),
+    )
+
+
+@query
+def pip6_landed_export(spark, sf_dir):
+    """PIP-6: planar structures as the second landing's export left them."""
+    _, out = _landed_twice(spark, sf_dir)
+    rows = spark.read.parquet(f"{out}/{m.PLANARS}.parquet")
+    return _metres(rows.drop("geometry", "epsg"))

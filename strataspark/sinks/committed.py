@@ -1,8 +1,9 @@
 """Files that tasks write to shared storage and that appear when the whole job has succeeded.
 
 A task writes below ``_temporary`` of the target folder, in a folder of its own attempt.  The commit
-moves what the successful attempts reported to its final names; an abort, and what failed attempts left,
-is removed with the temporary folder.  So a folder never shows the file of a failed or repeated attempt.
+moves what the successful attempts reported to its final names.  An attempt that fails removes what it
+wrote, and commit and abort remove the job's temporary folder; what a killed worker may still leave lies
+below a name that readers pass over.  So a folder never shows the file of a failed or repeated attempt.
 """
 
 from __future__ import annotations
@@ -62,7 +63,12 @@ class CommittedWriter(DataSourceArrowWriter):
             names.append(name)
             return system.open_output_stream(f"{folder}/{name}", compression=None)
 
-        self.write_files(iterator, open_file)
+        try:
+            self.write_files(iterator, open_file)
+        except BaseException:
+            if system.get_file_info(folder).type == fs.FileType.Directory:
+                system.delete_dir(folder)
+            raise
         return Written(folder, names)
 
     def commit(self, messages: list[Written | None]) -> None:

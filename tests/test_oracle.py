@@ -12,7 +12,7 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 # Queries whose work is a Python reader or a per-image kernel.
-PYTHON_WORKERS = {"img2_resample", "src1_sqlite_scan"}
+PYTHON_WORKERS = {"img2_resample", "src1_sqlite_scan", "pip5_thumbnails"}
 UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas")
 
 

@@ -19,6 +19,7 @@ Null and empty texts are the end token alone.  Rows that repeat are packed each.
 from __future__ import annotations
 
 import re
+import struct
 import sys
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.common import worker_store
+from strataspark.llm.common import byte_ranges, text_bytes, words_in, worker_store
 from strataspark.operators.points import with_row_index
 from strataspark.session import cut_lineage
 
@@ -38,7 +39,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SIZE = 2048
 END = 0
 OPENED = 8  # a round opens one of so many sequences that the remaining tokens need
-_WORDS_KEPT = 300_000  # words whose ids a worker remembers
+_WORDS_KEPT = 600_000  # words whose ids a worker remembers
+_RANGE = 1 << 22  # bytes of text whose words are numbered at a time
+# The bytes that part words.
+_APART = np.zeros(256, bool)
+_APART[list(b" \t\n\r\x0b\x0c")] = True
 
 _ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _PLAIN = re.compile(rb"[\x21-\x7e]+")
@@ -84,7 +89,7 @@ class WordIds(dict):
             if len(self.parts) > _WORDS_KEPT:
                 self.parts.clear()
             found = [t.id for t in self.model.tokenize(letters)]
-            ids = self.parts[letters] = np.array(found, dtype="<u4").tobytes()
+            ids = self.parts[letters] = struct.pack(f"<{len(found)}I", *found)
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
@@ -105,7 +110,7 @@ class WordIds(dict):
                 )
             else:
                 found = self.whole.encode(text, add_special_tokens=False).ids
-                ids = np.array(found, dtype="<u4").tobytes()
+                ids = struct.pack(f"<{len(found)}I", *found)
         if len(word) < 100:
             self[word] = ids
         return ids
@@ -114,6 +119,38 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
+def ids_of(texts: pa.Array, words: WordIds, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, one behind the other and ``end`` behind each, and where each begins.
+
+    A range's different words are looked up once; their occurrences are gathered by number.
+    """
+    data, begins = text_bytes(texts)
+    counts = np.zeros(len(texts), np.int64)
+    parts: list[np.ndarray] = []
+    for at, to in byte_ranges(data, begins, _APART, _RANGE):
+        here = begins[np.searchsorted(begins, at) : np.searchsorted(begins, to)] - at
+        starts, found = words_in(data[at:to], here, _APART)
+        if not len(starts):
+            continue
+        known = [words[w] for w in found.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        pool = np.frombuffer(b"".join(known), "<u4")
+        number = found.indices.to_numpy()
+        own = sizes[number]
+        before = np.cumsum(own) - own
+        shift = np.repeat((np.cumsum(sizes) - sizes)[number] - before, own)
+        parts.append(pool[shift + np.arange(len(shift))])
+        text = np.searchsorted(begins, starts + at, side="right") - 1
+        counts += np.bincount(text, own, len(texts)).astype(np.int64)
+    firsts = np.cumsum(counts + 1) - (counts + 1)
+    out = np.full(int(counts.sum()) + len(texts), end, "<u4")
+    inner = np.ones(len(out), bool)
+    inner[firsts + counts] = False
+    if parts:
+        out[inner] = np.concatenate(parts)
+    return out, firsts
+
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -124,30 +161,34 @@ def pieces(
 
     ``with_ids`` adds the ids themselves.  ``path`` is a tokenizer file that all workers can read.
     """
-    tail = np.array([end], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = worker_store(f"words:{path}", lambda: WordIds(path))
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = words.of(text) + tail
-                for n, at in enumerate(range(0, len(ids), 4 * size)):
-                    own = ids[at : at + 4 * size]
-                    row = (doc_id, n, at // 4, len(own) // 4, zlib.crc32(own), own)
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
+            ids, firsts = ids_of(batch.column(1), words, end)
+            counts = np.diff(firsts, append=len(ids))
+            pieces_of = -(-counts // size)
+            text = np.repeat(np.arange(len(counts)), pieces_of)
+            piece = np.arange(len(text)) - np.repeat(np.cumsum(pieces_of) - pieces_of, pieces_of)
+            start = piece * size
+            length = np.minimum(size, counts[text] - start)
+            begin = firsts[text] + start
+            raw = memoryview(ids.tobytes())
+            sums = [
+                zlib.crc32(raw[4 * b : 4 * (b + n)])
+                for b, n in zip(begin.tolist(), length.tolist(), strict=True)
+            ]
             columns = [
-                pa.array(c, t)
-                for c, t in zip(
-                    out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=False
-                )
+                batch.column(0).take(pa.array(text)),
+                pa.array(piece, pa.int32()),
+                pa.array(start),
+                pa.array(length),
+                pa.array(sums, pa.int64()),
             ]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
-                lists = [np.frombuffer(x, "<u4").astype(np.int32) for x in out[5]]
-                columns.append(pa.array(lists, pa.list_(pa.int32())))
+                edges = pa.array(np.append(begin, len(ids)), pa.int32())
+                columns.append(pa.ListArray.from_arrays(edges, pa.array(ids.astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

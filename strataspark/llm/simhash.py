@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.llm.common import looked_up
@@ -254,10 +254,7 @@ def components(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         )
     )
     rows, total = prints.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
-    roots = connected(links(prints.select("fingerprint"), rows, max_bits))
-    rooted = prints.join(
-        roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left"
-    ).withColumn("root", F.coalesce("root", "fingerprint"))
+    rooted = _rooted(prints, rows, max_bits)
     least = rooted.groupBy("root").agg(
         F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members")
     )
@@ -267,6 +264,14 @@ def components(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def _rooted(prints: DataFrame, rows: int, max_bits: int) -> DataFrame:
+    """Distinct fingerprints with the ``root`` of their component, a fingerprint itself."""
+    roots = connected(links(prints.select("fingerprint"), rows, max_bits))
+    return prints.join(
+        roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left"
+    ).withColumn("root", F.coalesce("root", "fingerprint"))
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs (doc_id, text)``."""
     marked = with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
@@ -274,23 +279,28 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of each component: the smallest ``doc_id``.
+    """``docs`` with one row of each component: the smallest ``doc_id``, then the least text hash.
 
-    Rows that repeat an id count as copies if their texts link; of such rows the one with the
-    smallest text hash stays.  Rows without an id stay (nothing tells them apart).
+    So rows that repeat an id are copies only if their texts link, and an id whose texts lie in several
+    components stays once in each where it is the smallest.  Rows without an id stay (nothing tells
+    them apart).  Rows that agree in id and text are reduced map-side before they move.
     """
-    found = near_duplicates(docs, max_bits)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    stay = (
-        docs.where("doc_id is not null")
-        .join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id") == F.col("_kept"))
-        .drop("_kept")
-        .withColumn("_nth", F.row_number().over(once))
-        .where("_nth = 1")
-        .drop("_nth")
+    others = [c for c in docs.columns if c != "doc_id"]
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    named = docs.where("doc_id is not null")
+    keys = named.select("doc_id", "text").withColumn("_hash", hashed)
+    marked = cut_lineage(with_fingerprint(keys).select("doc_id", "_hash", "fingerprint"))
+    own = F.struct("doc_id", "_hash")
+    prints = cut_lineage(marked.groupBy("fingerprint").agg(F.min(own).alias("first")))
+    rooted = _rooted(prints, prints.count(), max_bits)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    once = (
+        named.withColumn("_hash", hashed)
+        .groupBy("doc_id", "_hash")
+        .agg(F.first(F.struct(*others)).alias("_row"))
     )
-    return stay.unionByName(docs.where("doc_id is null"))
+    stay = once.join(kept, ["doc_id", "_hash"], "left_semi").select("doc_id", "_row.*")
+    return stay.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def hexadecimal(column: str) -> F.Column:

@@ -33,6 +33,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SAMPLE = 400  # pages to learn from, at most
 MAX_BLOCKS = 150  # pages with more blocks teach nothing (they are still read whole)
+MAX_CHARS = 60_000  # nor do pages with more characters
 PATHS, WORDS, FIGURES = 256, 32, 8
 INPUTS = PATHS + WORDS + FIGURES
 HIDDEN = 16
@@ -246,11 +247,18 @@ _MAIN_TOPS = (
     (("article",),), (("main",),), (("main",), ("article",)), (("div", "content"),),
     (("div", "post"),), (("div", "entry", "content"),), (("article", "post"),),
     (("main", "main"), ("div", "content")), (("div",), ("article",)), (("section",), ("article",)),
+    (("div", "story", "body"),), (("div", "article", "body"),), (("section", "story"),),
+    (("div", "post", "content"),), (("div", "entry"),), (("td", "content"),),
 )
+# Names that say nothing of what they hold; a part of them is told by its text.
+_PLAIN = ("text", "body", "inner", "col", "row", "box", "wrap", "block", "copy", "left", "x", "module", "page")
 _MAIN_LEAVES = (
     (("p",),), (("p",),), (("p",),), (("p",),), (("h1",),), (("h2",),), (("h3",),), (("ul",), ("li",)),
     (("blockquote",), ("p",)), (("pre",),), (("table",), ("tr",), ("td",)), (("section",), ("p",)),
     (("div",), ("p",)), (("header",), ("h1",)), (("ol",), ("li",)), (("figure",), ("figcaption",)),
+    (("h4",),), (("h5",),), (("h6",),), (("dl",), ("dt",)), (("dl",), ("dd",)), (("address",),),
+    (("details",), ("summary",)), (("details",), ("p",)), (("table",), ("tr",), ("th",)),
+    (("table",), ("caption",)), (("blockquote",),), (("div",),), (("section",), ("h4",)),
 )
 _WRAPPERS = ((), (), (("div", "wrapper"),), (("div", "container"),), (("div", "page"),))
 
@@ -261,7 +269,8 @@ def varied(
     """A page with its main part under other names and side blocks put in between."""
     pick = lambda x: x[int(rng.integers(len(x)))]
     root: tuple[tuple[str, ...], ...] = (("html",), ("body",), *pick(_WRAPPERS))
-    top = root + pick(_MAIN_TOPS)
+    plain = rng.random() < 0.2
+    top = root + ((("div", pick(_PLAIN), pick(_PLAIN)),) if plain else pick(_MAIN_TOPS))
     out, marks = [], []
 
     def side(inside: bool) -> None:
@@ -441,16 +450,19 @@ def fit(pages: Sequence[str], seed: int = 1) -> Labeller:
     return model
 
 
-def learn(pages: DataFrame, max_rows: int = SAMPLE) -> Labeller:
-    """A labeller from at most ``max_rows`` pages, chosen by a hash of their text."""
-    sample = (
-        pages.where(F.length("html").between(1, 60_000))
-        .select("html", F.xxhash64("html").alias("_h"))
-        .orderBy("_h", "html")
-        .limit(max_rows)
-        .toPandas()
-    )
-    return fit(sample["html"].tolist())
+def learn(pages: DataFrame, max_rows: int = SAMPLE, max_chars: int = MAX_CHARS) -> Labeller:
+    """A labeller from at most ``max_rows`` different pages, those of the least hash of their text.
+
+    Pages of over ``max_chars`` characters or ``MAX_BLOCKS`` blocks teach nothing.  Only hashes below a
+    bound, which the number of pages sets at about twice as many as are wanted, go on from a task.
+    """
+    usable = pages.where(F.length("html").between(1, max_chars))
+    hashed = usable.select("html", F.xxhash64("html").alias("_h"))
+    share = min(1.0, 2 * max_rows / max(usable.count(), 1))
+    bound = int(-(2**63) + share * (2**64 - 1))
+    few = hashed.where(F.col("_h") <= F.lit(min(bound, 2**63 - 1)))
+    sample = few.groupBy("_h").agg(F.min("html").alias("html")).orderBy("_h").limit(max_rows)
+    return fit([r["html"] for r in sample.collect()])
 
 
 def extract(pages: DataFrame, model: Labeller, source: str = "html", to: str = "main") -> DataFrame:

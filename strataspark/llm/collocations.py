@@ -6,13 +6,16 @@ quicksort, one word deeper at a time.  The size of an equal partition is the cou
 its suffixes begin with, and a partition too small for any phrase to be frequent is abandoned with
 all that lies below it.
 
-Before that, words are counted over the corpus.  A word that is itself infrequent ends a suffix, as no
-frequent phrase holds it.  Suffixes are led by their words up to the first that is not crowded (occurs
-in at most ``TASK_ROWS`` places), so that what shares a lead is bounded however common its first words
-are; phrases of crowded words alone are counted where they are whole.  Equal suffixes of a task are one
-row with a count before they are shuffled.  Infrequent and crowded words are told by two Bloom filters
-of bounded size: a word wrongly taken for frequent or for crowded costs a row or a longer lead, never
-a count.
+The sizes of the partitions by one and by two leading words are counted first, without moving what is
+behind: words are counted, then pairs of frequent words as two keys, the words' hashes, which are checked
+to differ for all words of the corpus.  These sizes are the counts of phrases of one and two words, and
+partitions that are too small are abandoned before anything longer is routed: a suffix ends where its next
+word makes an infrequent pair.  What remains is led by its words up to the first that is not crowded (is at
+most one in ``FREQUENT`` of all words and occurs in at most ``TASK_ROWS`` places), so that what shares a lead
+is bounded however common its first words are; phrases of crowded words alone are counted where they are
+whole.  Equal suffixes of a task are one row with a count before they are shuffled.  Infrequent words and
+pairs and crowded words are told by Bloom filters of bounded size: what is wrongly taken for frequent or
+crowded costs a row or a longer lead, never a count.
 
 A null text counts as empty, a null language as ``und``; rows that repeat each count, ids are not
 looked at.  Texts of any length are read in slices.  An empty table gives no rows, and neither does a
@@ -21,9 +24,8 @@ language without candidates.  Other columns, whatever their names, are not looke
 
 from __future__ import annotations
 
-import re
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strataspark.llm.common import FREQUENT, release_shuffles
 from strataspark.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -45,15 +48,17 @@ MAX_WORDS = 4
 TOP = 2000
 COVERED = 80  # per cent of a phrase's places in a longer one
 TASK_ROWS = 1_000_000  # suffixes that a task sorts at a time
-BLOOM_BITS = 26  # at most so many binary digits of bits
-_SLICE = 1 << 20  # bytes of a text read at a time
-_WORDS_KEPT = 1 << 20  # words a task remembers
+BLOOM_BITS = 28  # at most so many binary digits of bits
+_CHUNK = 1 << 20  # words whose suffixes a task merges
+_SLICE = 1 << 22  # bytes of text read at a time
+_WORDS_KEPT = 1 << 19  # words a task remembers
 
-# Characters that end a piece.
-_BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
-_TABLE = bytes(10 if c in _BREAKS else c for c in range(256))
-_TOKEN = re.compile(rb"[^\x20\x09\x0a]+|\x0a")
-_BETWEEN = re.compile(rb"[\x20\x09\x0a]")
+# Characters that part words, and those that end a piece.
+_BLANK, _BREAK = 1, 2
+_KIND = np.zeros(256, np.uint8)
+_KIND[[0x20, 0x09]] = _BLANK
+_KIND[list(b".,;:!?\x0a\x0b\x0c\x0d")] = _BREAK
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 
 @dataclass
@@ -63,13 +68,15 @@ class Bloom:
     bits: np.ndarray
     power: int
 
-    def __contains__(self, hashed: int) -> bool:
-        low, high, mask = hashed & 0xFFFFFFFF, hashed >> 32, (1 << self.power) - 1
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        """For each hash, whether it may be in the set."""
+        low, high = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32)
+        found = np.ones(len(hashes), bool)
         for i in range(4):
-            at = (low + i * high) & mask
-            if not (int(self.bits[at >> 6]) >> (at & 63)) & 1:
-                return False
-        return True
+            at = (low + np.uint64(i) * high) & np.uint64((1 << self.power) - 1)
+            word = self.bits[(at >> np.uint64(6)).astype(np.int64)]
+            found &= (word >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return found
 
 
 def bloom(hashes: DataFrame, column: str, rows: int) -> Bloom:
@@ -93,70 +100,143 @@ def bloom(hashes: DataFrame, column: str, rows: int) -> Bloom:
     return Bloom(bits.view(np.uint64), power)
 
 
-def _slices(text: bytes) -> Iterator[bytes]:
-    """A text cut between words, without cutting its pieces' order."""
-    at = 0
-    while at < len(text):
-        if len(text) - at <= _SLICE:
-            yield text[at:]
-            return
-        between = _BETWEEN.search(text, at + _SLICE)
-        to = between.start() if between else len(text)
-        yield text[at:to]
-        at = to
-
-
 class WordIds:
     """Numbers from 1 for the words of each language; 0 stands for the end of a piece.
 
-    A dictionary per language maps words to numbers; ``marks`` has one byte per number, as
-    ``mark(language and word)`` gives it.
+    With ``frequent``, a word that it does not hold is 0, too, and is not remembered; ``salt`` is what
+    its hashes begin with.
     """
 
-    def __init__(self, mark: Callable[[bytes], int] | None = None) -> None:
-        self.mark = mark
+    def __init__(self, frequent: Bloom | None = None, salt: str = "") -> None:
+        self.frequent = frequent
+        self.salt = salt.encode()
         self.clear()
 
     def clear(self) -> None:
-        self.words: list[tuple[str, bytes]] = [("", b"")]
-        self.marks = bytearray(b"\0")
+        self.words: list[bytes] = [b""]
+        self.langs: list[str] = [""]
         self.of_language: dict[str, dict[bytes, int]] = {}
-
-    def language(self, name: str) -> dict[bytes, int]:
-        if name not in self.of_language:
-            self.of_language[name] = _Numbered(self, name)
-        return self.of_language[name]
+        self._hashes: list[np.ndarray] = [np.zeros(1, np.uint64)]
 
     def __len__(self) -> int:
         return len(self.words)
 
-
-class _Numbered(dict):
-    def __init__(self, owner: WordIds, name: str) -> None:
-        super().__init__({b"\x0a": 0})
-        self.owner, self.name, self.prefix = owner, name, name.encode() + b"\0"
-
-    def __missing__(self, word: bytes) -> int:
-        owner = self.owner
-        number = self[word] = len(owner.words)
-        owner.words.append((self.name, word))
-        owner.marks.append(owner.mark(self.prefix + word) if owner.mark else 1)
-        return number
-
-
-def _numbered(
-    batches: Iterator[pa.RecordBatch], ids: WordIds
-) -> Iterator[tuple[str, np.ndarray, bool]]:
-    """``(language, word numbers, whether the text ends)`` for every slice of every text."""
+    def numbers(self, lang: str, words: list[bytes]) -> np.ndarray:
+        """The numbers of different words; new ones get the next."""
+        known = self.of_language.setdefault(lang, {})
+        out = np.fromiter((known.get(w, 0) for w in words), np.int32, len(words))
+        new = np.flatnonzero(out == 0)
+        if self.frequent is not None and len(new):
+            prefix = self.salt + lang.encode() + b"\0"
+            digests = (xxhash.xxh64_intdigest(prefix + words[i], seed=42) for i in new.tolist())
+            hashes = np.fromiter(digests, np.uint64, len(new))
+            often = self.frequent.holds(hashes)
+            new = new[often]
+            self._hashes.append(hashes[often])
+        if len(new):
+            fresh = [words[i] for i in new.tolist()]
+            out[new] = np.arange(len(self.words), len(self.words) + len(fresh))
+            known.update(zip(fresh, out[new].tolist(), strict=True))
+            self.words += fresh
+            self.langs += [lang] * len(fresh)
+        return out
+
+    def hashes(self) -> np.ndarray:
+        """The hash of each number's language and word, as Spark gives it."""
+        self._hashes = [np.concatenate(self._hashes)]
+        return self._hashes[0]
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], ids: WordIds) -> Iterator[np.ndarray]:
+    """The word numbers of all texts in slices; a 0 wherever a piece or a text ends."""
     for batch in batches:
+        langs = batch.column(0).dictionary_encode()
         texts = batch.column(1).cast(pa.binary())
-        for lang, text in zip(batch.column(0), texts, strict=True):
-            name, body = lang.as_py(), text.as_py().lower().translate(_TABLE)
-            for part in _slices(body):
-                numbers = ids.language(name)
-                found = list(map(numbers.__getitem__, _TOKEN.findall(part)))
-                yield name, np.array(found, np.int32), False
-            yield name, np.zeros(1, np.int32), True
+        for code, name in enumerate(langs.dictionary.to_pylist()):
+            own = texts if len(langs.dictionary) == 1 else texts.filter(pc.equal(langs.indices, code))
+            offsets = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1]
+            data = own.buffers()[2]
+            if data is not None:
+                data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+                begins = offsets[:-1].astype(np.int64) - offsets[0]
+                for at, to in _slices(data, begins):
+                    here = begins[np.searchsorted(begins, at) : np.searchsorted(begins, to)] - at
+                    yield _of_slice(data[at:to], here, name, ids)
+            yield np.zeros(1, np.int32)
+
+
+def _slices(data: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of bytes that cut no word."""
+    at = 0
+    while at < len(data):
+        to = min(at + _SLICE, len(data))
+        if to < len(data):
+            following = np.searchsorted(begins, to)
+            end = int(begins[following]) if following < len(begins) else len(data)
+            while to < end:
+                apart = np.flatnonzero(_KIND[data[to : min(to + 4096, end)]])
+                if len(apart):
+                    to += int(apart[0])
+                    break
+                to = min(to + 4096, end)
+        yield at, to
+        at = to
+
+
+def _of_slice(part: np.ndarray, begins: np.ndarray, lang: str, ids: WordIds) -> np.ndarray:
+    """Word numbers of one slice, in which texts begin at ``begins``."""
+    kind = _KIND[part]
+    inside = kind == 0
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins = begins[begins < len(part)]
+    first[begins] = inside[begins]
+    ended = kind == _BREAK
+    ended[begins] = True
+    breaks = np.cumsum(ended, dtype=np.int32)
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(int(len(part) > 0 and breaks[-1] > 0), np.int32)
+    offsets = np.cumsum(inside, dtype=np.int32)
+    offsets = np.append(offsets[starts] - 1, offsets[-1]).astype(np.int32)
+    letters = _LOWER[part[inside]]
+    words = pa.Array.from_buffers(
+        pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]
+    ).dictionary_encode()
+    numbers = ids.numbers(lang, words.dictionary.to_pylist())[words.indices.to_numpy()]
+    before = breaks[starts]
+    apart = np.diff(before, prepend=0) > 0
+    out = np.zeros(len(starts) + int(apart.sum()) + int(breaks[-1] > before[-1]), np.int32)
+    out[np.arange(len(starts)) + np.cumsum(apart)] = numbers
+    return out
+
+
+def _held(
+    batches: Iterator[pa.RecordBatch], ids: WordIds, behind: int
+) -> Iterator[tuple[np.ndarray, int]]:
+    """Chunks of word numbers, and how many places of each begin a suffix of its own.
+
+    The last ``behind`` places of a chunk come again with the next one, which has the words that
+    follow them.  Between chunks the dictionary may be emptied.
+    """
+    parts: list[np.ndarray] = []
+    waiting = 0
+    for numbers in _numbered(batches, ids):
+        parts.append(numbers)
+        waiting += len(numbers)
+        if waiting >= _CHUNK or len(ids) > _WORDS_KEPT:
+            held = np.concatenate(parts)
+            starts = max(0, len(held) - behind)
+            yield held, starts
+            tail = held[starts:]
+            if len(ids) > _WORDS_KEPT:
+                again = [(ids.langs[i], ids.words[i]) for i in tail.tolist()]
+                ids.clear()
+                tail = np.array([ids.numbers(a, [b])[0] if b else 0 for a, b in again], np.int32)
+            parts, waiting = [tail], len(tail)
+    if waiting:
+        held = np.concatenate(parts)
+        yield held, len(held)
 
 
 def _texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
@@ -171,31 +251,16 @@ def word_counts(docs: DataFrame, lang: str = "lang", text: str = "text") -> Data
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
-        total = np.zeros(1024, np.int64)
-
-        def give() -> Iterator[pa.RecordBatch]:
-            for at in range(1, len(ids), 65536):
-                here = ids.words[at : at + 65536]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([x[0] for x in here], pa.string()),
-                        pa.array([x[1] for x in here], pa.binary()),
-                        pa.array(total[at : at + len(here)]),
-                    ],
-                    names=["lang", "word", "n"],
-                )
-
-        for _, numbers, ends in _numbered(batches, ids):
-            if len(total) < len(ids):
-                total = np.concatenate([total, np.zeros(len(ids), np.int64)])
-            if not ends and len(numbers):
-                seen = np.bincount(numbers)
-                total[: len(seen)] += seen
-            if ends and len(ids) > _WORDS_KEPT:
-                yield from give()
-                ids.clear()
-                total[:] = 0
-        yield from give()
+        total = np.zeros(0, np.int64)
+        for held, _ in _held(batches, ids, 0):
+            seen = np.bincount(held, minlength=len(ids))
+            seen[: len(total)] += total
+            total = seen
+            if len(ids) > _WORDS_KEPT:
+                yield from _word_rows(ids, total)
+                total = np.zeros(0, np.int64)
+        if len(total):
+            yield from _word_rows(ids, total)
 
     found = _texts(docs, lang, text).mapInArrow(count, "lang string, word binary, n long")
     return found.groupBy("lang", F.col("word").cast("string").alias("word")).agg(
@@ -203,65 +268,135 @@ def word_counts(docs: DataFrame, lang: str = "lang", text: str = "text") -> Data
     )
 
 
-_FREQUENT, _CROWDED = 1, 2
+def _word_rows(ids: WordIds, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(1, len(ids), 65536):
+        words = ids.words[at : at + 65536]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids.langs[at : at + 65536], pa.string()),
+                pa.array(words, pa.binary()),
+                pa.array(total[at : at + len(words)]),
+            ],
+            names=["lang", "word", "n"],
+        )
+
+
+# Primes of the hash function.
+_PRIMES = [
+    np.uint64(p)
+    for p in (
+        0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    )
+]
+
+
+def _turned(value: np.ndarray, by: int) -> np.ndarray:
+    return (value << np.uint64(by)) | (value >> np.uint64(64 - by))
+
+
+def _joined(run: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """XXH64 of a word's hash, seeded by that of the run before it: what Spark's function gives."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    mixed = run + p5 + np.uint64(8)
+    mixed = mixed ^ (_turned(word * p2, 31) * p1)
+    mixed = _turned(mixed, 27) * p1 + p4
+    mixed = (mixed ^ (mixed >> np.uint64(33))) * p2
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * p3
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def _frequent_pairs(held: np.ndarray, hashes: np.ndarray, pairs: Bloom) -> np.ndarray:
+    """At which places two words begin that may be a frequent pair."""
+    both = held > 0
+    both[:-1] &= held[1:] > 0
+    both[-1:] = False
+    at = np.flatnonzero(both)
+    first = _joined(np.full(len(at), 42, np.uint64), hashes[held[at]])
+    both[at] = pairs.holds(_joined(first, hashes[held[at + 1]]))
+    return both
+
+
+def pair_counts(
+    docs: DataFrame, frequent: Bloom, salt: str = "", lang: str = "lang", text: str = "text"
+) -> DataFrame:
+    """``first``, ``second``, ``n``: the hashes of two words in a row that may be frequent, and their count."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds(frequent, salt)
+        for held, starts in _held(batches, ids, 1):
+            following = np.append(held, 0)[1 : starts + 1]
+            at = np.flatnonzero((held[:starts] > 0) & (following > 0))
+            found, n = np.unique((held[at].astype(np.int64) << 32) | following[at], return_counts=True)
+            hashes = ids.hashes().view(np.int64)
+            for lo in range(0, len(found), 1 << 18):
+                cut = slice(lo, lo + (1 << 18))
+                keys = (hashes[found[cut] >> 32], hashes[found[cut] & 0xFFFFFFFF])
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, keys), pa.array(n[cut])], names=["first", "second", "n"]
+                )
+
+    found = _texts(docs, lang, text).mapInArrow(count, "first long, second long, n long")
+    return found.groupBy("first", "second").agg(F.sum("n").alias("n"))
+
+
+def _merged(table: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal rows of word numbers as one, their counts added; a word at a time."""
+    key = table[:, 0].astype(np.int64)
+    for i in range(1, table.shape[1]):
+        key = pd.factorize((key << 32) | table[:, i])[0]
+    # Numbers are given in the order of first places.
+    first = np.flatnonzero(np.r_[True, key[1:] > np.maximum.accumulate(key)[:-1]])
+    return table[first], np.bincount(key, n).astype(np.int64)
 
 
 def suffixes(
     docs: DataFrame,
     frequent: Bloom,
     crowded: Bloom,
+    pairs: Bloom,
     max_words: int = MAX_WORDS,
+    salt: str = "",
     lang: str = "lang",
     text: str = "text",
 ) -> DataFrame:
-    """Suffixes of two words or more: ``lang``, ``lead``, ``w1`` … and how often the task met them.
+    """Suffixes of three words or more: ``lang``, ``lead``, ``w1`` … and how often the task met them.
 
     ``lead`` is the words up to the first that is not crowded; ``w1`` and so on are those behind it.
-    A suffix of crowded words alone has a row of its own for each of its beginnings of two words or
+    A suffix of crowded words alone has a row of its own for each of its beginnings of three words or
     more, with nothing behind.
     """
     rest = [f"w{i}" for i in range(1, max_words)]
     schema = f"lang string, lead string, {', '.join(f'{w} string' for w in rest)}, n long"
 
-    def mark(key: bytes) -> int:
-        hashed = xxhash.xxh64_intdigest(key, seed=42)
-        return (hashed in frequent) * _FREQUENT + (hashed in crowded) * _CROWDED
-
-    def emit(held: np.ndarray, starts: int, ids: WordIds) -> Iterator[pa.RecordBatch]:
-        """Rows of the suffixes at the first ``starts`` places."""
-        marks = np.frombuffer(bytes(ids.marks), np.uint8)
-        held = np.where(marks[held] & _FREQUENT, held, 0)
+    def table_of(held: np.ndarray, starts: int, ids: WordIds) -> np.ndarray:
+        """The suffixes at the first ``starts`` places, one row of numbers each."""
+        goes_on = np.concatenate(
+            [_frequent_pairs(held, ids.hashes(), pairs), np.zeros(max_words, bool)]
+        )
+        keep = np.flatnonzero(goes_on[:starts] & goes_on[1 : starts + 1])
         ends = np.concatenate([held, np.zeros(max_words, np.int32)])
-        keep = np.flatnonzero((held[:starts] > 0) & (ends[1 : starts + 1] > 0))
-        if not len(keep):
-            return
-        table = np.stack([ends[keep + i] for i in range(max_words)], 1).astype(np.int64)
-        for i in range(1, max_words):
-            table[:, i] *= table[:, i - 1] > 0
-        # Equal suffixes become one, a word at a time.
-        key = table[:, 0]
-        for i in range(1, max_words):
-            key = pd.factorize((key << 32) | table[:, i])[0]
-        n = np.bincount(key)
-        # Numbers are given in the order of first places.
-        first = np.flatnonzero(np.r_[True, key[1:] > np.maximum.accumulate(key)[:-1]])
-        table = table[first]
+        table = np.zeros((len(keep), max_words), np.int32)
+        whole = np.ones(len(keep), bool)
+        for i in range(max_words):
+            if i:
+                whole &= goes_on[keep + i - 1]
+            table[:, i] = ends[keep + i] * whole
+        return table
+
+    def emit(table: np.ndarray, n: np.ndarray, ids: WordIds) -> Iterator[pa.RecordBatch]:
+        packed = crowded.holds(ids.hashes())
         length = (table > 0).sum(1)
-        plain = (table > 0) & ((marks[table] & _CROWDED) == 0)
+        plain = (table > 0) & ~packed[table]
         led = plain.any(1)
         to = plain.argmax(1) + 1
         if led.any():
             yield from batches_of(table[led], to[led], n[led], ids)
-        for size in range(2, max_words + 1):
+        for size in range(3, max_words + 1):
             whole = np.where(led, to > size, length >= size)
             if whole.any():
-                key = table[whole, 0]
-                for i in range(1, size):
-                    key = pd.factorize((key << 32) | table[whole, i])[0]
-                sums = np.bincount(key, n[whole]).astype(np.int64)
-                first = np.flatnonzero(np.r_[True, key[1:] > np.maximum.accumulate(key)[:-1]])
-                alone = table[whole][first]
+                alone = table[whole]
                 alone[:, size:] = 0
+                alone, sums = _merged(alone, n[whole])
                 yield from batches_of(alone, np.full(len(alone), size), sums, ids)
 
     def batches_of(
@@ -270,9 +405,9 @@ def suffixes(
         used, at = np.unique(rows, return_inverse=True)
         at = at.reshape(rows.shape)
         # Number 0 is no word.
-        names = pa.array([ids.words[i][1] if i else None for i in used.tolist()], pa.binary())
+        names = pa.array([ids.words[i] if i else None for i in used.tolist()], pa.binary())
         names = names.view(pa.string())
-        langs = pa.array([ids.words[i][0] for i in used.tolist()], pa.string())
+        langs = pa.array([ids.langs[i] for i in used.tolist()], pa.string())
         for lo in range(0, len(rows), 65536):
             here, ends = at[lo : lo + 65536], lead[lo : lo + 65536]
             within = [
@@ -290,26 +425,11 @@ def suffixes(
             )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(mark)
-        parts: list[np.ndarray] = []
-        waiting = 0
-        for name, numbers, _ in _numbered(batches, ids):
-            parts.append(numbers)
-            waiting += len(numbers)
-            if waiting >= TASK_ROWS or len(ids) > _WORDS_KEPT:
-                held = np.concatenate(parts)
-                # The last places wait for the words that follow them.
-                starts = max(0, len(held) - (max_words - 1))
-                yield from emit(held, starts, ids)
-                tail = held[starts:]
-                if len(ids) > _WORDS_KEPT:
-                    kept = [ids.words[i] for i in tail.tolist()]
-                    ids.clear()
-                    tail = np.array([ids.language(a)[b] if b else 0 for a, b in kept], np.int32)
-                parts, waiting = [tail], len(tail)
-        if parts:
-            held = np.concatenate(parts)
-            yield from emit(held, len(held), ids)
+        ids = WordIds(frequent, salt)
+        for held, starts in _held(batches, ids, max_words - 1):
+            found = table_of(held, starts, ids)
+            if len(found):
+                yield from emit(*_merged(found, np.ones(len(found), np.int64)), ids)
 
     return _texts(docs, lang, text).mapInArrow(cut, schema)
 
@@ -360,7 +480,7 @@ def equal_partitions(
 def phrase_counts(
     routed: DataFrame, rows: int, least: int = LEAST, max_words: int = MAX_WORDS
 ) -> DataFrame:
-    """``lang``, ``phrase``, ``words``, ``n`` of the phrases that occur ``least`` times or more.
+    """``lang``, ``phrase``, ``words``, ``n`` of the phrases of three words or more that are frequent.
 
     ``rows`` is about how many suffixes there are; it sets the number of tasks.
     """
@@ -417,7 +537,7 @@ def phrase_counts(
     found = dealt.mapInArrow(sort_all, "lang string, phrase string, n long")
     return found.select(
         "lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "n"
-    ).where("words > 1")
+    ).where("words > 2")
 
 
 def _without_route(held: list[pa.RecordBatch]) -> pa.Table:
@@ -434,20 +554,49 @@ def counts(
 ) -> tuple[DataFrame, DataFrame]:
     """``(lang, phrase, words, n)`` of frequent phrases, words included, and ``(lang, n)`` of all words."""
     words = cut_lineage(word_counts(docs, lang, text))
-    often = words.where(F.col("n") >= least)
-    crowd = words.where(F.col("n") > TASK_ROWS)
-    n_often, n_crowd, rows = words.agg(
-        F.count_if(F.col("n") >= least),
-        F.count_if(F.col("n") > TASK_ROWS),
-        F.coalesce(F.sum(F.when(F.col("n") >= least, F.col("n"))), F.lit(0)),
+    release_shuffles(docs.sparkSession)
+    n_often, total = words.agg(
+        F.count_if(F.col("n") >= least), F.coalesce(F.sum("n"), F.lit(0))
     ).first()
-    hashed = F.xxhash64(F.concat(F.col("lang"), F.lit("\0"), F.col("word"))).alias("hash")
-    frequent = bloom(often.select(hashed), "hash", n_often)
-    crowded = bloom(crowd.select(hashed), "hash", n_crowd)
-    routed = suffixes(docs, frequent, crowded, max_words, lang, text)
-    phrases = phrase_counts(routed, rows, least, max_words)
+    salt = distinguishing_salt(words)
+    hashed = words.withColumn("hash", word_hash(salt))
+    often = hashed.where(F.col("n") >= least)
+    crowd = hashed.where(F.col("n") > min(TASK_ROWS, total // FREQUENT))
+    frequent = bloom(often, "hash", n_often)
     single = often.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "n")
-    return cut_lineage(phrases.unionByName(single)), words.groupBy("lang").agg(F.sum("n").alias("n"))
+    found = single
+    if max_words > 1:
+        pairs = pair_counts(docs, frequent, salt, lang, text).where(F.col("n") >= least)
+        pairs = cut_lineage(pairs)
+        release_shuffles(docs.sparkSession)
+        firsts = often.select("lang", F.col("word").alias("_first"), F.col("hash").alias("first"))
+        seconds = often.select(F.col("word").alias("_second"), F.col("hash").alias("second"))
+        named = pairs.join(firsts, "first").join(seconds, "second")
+        phrase = F.concat_ws(" ", "_first", "_second").alias("phrase")
+        found = found.unionByName(named.select("lang", phrase, F.lit(2).alias("words"), "n"))
+    if max_words > 2:
+        crowded = bloom(crowd, "hash", crowd.count())
+        joined = pairs.select(F.xxhash64("first", "second").alias("run"))
+        n_pairs, rows = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        known = bloom(joined, "run", n_pairs)
+        routed = suffixes(docs, frequent, crowded, known, max_words, salt, lang, text)
+        found = found.unionByName(phrase_counts(routed, rows, least, max_words))
+    return cut_lineage(found), words.groupBy("lang").agg(F.sum("n").alias("n"))
+
+
+def word_hash(salt: str) -> F.Column:
+    """The hash of ``lang`` and ``word``, as tasks work it out."""
+    return F.xxhash64(F.concat(F.lit(salt), F.col("lang"), F.lit("\0"), F.col("word")))
+
+
+def distinguishing_salt(words: DataFrame) -> str:
+    """A salt under which all rows ``lang, word`` have different hashes."""
+    salt = ""
+    while True:
+        equal = words.groupBy(word_hash(salt).alias("hash")).agg(F.count(F.lit(1)).alias("n"))
+        if equal.where("n > 1").isEmpty():
+            return salt
+        salt += "+"
 
 
 def _wide(column: str) -> F.Column:

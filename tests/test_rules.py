@@ -123,8 +123,8 @@ def test_poles_and_unknown_systems(spark):
     assert [tuple(r) for r in geo.with_projected(df, 3067).select("x", "y").collect()] == [
         (None, None)
     ] * 2
-    with pytest.raises(ValueError, match="2154"):
-        geo.with_projected(df, 2154)
+    with pytest.raises(ValueError, match="27700"):
+        geo.with_projected(df, 27700)
 
 
 def test_point_wkb(spark):

@@ -936,7 +936,8 @@ from embeddings"""
 SQL["src1_parsed_databases"] = _base(
     "select src, orid as rid, OBSID, LAT, LON, OBS_REMARKS as REMARKS, PROJECT from obs"
 )
-SQL["src1_sqlite_scan"] = _base(
+SQL["src1_sqlite_scan"] = SQL["src1_parsed_databases"]
+SQL["src1_filtered_scan"] = _base(
     "select src, orid as rid, OBSID, LAT, LON, OBS_REMARKS as REMARKS, PROJECT from obs "
     "where PROJECT='2-HIGH' and orid>100 and LAT<66"
 )

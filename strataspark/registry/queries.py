@@ -823,6 +823,13 @@ def _database_of(df: DataFrame) -> DataFrame:
 
 @query
 def src1_sqlite_scan(spark, sf_dir):
+    """SRC-1: observations read back from a folder of databases."""
+    rows = read_table(spark, _written_databases(spark, sf_dir), m.OBSERVATION)
+    return _named(_database_of(rows), *m.TABLE_COLUMNS[m.OBSERVATION])
+
+
+@query
+def src1_filtered_scan(spark, sf_dir):
     """SRC-1: observations of one project and range of row ids, filtered where databases are read."""
     folder = _written_databases(spark, sf_dir)
     rows = read_table(spark, folder, m.OBSERVATION)

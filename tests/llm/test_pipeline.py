@@ -16,7 +16,7 @@ COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 def test_all_queries_are_registered():
     named = entry_points.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in named if re.match(r"op\d", q)}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in named if re.match(r"op\d", q)}
     assert "pipeline" in named and set(queries.SQL) <= set(entry_points.oracle_sql())
 
 
@@ -28,6 +28,20 @@ def test_secrets_equal_sql(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.itertuples(index=False)))
 
 
+@pytest.mark.parametrize(
+    ("name", "table"),
+    [("op11_vector_codes", "embeddings"), ("op12_phrases", "documents"), ("op13_warc", "pages")],
+)
+def test_new_queries_equal_sql(spark, name, table):
+    found = queries.QUERIES[name](spark, SF)
+    base = duckdb.connect()
+    base.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    cursor = base.execute(queries.SQL[name])
+    at = [[d[0] for d in cursor.description].index(c) for c in found.columns]
+    wanted = [tuple(row[i] for i in at) for row in cursor.fetchall()]
+    assert wanted and sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, wanted))
+
+
 @pytest.mark.parametrize(
     ("name", "columns"),
     [

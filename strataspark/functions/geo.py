@@ -364,6 +364,34 @@ def geographic_envelope(
     return min(lons) - pad_lon, min(lats) - pad_lat, max(lons) + pad_lon, max(lats) + pad_lat
 
 
+# Steps that put a zero bit before each of a number's lowest 32 bits.
+_SPREAD = (
+    (16, 0x0000FFFF0000FFFF),
+    (8, 0x00FF00FF00FF00FF),
+    (4, 0x0F0F0F0F0F0F0F0F),
+    (2, 0x3333333333333333),
+    (1, 0x5555555555555555),
+)
+_CURVE_BITS = 26  # per direction: cells of about half a metre
+
+
+def curve_place(latitude: str, longitude: str) -> Column:
+    """Place on a Z-shaped curve through cells of latitude and longitude; near cells are mostly near on it.
+
+    NULL where either is; degrees beyond the globe count as its edge.
+    """
+
+    def cells(degrees: str, half: float) -> Column:
+        count = 1 << _CURVE_BITS
+        cell = (F.col(degrees) + half) * (count / (2 * half))
+        bits = F.floor(F.least(F.greatest(cell, F.lit(0.0)), F.lit(count - 1.0))).cast("long")
+        for shift, mask in _SPREAD:
+            bits = let(bits, lambda b: b.bitwiseOR(F.shiftleft(b, shift)).bitwiseAND(F.lit(mask)))
+        return F.when(F.col(degrees).isNotNull(), bits)
+
+    return F.shiftleft(cells(latitude, 90.0), 1).bitwiseOR(cells(longitude, 180.0))
+
+
 def point_wkb(x: Column, y: Column) -> Column:
     """Little-endian WKB of a 2-D point."""
     return F.concat(F.unhex(F.lit("0101000000")), _double_le(x), _double_le(y))

@@ -3,12 +3,14 @@
 import sqlite3
 
 import pytest
+from pyarrow import parquet
 from pyspark.sql import functions as F
 
 from strataspark import model as m
+from strataspark.functions.geo import curve_place
 from strataspark.operators.validation import ContractError
 from strataspark.plans import export
-from strataspark.plans.ingest import ingest_folder
+from strataspark.plans.ingest import clustered, ingest_folder
 from strataspark.plans.rules import MapRules
 from strataspark.sinks.committed import CommittedFiles
 from strataspark.sources import sqlite
@@ -286,3 +288,62 @@ def test_names_must_be_different_and_within(spark, tmp_path, names):
     with pytest.raises(Exception, match="two rows|no name"):
         committed(spark, df.repartition(2), str(tmp_path / "out"))
     assert files_below(str(tmp_path / "out"), "") == []
+
+
+def test_curve_interleaves_the_cells_of_both_directions(spark):
+    points = [(-90.0, -180.0), (90.0, 180.0), (60.5, 25.25), (-12.0, 179.99), (95.0, -200.0), (None, 1.0)]
+    df = spark.createDataFrame(points, "LAT double, LON double")
+    found = [r[0] for r in df.select(curve_place("LAT", "LON")).collect()]
+
+    def cell(x, half):
+        return int(min(max((x + half) * ((1 << 26) / (2 * half)), 0.0), (1 << 26) - 1))
+
+    def place(lat, lon):
+        a, b = cell(lat, 90.0), cell(lon, 180.0)
+        return sum((a >> i & 1) << 2 * i + 1 | (b >> i & 1) << 2 * i for i in range(26))
+
+    assert found == [None if lat is None else place(lat, lon) for lat, lon in points]
+
+
+def _groups_read(folder, box):
+    """Row groups whose statistics meet a box of latitudes and longitudes, and all row groups."""
+    read = total = 0
+    for path in folder.rglob("*.parquet"):
+        groups = parquet.ParquetFile(path).metadata
+        for i in range(groups.num_row_groups):
+            bounds = []
+            for c in range(groups.num_columns):
+                column = groups.row_group(i).column(c)
+                if column.path_in_schema in ("LAT", "LON"):
+                    bounds.append((column.statistics.min, column.statistics.max))
+            total += 1
+            read += all(
+                low <= b and high >= a for (low, high), (a, b) in zip(bounds, box, strict=True)
+            )
+    return read, total
+
+
+def test_row_groups_of_a_box_fall_with_its_area(spark, tmp_path):
+    points = spark.range(60_000).select(
+        F.lit("s").alias(m.SRC), F.col("id").alias(m.RID), F.col("id").cast("string").alias("OBSID"),
+        (60 + F.rand(1) * 8).alias("LAT"), (20 + F.rand(2) * 8).alias("LON"),
+        F.lit("P").alias("PROJECT"), F.lit(None).cast("string").alias("REMARKS"),
+    )
+    boxes = {}
+    for name, df in {
+        "curve": clustered(points, m.OBSERVATION),
+        "lines": points.repartitionByRange("PROJECT", "LAT").sortWithinPartitions("PROJECT", "LAT", "LON"),
+    }.items():
+        out = tmp_path / name
+        df.write.option("parquet.block.size", 1 << 14).option(
+            "parquet.page.size.row.check.min", 100
+        ).option("parquet.block.size.row.check.min", 100).parquet(str(out))
+        boxes[name] = [_groups_read(out, ((64, 64 + side), (24, 24 + side))) for side in (0.4, 1.6, 8)]
+    (small, groups), (middle, _), _ = boxes["curve"]
+    assert groups > 60
+    # A 400th and a 25th of the area, and what their edges cut.
+    assert small <= groups / 12 and middle <= groups / 5
+    assert middle < boxes["lines"][1][0]
+    # Rows are the same.
+    both = [spark.read.parquet(str(tmp_path / n)).where("LAT < 64.4 and LON < 24.4") for n in boxes]
+    assert rows(both[0]) == rows(both[1])

@@ -62,6 +62,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.joined(F.col("found")).alias("spans"),
         F.size(live).cast("long").alias("n_live"),
         F.size(copied).cast("long").alias("n_examples"),
+        *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in secrets.COUNTS],
     )
 
 
@@ -224,7 +225,8 @@ def _secrets_sql() -> str:
         )
     return f"""
 with docs as (
-  select row_number() over () as row_id, doc_id, coalesce(text, '') as body, coalesce(source, '') as owner
+  select row_number() over () as row_id, doc_id, coalesce(text, '') as body, coalesce(source, '') as owner,
+    concat_ws('/', source, lang) as repository
   from documents),
 found as ({" union all ".join(finds)}),
 cells as (
@@ -236,9 +238,10 @@ kept as (
   select * from cells where length(value) >= least and (name <> 'opaque' or (regexp_matches(value, '[0-9]')
     and regexp_matches(value, '[a-z]') and regexp_matches(value, '[A-Z]')))),
 owned as (
-  select value, count(distinct owner) as owners from kept join docs using (row_id) group by value),
+  select value, count(distinct owner) as owners, count(distinct (owner, repository)) as repositories
+  from kept join docs using (row_id) group by value),
 judged as (
-  select k.*, case when owners >= {secrets.WIDE_OWNERS} then 'example'
+  select k.*, owners, repositories, case when owners >= {secrets.WIDE_OWNERS} or repositories >= {secrets.WIDE_REPOSITORIES} then 'example'
     when len(list_distinct(string_split(k.value, ''))) >= {secrets.LIVE_SYMBOLS} then 'live' else 'unsure' end as verdict,
     name || ':' || cast(start as varchar) || ':' || cast(start + size as varchar) as span
   from kept k join owned using (value)),
@@ -247,11 +250,14 @@ listed as (
     count(*) filter (name = 'hex') as n_hex,
     string_agg(span, ',' order by start, kind) filter (kind < {secrets.BASE_KINDS}) as base,
     string_agg(span, ',' order by start, kind) as spans, count(*) filter (verdict = 'live') as n_live,
+    string_agg(cast(owners as varchar), ',' order by start, kind) as owner_counts,
+    string_agg(cast(repositories as varchar), ',' order by start, kind) as repository_counts,
     count(*) filter (verdict = 'example') as n_examples
   from judged where name <> 'opaque' or verdict = 'live' group by row_id)
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access,
   coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
-  coalesce(n_live, 0) as n_live, coalesce(n_examples, 0) as n_examples
+  coalesce(n_live, 0) as n_live, coalesce(n_examples, 0) as n_examples,
+  coalesce(owner_counts, '') as owners, coalesce(repository_counts, '') as repositories
 from docs left join listed using (row_id)"""
 
 

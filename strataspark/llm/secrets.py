@@ -2,8 +2,11 @@
 
 Every whole text is searched for candidates of several kinds.  Where a candidate starts follows
 from the lengths of the pieces between the matches.  Candidates' hashes are then counted over the
-corpus by distinct repositories and owners: what many owners hold is a copied example, what one
-or few hold and what looks random is a live-looking credential.
+corpus by distinct repositories and owners: what many owners hold, or very many repositories of
+few owners, is a copied example; what few hold and what looks random is a live-looking credential.
+
+An ``assign`` candidate's place is the whole match, from the name to the end of the value; its hash
+and its looks are the value's alone.
 
 Base kinds (``assign``, ``access``, ``hex``) are always reported.  ``vendor`` holds keys with a
 vendor's prefix and is always reported too.  ``opaque`` holds long mixed strings, reported only
@@ -52,8 +55,12 @@ KINDS = (
 )
 BASE_KINDS = 3
 WIDE_OWNERS = 4  # owners from which a credential is a copied example
+WIDE_REPOSITORIES = 12  # repositories from which it is one, however few own them
 LIVE_SYMBOLS = 8  # different characters that a live-looking credential has at least
 
+#: Of each reported candidate, how many distinct owners and repositories hold it.
+COUNTS = ("owners", "repositories")
+
 _FOUND = "array<struct<start:bigint,kind:int,end:bigint,hash:string,random:boolean>>"
 
 
@@ -159,10 +166,10 @@ def any_candidate(text: Column) -> Column:
 
 
 def verdicts(found: DataFrame, key: str, repository: str, owner: str) -> DataFrame:
-    """Distinct ``(_key, _found, verdicts)`` of rows with candidates.
+    """Distinct ``(_key, _found, verdicts, owners, repositories)`` of rows with candidates.
 
-    A verdict is ``example`` (at least ``WIDE_OWNERS`` owners hold the candidate), ``live`` or
-    ``unsure``.  Only candidates and keys are shuffled, never texts.
+    A verdict is ``example`` (at least ``WIDE_OWNERS`` owners or ``WIDE_REPOSITORIES`` repositories
+    hold the candidate), ``live`` or ``unsure``.  Only candidates and keys are shuffled, never texts.
     """
     known = cut_lineage(ownership(found, repository, owner))
     total = known.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
@@ -171,18 +178,22 @@ def verdicts(found: DataFrame, key: str, repository: str, owner: str) -> DataFra
     each = cells.select("*", F.posexplode("_found").alias("_at", "_one")).select(
         "_key", "_found", "_at", F.col("_one.hash").alias("hash")
     )
-    counted = looked_up(each, known.select("hash", "owners", "copies"), "hash", "copies", total)
+    held = known.select("hash", "owners", "repositories", "copies")
+    counted = looked_up(each, held, "hash", "copies", total)
     listed = counted.groupBy("_key", "_found").agg(
-        F.array_sort(F.collect_list(F.struct("_at", "owners"))).alias("_listed")
+        F.array_sort(F.collect_list(F.struct("_at", "owners", "repositories"))).alias("_listed")
     )
     verdict = F.zip_with(
         "_found",
-        F.col("_listed.owners"),
-        lambda s, n: F.when(n >= WIDE_OWNERS, "example")
+        "_listed",
+        lambda s, n: F.when(
+            (n["owners"] >= WIDE_OWNERS) | (n["repositories"] >= WIDE_REPOSITORIES), "example"
+        )
         .when(s["random"], "live")
         .otherwise("unsure"),
     )
-    return listed.select("_key", "_found", verdict.alias("verdicts"))
+    counts = [F.col(f"_listed.{c}").alias(c) for c in COUNTS]
+    return listed.select("_key", "_found", verdict.alias("verdicts"), *counts)
 
 
 def judged(found: DataFrame, key: str, repository: str, owner: str) -> DataFrame:
@@ -190,22 +201,21 @@ def judged(found: DataFrame, key: str, repository: str, owner: str) -> DataFrame
     opaque = len(KINDS) - 1
     same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("found") == F.col("_found"))
     both = F.filter(
-        F.arrays_zip("found", "verdicts"),
+        F.arrays_zip("found", "verdicts", *COUNTS),
         lambda x: (x["found"]["kind"] != opaque) | (x["verdicts"] == "live"),
     )
     return (
         found.join(verdicts(found, key, repository, owner), same)
         .withColumn("_both", both)
-        .withColumn("found", F.col("_both.found"))
-        .withColumn("verdicts", F.col("_both.verdicts"))
+        .withColumns({c: F.col("_both").getField(c) for c in ("found", "verdicts", *COUNTS)})
         .drop("_both", "_key", "_found")
     )
 
 
 def scan(docs: DataFrame, key: str, repository: str, owner: str, text: str = "text") -> DataFrame:
-    """A row per row of ``docs``: ``key``, ``found`` and ``verdicts``.
+    """A row per row of ``docs``: ``key``, ``found``, ``verdicts``, ``owners`` and ``repositories``.
 
-    ``found`` is the ordered array of reported candidates; ``verdicts`` has one for each.
+    ``found`` is the ordered array of reported candidates; the other arrays have one item for each.
     """
     rows = docs.select(
         F.col(key).alias("_id"),
@@ -215,10 +225,11 @@ def scan(docs: DataFrame, key: str, repository: str, owner: str, text: str = "te
     )
     found = cut_lineage(candidates(rows, "_text"))
     some = judged(found.where(F.size("found") > 0), "_id", "_repository", "_owner")
-    none = found.where(F.size("found") == 0).withColumn(
-        "verdicts", F.array().cast("array<string>")
+    nothing = {c: F.array().cast("array<bigint>") for c in COUNTS}
+    none = found.where(F.size("found") == 0).withColumns(
+        {"verdicts": F.array().cast("array<string>"), **nothing}
     )
-    columns = [F.col("_id").alias(key), "found", "verdicts"]
+    columns = [F.col("_id").alias(key), "found", "verdicts", *COUNTS]
     return some.select(*columns).unionByName(none.select(*columns))
 
 

@@ -132,3 +132,16 @@ def test_random_texts(spark):
     found = secrets.scan(corpus(spark, rows), "doc_id", "repository", "owner").collect()
     got = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["found"] if s["kind"] < 3] for r in found}
     assert got == {i: [s[:3] for s in plain(t) if s[1] < 3] for i, t, *_ in rows}
+
+
+@pytest.mark.parametrize(("repositories", "verdict"), [(11, "live"), (12, "example")])
+def test_many_repositories_of_one_owner_make_an_example(spark, repositories, verdict):
+    wide, own = "token=Ab1Cd2Ef3Gh4", "token=Zy9Xw8Vu7Ts6"
+    rows = [(i, wide, "o", f"r{i % repositories}", None, None) for i in range(2 * repositories)]
+    rows += [(100 + i, own, "o", "r0", None, None) for i in range(20)]
+    found = secrets.scan(corpus(spark, rows), "doc_id", "repository", "owner").collect()
+    got = {r["doc_id"]: (r["verdicts"], r["owners"], r["repositories"]) for r in found}
+    assert got == {
+        **{i: ([verdict], [1], [repositories]) for i in range(2 * repositories)},
+        **{100 + i: (["live"], [1], [1]) for i in range(20)},
+    }

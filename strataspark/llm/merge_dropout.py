@@ -39,11 +39,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MARK = "▁"
 _WORDS_KEPT = 200_000  # words a worker remembers
 _NODES_KEPT = 500_000  # decisions about them that it remembers
-_OFTEN = 6  # occurrences that come to a decision before it is remembered
+_OFTEN = 8  # occurrences that come to a decision before it is remembered
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _LONG = 100  # characters from which a word's agenda is a heap
-_NEVER = 1 << 60
+_NEVER = 1 << 30
 _TOGETHER = 1 << 18  # words encoded side by side
+_ALIKE = 20_000  # words of about one length whose agendas are worked off side by side
+_SLOTS = 18  # bits of the table of pairs
 
 
 _MASK = (1 << 64) - 1
@@ -92,7 +94,7 @@ class Words(dict):
     """Roots of the trees of decisions, by word without its mark.
 
     An inner node is a candidate merge: the first node below it is where the merge leads, the second
-    one where skipping it leads.  A leaf holds the ids (little-endian, four bytes each).  A word is
+    one where skipping it leads.  A leaf knows where its ids lie in ``leaves``.  A word is
     entered when it is met again, a node when enough occurrences have come to it; others are encoded
     by themselves.
     """
@@ -105,8 +107,12 @@ class Words(dict):
     def clear(self) -> None:
         super().clear()
         self.once: set[str] = set()
-        # A root's word, an inner node's parts, starts, agenda and best place, a leaf's ids.
+        # A root's word, an inner node's parts, starts, agenda and best place.
         self.held: list = []
+        self.leaves = np.zeros(1024, dtype=np.uint32)  # ids of all leaves
+        self.filled = 0
+        self.start = np.zeros(1024, dtype=np.int64)  # a leaf's first id
+        self.size = np.zeros(1024, dtype=np.int64)
         self.kind = np.zeros(1024, dtype=np.uint8)
         self.met = np.zeros(1024, dtype=np.int64)
         self.crc = np.zeros(1024, dtype=np.uint64)  # of a root's word
@@ -119,7 +125,7 @@ class Words(dict):
         at = len(self.held)
         self.held += held
         if len(self.held) > len(self.kind):
-            for name in ("kind", "met", "crc", "code", "below", "above"):
+            for name in ("kind", "met", "crc", "code", "below", "above", "start", "size"):
                 old = getattr(self, name)
                 setattr(self, name, np.r_[old, np.zeros_like(old)])
         return at
@@ -160,7 +166,12 @@ class Words(dict):
         best = min(agenda, default=_NEVER)
         if best == _NEVER:
             ids = self.model.spell(parts)
-            self.held[node] = struct.pack(f"<{len(ids)}I", *ids)
+            while self.filled + len(ids) > len(self.leaves):
+                self.leaves = np.r_[self.leaves, np.zeros_like(self.leaves)]
+            self.leaves[self.filled : self.filled + len(ids)] = ids
+            self.start[node], self.size[node] = self.filled, len(ids)
+            self.filled += len(ids)
+            self.held[node] = None
             self.kind[node] = _LEAF
             return
         i = agenda.index(best)
@@ -171,8 +182,13 @@ class Words(dict):
         self.code[node] = starts[i] << 42 | starts[i + 1] << 21 | starts[i + 2]
         self.kind[node] = _INNER
 
-    def pieces(self, words: Sequence[str], base: np.ndarray, share: float) -> list[bytes]:
-        """Ids of many occurrences of words; ``base`` has the key of each one's text and place."""
+    def pieces(
+        self, words: Sequence[str], base: np.ndarray, share: float
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many occurrences of words, one behind the other, and how many each has.
+
+        ``base`` has the key of each one's text and place.
+        """
         if len(self.held) > _NODES_KEPT or len(self) > _WORDS_KEPT:
             self.clear()
         if len(self.once) > _WORDS_KEPT:
@@ -183,7 +199,7 @@ class Words(dict):
         crc = self.crc[root] if self.held else np.zeros(n, dtype=np.uint64)
         crc[alone] = [zlib.crc32((MARK + words[i]).encode("utf-8", "replace")) for i in alone.tolist()]
         keys = mixed_many(base ^ crc)
-        apart, ends = [alone], np.full(n, -1)
+        apart, start, size = [alone], np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         alive = np.flatnonzero(root >= 0)
         at, key = root[alive], keys[alive]
         while len(alive):
@@ -196,24 +212,24 @@ class Words(dict):
                 kind = self.kind[at]
                 apart.append(alive[kind < _INNER])
             done = kind == _LEAF
-            ends[alive[done]] = at[done]
+            start[alive[done]], size[alive[done]] = self.start[at[done]], self.size[at[done]]
             go = kind == _INNER
             alive, at, key = alive[go], at[go], key[go]
             skip = mixed_many(key ^ self.code[at]) >> np.uint64(24) < share * (1 << 40)
             at = self.below[at] + skip
-        held = self.held
-        out = [held[e] if e >= 0 else b"" for e in ends.tolist()]
-        rest = np.concatenate(apart).tolist()
-        short = [i for i in rest if len(words[i]) < _LONG - 1]
-        own = keys.tolist() if len(short) < len(rest) else []
-        for i in rest:
-            if len(words[i]) >= _LONG - 1:
-                ids = self.model.merge(MARK + words[i], own[i], share)
-                out[i] = struct.pack(f"<{len(ids)}I", *ids)
-        merged = self.model.merge_many([MARK + words[i] for i in short], keys[short], share)
-        for i, ids in zip(short, merged, strict=True):
-            out[i] = ids
-        return out
+        rest = np.concatenate(apart)
+        merged, first, many = self.model.merged(
+            [MARK + words[i] for i in rest.tolist()], keys[rest], share
+        )
+        start[rest], size[rest] = first + self.filled, many
+        ids = np.concatenate([self.leaves[: self.filled], merged])
+        return ids[spread(start, size)], size
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places ``start, start + 1, ...`` of many stretches, one behind the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class PieceModel:
@@ -245,7 +261,7 @@ class PieceModel:
         rank = {i: n for n, i in enumerate(best_first)}
         self.ranks = {piece: rank[i] for piece, i in self.ids.items()}
         self.words = Words(self)
-        self.pairs: tuple | None = None
+        self.pairs: dict[str, np.ndarray] | None = None
 
     def merge(self, word: str, key: int, share: float) -> list[int]:
         """Ids of one word; ``key`` seeds the skipping of a ``share`` of candidates."""
@@ -309,127 +325,174 @@ class PieceModel:
             i = right[i]
         return out
 
-    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted keys of mergeable pairs of symbols, their ranks and results; ids by character.
+    def _pairs(self) -> dict[str, np.ndarray]:
+        """A table of mergeable pairs of symbols and their ranks; pieces by rank, ids by character.
 
-        Characters that only occur inside pieces get ids behind the model's.
+        A slot holds one pair; the others that belong there are found in the sorted list of spilled
+        ones.  Characters that only occur inside pieces get ids behind the model's.
         """
         symbols = dict(self.ids)
         for piece in self.ids:
             for c in piece:
                 symbols.setdefault(c, len(self.bytes_of) + len(symbols))
         self.symbol_limit = len(self.bytes_of) + len(symbols) + 1
-        keys, ranks, results = [], [], []
-        for piece, i in self.ids.items():
+        keys, ranks = [], []
+        for piece in self.ids:
             for cut in range(1, len(piece)):
                 left, right = symbols.get(piece[:cut]), symbols.get(piece[cut:])
                 if left is not None and right is not None:
                     keys.append(left * self.symbol_limit + right)
                     ranks.append(self.ranks[piece])
-                    results.append(i)
-        order = np.argsort(np.array(keys, dtype=np.int64))
-        characters = np.full(sys.maxunicode + 1, self.symbol_limit - 1, dtype=np.int64)
+        key, rank = np.array(keys, dtype=np.int64), np.array(ranks, dtype=np.int32)
+        order = np.argsort(key)
+        key, rank = key[order], rank[order]
+        slots, first = np.unique(self._slot(key), return_index=True)
+        held = np.full(1 << _SLOTS, -1, dtype=np.int64)
+        ranked = np.full(1 << _SLOTS, _NEVER, dtype=np.int32)
+        held[slots], ranked[slots] = key[first], rank[first]
+        spilled = np.ones(len(key), dtype=bool)
+        spilled[first] = False
+        crowded = np.zeros(1 << _SLOTS, dtype=bool)
+        crowded[self._slot(key[spilled])] = True
+        characters = np.full(sys.maxunicode + 1, self.symbol_limit - 1, dtype=np.int32)
         for symbol, i in symbols.items():
             if len(symbol) == 1:
                 characters[ord(symbol)] = i
-        as_array = [np.array(x, dtype=np.int64)[order] for x in (keys, ranks, results)]
-        return *as_array, characters
+        by_rank = np.zeros(len(self.ranks), dtype=np.int32)
+        for piece, place in self.ranks.items():
+            by_rank[place] = self.ids[piece]
+        return {
+            "held": held,
+            "ranked": ranked,
+            "crowded": crowded,
+            # One that is no pair ends the list, so that every search has a place in it.
+            "spilled": np.r_[key[spilled], np.iinfo(np.int64).max],
+            "spilled_ranks": np.r_[rank[spilled], np.int32(_NEVER)],
+            "characters": characters,
+            "by_rank": by_rank,
+        }
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(_STEP) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols, ``_NEVER`` where there is no such piece."""
+        wanted = left * np.int64(self.symbol_limit) + right
+        slot = self._slot(wanted)
+        own = self.pairs["held"][slot] == wanted
+        out = np.where(own, self.pairs["ranked"][slot], np.int32(_NEVER))
+        look = np.nonzero(~own & self.pairs["crowded"][slot])
+        if len(look[0]):
+            at = np.searchsorted(self.pairs["spilled"], wanted[look])
+            found = self.pairs["spilled"][at] == wanted[look]
+            out[look] = np.where(found, self.pairs["spilled_ranks"][at], np.int32(_NEVER))
+        return out
 
     def merge_many(self, words: Sequence[str], keys: Sequence[int], share: float) -> list[bytes]:
-        """Ids (four bytes each) of many words shorter than ``_LONG``; as :meth:`merge` gives them.
-
-        Words of one length go through their agendas side by side: in each step every word merges
-        or skips its best candidate, the leftmost among equals.
+        """Ids (four bytes each) of many words, as :meth:`merge` gives them."""
+        ids, start, size = self.merged(words, np.array(keys, dtype=np.uint64), share)
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * a : 4 * (a + n)] for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+
+    def merged(
+        self, words: Sequence[str], keys: np.ndarray, share: float
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of many words as :meth:`merge` gives them; each word's first place in them, and its size.
+
+        Words of about one length go through their agendas side by side: in each step every word
+        merges or skips its best candidate, the leftmost among equals.
         """
         if self.pairs is None:
             self.pairs = self._pairs()
-        out: list[bytes] = [b""] * len(words)
-        by_length: dict[int, list[int]] = {}
-        for at, word in enumerate(words):
-            by_length.setdefault(len(word), []).append(at)
-        for length, places in by_length.items():
-            for at in range(0, len(places), 20_000):
-                some = places[at : at + 20_000]
-                self._merge_alike([words[i] for i in some], [keys[i] for i in some], length, share, some, out)
-        return out
-
-    def _found(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Places of pairs in the table, -1 where there is none."""
-        wanted = left * self.symbol_limit + right
-        at = np.searchsorted(self.pairs[0], wanted).clip(0, len(self.pairs[0]) - 1)
-        return np.where(self.pairs[0][at] == wanted, at, -1)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        start, size = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        order = np.argsort(lengths, kind="stable")
+        ordered = lengths[order]
+        out, filled, at = [np.zeros(0, dtype=np.uint32)], 0, 0
+        while at < len(order):
+            length = int(ordered[at])
+            if length >= _LONG:
+                some = order[at : at + 1]
+                word = self.merge(words[some[0]], int(keys[some[0]]), share)
+                ids, many = np.array(word, dtype=np.uint32), np.array([len(word)])
+            else:
+                longest = min(length + length // 6, _LONG - 1)
+                some = order[at : np.searchsorted(ordered, longest, side="right")][:_ALIKE]
+                ids, many = self._merge_alike([words[i] for i in some.tolist()], lengths[some], keys[some], share)
+            out.append(ids)
+            start[some], size[some] = filled + np.cumsum(many) - many, many
+            filled += len(ids)
+            at += len(some)
+        return np.concatenate(out), start, size
 
     def _merge_alike(
-        self, words: list[str], keys: list[int], length: int, share: float, places: list[int], out: list
-    ) -> None:
-        pair_ranks, pair_results = self.pairs[1], self.pairs[2]
-        points = np.array(words, dtype=f"<U{length}").view("<u4").reshape(len(words), length)
-        symbols = self.pairs[3][points]
-        starts = np.broadcast_to(np.arange(length + 1, dtype=np.int32), (len(words), length + 1)).copy()
-        key = np.array(keys, dtype=np.uint64)
-        alive = np.arange(len(words))
-        sizes = np.full(len(words), length)
-
-        def ranked(pairs: np.ndarray) -> np.ndarray:
-            return np.where(pairs >= 0, pair_ranks[pairs], _NEVER)
-
-        agenda = ranked(self._found(symbols[:, :-1], symbols[:, 1:]))
-        columns = np.arange(length + 1)
-
-        def leave(gone: np.ndarray) -> None:
-            rows = np.flatnonzero(gone)
-            whole = symbols[rows]
-            n = sizes[rows]
-            odd = ((whole >= len(self.bytes_of)) & (columns[: whole.shape[1]] < n[:, None])).any(axis=1)
-            raw, width = whole.astype("<u4").tobytes(), 4 * whole.shape[1]
-            ends = (np.arange(len(rows)) * width + 4 * n).tolist()
-            for i, (row, end) in enumerate(zip(alive[rows].tolist(), ends, strict=True)):
-                out[places[row]] = raw[i * width : end]
-            for i in np.flatnonzero(odd).tolist():
-                row = rows[i]
-                edges, word = starts[row, : n[i] + 1].tolist(), words[alive[row]]
-                spelled = self.spell([word[a:b] for a, b in zip(edges, edges[1:], strict=False)])
-                out[places[alive[row]]] = struct.pack(f"<{len(spelled)}I", *spelled)
+        self, words: list[str], lengths: np.ndarray, key: np.ndarray, share: float
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of about one length, one behind the other, and how many each has.
 
+        A part stays at the place of its first character; ``after`` and ``before`` lead to its
+        neighbours.  Places before and behind a word hold a symbol that merges with nothing.
+        """
+        n, longest = len(words), int(lengths.max())
+        width = longest + 2
+        points = np.array(words, dtype=f"<U{longest}").view("<u4").reshape(n, longest)
+        columns = np.arange(1, longest + 1)
+        inside = columns <= lengths[:, None]
+        matrix = np.full((n, width), self.symbol_limit - 1, dtype=np.int32)
+        matrix[:, 1:-1][inside] = self.pairs["characters"][points[inside]]
+        agenda = np.full((n, width), _NEVER, dtype=np.int32)
+        agenda[:, 1:-1] = self._ranked(matrix[:, 1:-1], matrix[:, 2:])
+        symbols, ranks = matrix.reshape(-1), agenda.reshape(-1)
+        after = np.tile(np.arange(1, width + 1, dtype=np.int64), n)
+        before = np.tile(np.arange(-1, width - 1, dtype=np.int64), n)
+        heads = np.zeros((n, width), dtype=bool)
+        heads[:, 1:-1] = inside
+        alive = np.arange(n)
+        by_rank = self.pairs["by_rank"]
         while len(alive):
-            rows = np.arange(len(alive))
-            best = agenda.argmin(axis=1) if agenda.shape[1] else np.zeros(len(alive), dtype=np.int64)
-            done = agenda[rows, best] == _NEVER if agenda.shape[1] else np.ones(len(alive), dtype=bool)
-            if done.any():
-                leave(done)
-                keep = ~done
-                symbols, starts, agenda = symbols[keep], starts[keep], agenda[keep]
-                key, alive, sizes, best = key[keep], alive[keep], sizes[keep], best[keep]
-                rows = np.arange(len(alive))
-                if not len(alive):
-                    break
-            skip = np.zeros(len(alive), dtype=bool)
+            own = agenda[alive] if len(alive) < n else agenda
+            first = own.argmin(axis=1)
+            rank = own[np.arange(len(alive)), first]
+            go = rank != _NEVER
+            alive, first, rank = alive[go], first[go], rank[go]
+            row = alive * width
+            at = row + first
+            middle = after[at]
+            end = after[row + middle]
             if share:
-                skip = skipped_many(
-                    key, starts[rows, best], starts[rows, best + 1], starts[rows, best + 2], share
+                skip = skipped_many(key[alive], first - 1, middle - 1, end - 1, share)
+                ranks[at[skip]] = _NEVER
+                go = ~skip
+                row, first, at, middle, end, rank = (
+                    x[go] for x in (row, first, at, middle, end, rank)
                 )
-                agenda[rows[skip], best[skip]] = _NEVER
-            go = np.flatnonzero(~skip)
-            if not len(go):
-                continue
-            at = best[go]
-            pair = self._found(symbols[go, at], symbols[go, at + 1])
-            # What lies behind the merged pair moves one place to the left.
-            for matrix, first in ((symbols, 1), (starts, 1), (agenda, 0)):
-                width = matrix.shape[1]
-                stay = columns[:width] != (at + first)[:, None]
-                matrix[go, : width - 1] = matrix[go][stay].reshape(len(go), width - 1)
-            symbols[go, at] = pair_results[pair]
-            sizes[go] -= 1
-            agenda[go, np.maximum(sizes[go] - 1, 0)] = _NEVER
-            before = at > 0
-            left = go[before], at[before]
-            agenda[left[0], left[1] - 1] = ranked(
-                self._found(symbols[left[0], left[1] - 1], symbols[left])
-            )
-            after = at < sizes[go] - 1
-            right = go[after], at[after]
-            agenda[right] = ranked(self._found(symbols[right], symbols[right[0], right[1] + 1]))
+            merged = by_rank[rank]
+            symbols[at] = merged
+            ranks[row + middle] = _NEVER
+            heads.reshape(-1)[row + middle] = False
+            after[at] = end
+            before[row + end] = first
+            ranks[at] = self._ranked(merged, symbols[row + end])
+            left = row + before[at]
+            ranks[left] = self._ranked(symbols[left], merged)
+        many = heads.sum(axis=1)
+        ids = matrix[heads].astype(np.uint32)
+        strange = (heads & (matrix >= len(self.bytes_of))).any(axis=1)
+        if not strange.any():
+            return ids, many
+        # Words with parts that the vocabulary lacks are spelled anew.
+        plain = ids[np.repeat(~strange, many)]
+        spelled = []
+        for i in np.flatnonzero(strange).tolist():
+            edges, word = [*(np.flatnonzero(heads[i]) - 1).tolist(), int(lengths[i])], words[i]
+            own = self.spell([word[a:b] for a, b in zip(edges, edges[1:], strict=False)])
+            spelled += own
+            many[i] = len(own)
+        out = np.empty(many.sum(), dtype=np.uint32)
+        anew = np.repeat(strange, many)
+        out[~anew], out[anew] = plain, spelled
+        return out, many
 
     def spell(self, parts: Sequence[str]) -> list[int]:
         """Ids of merged parts; what the vocabulary lacks goes in bytes."""
@@ -470,12 +533,16 @@ class PieceModel:
             ends = np.cumsum(sizes)
             places = np.arange(len(words)) - np.repeat(ends - sizes, sizes)
             base = np.repeat(keys, sizes) + places.astype(np.uint64) * np.uint64(_STEP)
-            pieces: list[bytes] = []
+            ids, many = [], []
             for at in range(0, len(words), _TOGETHER):
                 to = at + _TOGETHER
-                pieces += self.words.pieces(words[at:to], base[at:to], share)
-            for end, size in zip(ends.tolist(), sizes, strict=True):
-                out.append(b"".join(pieces[end - size : end]))
+                some = self.words.pieces(words[at:to], base[at:to], share)
+                ids.append(some[0].astype("<u4").tobytes())
+                many.append(some[1])
+            raw = b"".join(ids)
+            edges = 4 * np.r_[0, np.cumsum(np.concatenate([*many, np.zeros(0, dtype=np.int64)]))]
+            for a, b in zip(edges[ends - sizes].tolist(), edges[ends].tolist(), strict=True):
+                out.append(raw[a:b])
             first += len(sizes)
             words.clear()
             sizes.clear()

@@ -22,17 +22,22 @@ from strataspark.functions.text import quoted_literal
 from strataspark.operators.validation import require_tables
 from strataspark.session import fits_broadcast
 
-# An exceptions map up to this size is a literal in the plan, beyond it a join.
+#: What is looked up in place of a key: from the driver, or a table ``key, value``.
+Exceptions = Mapping[str, str | None] | DataFrame
+# A map of exceptions up to this size is a literal in the plan, beyond it a table.
 _LITERAL_ENTRIES = 256
 # Row ids per group when an ordered list is put together in pieces.
 PIECE = 1 << 14
 
 
-def remap_key(df: DataFrame, key: str, exceptions: Mapping[str, str | None], to: str) -> DataFrame:
+def remap_key(df: DataFrame, key: str, exceptions: Exceptions, to: str) -> DataFrame:
     """Add ``to``: the key, or what the exceptions say in its place.
 
-    One hop only.  A key listed without a value becomes NULL and links nothing.
+    One hop only.  A key listed without a value becomes NULL and links nothing.  A table of
+    exceptions stays distributed: it is joined by key, and Spark picks the way by its size.
     """
+    if isinstance(exceptions, DataFrame):
+        return _remapped(df, key, exceptions, to)
     if not exceptions:
         return df.withColumn(to, F.col(key))
     if len(exceptions) <= _LITERAL_ENTRIES:
@@ -40,9 +45,14 @@ def remap_key(df: DataFrame, key: str, exceptions: Mapping[str, str | None], to:
         table = F.create_map(*entries)
         listed = F.map_contains_key(table, F.col(key))
         return df.withColumn(to, F.when(listed, table[F.col(key)]).otherwise(F.col(key)))
-    rows = df.sparkSession.createDataFrame(
-        list(exceptions.items()), f"`{key}` string, _replacement string"
-    ).withColumn("_listed", F.lit(True))
+    rows = df.sparkSession.createDataFrame(list(exceptions.items()), "key string, value string")
+    return _remapped(df, key, rows, to)
+
+
+def _remapped(df: DataFrame, key: str, exceptions: DataFrame, to: str) -> DataFrame:
+    rows = exceptions.select(
+        F.col("key").alias(key), F.col("value").alias("_replacement"), F.lit(True).alias("_listed")
+    )
     return (
         df.join(rows, key, "left")
         .withColumn(
@@ -155,7 +165,7 @@ class Linker:
 
     model: m.FieldModel
     observations: DataFrame
-    exceptions: Mapping[str, str | None]
+    exceptions: Exceptions
     small: bool
     resolved: DataFrame | None = None
 
@@ -164,7 +174,7 @@ class Linker:
         cls,
         model: m.FieldModel,
         observations: DataFrame,
-        exceptions: Mapping[str, str | None] | None = None,
+        exceptions: Exceptions | None = None,
     ) -> Linker:
         """Measure the observations, then link with the matching strategy.
 
@@ -174,7 +184,8 @@ class Linker:
         """
         require_tables(model)
         kept = observations.persist(StorageLevel.MEMORY_AND_DISK)
-        linker = cls(model, kept, exceptions or {}, fits_broadcast(kept))
+        listed = {} if exceptions is None else exceptions
+        linker = cls(model, kept, listed, fits_broadcast(kept))
         resolved = linker.resolutions().persist(StorageLevel.MEMORY_AND_DISK)
         return replace(linker, resolved=resolved)
 

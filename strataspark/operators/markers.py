@@ -94,13 +94,20 @@ def known_centre(observations: DataFrame) -> tuple[float, float]:
     return row["LAT"], row["LON"]
 
 
-def with_recheck(observations: DataFrame, rechecks: Iterable[str]) -> DataFrame:
-    """Add ``recheck``: whether the id is listed."""
+def with_recheck(observations: DataFrame, rechecks: Iterable[str] | DataFrame) -> DataFrame:
+    """Add ``recheck``: whether the id is listed, in the driver or in a table with ``key``."""
+    if isinstance(rechecks, DataFrame):
+        return _flagged(observations, rechecks)
     listed = sorted(set(rechecks))
     if len(listed) <= _LITERAL_IDS:
         flag = F.coalesce(F.col("OBSID").isin(listed), F.lit(False))
         return observations.withColumn("recheck", flag)
-    rows = observations.sparkSession.createDataFrame([(i,) for i in listed], "OBSID string")
+    rows = observations.sparkSession.createDataFrame([(i,) for i in listed], "key string")
+    return _flagged(observations, rows)
+
+
+def _flagged(observations: DataFrame, listed: DataFrame) -> DataFrame:
+    rows = listed.select(F.col("key").alias("OBSID")).distinct()
     return observations.join(rows.withColumn("recheck", F.lit(True)), "OBSID", "left").withColumn(
         "recheck", F.coalesce(F.col("recheck"), F.lit(False))
     )
@@ -265,7 +272,7 @@ def icon_columns() -> dict[str, Column]:
 def markers(
     linker: Linker,
     files: DataFrame | None,
-    rechecks: Iterable[str] = (),
+    rechecks: Iterable[str] | DataFrame = (),
     image_folder: str | None = None,
 ) -> DataFrame:
     """One marker per observation of the linker.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+
 Bounds = tuple[float, float, float, float]
 
 
@@ -15,14 +17,17 @@ class MapRules:
     ``bounds`` is ``(xmin, ymin, xmax, ymax)`` in ``bounds_epsg`` and takes
     effect only when both are set.  A key of ``exceptions`` without a value maps
     to None, which matches nothing.
+
+    Exceptions and rechecks may also be tables (``key, value`` and ``key``, no key twice), however
+    many rows they have: they are joined and never pass through the driver.
     """
 
     projects: tuple[str, ...] = ()
     bounds: Bounds | None = None
     bounds_epsg: int | None = None
     declination: float = 0.0
-    exceptions: Mapping[str, str | None] = field(default_factory=dict)
-    rechecks: tuple[str, ...] = ()
+    exceptions: Mapping[str, str | None] | DataFrame = field(default_factory=dict)
+    rechecks: tuple[str, ...] | DataFrame = ()
 
     def with_projects(self, projects: tuple[str, ...] | list[str]) -> MapRules:
         """The same rules with more projects (a set union)."""

@@ -509,6 +509,12 @@ SQL["jn0_exceptions_remap"] = _base(
     f"""select src, orid as rid, OBSID, case {REMAP}
     when OBSID='OB-8' then null else OBSID end as key from obs"""
 )
+SQL["jn0_exceptions_table"] = _base(
+    """select src, orid as rid, OBSID, case when x.listed is null then OBSID else x.other end as key
+    from obs left join (select distinct 'OB-'||o_orderkey as listed,
+      case when o_orderkey%3>0 then 'OB-'||(o_orderkey+1) end as other
+      from orders where o_orderkey%5=0) x on x.listed=OBSID"""
+)
 SQL["jn1_tectonic_link"] = _linked("select src, orid, OBSID, GDB_ID, n_ids from tect")
 SQL["jn2_planars"] = _linked(
     """select src, orid, rid, OBSID, REMARKS, DIP, DIRECTION_OF_DIP, STYPE_TEXT, FOL_TYPE_TEXT, STYPE,
@@ -539,6 +545,11 @@ SQL["jn10_recheck_flag"] = _base(
     f"""select src, orid as rid, OBSID, {RECHECK} as recheck
     from obs"""
 )
+SQL["jn10_recheck_table"] = _base(
+    """select src, orid as rid, OBSID,
+    coalesce(OBSID in (select 'OB-'||o_orderkey from orders where o_orderkey%7=0), false) as recheck
+    from obs"""
+)
 SQL["jn11_missing_targets"] = _base(
     """select src, rid, PICTURE_ID||'.jpg' as name from im
     where 'imgs/'||PICTURE_ID||'.jpg' not in (select path from files)"""

@@ -370,6 +370,18 @@ def jn0_exceptions_remap(spark, sf_dir):
     return _named(link.remap_key(observations, "OBSID", listed, "key"), "OBSID", "key")
 
 
+@query
+def jn0_exceptions_table(spark, sf_dir):
+    """JN-0: the same with a table of exceptions, one for every fifth order, a third of them without value."""
+    given = mapped.table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0")
+    listed = given.selectExpr(
+        "concat('OB-', o_orderkey) as key",
+        "case when o_orderkey % 3 > 0 then concat('OB-', o_orderkey + 1) end as value",
+    ).distinct()
+    observations = mapped.observations(spark, sf_dir)
+    return _named(link.remap_key(observations, "OBSID", listed, "key"), "OBSID", "key")
+
+
 @query
 def jn1_tectonic_link(spark, sf_dir):
     """JN-1: selected observations with their one tectonic id."""
@@ -433,6 +445,15 @@ def jn10_recheck_flag(spark, sf_dir):
     return _named(flagged, "OBSID", "recheck")
 
 
+@query
+def jn10_recheck_table(spark, sf_dir):
+    """JN-10: the same with a table of ids, one for every seventh order."""
+    given = mapped.table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0")
+    listed = given.selectExpr("concat('OB-', o_orderkey) as key")
+    flagged = mrk.with_recheck(mapped.observations(spark, sf_dir), listed)
+    return _named(flagged, "OBSID", "recheck")
+
+
 @query
 def jn11_missing_targets(spark, sf_dir):
     """JN-11: pictures without a file of their name."""

@@ -119,8 +119,23 @@ def rule_scalars(rules: DataFrame) -> DataFrame:
     )
 
 
-def load_rules(spark: SparkSession, path: str | None) -> MapRules:
-    """The scalars of one rule file; no file means defaults.
+def exceptions(rules: DataFrame) -> DataFrame:
+    """The replaced keys as ``key, value``; without a value a key links nothing."""
+    listed = (F.col("section") == EXCEPTIONS) & F.col("key").isNotNull()
+    return rules.where(listed).select("key", "value")
+
+
+def rechecks(rules: DataFrame) -> DataFrame:
+    """The ids to check again as ``key``."""
+    listed = (F.col("section") == RECHECK) & F.col("key").isNotNull()
+    return rules.where(listed).select("key")
+
+
+def load_rules(spark: SparkSession, path: str | None, as_tables: bool = False) -> MapRules:
+    """The rules of one file; no file means defaults.
+
+    Exceptions and rechecks are gathered in the driver, or stay tables with ``as_tables``, however
+    many there are.
 
     Whether there is one, the path's own file system says.  A folder of several
     files raises: each of them is a rule set of its own.
@@ -133,27 +148,29 @@ def load_rules(spark: SparkSession, path: str | None) -> MapRules:
     files = [r["file"] for r in rules.select("file").distinct().limit(2).collect()]
     if len(files) > 1:
         raise ValueError(f"{path} holds several rule files, among them {files}")
-    rows = rules.orderBy("file", "line").collect()
-    repeated = repeated_rules(rules).collect()
+    repeated = repeated_rules(rules).limit(20).collect()
     if repeated:
-        raise ValueError(f"given twice in {path}: {repeated}")
+        raise ValueError(f"given twice in {path}, among others: {repeated}")
     scalars = rule_scalars(rules).first()
     if scalars is None:
         return MapRules()
     if scalars["declination"] is None:
         raise KeyError(DECLINATION_VALUE)
-    keyed = [r for r in rows if r["key"] is not None]
     bounds = None
     if scalars["bounds_epsg"] is not None:
         bounds = (scalars[XMIN], scalars[YMIN], scalars[XMAX], scalars[YMAX])
-    elif any(r["section"] == BOUNDS for r in rows):
+    elif not rules.where(F.col("section") == BOUNDS).isEmpty():
         log.error("bounds of %s do not parse and are left out", path)
     projects = [r["PROJECT"] for r in project_names(rules).collect()]
+    listed, again = exceptions(rules), rechecks(rules)
+    if not as_tables:
+        listed = {r["key"]: r["value"] for r in listed.collect()}
+        again = tuple(r["key"] for r in rechecks(rules.orderBy("line")).collect())
     return MapRules(
         projects=tuple(projects),
         bounds=bounds,
         bounds_epsg=scalars["bounds_epsg"],
         declination=scalars["declination"],
-        exceptions={r["key"]: r["value"] for r in keyed if r["section"] == EXCEPTIONS},
-        rechecks=tuple(r["key"] for r in keyed if r["section"] == RECHECK),
+        exceptions=listed,
+        rechecks=again,
     )

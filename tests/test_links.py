@@ -114,6 +114,23 @@ def test_large_exception_maps_join_alike(spark, model):
     assert rows(by_join, m.OBS_RID, "key") == rows(by_map, m.OBS_RID, "key")
 
 
+def test_tables_of_exceptions_and_rechecks_run_like_maps(spark, model):
+    listed = spark.createDataFrame(list(RULES.exceptions.items()), "key string, value string")
+    # A million more that name no observation; no row of theirs passes the driver.
+    more = spark.range(1_000_000).selectExpr("concat('X', id) as key", "'O9' as value")
+    again = spark.createDataFrame([("O2",), ("O2",), ("none",)], "key string")
+    observations = export.gather_observations(model, RULES)
+    by_map = link.Linker.over(model, observations, RULES.exceptions)
+    by_table = link.Linker.over(model, observations, listed.union(more))
+    for kind in m.ALL_TYPES:
+        assert rows(by_table.of_type(kind)) == rows(by_map.of_type(kind))
+    flagged = mrk.with_recheck(model.observations, again)
+    assert flagged.count() == model.observations.count()
+    assert [r[0] for r in rows(flagged.where("recheck"), "OBSID")] == ["O2"]
+    by_map.release()
+    by_table.release()
+
+
 def test_texture_tuples(linker):
     found = rows(linker.rocks().where("_orid = 1"), m.RID, "ST_2")
     assert found == [(1, "(\"it's\", \"it's\", 'b')"), (2, "(None,)"), (3, "('z',)"), (4, None)]

@@ -206,6 +206,10 @@ def test_rule_file(spark, tmp_path):
     rules = config.load_rules(spark, str(path))
     assert rules.exceptions == {"site/7": "site/70", "site/x": None}
     assert rules.rechecks == ("Site 3", "site 3")
+    tables = config.load_rules(spark, str(path), as_tables=True)
+    assert {tuple(r) for r in tables.exceptions.collect()} == set(rules.exceptions.items())
+    assert {r["key"] for r in tables.rechecks.collect()} == set(rules.rechecks)
+    assert (tables.projects, tables.bounds, tables.declination) == (rules.projects, rules.bounds, 2.5)
     assert rules.declination == 2.5
     assert rules.projects == ("Test Project ", "a")
     assert rules.bounds == (310500.0, 7010000.0, 420750.0, 7155000.0) and rules.bounds_epsg == 3067

@@ -4,8 +4,8 @@ A word's probability is that of its class after the two classes before it, times
 share of its class.  The most frequent training words are classes of their own, every other word
 belongs to one of some classes by its ending, and the end of a text is a class.  The class model
 is log-bilinear: position-wise weighted class vectors of the context predict the vector of the
-next class.  It learns by noise-contrastive estimation from the corpus-wide counts of class
-triples; matrix products over all contexts at once then give probabilities normalised over the
+next class.  It learns by noise-contrastive estimation from the corpus-wide counts of all class
+triples, none of which is left to chance; matrix products over all contexts at once then give probabilities normalised over the
 classes.  Within its class a word has (count + 1) / (tokens + distinct words + 1), as all unseen
 words together are one more.
 
@@ -45,7 +45,6 @@ _HELD = 400_000  # different words a task counts before it passes them on
 WIDTH = 24
 NOISE = 8
 STEPS = 500
-BATCH = 4096
 
 
 def ending(word: bytes) -> int:
@@ -166,43 +165,48 @@ class Bilinear:
 
 
 def train(cube: np.ndarray, seed: int = 1) -> Bilinear:
-    """Noise-contrastive estimation on triples drawn by their counts; noise is drawn by class."""
+    """Noise-contrastive estimation on all triples, each weighed by its count; noise is by class.
+
+    Nothing is drawn: every step takes the expectation over all counted triples and over all classes
+    as noise, so the work depends on the number of different contexts, and the rarest triple counts.
+    """
     single = cube.sum(axis=(0, 1)) + 1.0
     noise = single / single.sum()
     model = Bilinear.new(np.log(noise), seed)
-    total = cube.sum()
-    if not total:
+    if not cube.any():
         return model
-    rng = np.random.default_rng(seed)
-    at = np.flatnonzero(cube)
-    ends = np.cumsum(cube.reshape(-1)[at])
-    noise_ends = np.cumsum(noise)
+    by_context = cube.reshape(-1, CLASSES)
+    at = np.flatnonzero(by_context.sum(axis=1))
+    far, near = at // CLASSES, at % CLASSES
+    given = by_context[at]
+    # Of every triple, so many noise classes are expected beside it.
+    wrong = given.sum(axis=1, keepdims=True) * (NOISE * noise)
+    both = given + wrong
     names = ("context", "target", "position", "bias")
     moments = {k: [np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))] for k in names}
     log_noise = np.log(NOISE * noise)
     for step in range(1, STEPS + 1):
-        code = at[np.searchsorted(ends, rng.random(BATCH) * total, side="right").clip(0, len(at) - 1)]
-        far, near, right = code // CLASSES**2, code // CLASSES % CLASSES, code % CLASSES
-        # One set of noise classes serves the whole batch.
-        wrong = np.searchsorted(noise_ends, rng.random(NOISE * 16)).clip(0, CLASSES - 1)
         mixed = model.context[far] * model.position[0] + model.context[near] * model.position[1]
-        good = (mixed * model.target[right]).sum(1) + model.bias[right] - log_noise[right]
-        bad = mixed @ model.target[wrong].T + model.bias[wrong] - log_noise[wrong]
-        up = 1 / (1 + np.exp(good))  # 1 - P(data)
-        down = -1 / (1 + np.exp(-bad)) / 16  # each counts as NOISE draws in all
-        slope = {k: np.zeros_like(getattr(model, k)) for k in names}
-        np.add.at(slope["target"], right, up[:, None] * mixed)
-        np.add.at(slope["target"], wrong, down.T @ mixed)
-        np.add.at(slope["bias"], right, up)
-        np.add.at(slope["bias"], wrong, down.sum(0))
-        back = up[:, None] * model.target[right] + down @ model.target[wrong]
+        pull = mixed @ model.target.T
+        pull += model.bias - log_noise
+        # P(data) of each context and class; overflow leaves 0.
+        np.negative(pull, out=pull)
+        with np.errstate(over="ignore"):
+            np.exp(pull, out=pull)
+        pull += 1
+        np.divide(both, pull, out=pull)
+        np.subtract(given, pull, out=pull)
+        slope = {"target": pull.T @ mixed, "bias": pull.sum(axis=0)}
+        back = pull @ model.target
+        slope["context"] = np.zeros_like(model.context)
         np.add.at(slope["context"], far, back * model.position[0])
         np.add.at(slope["context"], near, back * model.position[1])
-        slope["position"][0] = (back * model.context[far]).sum(0)
-        slope["position"][1] = (back * model.context[near]).sum(0)
+        slope["position"] = np.stack(
+            [(back * model.context[far]).sum(axis=0), (back * model.context[near]).sum(axis=0)]
+        )
         pace = 0.05 * (1 - 0.9 * step / STEPS)
         for k in names:
-            g, (first, second) = slope[k] / BATCH, moments[k]
+            g, (first, second) = slope[k], moments[k]
             first *= 0.9
             first += 0.1 * g
             second *= 0.99

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strataspark.functions.rules import thumbnail_height
 from strataspark.functions.text import base_name, stem
-from strataspark.session import fits_broadcast
+from strataspark.session import cut_lineage, fits_broadcast, likely_in
 
 
 # Workers need no installed copy of this module.
@@ -37,7 +37,8 @@ def match_files(ids: DataFrame, files: DataFrame, id_column: str = "PICTURE_ID")
     matches, where containment also settles equal numbers.  An empty id is the
     empty substring of every stem.
     """
-    distinct_ids = ids.select(id_column).where(F.col(id_column).isNotNull()).distinct()
+    # Written once, as several steps ask for them and what leads to them may be long.
+    distinct_ids = cut_lineage(ids.select(id_column).where(F.col(id_column).isNotNull()).distinct())
     # Cutting multiplies rows, so partitions stay as many as a shuffle's even
     # where the paths themselves would fit in fewer.
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -87,9 +88,11 @@ def _candidates(stems: DataFrame, distinct_ids: DataFrame, id_column: str) -> Da
         )
     text = F.substr(F.col("_stem"), at, length)
     # The first occurrence in a stem stands for all of them.
-    return cut.select("_file", "_stem", "_at", text.alias(id_column)).where(
+    found = cut.select("_file", "_stem", "_at", text.alias(id_column)).where(
         (F.expr(f"instr(_stem, `{id_column}`)") == at) | (F.col(id_column) == "")
     )
+    # Most substrings are no id and need not meet the ids.
+    return likely_in(found, [id_column], distinct_ids, distinct_ids.count())
 
 
 def link_files(images: DataFrame, files: DataFrame, id_column: str = "PICTURE_ID") -> DataFrame:

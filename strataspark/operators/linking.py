@@ -4,7 +4,8 @@ Every link is an equi-join on the source and a key, followed by an aggregate
 whose keys differ from the join's.  So a source or key that holds a large part
 of all rows is split by adaptive execution in the join and reduced map-side
 before the next shuffle.  When the selected observations are small enough to
-broadcast, child tables are filtered where they are scanned.
+broadcast, child tables are filtered where they are scanned; otherwise a filter of
+the wanted keys keeps most rows that match nothing out of the shuffle.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from strataspark import model as m
 from strataspark.functions.text import quoted_literal
 from strataspark.operators.validation import require_tables
-from strataspark.session import fits_broadcast
+from strataspark.session import BROADCAST_BYTES, likely_in, measured
 
 #: What is looked up in place of a key: from the driver, or a table ``key, value``.
 Exceptions = Mapping[str, str | None] | DataFrame
@@ -159,8 +160,8 @@ class Linker:
     """Links the children of one model to one set of observations.
 
     ``observations`` come from :func:`~.selection.observation_keys`.  ``small``
-    says that their measured size allows a broadcast.  ``resolved`` may hold
-    :meth:`resolutions` already computed.
+    says that their measured size allows a broadcast; ``count`` is how many they are, where
+    that was measured.  ``resolved`` may hold :meth:`resolutions` already computed.
     """
 
     model: m.FieldModel
@@ -168,6 +169,7 @@ class Linker:
     exceptions: Exceptions
     small: bool
     resolved: DataFrame | None = None
+    count: int | None = None
 
     @classmethod
     def over(
@@ -185,7 +187,8 @@ class Linker:
         require_tables(model)
         kept = observations.persist(StorageLevel.MEMORY_AND_DISK)
         listed = {} if exceptions is None else exceptions
-        linker = cls(model, kept, listed, fits_broadcast(kept))
+        size, count = measured(kept)
+        linker = cls(model, kept, listed, size <= BROADCAST_BYTES, count=count)
         resolved = linker.resolutions().persist(StorageLevel.MEMORY_AND_DISK)
         return replace(linker, resolved=resolved)
 
@@ -203,6 +206,12 @@ class Linker:
     def _hint(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.small else df
 
+    def _wanted(self, child: DataFrame, on: list[str], keys: DataFrame, count: int | None) -> DataFrame:
+        """A child's rows without most of those whose key is none of ``keys``."""
+        if self.small or count is None:
+            return child
+        return likely_in(child, on, keys, count)
+
     def _keyed(self, source: str, to: str, remapped: bool) -> DataFrame:
         exceptions = self.exceptions if remapped else {}
         return remap_key(self.observations, source, exceptions, to)
@@ -210,8 +219,9 @@ class Linker:
     def _children(self, child: DataFrame, key: str, remapped: bool) -> DataFrame:
         """Inner join of a child table to the observations on ``(_src, key)``."""
         parents = self._keyed("OBSID", "_key", remapped)
-        rows = child.withColumnRenamed(key, "_key")
-        return rows.join(self._hint(parents), [m.SRC, "_key"])
+        on = [m.SRC, "_key"]
+        rows = self._wanted(child.withColumnRenamed(key, "_key"), on, parents, self.count)
+        return rows.join(self._hint(parents), on)
 
     def resolutions(self) -> DataFrame:
         """Observations with tectonic rows: the id they resolve to, NULL included, and ``n_ids``."""
@@ -234,7 +244,8 @@ class Linker:
             *self._attributes, F.col("GDB_ID").alias("TM_GID")
         )
         # At most one row per observation, so the observations' bound holds.
-        rows = child.join(self._hint(resolved), [m.SRC, "TM_GID"])
+        on = [m.SRC, "TM_GID"]
+        rows = self._wanted(child, on, resolved, self.count).join(self._hint(resolved), on)
         return self._distinct(rows, kind)
 
     def _distinct(self, rows: DataFrame, kind: str, order: Column | None = None) -> DataFrame:
@@ -282,7 +293,19 @@ class Linker:
     @cached_property
     def _few_rocks(self) -> bool:
         """Whether the rocks are few enough to broadcast; measured on the kept rows."""
-        return self.small and fits_broadcast(self._rock_rows)
+        return self.small and self._rock_size[0] <= BROADCAST_BYTES
+
+    @cached_property
+    def _rock_size(self) -> tuple[int, int]:
+        """Bytes and number of the kept rocks."""
+        return measured(self._rock_rows)
+
+    def _wanted_textures(self) -> DataFrame:
+        """Textures without most of those that belong to none of the rocks."""
+        textures = self.model.textures
+        if self._few_rocks or self.count is None:
+            return textures
+        return likely_in(textures, [m.SRC, "ROP_GID"], self._rock_rows, self._rock_size[1])
 
     def _rock_hint(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self._few_rocks else df
@@ -291,7 +314,7 @@ class Linker:
         """Rock observations with their textures as tuple text in ``ST_2``."""
         rows = self._rock_rows
         wanted = self._rock_hint(rows.select(m.SRC, "ROP_GID").distinct())
-        textures = self.model.textures.join(wanted, [m.SRC, "ROP_GID"], "left_semi")
+        textures = self._wanted_textures().join(wanted, [m.SRC, "ROP_GID"], "left_semi")
         tuples = texture_tuples(textures)
         return self._distinct(rows.join(tuples, [m.SRC, "ROP_GID"], "left"), m.ROCKS)
 
@@ -304,7 +327,7 @@ class Linker:
             .groupBy(*self._attributes, "ROP_GID")
             .agg(F.min(m.RID).alias("_rock_rid"))
         )
-        linked = self.model.textures.join(self._rock_hint(rows), [m.SRC, "ROP_GID"])
+        linked = self._wanted_textures().join(self._rock_hint(rows), [m.SRC, "ROP_GID"])
         order = F.struct("_rock_rid", m.RID)
         return (
             self._distinct(linked, m.TEXTURES, order)

@@ -187,6 +187,11 @@ def write_files(files: DataFrame, folder: str) -> None:
     files.write.format(CommittedFiles.name()).mode("append").save(folder)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Narrow rows that much work follows on, over as many tasks as a shuffle has."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rule file per customer: ``file, text``."""
     key = F.col("c_custkey")
@@ -203,7 +208,8 @@ def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 5 == 0, "west").otherwise((key * 10).cast("string")),
         F.lit("\nxmax=900000\nymin= 6600000\nymax =7800000\n"),
     )
-    return mapped.table(spark, sf_dir, "customer").select(
+    customers = mapped.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return spread(customers).select(
         F.concat(F.lit("team"), key.cast("string"), F.lit(".ini")).alias("file"),
         text.alias("text"),
     )
@@ -273,7 +279,8 @@ def feature_lines(spark: SparkSession, sf_dir: str, part: str | None = None) ->
         shape,
         F.when(key % 4 == 0, F.lit("}} ,")).otherwise(F.lit("}}")),
     )
-    lines = mapped.table(spark, sf_dir, "customer").select(text.alias("value"), (key % 3).alias("part"))
+    customers = mapped.table(spark, sf_dir, "customer").select("c_custkey")
+    lines = spread(customers).select(text.alias("value"), (key % 3).alias("part"))
     return lines if part else lines.select("value")
 
 
@@ -322,7 +329,7 @@ def image_folder(spark: SparkSession, sf_dir: str) -> str:
             names = [f"v{n}.png" for n in frame["number"]]
             yield pd.DataFrame({"name": names, "content": contents})
 
-    images = small_images(spark, sf_dir).select(
+    images = spread(small_images(spark, sf_dir)).select(
         F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("number"), "width", "height", "data"
     )
     folder = scratch(spark, "images")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -24,6 +25,8 @@ from strataspark.sources.shared import opened
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHORT_NAME = "committed_files"
+# Files that a commit moves at a time.
+_MOVERS = 16
 
 
 @dataclass
@@ -52,14 +55,19 @@ class CommittedWriter(DataSourceArrowWriter):
         attempt = f"{context.partitionId()}-{context.taskAttemptId()}" if context else "0-0"
         folder = f"{root.rstrip('/')}/_temporary/{self.job}/{attempt}"
         names: list[str] = []
+        taken: set[str] = set()
+        parents: set[str] = set()
 
         def open_file(name: str) -> pa.NativeFile:
             if not name or name.startswith("/") or ".." in name.split("/"):
                 raise ValueError(f"{name!r} is no name of a file within the folder")
-            if name in names:
+            if name in taken:
                 raise ValueError(f"two rows give the file {name!r}")
             parent = f"{folder}/{name}".rpartition("/")[0]
-            system.create_dir(parent, recursive=True)
+            if parent not in parents:
+                system.create_dir(parent, recursive=True)
+                parents.add(parent)
+            taken.add(name)
             names.append(name)
             return system.open_output_stream(f"{folder}/{name}", compression=None)
 
@@ -91,10 +99,13 @@ class CommittedWriter(DataSourceArrowWriter):
                     system.delete_dir(entry.path)
                 else:
                     system.delete_file(entry.path)
-        for message in done:
-            for name in message.names:
-                system.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
-                system.move(f"{message.folder}/{name}", f"{root}/{name}")
+        moves = [(f"{message.folder}/{n}", f"{root}/{n}") for message in done for n in message.names]
+        for parent in {to.rpartition("/")[0] for _, to in moves}:
+            system.create_dir(parent, recursive=True)
+        # Storage answers many at once; the first failure is raised.
+        with ThreadPoolExecutor(_MOVERS) as pool:
+            for _ in pool.map(lambda pair: system.move(*pair), moves):
+                pass
         self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:

@@ -45,6 +45,7 @@ _HELD = 400_000  # different words a task counts before it passes them on
 WIDTH = 24
 NOISE = 8
 STEPS = 500
+PRIOR = 30.0  # precision of the vectors' normal prior, in triples
 
 
 def ending(word: bytes) -> int:
@@ -169,6 +170,7 @@ def train(cube: np.ndarray, seed: int = 1) -> Bilinear:
 
     Nothing is drawn: every step takes the expectation over all counted triples and over all classes
     as noise, so the work depends on the number of different contexts, and the rarest triple counts.
+    A normal prior keeps the vectors small where there are few triples; it fades as they grow.
     """
     single = cube.sum(axis=(0, 1)) + 1.0
     noise = single / single.sum()
@@ -204,6 +206,8 @@ def train(cube: np.ndarray, seed: int = 1) -> Bilinear:
         slope["position"] = np.stack(
             [(back * model.context[far]).sum(axis=0), (back * model.context[near]).sum(axis=0)]
         )
+        for k in ("context", "target"):
+            slope[k] -= PRIOR * getattr(model, k)
         pace = 0.05 * (1 - 0.9 * step / STEPS)
         for k in names:
             g, (first, second) = slope[k], moments[k]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import json
 import sqlite3
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from strataspark import model as m
@@ -64,3 +67,45 @@ def test_ranges_of_repeated_row_ids_lose_no_row(tmp_path):
     derived.insert_rows(connection, m.SAMPLE, ["OBSID"], [(None, "O")])
     assert [(p.low, p.high) for p in source._split(str(path), m.SAMPLE, 4)] == [(None, None)]
     connection.close()
+
+
+def test_databases_are_no_cells_of_rows(spark, tmp_path):
+    # A database grows on a task's disk and is copied in pieces, whatever its size.
+    rows = [("a" if i % 3 else "b", i, f"O{i}", f"S{i}", "f") for i in range(90)]
+    given = derived.field_databases(make_model(spark, samples=rows), "1")
+    assert not [f for f in given.rows.schema if f.dataType.typeName() == "binary"]
+    derived.write_files(given, str(tmp_path / "db"))
+    assert sorted(p.name for p in (tmp_path / "db").glob("*")) == ["a@1.sqlite", "b@1.sqlite"]
+    found = read_table(spark, str(tmp_path / "db"), m.SAMPLE).collect()
+    assert sorted(map(tuple, found)) == sorted((f"{r[0]}@1.sqlite", *r[1:]) for r in rows)
+
+
+def test_a_task_streams_a_database_to_its_file():
+    columns = {m.SAMPLE: ["OBSID"]}
+    told = {"snapshot": "1", "tables": columns, "texts": {}, "without": {}}
+    options = {"path": "unused", **{k: json.dumps(v) for k, v in told.items()}}
+    writer = derived.DatabasePerSource(options, False)
+    names = ["source", "table", "rid", "row"]
+    batches = [
+        pa.RecordBatch.from_arrays(
+            [pa.array(["a"] * 500), pa.array([m.SAMPLE] * 500), pa.array(range(at, at + 500)),
+             pa.array([json.dumps({"OBSID": "O" * 4000})] * 500)],
+            names=names,
+        )
+        for at in (0, 500)
+    ]
+    written = []
+
+    class Stream(io.RawIOBase):
+        def write(self, piece):
+            written.append(len(piece))
+            return len(piece)
+
+    writer.write_files(iter(batches), lambda name: Stream())
+    assert sum(written) > 4_000_000 and max(written) <= 1 << 20
+
+
+def test_a_row_without_source_is_named(spark, tmp_path):
+    given = derived.field_databases(make_model(spark, samples=[(None, 1, "O", "S", "f")]), "1")
+    with pytest.raises(Exception, match="belongs to no database"):
+        derived.write_files(given, str(tmp_path / "db"))

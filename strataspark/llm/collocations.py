@@ -429,7 +429,10 @@ def suffixes(
         for held, starts in _held(batches, ids, max_words - 1):
             found = table_of(held, starts, ids)
             if len(found):
-                yield from emit(*_merged(found, np.ones(len(found), np.int64)), ids)
+                found, n = _merged(found, np.ones(len(found), np.int64))
+                # What begins alike goes to the same place, and takes less room side by side.
+                order = np.lexsort(found.T[::-1])
+                yield from emit(found[order], n[order], ids)
 
     return _texts(docs, lang, text).mapInArrow(cut, schema)
 
@@ -529,9 +532,10 @@ def phrase_counts(
         if held:
             yield from sort(_without_route(held))
 
+    # The route is worked out where rows arrive, and not moved with them.
     dealt = (
-        routed.select(F.xxhash64("lang", "lead").alias("route"), "*")
-        .repartition(parts, "route")
+        routed.repartition(parts, "lang", "lead")
+        .select(F.xxhash64("lang", "lead").alias("route"), "*")
         .sortWithinPartitions("route")
     )
     found = dealt.mapInArrow(sort_all, "lang string, phrase string, n long")

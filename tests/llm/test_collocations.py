@@ -171,3 +171,24 @@ def test_quicksort_finds_all_frequent_beginnings(rows, least, seed):
             assert key not in found
             found[key] = s
     assert found == {k: v for k, v in wanted.items() if v >= least}
+
+
+def test_suffixes_that_begin_alike_leave_a_task_side_by_side(spark):
+    draw = random.Random(7)
+    text = " ".join(draw.choice("abcdefgh") for _ in range(4000))
+    docs = spark.createDataFrame([("en", text)], "lang string, text string").coalesce(1)
+    every = col.Bloom(np.full(1, -1, np.int64).view(np.uint64), 6)
+    none = col.Bloom(np.zeros(1, np.uint64), 6)
+    rows = [r[1:5] for r in col.suffixes(docs, every, none, every).collect()]
+    changes = sum(a[0] != b[0] for a, b in zip(rows, rows[1:], strict=False))
+    assert len({r[0] for r in rows}) == 8 and changes == 7
+
+
+def test_routes_are_not_moved(spark):
+    schema = "lang string, lead string, w1 string, w2 string, w3 string, n long"
+    routed = spark.createDataFrame([("en", "a", "b", "c", None, 40)], schema)
+    found = col.phrase_counts(routed, 1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    moved = plan[plan.index("RepartitionByExpression") :]
+    assert "xxhash64" not in moved and "route" not in moved
+    assert [tuple(r) for r in found.collect()] == [("en", "a b c", 3, 40)]

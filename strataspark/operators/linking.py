@@ -192,10 +192,23 @@ class Linker:
         resolved = linker.resolutions().persist(StorageLevel.MEMORY_AND_DISK)
         return replace(linker, resolved=resolved)
 
+    @cached_property
+    def narrowed(self) -> Linker:
+        """The same links, whose rows name their observation and nothing else of it.
+
+        Links move observations once per child table, and every linked row takes theirs along, so
+        this moves less where only ids are asked for.  Rows that are distinct stay so as long as
+        ``OBSID``, source and row id tell observations apart.
+        """
+        names = ["OBSID", m.SRC, m.OBS_RID]
+        resolved = self.resolutions().select(*names, "GDB_ID", "n_ids")
+        return replace(self, observations=self.observations.select(*names), resolved=resolved)
+
     def release(self) -> None:
         """Let go of what :meth:`over` and the links have kept."""
-        rocks = self.__dict__.get("_rock_rows")
-        for kept in (self.observations, self.resolved, rocks):
+        linkers = [own for own in (self, self.__dict__.get("narrowed")) if own is not None]
+        rocks = [linker.__dict__.get("_rock_rows") for linker in linkers]
+        for kept in (self.observations, self.resolved, *rocks):
             if kept is not None:
                 kept.unpersist()
 

@@ -281,7 +281,9 @@ def markers(
     observations must already be first per id.  With ``image_folder``, that
     path is shortened to its last component in the popups.
     """
-    rows = _section_rows(linker).unionByName(_image_rows(linker, files))
+    # One observation per id, so its id, source and row id stand for all of it until the last join.
+    narrow = linker.narrowed
+    rows = _section_rows(narrow).unionByName(_image_rows(narrow, files))
     gathered = _popup_pieces(rows)
     joined = linker.observations.join(gathered, [m.SRC, m.OBS_RID], "left").withColumns(
         {

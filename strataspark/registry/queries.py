@@ -18,6 +18,7 @@ from strataspark.operators import markers as mrk
 from strataspark.operators import merging, nested, points, selection, validation
 from strataspark.plans import export, thumbnails, webmap
 from strataspark.registry import derived
+from strataspark.session import run_together
 from strataspark.sinks import markers as marker_sink
 from strataspark.sinks import points as point_sink
 from strataspark.sources.config import parse_rules, rule_scalars
@@ -160,7 +161,8 @@ def flt6_rule_filter(spark, sf_dir):
 @query
 def flt7_empty_types(spark, sf_dir):
     """FLT-7: which selected datasets have no rows."""
-    linker = _linker(spark, sf_dir)
+    # Whether there are rows does not depend on what they say of their observations.
+    linker = _linker(spark, sf_dir).narrowed
     parts = [
         linker.of_type(kind).agg(F.count(F.lit(1)).alias("n")).select(
             F.lit(kind).alias("kind"), (F.col("n") == 0).alias("is_empty")
@@ -356,7 +358,9 @@ def idx1_row_index(spark, sf_dir):
         rows = points.filter_valid(points.with_row_index(compiled[kind], order), kind)
         return _named(rows, "row_idx").drop("rid2").withColumn("kind", F.lit(kind))
 
-    return merging.union_by_name(indexed(kind) for kind in m.ALL_TYPES)
+    # Types wait for no other one's last tasks.
+    found = run_together(spark, {kind: partial(indexed, kind) for kind in m.ALL_TYPES})
+    return merging.union_by_name(found.values())
 
 
 # --- links -----------------------------------------------------------------

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from strataspark import model as m
 from strataspark import session as sessions
 from strataspark.operators import linking as link
+from strataspark.operators import markers as mrk
 from strataspark.operators.points import type_points
 from strataspark.plans.export import gather_observations
-from strataspark.registry import derived
+from strataspark.registry import derived, queries
 from strataspark.session import likely_in
 from tests.helpers import make_model, rows
 from tests.test_links import RULES
@@ -92,3 +93,32 @@ def test_many_files_appear_under_their_names(spark, tmp_path):
     found = {p.name: p.read_text() for p in (tmp_path / "out").rglob("f*")}
     assert found == {f"f{i}": str(i) for i in range(300)}
     assert not (tmp_path / "out" / "_temporary").exists()
+
+
+def test_links_for_popups_leave_out_what_observations_say(spark, model, monkeypatch):
+    selected = mrk.first_per_id(gather_observations(model, RULES))
+    files = model.images.select(F.concat("PICTURE_ID", F.lit(".jpg")).alias("path"))
+    given = []
+    for narrow in (True, False):
+        linker = link.Linker(model, selected, RULES.exceptions, False, count=50)
+        if not narrow:
+            linker.__dict__["narrowed"] = linker
+        else:
+            kept = set(linker.narrowed.planars().columns)
+            assert not kept & {"PROJECT", "OBS_REMARKS", "LAT", "x"}
+        made = mrk.markers(linker, files)
+        given.append(rows(made, *made.columns))
+        linker.release()
+    assert given[0] == given[1] and given[0]
+
+
+def test_row_indexes_of_all_types_are_made_together(spark, monkeypatch):
+    asked = []
+
+    def together(session, jobs):
+        asked.extend(jobs)
+        return sessions.run_together(session, jobs)
+
+    monkeypatch.setattr(queries, "run_together", together)
+    assert queries.QUERIES["idx1_row_index"](spark, "/root/testdata/sf0.001").count() > 0
+    assert sorted(asked) == sorted(m.ALL_TYPES)

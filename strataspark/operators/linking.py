@@ -14,14 +14,13 @@ from collections.abc import Mapping
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from strataspark import model as m
 from strataspark.functions.text import quoted_literal
 from strataspark.operators.validation import require_tables
-from strataspark.session import BROADCAST_BYTES, likely_in, measured
+from strataspark.session import BROADCAST_BYTES, filter_words, kept, measured, through_filter
 
 #: What is looked up in place of a key: from the driver, or a table ``key, value``.
 Exceptions = Mapping[str, str | None] | DataFrame
@@ -185,12 +184,11 @@ class Linker:
         that its part is computed again.  :meth:`release` lets go of them.
         """
         require_tables(model)
-        kept = observations.persist(StorageLevel.MEMORY_AND_DISK)
+        own = kept(observations)
         listed = {} if exceptions is None else exceptions
-        size, count = measured(kept)
-        linker = cls(model, kept, listed, size <= BROADCAST_BYTES, count=count)
-        resolved = linker.resolutions().persist(StorageLevel.MEMORY_AND_DISK)
-        return replace(linker, resolved=resolved)
+        size, count = measured(own)
+        linker = cls(model, own, listed, size <= BROADCAST_BYTES, count=count)
+        return replace(linker, resolved=kept(linker.resolutions()))
 
     @cached_property
     def narrowed(self) -> Linker:
@@ -208,9 +206,10 @@ class Linker:
         """Let go of what :meth:`over` and the links have kept."""
         linkers = [own for own in (self, self.__dict__.get("narrowed")) if own is not None]
         rocks = [linker.__dict__.get("_rock_rows") for linker in linkers]
-        for kept in (self.observations, self.resolved, *rocks):
-            if kept is not None:
-                kept.unpersist()
+        filters = [words for linker in linkers for words in linker._filters.values()]
+        for own in (self.observations, self.resolved, *rocks, *filters):
+            if own is not None:
+                own.unpersist()
 
     @property
     def _attributes(self) -> list[str]:
@@ -219,11 +218,23 @@ class Linker:
     def _hint(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.small else df
 
-    def _wanted(self, child: DataFrame, on: list[str], keys: DataFrame, count: int | None) -> DataFrame:
-        """A child's rows without most of those whose key is none of ``keys``."""
-        if self.small or count is None:
-            return child
-        return likely_in(child, on, keys, count)
+    @cached_property
+    def _filters(self) -> dict[str, DataFrame | None]:
+        """The filters of wanted keys that links have made so far, kept, by what their keys are."""
+        return {}
+
+    def _wanted(
+        self, child: DataFrame, on: list[str], keys: DataFrame, count: int, of: str
+    ) -> DataFrame:
+        """A child's rows without most of those whose key is none of ``keys``.
+
+        All links on the same keys share one filter; ``of`` names them.
+        """
+        if of not in self._filters:
+            words = filter_words(keys, on, count)
+            self._filters[of] = None if words is None else kept(words)
+        words = self._filters[of]
+        return child if words is None else through_filter(child, on, words, count)
 
     def _keyed(self, source: str, to: str, remapped: bool) -> DataFrame:
         exceptions = self.exceptions if remapped else {}
@@ -233,7 +244,9 @@ class Linker:
         """Inner join of a child table to the observations on ``(_src, key)``."""
         parents = self._keyed("OBSID", "_key", remapped)
         on = [m.SRC, "_key"]
-        rows = self._wanted(child.withColumnRenamed(key, "_key"), on, parents, self.count)
+        rows = child.withColumnRenamed(key, "_key")
+        if not self.small and self.count is not None:
+            rows = self._wanted(rows, on, parents, self.count, "remapped" if remapped else "own")
         return rows.join(self._hint(parents), on)
 
     def resolutions(self) -> DataFrame:
@@ -258,8 +271,9 @@ class Linker:
         )
         # At most one row per observation, so the observations' bound holds.
         on = [m.SRC, "TM_GID"]
-        rows = self._wanted(child, on, resolved, self.count).join(self._hint(resolved), on)
-        return self._distinct(rows, kind)
+        if not self.small and self.count is not None:
+            child = self._wanted(child, on, resolved, self.count, "tectonic")
+        return self._distinct(child.join(self._hint(resolved), on), kind)
 
     def _distinct(self, rows: DataFrame, kind: str, order: Column | None = None) -> DataFrame:
         own = self._child_columns(kind)
@@ -301,7 +315,7 @@ class Linker:
         """Rocks of the observations with the id that leads to their textures, kept."""
         rows = self._children(self.model.rocks, "OBSID", False)
         keyed = remap_key(rows, "GDB_ID", self.exceptions, "ROP_GID").drop("_key")
-        return keyed.persist(StorageLevel.MEMORY_AND_DISK)
+        return kept(keyed)
 
     @cached_property
     def _few_rocks(self) -> bool:
@@ -318,7 +332,8 @@ class Linker:
         textures = self.model.textures
         if self._few_rocks or self.count is None:
             return textures
-        return likely_in(textures, [m.SRC, "ROP_GID"], self._rock_rows, self._rock_size[1])
+        on = [m.SRC, "ROP_GID"]
+        return self._wanted(textures, on, self._rock_rows, self._rock_size[1], "rocks")
 
     def _rock_hint(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self._few_rocks else df

@@ -76,6 +76,38 @@ def test_measured_linkers_filter_children_before_the_shuffle(spark, model, monke
     linker.release()
 
 
+def test_links_on_the_same_keys_share_a_filter(spark, model, monkeypatch):
+    monkeypatch.setattr(link, "BROADCAST_BYTES", 0)
+    linker = link.Linker.over(model, gather_observations(model, RULES), RULES.exceptions)
+    made = []
+    monkeypatch.setattr(link, "filter_words", lambda *given: made.append(given) or sessions.filter_words(*given))
+    for kind in (m.PLANARS, m.LINEARS, m.ROCKS, m.TEXTURES, m.IMAGES):
+        assert linker.of_type(kind).count()
+    # Of tectonic ids, observation ids and rock ids.
+    assert len(made) == 3
+    words = [w for w in linker._filters.values() if w is not None]
+    assert words and all(w.is_cached for w in words)
+    linker.release()
+    assert not any(w.is_cached for w in words)
+
+
+def test_kept_rows_take_few_partitions(spark):
+    before = spark.conf.get(sessions._COALESCE_KEPT)
+    sums = spark.range(1000).groupBy((F.col("id") % 100).alias("k")).agg(F.sum("id").alias("n"))
+    plain = sums.where("k < 50").persist()
+    kept = sessions.kept(sums)
+    assert rows(kept.where("k < 50"), "k", "n") == rows(plain, "k", "n")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        other = sessions.kept(sums.withColumn("m", F.col("n") + 1))
+        assert other.count() == 100 and other.rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    assert spark.conf.get(sessions._COALESCE_KEPT) == before
+    for df in (plain, kept, other):
+        df.unpersist()
+
+
 def test_inputs_of_one_row_group_are_spread(spark, tmp_path):
     spark.createDataFrame([(i, "A") for i in range(50)], "c_custkey long, c_mktsegment string").coalesce(
         1

@@ -105,6 +105,11 @@ def worker_store(name: str, make: Callable[[], object]) -> object:
     return getattr(module, name)
 
 
+def forget_stores() -> None:
+    """Let go of what a worker has kept for the tasks of other operators."""
+    sys.modules.pop("_strataspark_worker", None)
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an array of texts, one behind the other, and where each text begins."""
     own = texts.cast(pa.binary())

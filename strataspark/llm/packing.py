@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,7 @@ END = 0
 OPENED = 8  # a round opens one of so many sequences that the remaining tokens need
 _WORDS_KEPT = 600_000  # words whose ids a worker remembers
 _RANGE = 1 << 22  # bytes of text whose words are numbered at a time
+_HELD = 1 << 23  # bytes of text whose ids a worker holds at a time, or one text
 # The bytes that part words.
 _APART = np.zeros(256, bool)
 _APART[list(b" \t\n\r\x0b\x0c")] = True
@@ -151,6 +153,17 @@ def ids_of(texts: pa.Array, words: WordIds, end: int) -> tuple[np.ndarray, np.nd
     return out, firsts
 
 
+def in_parts(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in parts whose second column, a text, has about ``size`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ends):
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -164,7 +177,7 @@ def pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = worker_store(f"words:{path}", lambda: WordIds(path))
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_parts(whole, _HELD)):
             ids, firsts = ids_of(batch.column(1), words, end)
             counts = np.diff(firsts, append=len(ids))
             pieces_of = -(-counts // size)

@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.common import labelled_sample
+from strataspark.llm.common import forget_stores, labelled_sample
 from strataspark.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -158,6 +158,7 @@ def _beginnings(text: str) -> set[str]:
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    forget_stores()
     toxic: Counter[str] = Counter()
     clean: Counter[str] = Counter()
     rows = [0, 0]
@@ -240,6 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Lexic
     lexicon = Lexicon(weights)
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_stores()
         for frame in frames:
             found = [lexicon.hits(t) for t in frame["text"]]
             yield pd.DataFrame(
@@ -259,6 +261,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", to: str = "toxi
 
     @F.pandas_udf("score double, n_hits long")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget_stores()
         for part in texts:
             yield lexicon.scores(part.tolist())
 

@@ -5,9 +5,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from strataspark.llm import quality_crf, quality_rules, queries, toxicity
+from strataspark.llm import common, quality_crf, quality_rules, queries, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -165,3 +166,12 @@ def test_odd_rows_are_scored(spark, rows):
         assert len(got) == len(rows)
         assert all(0 <= r[1] <= 1 for r in got)
         assert sorted(((r[0], r[2]) for r in got), key=repr) == sorted(((r[0], r[1]) for r in rows), key=repr)
+
+
+def test_toxicity_lets_go_of_what_other_operators_kept():
+    store = common.worker_store("words", dict)
+    store["a"] = b"b"
+    frame = pd.DataFrame({"text": ["an idiot"], "label": [1]})
+    (counted,) = toxicity._count(iter([frame]))
+    assert " idiot " in set(counted["entry"])
+    assert common.worker_store("words", dict) == {}

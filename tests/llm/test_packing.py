@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -113,3 +114,21 @@ def test_documents_are_packed_whole(spark, tokenizer):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.best_fit(empty, PATH).count() == 0
+
+
+def test_a_worker_holds_the_ids_of_few_texts_at_a_time(spark, monkeypatch):
+    texts = ["a b c " * n for n in (0, 1, 400, 2, 3000, 0, 5)] + [None]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"]
+    )
+    parts = list(packing.in_parts(batch, 3000))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    sizes = [sum(len(t or "") for t in p.column(1).to_pylist()) for p in parts]
+    assert len(parts) > 2 and all(n <= 3000 or p.num_rows == 1 for n, p in zip(sizes, parts, strict=True))
+    assert not list(packing.in_parts(batch.slice(0, 0), 3000))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    whole = packing.pieces(docs, PATH).select(*columns).collect()
+    monkeypatch.setattr(packing, "_HELD", 10)
+    assert sorted(packing.pieces(docs, PATH).select(*columns).collect()) == sorted(whole)
+    assert len({r["doc_id"] for r in whole}) == len(texts)

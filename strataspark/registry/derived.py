@@ -111,16 +111,21 @@ def field_databases(
     """
     tables = dict(model.items())
     listed = {name: list(m.TABLE_COLUMNS[name]) for name in tables}
-    places = {name: _places(df, listed[name]) for name, df in tables.items()}
-    plain = all(of is not None for of in places.values())
-    kinds = {place: kind for of in places.values() for place, kind in (of or {}).values()}
+    kinds = {
+        name: [df.schema[c].dataType.simpleString() for c in listed[name]] for name, df in tables.items()
+    }
+    plain = {kind for of in kinds.values() for kind in of} <= {"string", "double"}
     named = F.lit(snapshot) if isinstance(snapshot, str) else snapshot
 
     def cells(name: str) -> list[Column]:
         if not plain:
             return [F.to_json(F.struct(*listed[name]), {"ignoreNullFields": "false"}).alias("row")]
-        own = {place: F.col(c) for c, (place, _) in places[name].items()}
-        return [own.get(p, F.lit(None).cast(kinds[p])).alias(p) for p in sorted(kinds)]
+        return [
+            F.array(*[c for c, k in zip(listed[name], kinds[name], strict=True) if k == kind])
+            .cast(f"array<{kind}>")
+            .alias(f"{kind}s")
+            for kind in ("string", "double")
+        ]
 
     rows = reduce(
         DataFrame.unionByName,
@@ -135,28 +140,19 @@ def field_databases(
             for number, (name, df) in enumerate(tables.items())
         ],
     )
-    held = {name: [place for place, _ in of.values()] for name, of in places.items()} if plain else {}
-    told = {"tables": listed, "places": held, "texts": texts or {}, "without": without or {}}
+    told = {
+        "tables": listed,
+        "kinds": kinds if plain else {},
+        "texts": texts or {},
+        "without": without or {},
+    }
     return FieldDatabases(rows, {name: json.dumps(value) for name, value in told.items()})
 
 
-def _places(df: DataFrame, columns: list[str]) -> dict[str, tuple[str, str]] | None:
-    """For each column the one among those of its type that all tables share; None if another type occurs."""
-    counts: dict[str, int] = {}
-    found = {}
-    for column in columns:
-        kind = df.schema[column].dataType.simpleString()
-        if kind not in ("string", "double"):
-            return None
-        found[column] = (f"{kind}{counts.setdefault(kind, 0)}", kind)
-        counts[kind] += 1
-    return found
-
-
 class DatabasePerSource(CommittedWriter):
     """Rows ``source, table, rid`` and cells, in the order of sources and tables: each source is one database.
 
-    Cells are columns that all tables share (``places`` says which are whose), or a JSON text ``row``.
+    Cells are lists ``strings`` and ``doubles`` (``kinds`` says which column is which), or a JSON text ``row``.
     A database grows on the task's own disk and goes to its folder in pieces, so that a task holds a
     batch of rows and SQLite's cache, however many rows a source has.
     """
@@ -166,7 +162,7 @@ class DatabasePerSource(CommittedWriter):
         self.listed, self.texts, self.without = (
             json.loads(options[name]) for name in ("tables", "texts", "without")
         )
-        self.places = json.loads(options.get("places", "{}"))
+        self.kinds = json.loads(options.get("kinds", "{}"))
 
     def write_files(self, batches: Iterator[pa.RecordBatch], open_file) -> None:
         with tempfile.TemporaryDirectory() as folder:
@@ -204,9 +200,11 @@ class DatabasePerSource(CommittedWriter):
         """Row ids and cells of one table, each column as a list."""
         ids = rows.column("rid")
         ids = ids.to_pylist() if ids.null_count else ids.to_numpy().tolist()
-        if self.places:
-            places = dict(zip(self.listed[name], self.places[name], strict=True))
-            cells = [_values(rows.column(places[c])) for c in columns]
+        if self.kinds:
+            kinds = self.kinds[name]
+            lists = {k: _columns(rows.column(f"{k}s"), kinds.count(k)) for k in ("string", "double")}
+            every = {c: next(lists[k]) for c, k in zip(self.listed[name], kinds, strict=True)}
+            cells = [every[c] for c in columns]
         else:
             read = [json.loads(text) for text in rows.column("row").to_pylist()]
             cells = [[row[c] for row in read] for c in columns]
@@ -220,15 +218,19 @@ class DatabasePerSource(CommittedWriter):
         return [ids, *cells]
 
 
-def _values(column: pa.Array) -> list:
-    """Texts or doubles for SQLite; numbers that JSON has no word for become text, as in JSON."""
-    if not pa.types.is_floating(column.type):
-        return column.to_numpy(zero_copy_only=False).tolist()
-    if pc.all(pc.is_finite(column)).as_py() is False:
+def _columns(lists: pa.ListArray, width: int) -> Iterator[list]:
+    """The columns of rows that are lists of ``width`` texts or doubles, as SQLite takes them.
+
+    Numbers that JSON has no word for become text, as in JSON.
+    """
+    flat = lists.flatten()
+    if pa.types.is_floating(flat.type) and pc.all(pc.is_finite(flat)).as_py() is False:
         words = {math.inf: "Infinity", -math.inf: "-Infinity"}
-        return [words.get(v, v) if v == v else "NaN" for v in column.to_pylist()]
-    # A null comes out as NaN, which SQLite takes for NULL.
-    return column.to_numpy(zero_copy_only=False).tolist()
+        values = [words.get(v, v) if v is None or v == v else "NaN" for v in flat.to_pylist()]
+    else:
+        # A null number comes out as NaN, which SQLite takes for NULL.
+        values = flat.to_numpy(zero_copy_only=False).tolist()
+    return (values[at::width] for at in range(width))
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
@@ -257,7 +259,7 @@ class FieldDatabaseFiles(DataSource):
         return "field_databases"
 
     def schema(self) -> StructType:
-        return "source string, table int, rid long, row string"
+        return "source string, table int, rid long, strings array<string>, doubles array<double>"
 
     def writer(self, schema: StructType, overwrite: bool) -> DatabasePerSource:
         return DatabasePerSource(self.options, overwrite)
